@@ -50,3 +50,23 @@ def uniform(id_column: Column, seed: str) -> Column:
     """A number in (0, 1) that depends on the id and the seed only: 52 bits of their MD5."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_column.cast("string"), F.lit("null"))).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
+#: Bits of the filter below; its 4 KB blocks are broadcast, 8 MB in all at most.
+FILTER_BITS = 1 << 26
+
+
+def perhaps_among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """rows, without most of those whose column is not in wanted's: a Bloom filter of fixed size.
+
+    Loses no row that is in wanted. It saves shuffling rows only to drop them; if
+    wanted has more values than the filter has bits, it lets everything through.
+    """
+    place = F.pmod(F.xxhash64(F.col(column), F.lit(17)), F.lit(FILTER_BITS)) + 1
+    bits = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("block"))
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright(byte, bit) & 1").cast("boolean")
+    joined = rows.withColumn("block", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "block")
+    return joined.withColumn("byte", byte).withColumn("bit", (at % 8).cast("int")).where(hit).select(*rows.columns)

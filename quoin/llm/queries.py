@@ -3,14 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import read
+from . import langid, mixing, quality, sharding
+from .common import fold, read
 from .near_dedup import near_duplicates
 
 
+def op1_crf_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.col("doc_id")
+    scored = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold(ids, 4) != 2)
+    return scored.select("doc_id", (fold(ids, 4) == 2).alias("held_out"), "score", "predicted", "n_lines")
+
+
+def op4_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_minhash_lsh_forest": op6_minhash_lsh_forest}
-ORACLES: dict[str, str] = {}
+def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs, fold(F.col("doc_id"), 5) != 0, ["doc_id"])
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    "op1_crf_line_quality": op1_crf_line_quality,
+    "op4_pareto_mixing": op4_pareto_mixing,
+    "op6_minhash_lsh_forest": op6_minhash_lsh_forest,
+    "op9_minimax_sharding": op9_minimax_sharding,
+    "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
+}
+ORACLES: dict[str, str] = {"op4_pareto_mixing": mixing.SQL}
