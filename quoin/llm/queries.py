@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, sharding
+from . import decontam, langid, mixing, quality, sharding
 from .common import fold, read
 from .near_dedup import near_duplicates
 
@@ -25,6 +25,11 @@ def op6_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "n_words", "similarity")
+
+
 def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -39,7 +44,8 @@ QUERIES = {
     "op1_crf_line_quality": op1_crf_line_quality,
     "op4_pareto_mixing": op4_pareto_mixing,
     "op6_minhash_lsh_forest": op6_minhash_lsh_forest,
+    "op8_simhash_decontamination": op8_simhash_decontamination,
     "op9_minimax_sharding": op9_minimax_sharding,
     "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
 }
-ORACLES: dict[str, str] = {"op4_pareto_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op4_pareto_mixing": mixing.SQL, "op8_simhash_decontamination": decontam.SQL}
