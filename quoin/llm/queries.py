@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, sharding
+from . import ann, decontam, langid, mixing, quality, sharding
 from .common import fold, read
 from .near_dedup import near_duplicates
 
@@ -25,6 +25,10 @@ def op6_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_rotated_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "start_word", "n_words", "similarity")
@@ -44,6 +48,7 @@ QUERIES = {
     "op1_crf_line_quality": op1_crf_line_quality,
     "op4_pareto_mixing": op4_pareto_mixing,
     "op6_minhash_lsh_forest": op6_minhash_lsh_forest,
+    "op7_rotated_one_bit_search": op7_rotated_one_bit_search,
     "op8_simhash_decontamination": op8_simhash_decontamination,
     "op9_minimax_sharding": op9_minimax_sharding,
     "op10_hyperdimensional_langid": op10_hyperdimensional_langid,
