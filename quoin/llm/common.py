@@ -56,17 +56,28 @@ def uniform(id_column: Column, seed: str) -> Column:
 FILTER_BITS = 1 << 26
 
 
+def _flagged(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """rows with __hit: false only if column is not in wanted's, by a Bloom filter of fixed size."""
+    place = F.pmod(F.xxhash64(F.col(column), F.lit(17)), F.lit(FILTER_BITS)) + 1
+    bits = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__block"))
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.withColumn("__block", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "__block", "left")
+    joined = joined.withColumn("__byte", F.coalesce(byte, F.lit(0))).withColumn("__bit", (at % 8).cast("int"))
+    return joined.select(*(F.col(f"`{c}`") for c in rows.columns), F.expr("shiftright(__byte, __bit) & 1 = 1").alias("__hit"))
+
+
 def perhaps_among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """rows, without most of those whose column is not in wanted's: a Bloom filter of fixed size.
+    """rows, without most of those whose column is not in wanted's.
 
     Loses no row that is in wanted. It saves shuffling rows only to drop them; if
     wanted has more values than the filter has bits, it lets everything through.
     """
-    place = F.pmod(F.xxhash64(F.col(column), F.lit(17)), F.lit(FILTER_BITS)) + 1
-    bits = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("block"))
-    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.expr("shiftright(byte, bit) & 1").cast("boolean")
-    joined = rows.withColumn("block", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "block")
-    return joined.withColumn("byte", byte).withColumn("bit", (at % 8).cast("int")).where(hit).select(*rows.columns)
+    return _flagged(rows, column, wanted).where("__hit").drop("__hit")
+
+
+def without(rows: DataFrame, column: str, unwanted: DataFrame) -> DataFrame:
+    """rows whose column is not in unwanted's; only those the filter cannot clear are shuffled. Nulls stay."""
+    flagged = _flagged(rows, column, unwanted)
+    return flagged.where("not __hit").drop("__hit").unionByName(flagged.where("__hit").drop("__hit").join(unwanted.select(column), column, "left_anti").select(*rows.columns))

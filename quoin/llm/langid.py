@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIM, ORDER, SEED, UNIT = 1024, 3, 7, 1 << 20
 #: Most languages a model may learn; the prototypes that go to the driver have DIM numbers each.
@@ -132,14 +133,14 @@ def train(docs: DataFrame, learn_from: Column, dim: int = DIM, seed: int = SEED)
     return langs, made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
 
 
-def predictor(langs: list[str], prototypes: np.ndarray, dim: int, seed: int):
+def predictor(langs: list[str], prototypes: np.ndarray, dim: int, seed: int, column: str, names_out: tuple[str, str]):
     profile = prototypes.T.astype(np.float32)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters(dim, seed)
         for batch in batches:
             names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            for first, texts in pieces(batch, "text"):
+            for first, texts in pieces(batch, column):
                 row, code, parts = letters.grams(texts)
                 if not len(row) or not langs:
                     continue
@@ -150,23 +151,22 @@ def predictor(langs: list[str], prototypes: np.ndarray, dim: int, seed: int):
                 for i in np.unique(row).tolist():
                     names[first + i] = langs[best[i]]
                     scores[first + i] = min(max(float(cosine[i, best[i]]), 0.0), 1.0)
-            kept = [batch.column(c) for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores)], [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"])
+            passed = [i for i, c in enumerate(batch.schema.names) if c != "__text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in passed), pa.array(names, pa.string()), pa.array(scores)], [*(batch.schema.names[i] for i in passed), *names_out])
 
     return predict
 
 
-def identify(docs: DataFrame, learn_from: Column, keep: list[str], dim: int = DIM, seed: int = SEED) -> DataFrame:
+def identify(docs: DataFrame, learn_from: Column, keep: list[str], dim: int = DIM, seed: int = SEED, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """keep, lang_pred string and score double (the cosine, not below 0) of every document.
 
-    docs has text and lang; keep names columns to pass on. A null text, or one
-    without letters, gets und and 0, as does everything if nothing can be learnt.
-    Texts count whole; ties go to the language that sorts first. Repeated rows get
-    equal results. Nulls in other columns are passed on.
+    docs has text and lang; keep names columns to pass on, names the new ones, which
+    keep must not hold. A null text, or one without letters, gets und and 0, as does
+    everything if nothing can be learnt. Texts count whole; ties go to the language
+    that sorts first. Repeated rows get equal results. Nulls are passed on.
     """
     langs, prototypes = train(docs, learn_from, dim, seed)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text")) if "text" not in keep else None
-    if rows is None:
-        raise ValueError("text cannot be passed on")
-    return rows.mapInArrow(predictor(langs, prototypes, dim, seed), f"{fields}{', ' if fields else ''}lang_pred string, score double")
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    column = "text" if "text" in keep else "__text"
+    fields = T.StructType([f for f in rows.schema.fields if f.name != "__text"]).add(names[0], "string").add(names[1], "double")
+    return rows.mapInArrow(predictor(langs, prototypes, dim, seed, column, names), fields)
