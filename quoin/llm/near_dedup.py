@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from .common import table
+from .common import perhaps_among, table
 from .graph import components
 
 WIDTH, PERCENT = 5, 85
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     def confirmed(wanted: DataFrame, name: str) -> DataFrame:
         ends = wanted.select(F.col("a").alias("doc_id")).union(wanted.select(F.col("b").alias("doc_id"))).distinct()
-        texts = slim.join(ends, "doc_id", "left_semi")
+        texts = perhaps_among(slim.where("doc_id is not null"), "doc_id", ends)
         sided = wanted.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         sided = sided.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         return table(sided.select("a", "b", "text_a", "text_b").mapInArrow(verifier(width, percent), "a long, b long"), name)
