@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html_extract, langid, mixing, quality, sharding
+from . import ann, decontam, html_extract, katz, langid, mixing, quality, sharding
 from .common import fold, read
 from .near_dedup import near_duplicates
 
@@ -16,6 +16,12 @@ def op1_crf_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(ids, 4) == 2).alias("held_out"), "score", "predicted", "n_lines")
 
 
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.col("doc_id")
+    scored = katz.score_all(read(spark, sf_dir, "documents").select("doc_id", "text"), fold(ids, 7) != 2)
+    return scored.withColumn("held_out", fold(ids, 7) == 2)
+
+
 def op3_nearest_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
@@ -50,6 +56,7 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_crf_line_quality": op1_crf_line_quality,
+    "op2_katz_backoff": op2_katz_backoff,
     "op3_nearest_url_differencing": op3_nearest_url_differencing,
     "op4_pareto_mixing": op4_pareto_mixing,
     "op6_minhash_lsh_forest": op6_minhash_lsh_forest,
