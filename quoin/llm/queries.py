@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html_extract, katz, langid, mixing, quality, sharding
+from . import ann, decontam, html_extract, katz, langid, line_dedup, mixing, quality, sharding
 from .common import fold, read
 from .near_dedup import near_duplicates
 
@@ -31,6 +31,11 @@ def op4_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_set_similarity_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), F.length("text").alias("n_chars"))
+
+
 def op6_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op2_katz_backoff": op2_katz_backoff,
     "op3_nearest_url_differencing": op3_nearest_url_differencing,
     "op4_pareto_mixing": op4_pareto_mixing,
+    "op5_set_similarity_line_dedup": op5_set_similarity_line_dedup,
     "op6_minhash_lsh_forest": op6_minhash_lsh_forest,
     "op7_rotated_one_bit_search": op7_rotated_one_bit_search,
     "op8_simhash_decontamination": op8_simhash_decontamination,
