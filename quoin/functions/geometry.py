@@ -123,8 +123,8 @@ def percent_of(child: str, parent: str) -> list[Column]:
 
 
 #: Evidence weights and priority of separator sources. Fixed values.
-SOURCE_WEIGHTS = {"lsd": 0.72, "whitespace": 0.42, "group_boundary": 0.22, "component_boundary": 0.55}
-SOURCE_PRIORITY = ("lsd", "color_change", "component_boundary", "whitespace", "group_boundary")
+SOURCE_WEIGHTS = {"lsd": 0.72, "whitespace": 0.42, "layout_group": 0.22, "component_boundary": 0.55}
+SOURCE_PRIORITY = ("lsd", "color_change", "component_boundary", "whitespace", "layout_group")
 
 
 def line_source(sources: Column) -> Column:

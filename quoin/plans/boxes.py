@@ -13,6 +13,7 @@ from . import sql as V
 from .catalogue import query
 
 W, H = S.PAGE_WIDTH, S.PAGE_HEIGHT
+NODES_SQL = f"{V.ELEMENTS}, {V.NODES}"
 OVER = "a.l < b.r and b.l < a.r and a.t < b.b and b.t < a.b"
 COMMON = "greatest(0, least(a.r, b.r) - greatest(a.l, b.l)) * greatest(0, least(a.b, b.b) - greatest(a.t, b.t))"
 
@@ -116,7 +117,7 @@ def prj09(spark, d):
     return rows.select("page_id", F.inline(G.children(F.col("direction"), F.col("position"))))
 
 
-@query("prj13_line_source", f"with {V.LINES}, s as (select page_id, list_distinct([source, case when position % 2 = 0 then 'group_boundary' else 'component_boundary' end]) as s from lines) select page_id, case when list_contains(s, 'lsd') then 'lsd' when list_contains(s, 'component_boundary') then 'component_boundary' else 'whitespace' end as source from s")
+@query("prj13_line_source", f"with {V.LINES}, s as (select page_id, list_distinct([source, case when position % 2 = 0 then 'layout_group' else 'component_boundary' end]) as s from lines) select page_id, case when list_contains(s, 'lsd') then 'lsd' when list_contains(s, 'component_boundary') then 'component_boundary' else 'whitespace' end as source from s")
 def prj13(spark, d):
     return _sources(spark, d).select("page_id", G.line_source(F.col("s")).alias("source"))
 
@@ -127,7 +128,7 @@ def prj14(spark, d):
 
 
 def _sources(spark, d):
-    other = F.when(F.col("position") % 2 == 0, "group_boundary").otherwise("component_boundary")
+    other = F.when(F.col("position") % 2 == 0, "layout_group").otherwise("component_boundary")
     return S.lines(spark, d).select("page_id", F.array("source", other).alias("s"))
 
 

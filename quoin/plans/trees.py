@@ -1 +1,161 @@
-"""Queries over layout trees: grouping, normalisation, search, merging, rendering."""
+"""Queries over layout trees: grouping, normalisation, search, ownership, merging, rendering."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quoin.operators import layout as L
+from quoin.operators import raster, scoring
+from quoin.operators import spatial as P
+from quoin.sources import relations as S
+
+from .boxes import NODES_SQL
+from .catalogue import query
+
+W, H = S.PAGE_WIDTH, S.PAGE_HEIGHT
+
+
+def page(spark, d):
+    return P.roles(S.elements(spark, d), W, H), S.lines(spark, d)
+
+
+@query("itr03_groups")
+def itr03(spark, d):
+    """Groups of aligned neighbours that no separator crosses."""
+    return L.group_rows(*page(spark, d), W, H)
+
+
+@query("agg10_group_types")
+def agg10(spark, d):
+    return L.group_rows(*page(spark, d), W, H).groupBy("layout_type", "label").agg(F.count("*").alias("n"))
+
+
+@query("itr05_normalize")
+def itr05(spark, d):
+    return L.normalised_rows(page(spark, d)[0])
+
+
+@query("itr06_projection_tree")
+def itr06(spark, d):
+    return L.projection_rows(page(spark, d)[0], W, H)
+
+
+@query("itr07_cut_evidence")
+def itr07(spark, d):
+    """Cuts with their merged evidence (AGG41), scores and refusals (ITR08)."""
+    return L.cut_rows(*page(spark, d), W, H)
+
+
+@query("itr09_decisions")
+def itr09(spark, d):
+    return L.decision_rows(*page(spark, d), W, H)
+
+
+@query("itr10_beam_trees")
+def itr10(spark, d):
+    """The best sound tree of every page (ITR10, ITR11, ITR12, JON06, ITR13, ITR14, ITR15)."""
+    return L.tree_rows(*page(spark, d), W, H)
+
+
+@query("agg12_tree_terms")
+def agg12(spark, d):
+    return L.term_rows(*page(spark, d), W, H)
+
+
+@query("itr12_owned")
+def itr12(spark, d):
+    trees = L.tree_rows(*page(spark, d), W, H).where("owned != ''")
+    return trees.select("page_id", "node_id", F.explode(F.split("owned", ",").cast("array<int>")).alias("element_id"))
+
+
+@query("itr14_tree_ranks")
+def itr14(spark, d):
+    return L.tree_rows(*page(spark, d), W, H).where("node_id = 0").select("page_id", "rank", "score", (F.col("faults") == "").alias("passed"))
+
+
+@query("itr11_layout_nodes", f"with {NODES_SQL} select page_id, node_id, parent_id, layout_type from nodes where parent_id is not null")
+def itr11(spark, d):
+    return S.nodes(S.elements(spark, d)).where("parent_id is not null").select("page_id", "node_id", "parent_id", "layout_type")
+
+
+@query("itr19_tree_depth", f"""with recursive {NODES_SQL}, walk as (select page_id, node_id, 0 as depth from nodes where parent_id is null union all select n.page_id, n.node_id, w.depth + 1 from nodes n join walk w on n.page_id = w.page_id and n.parent_id = w.node_id)
+    select page_id, cast(max(depth) as int) as depth, count(*) as nodes from walk group by page_id""")
+def itr19(spark, d):
+    """Depth and size of node tables by a recursive query."""
+    S.nodes(S.elements(spark, d)).createOrReplaceTempView("quoin_nodes")
+    return spark.sql(
+        "with recursive walk(page_id, node_id, depth) as (select page_id, node_id, 0 from quoin_nodes where parent_id is null union all "
+        "select n.page_id, n.node_id, w.depth + 1 from quoin_nodes n join walk w on n.page_id = w.page_id and n.parent_id = w.node_id) "
+        "select page_id, cast(max(depth) as int) as depth, count(*) as nodes from walk group by page_id"
+    )
+
+
+@query("gen01_flex_html")
+def gen01(spark, d):
+    return L.html_rows(*page(spark, d), W, H).select("page_id", F.md5("html").alias("digest"), F.length("html").alias("n"))
+
+
+@query("gen02_skeleton")
+def gen02(spark, d):
+    return L.html_rows(*page(spark, d), W, H, "skeleton").select("page_id", F.length("html").alias("n"))
+
+
+@query("gen03_grid_html")
+def gen03(spark, d):
+    """Absolute placement with each leaf's code put in by its id (GEN04)."""
+    return L.html_rows(*page(spark, d), W, H, "grid").select("page_id", F.length("html").alias("n"))
+
+
+@query("snk09_tree_json")
+def snk09(spark, d):
+    return L.json_rows(*page(spark, d), W, H).select("page_id", F.length("tree").alias("n"))
+
+
+@query("agg07_pixel_features")
+def agg07(spark, d):
+    """Colour variance, strongest transitions and edge density of small images."""
+    return raster.features(raster.images(S.elements(spark, d)))
+
+
+@query("itr16_raster_tree")
+def itr16(spark, d):
+    """Recursive cuts of small images at uniform rows and columns (WIN09, WIN10, SET09)."""
+    return raster.trees(raster.images(S.elements(spark, d)))
+
+
+@query("gen10_page_mask")
+def gen10(spark, d):
+    return raster.mask_rectangles(S.lines(spark, d))
+
+
+@query("gen11_text_blocks")
+def gen11(spark, d):
+    """Boxes of pixels that two renderings colour alike."""
+    return raster.matching_blocks(S.elements(spark, d))
+
+
+@query("jon16_assignment")
+def jon16(spark, d):
+    """One-to-one matches of the text blocks of two pages that follow each other."""
+    return scoring.matches(scoring.block_pairs(S.elements(spark, d)))
+
+
+@query("itr17_block_merge")
+def itr17(spark, d):
+    return scoring.matches(scoring.block_pairs(S.elements(spark, d)), merge=True)
+
+
+@query("agg33_visual_score")
+def agg33(spark, d):
+    return scoring.visual_scores(scoring.block_pairs(S.elements(spark, d)))
+
+
+@query("agg36_equal_blocks")
+def agg36(spark, d):
+    return scoring.merged_equal(scoring.blocks(S.elements(spark, d)))
+
+
+@query("win12_greedy_positions")
+def win12(spark, d):
+    """Line positions kept so that none lies within 5 px of an earlier one."""
+    return raster.spaced_positions(S.lines(spark, d))
