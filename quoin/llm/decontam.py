@@ -30,14 +30,20 @@ _BITS = 64 // BLOCKS
 
 def words(text: Column) -> Column:
     """Words of a text, A-Z lower-cased; none for null."""
-    clean = F.regexp_replace(F.coalesce(lower_ascii(text.cast("string")), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    return F.filter(F.split(clean, " "), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(lower_ascii(text.cast("string")), F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
-def gram_hashes(w: Column, width: int) -> Column:
-    """Hashes of the runs of width words; of all words if there are fewer."""
-    many = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*(w[i + k] for k in range(width))))
-    return F.when(F.size(w) >= width, many).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+def marks_of(items: DataFrame, width: int) -> DataFrame:
+    """The items' distinct shingles by anchor, their longest word (the first such): anchor, offset, gram, places.
+
+    A text holds a shingle only where it holds the anchor, and longest words are
+    rare ones, so that few words of a text have to be looked at more closely.
+    """
+    many = F.transform(F.sequence(F.lit(1), F.size("iw") - width + 1), lambda i: F.slice("iw", i, width))
+    runs = F.when(F.size("iw") >= width, many).otherwise(F.array("iw"))
+    rows = items.select("length", F.posexplode(runs).alias("at", "gram")).groupBy("gram").agg(F.collect_set(F.struct("at", "length")).alias("places"))
+    top = F.array_max(F.transform("gram", lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x"))))
+    return rows.withColumn("top", top).select(F.col("top.x").alias("anchor"), (-F.col("top.i")).alias("offset"), "gram", "places")
 
 
 def grams(w: Column, width: int) -> Column:
@@ -78,26 +84,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, perc
         raise ValueError(f"the blocks guarantee a radius of {RADIUS} only")
     items = benchmark.select(F.col("item_id"), words(F.col("text")).alias("iw")).where(F.size("iw") > 0).distinct()
     items = items.select("item_id", "iw", F.size("iw").alias("length"), grams(F.col("iw"), width).alias("ig"), simhash(F.col("iw")).alias("ifp"))
-    marks = items.select("length", F.posexplode(gram_hashes(F.col("iw"), width)).alias("at", "gram")).groupBy("gram").agg(F.collect_set(F.struct("at", "length")).alias("places"))
+    marks = marks_of(items, width)
     small = marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    spots = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    spots = spots.select("doc_id", "w", F.posexplode(gram_hashes(F.col("w"), width)).alias("pos", "gram"))
-    hits = spots.join(F.broadcast(marks) if small else marks, "gram")
-    hits = hits.select("doc_id", "w", "pos", F.explode("places").alias("place"))
+    spots = docs.select("doc_id", words(F.col("text")).alias("w"))
+    spots = spots.select("doc_id", "w", F.posexplode("w").alias("pos", "anchor"))
+    hits = spots.join(F.broadcast(marks) if small else marks, "anchor")
+    begin = F.col("pos") - F.col("offset")
+    here = (begin >= 0) & (F.slice("w", F.greatest(begin, F.lit(0)) + 1, F.size("gram")) == F.col("gram"))
+    hits = hits.where(here & ((F.size("gram") >= width) | (F.size("w") == F.size("gram"))))
+    hits = hits.select("doc_id", "w", begin.alias("begin"), F.explode("places").alias("place"))
     length = F.least(F.col("place.length"), F.size("w"))
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("place.at"), F.size("w") - length))
+    start = F.greatest(F.lit(0), F.least(F.col("begin") - F.col("place.at"), F.size("w") - length))
     windows = hits.select("doc_id", F.col("place.length").alias("length"), start.alias("start_word"), F.slice("w", start + 1, length).alias("ww")).distinct()
     windows = windows.withColumn("fp", simhash(F.col("ww")))
     changes = [0, *(sum(1 << b for b in bits) for n in range(1, FLIPS + 1) for bits in combinations(range(_BITS), n))]
     flips = F.array(*map(F.lit, changes))
-    index = items.select("item_id", "length", "ig", "ifp", F.posexplode(F.array(*block_values(F.col("ifp")))).alias("block", "value"))
-    index = index.select("item_id", "length", "ig", "ifp", "block", F.explode(F.transform(flips, lambda f: F.col("value").bitwiseXOR(f))).alias("value"))
+    index = items.select("item_id", "length", "ifp", F.posexplode(F.array(*block_values(F.col("ifp")))).alias("block", "value"))
+    index = index.select("item_id", "length", "ifp", "block", F.explode(F.transform(flips, lambda f: F.col("value").bitwiseXOR(f))).alias("value"))
     looked = windows.select("doc_id", "start_word", "length", "ww", "fp", F.posexplode(F.array(*block_values(F.col("fp")))).alias("block", "value"))
     found = looked.join(index, ["length", "block", "value"])
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))).cast("int")
     # a pair found in several blocks counts in the first of them
     first = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda k: F.bit_count(F.call_function("shiftrightunsigned", F.col("fp").bitwiseXOR(F.col("ifp")), (k * _BITS).cast("int")).bitwiseAND(F.lit((1 << _BITS) - 1))) <= FLIPS), True) - 1
     found = found.withColumn("hamming", hamming).where((F.col("hamming") <= radius) & (F.col("block") == first))
+    texts = items.select(F.col("item_id").alias("text_id"), F.col("length").alias("text_length"), F.col("ifp").alias("text_fp"), "ig")
+    found = found.join(texts, F.col("item_id").eqNullSafe(F.col("text_id")) & (F.col("length") == F.col("text_length")) & (F.col("ifp") == F.col("text_fp")))
     found = found.select("doc_id", "item_id", "start_word", F.size("ww").alias("n_words"), "hamming", similarity(grams(F.col("ww"), width), F.col("ig")).alias("similarity"))
     found = found.where(F.col("similarity") * 100 >= percent)
     best = F.max_by(F.struct("start_word", "n_words", "hamming", "similarity"), F.struct("similarity", (-F.col("start_word")).alias("s"))).alias("best")
