@@ -37,8 +37,8 @@ class Need(Exception):
 class Line:
     """The ordered groups: totals by range, single groups where they are known."""
 
-    def __init__(self, ranges: np.ndarray, totals: np.ndarray, largest: np.ndarray):
-        self.ranges, self.largest = ranges, largest
+    def __init__(self, ranges: np.ndarray, totals: np.ndarray, largest: np.ndarray, shift: int = KEY_BITS - RANGE_BITS):
+        self.ranges, self.largest, self.shift = ranges, largest, shift
         self.ends = np.cumsum(totals)
         self.total = int(self.ends[-1]) if len(self.ends) else 0
         self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -62,7 +62,7 @@ class Line:
         j = int(np.searchsorted(ends, x, "right"))
         if j:
             return int(ends[j - 1]), int(keys[j - 1])
-        return self.start(i), (int(self.ranges[i]) << (KEY_BITS - RANGE_BITS)) - 1
+        return self.start(i), (int(self.ranges[i]) << self.shift) - 1
 
     def greedy(self, capacity: int, shards: int) -> list[tuple[int, int]] | None:
         """The cuts if every shard takes what fits; None if groups are left over."""

@@ -88,9 +88,10 @@ def shingles(tokens: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.nda
     """
     counts = np.diff(bounds)
     n = len(tokens)
-    rolled = np.zeros(max(n - width + 1, 0), np.uint64)
+    size = max(n - width + 1, 0)
+    rolled = np.zeros(size, np.uint64)
     for k in range(width):
-        rolled += mix(tokens[k : n - width + 1 + k] + np.uint64(k + 1)) * np.uint64(2 * k + 0x632BE59BD9B4E019)
+        rolled += mix(tokens[k : k + size] + np.uint64(k + 1)) * np.uint64(2 * k + 0x632BE59BD9B4E019)
     rolled = mix(rolled)
     made = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
     out = np.zeros(len(made) + 1, np.int64)
