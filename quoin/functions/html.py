@@ -78,8 +78,8 @@ def inline_placeholder(html: Column, data_url: str) -> Column:
 
 
 def strip_fences(text: Column) -> Column:
-    """A leading ```html or ``` line and a closing ``` line."""
-    return F.trim(sub(sub(F.trim(text), r"^```(?:html)?\s*"), r"\s*```$"))
+    """Without a leading ```html or bare ``` line and a closing ```; other languages' fences stay."""
+    return F.trim(sub(sub(F.trim(text), r"^```(?:html)?[ \t]*\n\s*"), r"\s*```$"))
 
 
 def fenced_html(text: Column) -> Column:

@@ -47,7 +47,7 @@ cleaned("str08_remove_links", H.remove_link_elements, "regexp_replace(html, '<li
 cleaned("str10_remove_imports", H.remove_imports, "array_to_string(list_filter(string_split(html, chr(10)), lambda x: not contains(x, '@import')), chr(10))")
 cleaned("str16_placeholder_images", H.placeholder_images, r"""regexp_replace(regexp_replace(html, '(<img[^>]*src=")[^"]*("[^>]*>)', '\1rick.jpg\2', 'g'), '"[^"]*\.jpg"', '"rick.jpg"', 'g')""")
 cleaned("str17_inline_placeholder", lambda h: H.inline_placeholder(F.replace(h, F.lit("</p>"), F.lit("rick.jpg</p>")), "data:,x"), "replace(replace(html, '</p>', 'rick.jpg</p>'), 'rick.jpg', 'data:,x')")
-cleaned("str18_strip_fences", lambda h: H.strip_fences(F.concat(F.lit("```html\n"), h, F.lit("\n```"))), r"trim(regexp_replace(regexp_replace('```html' || chr(10) || html || chr(10) || '```', '^```(?:html)?\s*', ''), '\s*```$', ''))")
+cleaned("str18_strip_fences", lambda h: H.strip_fences(F.concat(F.lit("```html\n"), h, F.lit("\n```"))), r"trim(regexp_replace(regexp_replace('```html' || chr(10) || html || chr(10) || '```', '^```(?:html)?[ \t]*\n\s*', ''), '\s*```$', ''))")
 cleaned("str19_remove_overflow", lambda h: H.remove_overflow(F.concat(h, F.lit("<p style='overflow: auto;'>"))), "replace(html || '<p style=''overflow: auto;''>', 'overflow: auto;', '')")
 cleaned("str21_wrap_document", lambda h: H.wrap_document(F.replace(h, F.lit("<html lang=\"en\">"), F.lit(""))), """case when regexp_matches(replace(html, '<html lang="en">', ''), '(?i)<html[^>]*>') then replace(html, '<html lang="en">', '') else '<html><body><p>' || replace(html, '<html lang="en">', '') || '</p></body></html>' end""")
 cleaned("hlp23_document_wrapper", H.escape, "replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')")
