@@ -30,11 +30,10 @@ from pyspark.sql import functions as F
 from . import text as X
 from .common import table
 
-K, DICTIONARY, HOT, BUCKET = 5, 60_000, 1000, 3_000_000
+K, DICTIONARY, HOT, BUCKET = 5, 400_000, 1000, 3_000_000
 CHUNK = 6_000_000
-END, START = np.uint64(2), np.uint64(1)  # codes below any word's
+END, START, FIRST = np.uint64(2), np.uint64(1), np.uint64(16)  # below any word's code; frequent words count from FIRST
 _WORD = np.uint64(1 << 63)
-_HALF = np.uint64(1 << 62)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -106,9 +105,8 @@ _PART = ["bucket", "docs", "learn", "h", "w", "c", "each", "doc", "n"]
 
 
 def parts(h, w, c, doc, n, bucket, docs, learn) -> Iterator[dict]:
-    """Rows of PART from entries with their buckets; c: the words' counts."""
-    order = np.argsort(X.mix(h * np.uint64(3) + w), kind="stable")
-    order = order[np.argsort(bucket[order], kind="stable")]
+    """Rows of PART from entries with their buckets; c: the counts of words that are not frequent, else 0."""
+    order = np.lexsort((w, h, bucket))
     h, w, c, doc, n, bucket = (x[order] for x in (h, w, c, doc, n, bucket))
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (bucket[1:] != bucket[:-1])
@@ -122,7 +120,7 @@ def parts(h, w, c, doc, n, bucket, docs, learn) -> Iterator[dict]:
         here = np.unique(doc[a:b])
         local = np.searchsorted(here, doc[a:b])
         yield {
-            "bucket": int(bucket[a]), "docs": pack(docs[here]), "learn": pack(learn[here].astype(np.uint8)), "h": pack(h[head[p:q]]), "w": pack(w[head[p:q]]),
+            "bucket": int(bucket[a]), "docs": pack(docs[here]), "learn": pack(learn[here].astype(np.uint8)), "h": pack(np.diff(h[head[p:q]], prepend=np.uint64(0))), "w": pack(w[head[p:q]]),
             "c": pack(c[head[p:q]].astype(np.uint32)), "each": pack(each[p:q].astype(np.uint32)), "doc": pack(local.astype(np.uint32)), "n": pack(n[a:b].astype(np.uint32)),
         }
 
@@ -134,7 +132,8 @@ def opened(rows: pa.Table) -> tuple[np.ndarray, ...]:
     for r in rows.to_pylist():
         own = unpack(r["docs"], np.int64)
         each = unpack(r["each"], np.uint32)
-        h, w, c = (np.repeat(unpack(r[k], t), each) for k, t in (("h", np.uint64), ("w", np.uint64), ("c", np.uint32)))
+        h = np.repeat(np.cumsum(unpack(r["h"], np.uint64), dtype=np.uint64), each)
+        w, c = (np.repeat(unpack(r[k], t), each) for k, t in (("w", np.uint64), ("c", np.uint32)))
         out.append((h, w, c, unpack(r["doc"], np.uint32) + np.uint32(shift), unpack(r["n"], np.uint32)))
         docs.append(own)
         learn.append(unpack(r["learn"], np.uint8).astype(bool))
@@ -153,17 +152,34 @@ def records(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds.get(k, pa.binary())) for k in _PART], _PART)
 
 
-def emitter(frequent: tuple[np.ndarray, np.ndarray], hot: np.ndarray, buckets: int, rare: bool):
-    """Entries whose word is frequent, in their pairs' buckets; or those whose word is rare, in their words'."""
-    known, counts = frequent
+def recode(words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with small numbers for the known ones, which pack well; and which are known."""
+    place = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+    found = known[place] == words if len(known) else np.zeros(len(words), bool)
+    return np.where(found, place.astype(np.uint64) + FIRST, words), found
+
+
+def full_counts(w: np.ndarray, c: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of words in training: those of frequent words from the list, which rows leave out."""
+    out = c.astype(np.int64)
+    own = (w >= FIRST) & (w < _WORD)
+    out[own] = counts[(w[own] - FIRST).astype(np.int64)]
+    return out
+
+
+def emitter(frequent, hot: np.ndarray, buckets: int, rare: bool):
+    """Entries whose word is frequent, in their pairs' buckets; or those whose word is rare, in their words'.
+
+    frequent.value: the frequent words in order, and their counts.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, _ = frequent.value
         for docs, learn, words, bounds in batches_of(batches):
+            words, is_known = recode(words, known)
             before = np.empty_like(words)
             before[1:] = words[:-1]
             before[bounds[:-1]] = START
-            place = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
-            is_known = known[place] == words if len(known) else np.zeros(len(words), bool)
             keep = np.flatnonzero(~is_known if rare else is_known)
             if not len(keep):
                 continue
@@ -171,17 +187,16 @@ def emitter(frequent: tuple[np.ndarray, np.ndarray], hot: np.ndarray, buckets: i
             h, w = before[keep], words[keep]
             key = X.mix(h * np.uint64(3) + w)
             order = np.argsort(X.mix(key + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            h, w, doc, place = h[order], w[order], doc[order], place[keep][order]
+            h, w, doc = h[order], w[order], doc[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])
             head = np.flatnonzero(new)
             n = np.diff(np.append(head, len(h)))
-            h, w, doc, place = h[head], w[head], doc[head], place[head]
+            h, w, doc = h[head], w[head], doc[head]
             by_doc = np.argsort(doc, kind="stable")
-            h, w, doc, place, n = (x[by_doc] for x in (h, w, doc, place, n))
+            h, w, doc, n = (x[by_doc] for x in (h, w, doc, n))
             bucket = (X.mix(w) % np.uint64(buckets)).astype(np.int64) if rare else home(h, w, hot, buckets)
-            c = np.zeros(len(h), np.uint32) if rare else np.minimum(counts[place], 0xFFFFFFFF).astype(np.uint32)
-            yield records(list(parts(h, w, c, doc, n, bucket, docs, learn)))
+            yield records(list(parts(h, w, np.zeros(len(h), np.uint32), doc, n, bucket, docs, learn)))
 
     return emit
 
@@ -201,7 +216,7 @@ def counted(hot: np.ndarray, buckets: int):
 TABLE = "bucket int, docs binary, learn binary, h binary, w binary, c1 binary, c2 binary, each binary, doc binary, n binary, seen array<long>, hot binary"
 
 
-def merged(hot: np.ndarray, unigram: dict):
+def merged(frequent, hot: np.ndarray, unigram: dict):
     """One row for a bucket: its pairs in order of context, with counts; how many pairs occur 1, 2, ... times; hot contexts' statistics."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -214,13 +229,13 @@ def merged(hot: np.ndarray, unigram: dict):
         each = np.diff(np.append(head, len(h)))
         c2 = np.add.reduceat(n * learn[doc], head).astype(np.int64)
         seen = np.bincount(np.minimum(c2, K + 2), minlength=K + 3)[1 : K + 2]
-        ph, pc1 = h[head], c[head].astype(np.int64)
-        statistics = context_sums(ph, c2, pc1, unigram)
+        ph = h[head]
+        statistics = context_sums(ph, c2, full_counts(w[head], c[head], frequent.value[1]), unigram)
         is_hot = np.isin(statistics[0], hot)
         stats = b"".join([np.ascontiguousarray(statistics[0][is_hot]).tobytes(), np.ascontiguousarray(statistics[1][is_hot]).tobytes()])
         out = {
             "bucket": rows.column("bucket")[0].as_py(), "docs": pack(docs), "learn": pack(learn.astype(np.uint8)), "h": pack(np.diff(ph, prepend=np.uint64(0))), "w": pack(w[head]),
-            "c1": pack(pc1.astype(np.uint32)), "c2": pack(c2.astype(np.uint32)), "each": pack(each.astype(np.uint32)), "doc": pack(doc), "n": pack(n), "seen": seen.tolist(), "hot": stats,
+            "c1": pack(c[head].astype(np.uint32)), "c2": pack(c2.astype(np.uint32)), "each": pack(each.astype(np.uint32)), "doc": pack(doc), "n": pack(n), "seen": seen.tolist(), "hot": stats,
         }
         kinds = {"bucket": pa.int32(), "seen": pa.list_(pa.int64())}
         return pa.Table.from_arrays([pa.array([v], kinds.get(k, pa.binary())) for k, v in out.items()], names=list(out))
@@ -291,13 +306,14 @@ SCORE = "part int, docs binary, score binary, base binary, tokens binary, known
 _SCORE = ["part", "docs", "score", "base", "tokens", "known"]
 
 
-def scorer(d: np.ndarray, unigram: dict, hot: tuple[np.ndarray, np.ndarray], groups: int):
+def scorer(frequent, d: np.ndarray, unigram: dict, hot: tuple[np.ndarray, np.ndarray], groups: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                r = {k: batch.column(k)[i].as_py() for k in ("docs", "h", "c1", "c2", "each", "doc", "n")}
+                r = {k: batch.column(k)[i].as_py() for k in ("docs", "h", "w", "c1", "c2", "each", "doc", "n")}
                 h = np.cumsum(unpack(r["h"], np.uint64), dtype=np.uint64)
-                c1, c2 = unpack(r["c1"], np.uint32).astype(np.int64), unpack(r["c2"], np.uint32).astype(np.int64)
+                c1 = full_counts(unpack(r["w"], np.uint64), unpack(r["c1"], np.uint32), frequent.value[1])
+                c2 = unpack(r["c2"], np.uint32).astype(np.int64)
                 contexts, sums = context_sums(h, c2, c1, unigram)
                 at = np.searchsorted(contexts, hot[0])
                 found = np.flatnonzero((at < len(contexts)) & (contexts[np.minimum(at, len(contexts) - 1)] == hot[0]))
@@ -358,13 +374,14 @@ def score_all(docs: DataFrame, learn_from: Column) -> DataFrame:
     top = words.where(F.col("c") * DICTIONARY >= n).toPandas()  # DICTIONARY rows at most
     known = top["w"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
-    frequent = (known[order], top["c"].to_numpy(np.int64)[order])
-    hot = np.append(known[top["c"].to_numpy(np.int64) * HOT >= max(n, 1)], START)
+    counts = top["c"].to_numpy(np.int64)[order]
+    frequent = spark.sparkContext.broadcast((known[order], counts))
+    hot = np.append(np.flatnonzero(counts * HOT >= max(n, 1)).astype(np.uint64) + FIRST, START)
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffle, -(-n // BUCKET))
     plain = rows.mapInArrow(emitter(frequent, hot, buckets, False), PART)
     rare = rows.mapInArrow(emitter(frequent, hot, buckets, True), PART).groupBy("bucket").applyInArrow(counted(hot, buckets), PART)
-    pairs = table(plain.unionByName(rare).groupBy("bucket").applyInArrow(merged(hot, unigram), TABLE), "pairs")
+    pairs = table(plain.unionByName(rare).groupBy("bucket").applyInArrow(merged(frequent, hot, unigram), TABLE), "pairs")
     parts_ = pairs.select("seen", "hot").collect()  # a few numbers for each bucket and hot context
     d = discounts([sum(p["seen"][r] for p in parts_) for r in range(K + 1)] if parts_ else [0] * (K + 1))
     sums: dict[int, np.ndarray] = {}
@@ -376,6 +393,6 @@ def score_all(docs: DataFrame, learn_from: Column) -> DataFrame:
             sums[key] = sums.get(key, 0) + value
     keys = sorted(sums)
     merged_hot = (np.array(keys, np.uint64), np.array([sums[k] for k in keys]).reshape(len(keys), K + 2))
-    scored = pairs.select("docs", "h", "c1", "c2", "each", "doc", "n").mapInArrow(scorer(d, unigram, merged_hot, shuffle), SCORE)
+    scored = pairs.select("docs", "h", "w", "c1", "c2", "each", "doc", "n").mapInArrow(scorer(frequent, d, unigram, merged_hot, shuffle), SCORE)
     out = scored.groupBy("part").applyInArrow(summed, "doc_id long, score double, base_score double, n_tokens long, n_known long")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
