@@ -7,12 +7,13 @@ n - ceil(t n) + 1 of the larger and the first n - ceil(2 t n / (1 + t)) + 1 of t
 smaller, so classes meet on those prefix words only. Before a pair is made its sizes
 must agree (length filter), the places of the shared word must leave enough words
 for the overlap needed (positional filter), and their bitmaps, in which each word
-sets one of 128 bits, must not differ in more bits than the sets can (bitmap
-filter). None of these loses a pair. What is left is verified on the words.
+sets one of 64 bits, must not differ in more bits than the sets can (bitmap
+filter). A second bitmap of 512 bits does the same for the pairs that are left. None
+of these loses a pair. What remains is verified on the words.
 
-Rarity is counted for hash ranges of words, RANKS of them, so the ranks that every
-task needs have a fixed size; any order that is the same everywhere keeps the join
-exact. Everything is DataFrame expressions.
+Rarity is counted for hash ranges of words, RANKS of them, so the list of ranks that
+goes with the job has a fixed size; any order that is the same everywhere keeps the
+join exact. Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, perhaps_among, table
+from .common import let, perhaps_among, table
 
-PERCENT, RANKS = 80, 1 << 18
+PERCENT, RANKS = 80, 1 << 16
 _ORDER = "decimal(38,0)"
 
 
@@ -33,7 +34,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def words(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(lower_ascii(line), r"[\x20\x09-\x0D]+"), ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), ""))
 
 
 def when_first(doc_id: Column, line_no: Column) -> Column:
@@ -41,66 +42,101 @@ def when_first(doc_id: Column, line_no: Column) -> Column:
     return doc_id.cast(_ORDER) * F.lit(10**10).cast("decimal(11,0)") + line_no.cast("decimal(10,0)")
 
 
-def rank_table(lines: DataFrame) -> DataFrame:
-    """One row: for every hash range of words, how many words fall in it."""
-    spark = lines.sparkSession
-    counts = lines.select(F.explode(F.split(lower_ascii(F.col("line")), r"[\x20\x09-\x0D]+")).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(RANKS)).cast("int").alias("i"), F.lit(1).cast("long").alias("n"))
-    counts = counts.groupBy("i").agg(F.sum("n").alias("n"))
-    every = spark.range(RANKS).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("n"))
-    counts = counts.unionByName(every).groupBy("i").agg(F.sum("n").alias("n"))
-    packed = F.transform(F.array_sort(F.collect_list(F.struct("i", "n"))), lambda x: F.least(x["n"], F.lit(2**31 - 1)).cast("int"))
-    return counts.groupBy(F.lit(0).alias("one")).agg(packed.alias("ranks"))
+def ranks_of(lines: DataFrame) -> Column:
+    """An array constant: for each of RANKS hash ranges of words, how many words of the lines fall in it."""
+    place = F.pmod(F.xxhash64("w"), F.lit(RANKS)).cast("int")
+    found = lines.select(F.explode(F.split(F.lower("line"), r"[\x20\x09-\x0D]+")).alias("w")).groupBy(place.alias("i")).agg(F.count("*").alias("n"))
+    counts = [0] * RANKS
+    for i, n in found.collect():  # RANKS rows at most
+        counts[i] = min(n, 2**31 - 1)
+    return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<int>")
 
 
 def classes(lines: DataFrame, percent: int) -> DataFrame:
-    """h1, h2, n (distinct words), first, prefix (hashes of the rarest words, in order), m1, m2 (bitmap) of every class."""
-    ranks = table(rank_table(lines), "ranks")
-    rows = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(5), "line").alias("h2"), F.transform(words(F.col("line")), lambda w: F.xxhash64(w)).alias("w"), F.lit(0).alias("one"))
-    # one row of RANKS numbers is broadcast
-    rows = rows.join(F.broadcast(ranks), "one")
-    n = F.size("w")
-    keep = n - F.ceil(n * percent / 100).cast("int") + 1
-    order = F.array_sort(F.transform("w", lambda x: F.struct(F.get(F.col("ranks"), F.pmod(x, F.lit(RANKS)).cast("int")).alias("r"), x.alias("x"))))
-    prefix = F.transform(F.slice(order, 1, keep), lambda s: s["x"])
-    spread = lambda side: F.aggregate("w", F.lit(0).cast("bigint"), lambda a, x: F.when(F.shiftrightunsigned(x, 63) == side, a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(x, 57).bitwiseAND(F.lit(63)).cast("int")))).otherwise(a))
-    rows = rows.select("h1", "h2", n.alias("n"), prefix.alias("prefix"), spread(0).alias("m1"), spread(1).alias("m2"), when_first(F.col("doc_id"), F.col("line_no")).alias("at"))
-    return rows.groupBy("h1", "h2", "n", "prefix", "m1", "m2").agg(F.min("at").alias("first"))
+    """h1, h2, n (distinct words), first, prefix (the rarest words, in order, as numbers) and bits (bitmap) of every class.
+
+    A word's number has its range's count above 32 bits of its hash, so that plain
+    numbers sort by rarity; two words of one number only make more candidates.
+    """
+    ranks = ranks_of(lines)
+    number = lambda x: F.shiftleft(F.get(ranks, F.pmod(x, F.lit(RANKS)).cast("int")).cast("bigint"), 32).bitwiseOR(x.bitwiseAND(F.lit(0xFFFFFFFF)))
+    bit = lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int")))
+
+    def parts(k: Column) -> Column:
+        n = F.size(k)
+        keep = n - F.ceil(n * percent / 100).cast("int") + 1
+        return F.struct(n.alias("n"), F.slice(k, 1, keep).alias("prefix"), F.aggregate(k, F.lit(0).cast("bigint"), bit).alias("bits"))
+
+    numbers = F.transform(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)), number)
+    rows = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(5), "line").alias("h2"), when_first(F.col("doc_id"), F.col("line_no")).alias("at"), F.inline(F.array(let(F.sort_array(numbers), parts))))
+    return rows.groupBy("h1", "h2", "n", "prefix", "bits").agg(F.min("at").alias("first"))
+
+
+def wide_bits(hashes: Column) -> Column:
+    """A bitmap of 512 bits, as 8 numbers: lines of many words fill 64 bits."""
+    own = lambda j: F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(7)) == j)
+    bit = lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int")))
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.aggregate(own(j), F.lit(0).cast("bigint"), bit))
 
 
 def matches(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(lines, pairs): every line with its class h1, h2, first; and pairs earlier, later of matching classes' first places."""
     lines = line_rows(docs)
     found = table(classes(lines, percent).withColumn("id", F.monotonically_increasing_id()), "classes")
-    post = found.select("id", "n", "first", "m1", "m2", F.posexplode("prefix").alias("at", "word"))
-    # the shorter set needs fewer of its words; ties in size count as shorter on both sides
-    short = F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)).cast("int") + 1
-    post = post.withColumn("index", F.col("at") < short)
-    a = post.select(*(F.col(c).alias(f"a_{c}") for c in post.columns)).where("a_index")
-    b = post.select(*(F.col(c).alias(f"b_{c}") for c in post.columns))
+    post = found.select("id", "n", "bits", F.posexplode("prefix").alias("at", "word"))
+    a, b = (post.select(*(F.col(c).alias(f"{side}_{c}") for c in post.columns)) for side in "ab")
+    # the shorter set needs fewer of its words
+    short = F.col("a_n") - F.ceil(F.col("a_n") * 2 * percent / (100 + percent)).cast("int") + 1
     need = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent)).cast("int")
-    room = 1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) - 1
-    differ = F.bit_count(F.col("a_m1").bitwiseXOR(F.col("b_m1"))) + F.bit_count(F.col("a_m2").bitwiseXOR(F.col("b_m2")))
-    smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") != F.col("b_id")))
-    good = smaller & (F.col("a_n") * 100 >= F.col("b_n") * percent) & (room >= need) & (differ <= F.col("a_n") + F.col("b_n") - 2 * need)
-    pairs = a.join(b, F.col("a_word") == F.col("b_word")).where(good)
-    pairs = table(pairs.select(F.least("a_first", "b_first").alias("earlier"), F.greatest("a_first", "b_first").alias("later")).distinct(), "candidates")
+    room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    differ = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
+    smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
+    good = smaller & (F.col("a_at") < short) & (F.col("a_n") * 100 >= F.col("b_n") * percent) & (room >= need) & (differ <= F.col("a_n") + F.col("b_n") - 2 * need)
+    pairs = table(a.join(b, F.col("a_word") == F.col("b_word")).where(good).select("a_id", "b_id").distinct(), "candidates")
+    for side in "ab":
+        pairs = pairs.join(found.select(F.col("id").alias(f"{side}_id"), F.col("first").alias(f"{side}_first")), f"{side}_id")
+    pairs = table(pairs.select(F.least("a_first", "b_first").alias("earlier"), F.greatest("a_first", "b_first").alias("later")), "placed")
     ends = pairs.select(F.col("earlier").alias("first")).union(pairs.select(F.col("later").alias("first"))).distinct()
     ends = table(ends.withColumn("doc_id", F.floor(F.col("first") / F.lit(10**10).cast("decimal(11,0)")).cast("long")), "ends")
     own = line_rows(perhaps_among(docs.where("doc_id is not null"), "doc_id", ends.select("doc_id"))).withColumn("first", when_first(F.col("doc_id"), F.col("line_no"))).select("first", "line")
-    own = table(own.join(ends.select("first"), "first", "left_semi").select("first", words(F.col("line")).alias("w")), "words")
-    both = pairs.join(own.select(F.col("first").alias("earlier"), F.col("w").alias("w1")), "earlier").join(own.select(F.col("first").alias("later"), F.col("w").alias("w2")), "later")
+    own = own.join(ends.select("first"), "first", "left_semi").select("first", words(F.col("line")).alias("w"))
+    own = table(own.select("first", "w", F.size("w").alias("n"), let(F.transform("w", lambda x: F.xxhash64(x)), wide_bits).alias("wide")), "words")
+
+    def sided(rows: DataFrame, column: str) -> DataFrame:
+        for side, name in (("earlier", "1"), ("later", "2")):
+            rows = rows.join(own.select(F.col("first").alias(side), *(F.col(c).alias(f"{c}{name}") for c in ("n", column))), side)
+        return rows
+
+    total = F.col("n1") + F.col("n2")
+    need = F.ceil(total * percent / (100 + percent)).cast("int")
+    differ = F.aggregate(F.zip_with("wide1", "wide2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    near = table(sided(pairs, "wide").where(differ <= total - 2 * need).select("earlier", "later"), "near")
     common = F.size(F.array_intersect("w1", "w2"))
-    both = both.where(common * 100 >= (F.size("w1") + F.size("w2") - common) * percent).select("earlier", "later")
-    slim = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(5), "line").alias("h2"))
+    both = sided(near, "w").where(common * 100 >= (total - common) * percent).select("earlier", "later")
+    slim = lines.select("doc_id", "line_no", F.length("line").alias("chars"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(5), "line").alias("h2"))
     return slim.join(found.select("h1", "h2", "first"), ["h1", "h2"]), table(both, "matches")
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, line_no of every line that matches an earlier one."""
+    """doc_id, line_no, chars (its length) of every line that matches an earlier one."""
     lines, pairs = matches(docs, percent)
     late = pairs.select(F.col("later").alias("first"), F.lit(True).alias("near")).distinct()
     lines = lines.join(late, "first", "left")
-    return lines.where((when_first(F.col("doc_id"), F.col("line_no")) != F.col("first")) | F.col("near")).select("doc_id", "line_no").distinct()
+    return lines.where((when_first(F.col("doc_id"), F.col("line_no")) != F.col("first")) | F.col("near")).select("doc_id", "line_no", "chars").distinct()
+
+
+def report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_lines, n_removed, removed (line numbers from 0, in order) and n_chars (code points kept); see dedup_lines.
+
+    Texts are measured where they lie; only their figures are joined.
+    """
+    gone = removed_lines(docs, percent).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("removed"), F.sum(F.col("chars") + 1).alias("lost"))
+    text = F.col("text").cast("string")
+    lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("n_lines"), F.length(text).alias("chars")).join(gone, "doc_id", "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    kept = F.when(F.col("chars").isNotNull(), F.greatest(F.lit(0), F.col("chars") - F.coalesce("lost", F.lit(0))))
+    return rows.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"), kept.cast("long").alias("n_chars"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -109,7 +145,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs: doc_id, text; other columns are ignored. A line is removed if an earlier line,
     by doc_id and line number, has a Jaccard similarity of percent or more with it;
     equal lines match. Words are runs of characters other than space and
-    0x09-0x0D, A-Z lower-cased; lines without words stay. A null text stays null with
+    0x09-0x0D, lower-cased; lines without words stay. A null text stays null with
     0 lines, an empty one has one line. Rows whose doc_id is null pass untouched;
     rows that repeat a doc_id lose the same lines.
     """
@@ -118,4 +154,4 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     split = F.split("text", "\n", -1)
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     kept = F.filter(split, lambda x, i: ~F.array_contains(removed, i))
-    return rows.select("doc_id", F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed"), F.array_join(kept, "\n").alias("text"))
+    return rows.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed"), F.array_join(kept, "\n").alias("text"))

@@ -32,8 +32,8 @@ def op4_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_set_similarity_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), F.length("text").alias("n_chars"))
+    found = line_dedup.report(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), "n_chars")
 
 
 def op6_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,7 @@ def test_removed_lines_equal_brute_force(spark):
     expected |= {(d, k) for d, k, line, _ in rows if classes[line] != (d, k) or line in near}
     assert got == expected
     kept = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert {(r.doc_id, r.n_lines, r.n_removed, r.n_chars) for r in line_dedup.report(docs).collect()} == {(r.doc_id, r.n_lines, r.n_removed, None if r.text is None else len(r.text)) for r in kept.values()}
     assert kept[503].text.split("\n")[0] == "common line" and kept[503].n_removed == 2 and kept[500].text is None and kept[501].text == "" and len(kept) == len(texts)
 
 
