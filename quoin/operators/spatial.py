@@ -25,9 +25,9 @@ def overlap_pairs(boxes: DataFrame) -> DataFrame:
         F.col("a_element_id").alias("a"),
         F.col("b_element_id").alias("b"),
         G.intersection("a_", "b_").alias("common"),
-        R6(G.iou("a_", "b_")).alias("iou"),
-        R6(G.share_of("a_", "b_")).alias("ioa"),
-        R6(G.share_of("b_", "a_")).alias("iob"),
+        G.iou("a_", "b_").alias("iou"),
+        G.share_of("a_", "b_").alias("ioa"),
+        G.share_of("b_", "a_").alias("iob"),
     )
 
 

@@ -27,7 +27,7 @@ def prj01(spark, d):
     "prj04_iou",
     f"""with {V.ELEMENTS}, p as (select a.page_id, a.element_id as a, b.element_id as b, {COMMON} as c, (a.r - a.l) * (a.b - a.t) as x, (b.r - b.l) * (b.b - b.t) as y
     from elements a join elements b on a.page_id = b.page_id and a.element_id < b.element_id where {OVER})
-    select page_id, a, b, round(c / (x + y - c)::double, 6) as iou, round(c / x::double, 6) as ioa, round(c / y::double, 6) as iob from p""",
+    select page_id, a, b, c / (x + y - c)::double as iou, c / x::double as ioa, c / y::double as iob from p""",
 )
 def prj04(spark, d):
     return P.overlap_pairs(S.elements(spark, d)).select("page_id", "a", "b", "iou", "ioa", "iob")
