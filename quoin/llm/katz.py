@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from . import text as X
 from .common import table
 
-K, DICTIONARY, HOT, BUCKET = 5, 400_000, 1000, 3_000_000
-CHUNK = 6_000_000
+K, DICTIONARY, HOT, BUCKET = 5, 1_000_000, 1000, 3_000_000
+CHUNK = 5_000_000
+POINT = float(1 << 32)  # logarithms travel as whole numbers of 1 / POINT
 END, START, FIRST = np.uint64(2), np.uint64(1), np.uint64(16)  # below any word's code; frequent words count from FIRST
 _WORD = np.uint64(1 << 63)
 
@@ -125,20 +126,28 @@ def parts(h, w, c, doc, n, bucket, docs, learn) -> Iterator[dict]:
         }
 
 
+def length(data: bytes) -> int:
+    """How many numbers are packed."""
+    return int.from_bytes(data[:4], "little")
+
+
 def opened(rows: pa.Table) -> tuple[np.ndarray, ...]:
     """Entries (h, w, c, doc, n) of several rows of PART, and the docs and learn flags they number."""
-    out: list[tuple] = []
-    docs, learn, shift = [], [], 0
-    for r in rows.to_pylist():
-        own = unpack(r["docs"], np.int64)
-        each = unpack(r["each"], np.uint32)
-        h = np.repeat(np.cumsum(unpack(r["h"], np.uint64), dtype=np.uint64), each)
-        w, c = (np.repeat(unpack(r[k], t), each) for k, t in (("w", np.uint64), ("c", np.uint32)))
-        out.append((h, w, c, unpack(r["doc"], np.uint32) + np.uint32(shift), unpack(r["n"], np.uint32)))
-        docs.append(own)
-        learn.append(unpack(r["learn"], np.uint8).astype(bool))
-        shift += len(own)
-    return *(np.concatenate(x) for x in zip(*out, strict=True)), np.concatenate(docs), np.concatenate(learn)
+    column = {k: rows.column(k).to_pylist() for k in _PART[1:]}
+    total = sum(map(length, column["n"]))
+    h, w = np.empty(total, np.uint64), np.empty(total, np.uint64)
+    c, doc, n = (np.empty(total, np.uint32) for _ in range(3))
+    docs, learn, at, shift = [], [], 0, 0
+    for i in range(rows.num_rows):
+        each = unpack(column["each"][i], np.uint32)
+        end = at + length(column["n"][i])
+        h[at:end] = np.repeat(np.cumsum(unpack(column["h"][i], np.uint64), dtype=np.uint64), each)
+        w[at:end], c[at:end] = (np.repeat(unpack(column[k][i], t), each) for k, t in (("w", np.uint64), ("c", np.uint32)))
+        doc[at:end], n[at:end] = unpack(column["doc"][i], np.uint32) + np.uint32(shift), unpack(column["n"][i], np.uint32)
+        docs.append(unpack(column["docs"][i], np.int64))
+        learn.append(unpack(column["learn"][i], np.uint8).astype(bool))
+        at, shift = end, shift + len(docs[-1])
+    return h, w, c, doc, n, np.concatenate(docs), np.concatenate(learn)
 
 
 def home(h: np.ndarray, w: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
@@ -222,7 +231,12 @@ def merged(frequent, hot: np.ndarray, unigram: dict):
     def run(rows: pa.Table) -> pa.Table:
         h, w, c, doc, n, docs, learn = opened(rows)
         order = np.lexsort((w, h))
-        h, w, c, doc, n = (x[order] for x in (h, w, c, doc, n))
+        h = h[order]  # one after the other, so that few copies are held at once
+        w = w[order]
+        c = c[order]
+        doc = doc[order]
+        n = n[order]
+        del order
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
         head = np.flatnonzero(new)
@@ -336,21 +350,23 @@ def scorer(frequent, d: np.ndarray, unigram: dict, hot: tuple[np.ndarray, np.nda
                 for g in np.unique(group).tolist():
                     mine = group == g
                     s, b, t, k = (x[mine] for x in columns)
-                    rows.append((g, pack(ids[mine]), pack(s), pack(b), pack(t.astype(np.int64)), pack(k.astype(np.int64))))
+                    rows.append((g, pack(np.diff(ids[mine], prepend=0)), *(pack(x.astype(np.int64)) for x in (np.rint(s * POINT), np.rint(b * POINT), t, k))))
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], pa.int32() if j == 0 else pa.binary()) for j in range(6)], _SCORE)
 
     return score
 
 
 def summed(rows: pa.Table) -> pa.Table:
-    """Per document the sums over its buckets, added in a fixed order."""
-    got = [(unpack(r["docs"], np.int64), unpack(r["score"], np.float64), unpack(r["base"], np.float64), unpack(r["tokens"], np.int64), unpack(r["known"], np.int64)) for r in rows.to_pylist()]
-    docs, *columns = (np.concatenate(x) for x in zip(*got, strict=True))
-    order = np.lexsort((columns[0], docs))
-    docs, columns = docs[order], [c[order] for c in columns]
-    head = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1)) if len(docs) else np.zeros(0, int)
-    out = pd.DataFrame({"doc_id": docs[head], **{k: np.add.reduceat(c, head) for k, c in zip(("score", "base_score", "n_tokens", "n_known"), columns, strict=True)}})
-    return pa.Table.from_pandas(out, preserve_index=False)
+    """Per document the sums over its buckets: of whole numbers, so in any order."""
+    docs = np.concatenate([np.cumsum(unpack(x, np.int64)) for x in rows.column("docs").to_pylist()])
+    order = np.argsort(docs, kind="stable")
+    docs = docs[order]
+    head = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1))
+    out = {"doc_id": docs[head]}
+    for name, column in (("score", "score"), ("base_score", "base"), ("n_tokens", "tokens"), ("n_known", "known")):
+        whole = np.add.reduceat(np.concatenate([unpack(x, np.int64) for x in rows.column(column).to_pylist()])[order], head)
+        out[name] = whole / POINT if column in ("score", "base") else whole
+    return pa.Table.from_pandas(pd.DataFrame(out), preserve_index=False)
 
 
 def score_all(docs: DataFrame, learn_from: Column) -> DataFrame:
