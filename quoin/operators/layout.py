@@ -263,6 +263,14 @@ class Page:
     lines: list[tuple]
     groups: list[Group]
     memo: dict = field(default_factory=dict)
+    held: dict = field(default_factory=dict)
+
+    def within(self, region: Box) -> list[dict]:
+        """The elements that overlap a region, looked up once for each region."""
+        if region not in self.held:
+            l, t, r, b = region
+            self.held[region] = [e for e in self.elements if e["box"][0] < r and l < e["box"][2] and e["box"][1] < b and t < e["box"][3]]
+        return self.held[region]
 
     @property
     def box(self) -> Box:
@@ -276,7 +284,7 @@ def regularity(values: np.ndarray, floor: float = 1.0) -> float:
 def measure(page: Page, region: Box) -> dict:
     """The feature row of a region. Without pixels the colour measures are those of a plain page."""
     l, t, r, b = region
-    own = [e for e in page.elements if common_area(e["box"], region)]
+    own = page.within(region)
     front = [e for e in own if e["role"] == "foreground"]
     texts = [e for e in front if e["text"]]
     size = max(1, (r - l) * (b - t))
@@ -479,7 +487,7 @@ def study(page: Page, region: Box) -> tuple[dict, str, list[Cut], list[Choice]]:
     """Features, type, rated cuts and choices of a region, worked out once for each region."""
     if region in page.memo:
         return page.memo[region]
-    own = [e for e in page.elements if common_area(e["box"], region)]
+    own = page.within(region)
     front, back = [e for e in own if e["role"] == "foreground"], [e for e in own if e["role"] != "foreground"]
     groups = [g for g in page.groups if common_area(g.box, region)]
     size = max(1, (region[2] - region[0]) * (region[3] - region[1]))
@@ -537,7 +545,7 @@ def tree_terms(page: Page, state: State) -> tuple[dict, dict]:
     studied = [(study(page, r), c) for r, _, c in state.steps]
     cuts = [c for _, c in studied if c.cut]
     leaves, boxes = state.leaves(), page.elements
-    inside = [[e for e in boxes if common_area(e["box"], r)] for r in leaves]
+    inside = [page.within(r) for r in leaves]
 
     def cohesion(m: dict, kind: str, choice: Choice) -> float:
         base = 0.35 * m["background"] + 0.2 * m["density"]
