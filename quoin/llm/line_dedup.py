@@ -7,7 +7,7 @@ n - ceil(t n) + 1 of the larger and the first n - ceil(2 t n / (1 + t)) + 1 of t
 smaller, so classes meet on those prefix words only. Before a pair is made its sizes
 must agree (length filter), the places of the shared word must leave enough words
 for the overlap needed (positional filter), and their bitmaps, in which each word
-sets one of 64 bits, must not differ in more bits than the sets can (bitmap
+sets a bit, must not differ in more bits than the sets can (bitmap
 filter). A second bitmap of 512 bits does the same for the pairs that are left. None
 of these loses a pair. What remains is verified on the words.
 
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import let, perhaps_among, table
 
-PERCENT, RANKS = 80, 1 << 16
+PERCENT, RANKS, LONG = 80, 1 << 18, 40
 _ORDER = "decimal(38,0)"
+#: A bitmap of 64 bits, and one of 192 bits for lines of more than LONG words, which fill the first.
+BITS = ("bits", "bits0", "bits1", "bits2")
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def ranks_of(lines: DataFrame) -> Column:
 
 
 def classes(lines: DataFrame, percent: int) -> DataFrame:
-    """h1, h2, n (distinct words), first, prefix (the rarest words, in order, as numbers) and bits (bitmap) of every class.
+    """h1, h2, n (distinct words), first, prefix (the rarest words, in order, as numbers) and bitmaps of every class.
 
     A word's number has its range's count above 32 bits of its hash, so that plain
     numbers sort by rarity; two words of one number only make more candidates.
@@ -65,11 +67,13 @@ def classes(lines: DataFrame, percent: int) -> DataFrame:
     def parts(k: Column) -> Column:
         n = F.size(k)
         keep = n - F.ceil(n * percent / 100).cast("int") + 1
-        return F.struct(n.alias("n"), F.slice(k, 1, keep).alias("prefix"), F.aggregate(k, F.lit(0).cast("bigint"), bit).alias("bits"))
+        zero = F.lit(0).cast("bigint")
+        third = lambda j: F.when(n > LONG, F.aggregate(k, zero, lambda a, x: F.when(F.pmod(F.shiftright(x, 6).bitwiseAND(F.lit(0x3FFFFFF)), F.lit(3)) == j, bit(a, x)).otherwise(a))).otherwise(zero)
+        return F.struct(n.alias("n"), F.slice(k, 1, keep).alias("prefix"), F.aggregate(k, zero, bit).alias("bits"), *(third(j).alias(f"bits{j}") for j in range(3)))
 
     numbers = F.transform(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)), number)
     rows = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(5), "line").alias("h2"), when_first(F.col("doc_id"), F.col("line_no")).alias("at"), F.inline(F.array(let(F.sort_array(numbers), parts))))
-    return rows.groupBy("h1", "h2", "n", "prefix", "bits").agg(F.min("at").alias("first"))
+    return rows.groupBy("h1", "h2", "n", "prefix", *BITS).agg(F.min("at").alias("first"))
 
 
 def wide_bits(hashes: Column) -> Column:
@@ -83,15 +87,17 @@ def matches(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     """(lines, pairs): every line with its class h1, h2, first; and pairs earlier, later of matching classes' first places."""
     lines = line_rows(docs)
     found = table(classes(lines, percent).withColumn("id", F.monotonically_increasing_id()), "classes")
-    post = found.select("id", "n", "bits", F.posexplode("prefix").alias("at", "word"))
+    post = found.select("id", "n", *BITS, F.posexplode("prefix").alias("at", "word"))
     a, b = (post.select(*(F.col(c).alias(f"{side}_{c}") for c in post.columns)) for side in "ab")
     # the shorter set needs fewer of its words
     short = F.col("a_n") - F.ceil(F.col("a_n") * 2 * percent / (100 + percent)).cast("int") + 1
     need = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent)).cast("int")
     room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    differ = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
+    apart = lambda *names: sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names), F.lit(0))
+    most = F.col("a_n") + F.col("b_n") - 2 * need
+    fits = (apart(BITS[0]) <= most) & ((F.col("a_n") <= LONG) | (F.col("b_n") <= LONG) | (apart(*BITS[1:]) <= most))
     smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
-    good = smaller & (F.col("a_at") < short) & (F.col("a_n") * 100 >= F.col("b_n") * percent) & (room >= need) & (differ <= F.col("a_n") + F.col("b_n") - 2 * need)
+    good = smaller & (F.col("a_at") < short) & (F.col("a_n") * 100 >= F.col("b_n") * percent) & (room >= need) & fits
     pairs = table(a.join(b, F.col("a_word") == F.col("b_word")).where(good).select("a_id", "b_id").distinct(), "candidates")
     for side in "ab":
         pairs = pairs.join(found.select(F.col("id").alias(f"{side}_id"), F.col("first").alias(f"{side}_first")), f"{side}_id")
@@ -99,6 +105,7 @@ def matches(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     ends = pairs.select(F.col("earlier").alias("first")).union(pairs.select(F.col("later").alias("first"))).distinct()
     ends = table(ends.withColumn("doc_id", F.floor(F.col("first") / F.lit(10**10).cast("decimal(11,0)")).cast("long")), "ends")
     own = line_rows(perhaps_among(docs.where("doc_id is not null"), "doc_id", ends.select("doc_id"))).withColumn("first", when_first(F.col("doc_id"), F.col("line_no"))).select("first", "line")
+    own = perhaps_among(own, "first", ends.select("first"))
     own = own.join(ends.select("first"), "first", "left_semi").select("first", words(F.col("line")).alias("w"))
     own = table(own.select("first", "w", F.size("w").alias("n"), let(F.transform("w", lambda x: F.xxhash64(x)), wide_bits).alias("wide")), "words")
 
