@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from . import text as X
 from .common import table
 
-K, DICTIONARY, HOT, BUCKET = 5, 1_000_000, 1000, 3_000_000
-CHUNK = 5_000_000
+K, DICTIONARY, HOT, BUCKET = 5, 1_000_000, 1000, 1_500_000
+CHUNK = 4_000_000
 POINT = float(1 << 32)  # logarithms travel as whole numbers of 1 / POINT
 END, START, FIRST = np.uint64(2), np.uint64(1), np.uint64(16)  # below any word's code; frequent words count from FIRST
 _WORD = np.uint64(1 << 63)
