@@ -53,13 +53,13 @@ WHOLE = """case when region_type in ('hero', 'navigation', 'text_section', 'foot
   when region_type in ('card_grid', 'list') then least(1, rep) else least(1, density + 0.25 * background_continuity) end"""
 
 
-@query("prj20_completeness", f"with {B.FEATURE_VIEWS}, {V.PROFILES} select page_id, region_id, round({WHOLE}, 6) as completeness from measured join kinds using (page_id, region_id)")
+@query("prj20_completeness", f"with {B.FEATURE_VIEWS}, {V.PROFILES} select page_id, region_id, round({WHOLE}, 10) as completeness from measured join kinds using (page_id, region_id)")
 def prj20(spark, d):
     c, rep = F.col, (F.col("repeated_size") + F.col("repeated_gap")) / 2
     one = lambda x: F.least(F.lit(1.0), x)
     whole = F.when(c("region_type").isin("hero", "navigation", "text_section", "footer"), one(0.45 * c("background_continuity") + 0.25 * c("text_ratio") + 0.3 * c("largest")))
     whole = whole.when(c("region_type").isin("card_grid", "list"), one(rep)).otherwise(one(c("density") + 0.25 * c("background_continuity")))
-    return P.classify(B.features(spark, d)).select("page_id", "region_id", F.round(whole, 6).alias("completeness"))
+    return P.classify(B.features(spark, d)).select("page_id", "region_id", F.round(whole, 10).alias("completeness"))
 
 
 @query(
