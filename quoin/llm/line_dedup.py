@@ -25,8 +25,8 @@ from .common import let, perhaps_among, table
 
 PERCENT, RANKS, LONG = 80, 1 << 18, 40
 _ORDER = "decimal(38,0)"
-#: A bitmap of 64 bits, and one of 192 bits for lines of more than LONG words, which fill the first.
-BITS = ("bits", "bits0", "bits1", "bits2")
+#: Bitmaps: 64 bits in the first for lines of at most LONG words, 192 bits in all three for longer ones.
+BITS = ("bits0", "bits1", "bits2")
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -58,7 +58,8 @@ def classes(lines: DataFrame, percent: int) -> DataFrame:
     """h1, h2, n (distinct words), first, prefix (the rarest words, in order, as numbers) and bitmaps of every class.
 
     A word's number has its range's count above 32 bits of its hash, so that plain
-    numbers sort by rarity; two words of one number only make more candidates.
+    numbers sort by rarity; the prefix keeps those 32 bits. Two words that agree in
+    them only make more candidates.
     """
     ranks = ranks_of(lines)
     number = lambda x: F.shiftleft(F.get(ranks, F.pmod(x, F.lit(RANKS)).cast("int")).cast("bigint"), 32).bitwiseOR(x.bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -68,8 +69,10 @@ def classes(lines: DataFrame, percent: int) -> DataFrame:
         n = F.size(k)
         keep = n - F.ceil(n * percent / 100).cast("int") + 1
         zero = F.lit(0).cast("bigint")
-        third = lambda j: F.when(n > LONG, F.aggregate(k, zero, lambda a, x: F.when(F.pmod(F.shiftright(x, 6).bitwiseAND(F.lit(0x3FFFFFF)), F.lit(3)) == j, bit(a, x)).otherwise(a))).otherwise(zero)
-        return F.struct(n.alias("n"), F.slice(k, 1, keep).alias("prefix"), F.aggregate(k, zero, bit).alias("bits"), *(third(j).alias(f"bits{j}") for j in range(3)))
+        own = lambda j: F.aggregate(k, zero, lambda a, x: F.when(F.pmod(F.shiftright(x, 6).bitwiseAND(F.lit(0x3FFFFFF)), F.lit(3)) == j, bit(a, x)).otherwise(a))
+        short = F.aggregate(k, zero, bit)
+        maps = [F.when(n > LONG, own(j)).otherwise(short if j == 0 else zero).alias(BITS[j]) for j in range(3)]
+        return F.struct(n.alias("n"), F.transform(F.slice(k, 1, keep), lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")).alias("prefix"), *maps)
 
     numbers = F.transform(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)), number)
     rows = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(5), "line").alias("h2"), when_first(F.col("doc_id"), F.col("line_no")).alias("at"), F.inline(F.array(let(F.sort_array(numbers), parts))))
@@ -87,18 +90,20 @@ def matches(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     """(lines, pairs): every line with its class h1, h2, first; and pairs earlier, later of matching classes' first places."""
     lines = line_rows(docs)
     found = table(classes(lines, percent).withColumn("id", F.monotonically_increasing_id()), "classes")
+    # the word's 32 bits and its place share a number, for rows are many
     post = found.select("id", "n", *BITS, F.posexplode("prefix").alias("at", "word"))
+    post = post.select("id", F.shiftleft(F.col("word").cast("bigint"), 32).bitwiseOR(F.col("at").cast("bigint")).alias("spot"), "n", *BITS)
     a, b = (post.select(*(F.col(c).alias(f"{side}_{c}") for c in post.columns)) for side in "ab")
+    at = {side: F.col(f"{side}_spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int") for side in "ab"}
     # the shorter set needs fewer of its words
     short = F.col("a_n") - F.ceil(F.col("a_n") * 2 * percent / (100 + percent)).cast("int") + 1
     need = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent)).cast("int")
-    room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    apart = lambda *names: sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names), F.lit(0))
-    most = F.col("a_n") + F.col("b_n") - 2 * need
-    fits = (apart(BITS[0]) <= most) & ((F.col("a_n") <= LONG) | (F.col("b_n") <= LONG) | (apart(*BITS[1:]) <= most))
+    room = F.least(F.col("a_n") - at["a"], F.col("b_n") - at["b"])
+    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in BITS), F.lit(0))
+    fits = ((F.col("a_n") <= LONG) != (F.col("b_n") <= LONG)) | (apart <= F.col("a_n") + F.col("b_n") - 2 * need)
     smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
-    good = smaller & (F.col("a_at") < short) & (F.col("a_n") * 100 >= F.col("b_n") * percent) & (room >= need) & fits
-    pairs = table(a.join(b, F.col("a_word") == F.col("b_word")).where(good).select("a_id", "b_id").distinct(), "candidates")
+    good = smaller & (at["a"] < short) & (F.col("a_n") * 100 >= F.col("b_n") * percent) & (room >= need) & fits
+    pairs = table(a.join(b, F.shiftright("a_spot", 32) == F.shiftright("b_spot", 32)).where(good).select("a_id", "b_id").distinct(), "candidates")
     for side in "ab":
         pairs = pairs.join(found.select(F.col("id").alias(f"{side}_id"), F.col("first").alias(f"{side}_first")), f"{side}_id")
     pairs = table(pairs.select(F.least("a_first", "b_first").alias("earlier"), F.greatest("a_first", "b_first").alias("later")), "placed")
