@@ -87,7 +87,7 @@ def wide_bits(hashes: Column) -> Column:
 
 
 def matches(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(lines, pairs): every line with its class h1, h2, first; and pairs earlier, later of matching classes' first places."""
+    """(lines, late): every line with its class h1, h2, first; and first of the classes that match an earlier one."""
     lines = line_rows(docs)
     found = table(classes(lines, percent).withColumn("id", F.monotonically_increasing_id()), "classes")
     # the word's 32 bits and its place share a number, for rows are many
@@ -103,10 +103,10 @@ def matches(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     fits = ((F.col("a_n") <= LONG) != (F.col("b_n") <= LONG)) | (apart <= F.col("a_n") + F.col("b_n") - 2 * need)
     smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
     good = smaller & (at["a"] < short) & (F.col("a_n") * 100 >= F.col("b_n") * percent) & (room >= need) & fits
-    pairs = table(a.join(b, F.shiftright("a_spot", 32) == F.shiftright("b_spot", 32)).where(good).select("a_id", "b_id").distinct(), "candidates")
+    pairs = table(a.join(b, F.shiftright("a_spot", 32) == F.shiftright("b_spot", 32)).where(good).select("a_id", "b_id", apart.alias("apart")).distinct(), "candidates")
     for side in "ab":
         pairs = pairs.join(found.select(F.col("id").alias(f"{side}_id"), F.col("first").alias(f"{side}_first")), f"{side}_id")
-    pairs = table(pairs.select(F.least("a_first", "b_first").alias("earlier"), F.greatest("a_first", "b_first").alias("later")), "placed")
+    pairs = table(pairs.select(F.least("a_first", "b_first").alias("earlier"), F.greatest("a_first", "b_first").alias("later"), "apart"), "placed")
     ends = pairs.select(F.col("earlier").alias("first")).union(pairs.select(F.col("later").alias("first"))).distinct()
     ends = table(ends.withColumn("doc_id", F.floor(F.col("first") / F.lit(10**10).cast("decimal(11,0)")).cast("long")), "ends")
     own = line_rows(perhaps_among(docs.where("doc_id is not null"), "doc_id", ends.select("doc_id"))).withColumn("first", when_first(F.col("doc_id"), F.col("line_no"))).select("first", "line")
@@ -122,18 +122,26 @@ def matches(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     total = F.col("n1") + F.col("n2")
     need = F.ceil(total * percent / (100 + percent)).cast("int")
     differ = F.aggregate(F.zip_with("wide1", "wide2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    near = table(sided(pairs, "wide").where(differ <= total - 2 * need).select("earlier", "later"), "near")
     common = F.size(F.array_intersect("w1", "w2"))
-    both = sided(near, "w").where(common * 100 >= (total - common) * percent).select("earlier", "later")
+
+    def confirmed(some: DataFrame, name: str) -> DataFrame:
+        near = table(sided(some, "wide").where(differ <= total - 2 * need).select("earlier", "later"), f"near-{name}")
+        both = sided(near, "w").where(common * 100 >= (total - common) * percent)
+        return table(both.select(F.col("later").alias("first")).distinct(), name)
+
+    # one earlier match is enough: the likeliest is tried first, the others only where it fails
+    best = pairs.groupBy("later").agg(F.min(F.struct("apart", "earlier")).alias("b")).select("b.earlier", "later")
+    sure = confirmed(best, "sure")
+    rest = pairs.join(sure.withColumnRenamed("first", "later"), "later", "left_anti").select("earlier", "later")
+    late = sure.unionByName(confirmed(rest, "more"))
     slim = lines.select("doc_id", "line_no", F.length("line").alias("chars"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(5), "line").alias("h2"))
-    return slim.join(found.select("h1", "h2", "first"), ["h1", "h2"]), table(both, "matches")
+    return slim.join(found.select("h1", "h2", "first"), ["h1", "h2"]), late
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, line_no, chars (its length) of every line that matches an earlier one."""
-    lines, pairs = matches(docs, percent)
-    late = pairs.select(F.col("later").alias("first"), F.lit(True).alias("near")).distinct()
-    lines = lines.join(late, "first", "left")
+    lines, late = matches(docs, percent)
+    lines = lines.join(late.withColumn("near", F.lit(True)), "first", "left")
     return lines.where((when_first(F.col("doc_id"), F.col("line_no")) != F.col("first")) | F.col("near")).select("doc_id", "line_no", "chars").distinct()
 
 
