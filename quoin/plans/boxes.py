@@ -488,9 +488,9 @@ def agg06(spark, d):
     return P.repeated_gaps(P.in_regions(P.roles(e, W, H), P.quadrants(e, W, H)))
 
 
-@query("prj22_classify", f"with {FEATURE_VIEWS}, {V.PROFILES} select page_id, region_id, region_type, confidence from kinds")
+@query("prj22_classify", f"with {FEATURE_VIEWS}, {V.PROFILES} select page_id, region_id, region_type, cast(floor(confidence * 1000 + 0.001) as int) as confidence_permille from kinds")
 def prj22(spark, d):
-    return P.classify(features(spark, d)).select("page_id", "region_id", "region_type", "confidence")
+    return P.classify(features(spark, d)).select("page_id", "region_id", "region_type", F.floor(F.col("confidence") * 1000 + 0.001).cast("int").alias("confidence_permille"))
 
 
 @query(

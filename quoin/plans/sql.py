@@ -15,7 +15,7 @@ ROLES = (
 LINES = """lines as (select o_orderkey as page_id, case when o_orderstatus = 'O' then 'vertical' else 'horizontal' end as direction,
   cast(case when o_orderstatus = 'O' then (o_custkey * 17) % 1000 + 50 else (o_custkey * 13) % 700 + 50 end as int) as position,
   0 as "start", case when o_orderstatus = 'O' then 900 else 1200 end as "end",
-  case when o_orderkey % 2 = 0 then 'lsd' else 'whitespace' end as source from orders where o_orderkey % 3 = 0)"""
+  case when o_orderkey % 2 = 0 then 'lsd' else 'whitespace' end as source from orders)"""
 SCORES = "scores as (select event_type as method, user_id as sample, round(avg(value), 6) as score from events group by event_type, user_id)"
 RECORDS = """records as (select event_id as record_id, 'b' || cast(user_id % 3 as varchar) as segmenter, case when event_type = 'error' then 'failed' else 'ok' end as status,
   value as elapsed, cast(json_extract(props, '$.k') as int) as leaf_count from events)"""
