@@ -28,10 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the scratch tables written so far. Results that still read them must have been used or saved."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quoin-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

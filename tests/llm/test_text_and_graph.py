@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from quoin.llm import text as X
-from quoin.llm.common import perhaps_among, without
+from quoin.llm.common import perhaps_among, release, table, without
 from quoin.llm.graph import components
 
 from . import helpers as H
@@ -41,3 +41,13 @@ def test_filters_lose_nothing(spark):
     kept = {r.k for r in perhaps_among(rows, "k", wanted).collect()}
     assert set(range(0, 2000, 7)) <= kept and len(kept) < 400
     assert {r.k for r in without(rows, "k", wanted).collect()} == {i for i in range(2000) if i % 7}
+
+
+def test_scratch_tables_can_be_released(spark):
+    import os
+
+    kept = table(spark.range(3).toDF("k"), "scratch")
+    path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert kept.count() == 3 and os.path.isdir(path)
+    release(spark)
+    assert not os.path.isdir(path)
