@@ -90,8 +90,10 @@ def matches(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     """(lines, late): every line with its class h1, h2, first; and first of the classes that match an earlier one."""
     lines = line_rows(docs)
     found = table(classes(lines, percent).withColumn("id", F.monotonically_increasing_id()), "classes")
-    # the word's 32 bits and its place share a number, for rows are many
+    # most rare words stand in one class only and cannot join; then the word's 32 bits and its place share a number
     post = found.select("id", "n", *BITS, F.posexplode("prefix").alias("at", "word"))
+    often = table(post.groupBy("word").agg(F.count("*").alias("c")).where("c > 1").select("word"), "often")
+    post = perhaps_among(post, "word", often)
     post = post.select("id", F.shiftleft(F.col("word").cast("bigint"), 32).bitwiseOR(F.col("at").cast("bigint")).alias("spot"), "n", *BITS)
     a, b = (post.select(*(F.col(c).alias(f"{side}_{c}") for c in post.columns)) for side in "ab")
     at = {side: F.col(f"{side}_spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int") for side in "ab"}
