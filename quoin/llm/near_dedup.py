@@ -15,10 +15,19 @@
 5. Links are confirmed on the full shingle sets of the whole texts. First each
    document's best candidate is confirmed; then every other candidate that still
    joins two different components.
+6. Where more than REACH + 1 rows share LEAST values, the orders do not compare all
+   of them. If such a run holds more than one component, its documents (the crowd)
+   are joined exactly: their shingles are ordered by rarity, and two sets of the
+   similarity asked for share one among the first n - ceil(2 t n / (1 + t)) + 1 of
+   the smaller and the first n - ceil(t n) + 1 of the larger. All documents that
+   share such a shingle and lie in different components are compared, those of a
+   common one in blocks of about BLOCK rows spread over the tasks; links are
+   confirmed on the full sets.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +43,9 @@ from .graph import components
 
 WIDTH, PERCENT = 5, 85
 TREES, DEPTH, LEAST, REACH = 10, 8, 2, 32
+#: Hash ranges in which the crowd's shingles are counted, and rows of a block.
+RANKS, BLOCK = 1 << 18, 1000
+_PAGE = 1 << 12  # hash ranges counted in one row
 _rng = np.random.default_rng(20240611)
 _MUL = _rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64)
@@ -158,20 +170,11 @@ def across(least: int):
 
 
 def verifier(width: int, percent: int):
-    def sets(texts: pa.Array) -> list[np.ndarray]:
-        out = []
-        for _, _, data, offsets in X.chunks(texts):
-            lower = X.LOWER[data]
-            starts, ends, bounds = X.words(lower, offsets)
-            grams, at = X.shingles(X.word_hashes(lower, starts, ends), bounds, width)
-            out += [np.unique(grams[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
-        return out
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                left, right = sets(batch.column("text_a")), sets(batch.column("text_b"))
+                left, right = (list(gram_sets(batch.column(c), width)) for c in ("text_a", "text_b"))
                 keep = []
                 for i, (x, y) in enumerate(zip(left, right, strict=True)):
                     if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and len(x):
@@ -183,6 +186,145 @@ def verifier(width: int, percent: int):
     return verify
 
 
+def gram_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The distinct shingles of every text."""
+    for _, _, data, offsets in X.chunks(texts):
+        lower = X.LOWER[data]
+        starts, ends, bounds = X.words(lower, offsets)
+        grams, at = X.shingles(X.word_hashes(lower, starts, ends), bounds, width)
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            yield np.unique(grams[i:j])
+
+
+def tally(width: int):
+    """How many of the crowd's shingles fall in each hash range."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(RANKS, np.int64)
+        for batch in batches:
+            for grams in gram_sets(batch.column("text"), width):
+                np.add.at(seen, (grams % np.uint64(RANKS)).astype(np.int64), 1)
+        pages = [(k, zlib.compress(page.tobytes(), 1)) for k, page in enumerate(seen.reshape(-1, _PAGE)) if page.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pages], pa.int32()), pa.array([x for _, x in pages], pa.binary())], ["page", "counts"])
+
+    return count
+
+
+def added(rows: pa.Table) -> pa.Table:
+    """The sum of a page's counts."""
+    total = np.zeros(_PAGE, np.int64)
+    for x in rows.column("counts"):
+        total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
+    return pa.table({"page": rows.column("page").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+POST = pa.schema([("gram", pa.int64()), ("rep", pa.int64()), ("part", pa.int64()), ("n", pa.int32()), ("front", pa.bool_()), ("sig", pa.binary())])
+POST_SQL = "gram long, rep long, part long, n int, front boolean, sig binary"
+
+
+def poster(width: int, percent: int, ranks):
+    """The rarest shingles of the crowd's documents; front: those that suffice if the other set is not smaller."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 32):
+                batch = whole.slice(first, 32)
+                columns = [[] for _ in range(5)]
+                sigs = []
+                reps, groups = batch.column("rep").to_numpy(), batch.column("part").to_numpy()
+                for i, grams in enumerate(gram_sets(batch.column("text"), width)):
+                    n = len(grams)
+                    if not n:
+                        continue
+                    keep, front = n + (-n * percent // 100) + 1, n + (-2 * n * percent // (100 + percent)) + 1
+                    least = (grams[:, None] * _MUL + _ADD).min(0) if n <= 1 << 14 else np.array([(grams * m + a).min() for m, a in zip(_MUL, _ADD, strict=True)], np.uint64)
+                    rare = grams[np.lexsort((grams, ranks.value[(grams % np.uint64(RANKS)).astype(np.int64)]))[:keep]]
+                    for column, values in zip(columns, (rare.view(np.int64), np.full(keep, reps[i]), np.full(keep, groups[i]), np.full(keep, n, np.int32), np.arange(keep) < front), strict=True):
+                        column.append(values)
+                    sigs += [(least >> np.uint64(32)).astype(np.uint8).tobytes()] * keep
+                if sigs:
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c), t) for c, t in zip(columns, POST.types, strict=False)), pa.array(sigs, pa.binary())], schema=POST)
+
+    return post
+
+
+def meeter(percent: int, least: int):
+    """Pairs of documents of different components among rows, sorted by gram, x and y, in which these are equal."""
+
+    def pairs_of(rows: pa.Table) -> pa.RecordBatch:
+        gram, x, y, own, rep, part, n, front = (rows.column(c).to_numpy() for c in ("gram", "x", "y", "own", "rep", "part", "n", "front"))
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, TREES * DEPTH)
+        n = n.astype(np.int64)
+        found, step, alive = set(), 1, np.arange(1, len(gram))
+        while len(alive):
+            j = alive - step
+            same = (gram[alive] == gram[j]) & (x[alive] == x[j]) & (y[alive] == y[j])
+            alive, j = alive[same], j[same]
+            small, large = np.minimum(n[alive], n[j]), np.maximum(n[alive], n[j])
+            good = (part[alive] != part[j]) & ((x[alive] == y[alive]) | (own[alive] != own[j])) & (100 * small >= percent * large)
+            good &= (front[alive] | (n[alive] > n[j])) & (front[j] | (n[j] > n[alive]))
+            i, j = alive[good], j[good]
+            good = (sig[i] == sig[j]).sum(1) >= least
+            found.update(zip(np.minimum(rep[i], rep[j])[good].tolist(), np.maximum(rep[i], rep[j])[good].tolist(), strict=True))
+            step += 1
+            alive = alive[alive >= step]
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if not len(rows):
+                continue
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            last = np.ones(len(rows), bool)
+            for c in ("gram", "x", "y"):
+                values = rows.column(c).to_numpy()
+                last &= values == values[-1]
+            cut = int(np.flatnonzero(last)[0])  # the last group may go on
+            yield pairs_of(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None:
+            yield pairs_of(held)
+
+    return meet
+
+
+def crowd_pairs(slim: DataFrame, some: DataFrame, classes: DataFrame, joined: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Pairs (a, b) of different components of joined among documents of runs too long for the orders; none if there are none.
+
+    slim: doc_id, text; some: the sketches; classes: rep; joined: node, component.
+    """
+    spark = slim.sparkSession
+    heads = some.select(F.col("doc_id").alias("rep"), F.transform("keys", lambda k: F.substring(k, 1, 4 * LEAST)).alias("heads"))
+    heads = heads.join(classes.select("rep").distinct(), "rep", "left_semi").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    heads = heads.select("rep", F.coalesce("component", "rep").alias("part"), F.posexplode("heads").alias("tree", "head"))
+    runs = heads.groupBy("tree", "head").agg(F.count("*").alias("rows"), F.min("part").alias("low"), F.max("part").alias("high"))
+    runs = table(runs.where((F.col("rows") > REACH + 1) & (F.col("low") != F.col("high"))).select("tree", "head"), "runs")
+    if runs.isEmpty():
+        return None
+    crowd = table(heads.join(runs, ["tree", "head"], "left_semi").select("rep", "part").distinct(), "crowd")
+    texts = perhaps_among(slim.where("doc_id is not null"), "doc_id", crowd.select(F.col("rep").alias("doc_id")))
+    texts = texts.join(crowd.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "part", "text")
+    texts = table(texts, "crowd-texts")
+    counts = np.zeros((RANKS // _PAGE, _PAGE), np.int64)
+    tallied = texts.select("text").mapInArrow(tally(width), "page int, counts binary").groupBy("page").applyInArrow(added, "page int, counts binary")
+    for page, x in tallied.collect():  # RANKS counts at most
+        counts[page] = np.frombuffer(x, np.int64)
+    ranks = spark.sparkContext.broadcast(counts.ravel())
+    posts = table(texts.mapInArrow(poster(width, percent, ranks), POST_SQL), "posts")
+    often = posts.groupBy("gram").agg(F.count("*").alias("c"), F.min("part").alias("low"), F.max("part").alias("high"), F.max("front").alias("any"))
+    often = table(often.where("low != high and any").select("gram", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "often")
+    shared = perhaps_among(posts, "gram", often).join(often, "gram")
+    shared = shared.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    shared = shared.select("gram", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "part", "n", "front", "sig")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = shared.repartition(parts, "gram", "x", "y").sortWithinPartitions("gram", "x", "y")
+    met = shared.mapInArrow(meeter(percent, agreement(percent)), "a long, b long")
+    return table(met.distinct(), "crowd-pairs")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Each document's component of near-duplicates.
 
@@ -226,7 +368,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     rest = rest.join(part.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left")
     rest = rest.join(part.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
     rest = table(rest.where("coalesce(x, a) != coalesce(y, b)").select("a", "b"), "rest")
-    joined = table(components(links.union(confirmed(rest, "more"))), "joined")
+    links = links.union(confirmed(rest, "more"))
+    joined = table(components(links), "joined")
+    crowd = crowd_pairs(slim, some, classes, joined, width, percent)
+    if crowd is not None:
+        joined = table(components(links.union(confirmed(crowd, "crowd-links"))), "joined")
     found = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"), "n")
     found = table(found, "found")
     out = sketches.select("doc_id", "n_shingles", "h1", "h2").join(found.select("h1", "h2", "c"), ["h1", "h2"], "left")

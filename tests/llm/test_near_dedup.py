@@ -46,3 +46,16 @@ def test_nulls_repeats_empty_table_and_clashing_columns(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert got == sorted([(None, 1, None, False), (1, 0, 1, True), (2, 1, 2, True), (2, 1, 2, True), (3, 1, 2, False)], key=str)
     assert near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_pairs_in_a_crowd_below_the_threshold(spark):
+    draw = random.Random(8)
+    form = H.prose(draw, 220, 100_000).split()
+    texts = {i: " ".join(form + H.prose(draw, 31, 100_000).split()) for i in range(1500)}  # mutual similarity 0.78
+    for k in range(40):  # each at 0.86 of a text half the crowd away
+        own = texts[k * 17].split()
+        own[-18:] = H.prose(draw, 18, 100_000).split()
+        texts[800 + k * 17] = " ".join(own)
+    rows = near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()
+    expected = {i: i for i in texts} | {800 + k * 17: k * 17 for k in range(40)}
+    assert {r.doc_id: r.component_id for r in rows} == expected
