@@ -6,8 +6,9 @@ other window shares no shingle with such an item and so has similarity 0. Each
 window and item gets a 64-bit SimHash of its words. The fingerprints are cut into
 BLOCKS blocks; within RADIUS = BLOCKS * (FLIPS + 1) - 1 bits, some block differs
 by at most FLIPS bits, so looking every block up among the items' blocks with up
-to FLIPS bits changed finds all items within the radius. Those are confirmed by
-the exact similarity of the two multisets of shingles, each shingle weighted by
+to FLIPS bits changed finds all items within the radius. The radius is wide, since
+a ninth of a passage's words may differ and some words weigh more than others; it
+only discards what is unlike an item. The rest is confirmed by the exact similarity of the two multisets of shingles, each shingle weighted by
 how often it occurs: sum of the smaller counts over sum of the larger.
 Everything is DataFrame expressions.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii
 
-WIDTH, PERCENT, BLOCKS, FLIPS = 5, 80, 4, 2
+WIDTH, PERCENT, BLOCKS, FLIPS = 5, 80, 8, 3
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 #: The items' shingles are broadcast up to this many; above, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -70,6 +71,13 @@ def similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def bound(a: Column, b: Column) -> Column:
+    """At least similarity(a, b), in linear time: only repeats can add to the distinct common items."""
+    extra = lambda items: F.size(items) - F.size(F.array_distinct(items))
+    both = F.size(F.array_intersect(a, b)) + F.least(extra(a), extra(b))
+    return both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """One row for each document and item it holds: doc_id, item_id, start_word, n_words, hamming, similarity.
 
@@ -109,7 +117,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, perc
     found = found.withColumn("hamming", hamming).where((F.col("hamming") <= radius) & (F.col("block") == first))
     texts = items.select(F.col("item_id").alias("text_id"), F.col("length").alias("text_length"), F.col("ifp").alias("text_fp"), "ig")
     found = found.join(texts, F.col("item_id").eqNullSafe(F.col("text_id")) & (F.col("length") == F.col("text_length")) & (F.col("ifp") == F.col("text_fp")))
-    found = found.select("doc_id", "item_id", "start_word", F.size("ww").alias("n_words"), "hamming", similarity(grams(F.col("ww"), width), F.col("ig")).alias("similarity"))
+    found = found.withColumn("wg", grams(F.col("ww"), width)).where(bound(F.col("wg"), F.col("ig")) * 100 >= percent)
+    found = found.select("doc_id", "item_id", "start_word", F.size("ww").alias("n_words"), "hamming", similarity(F.col("wg"), F.col("ig")).alias("similarity"))
     found = found.where(F.col("similarity") * 100 >= percent)
     best = F.max_by(F.struct("start_word", "n_words", "hamming", "similarity"), F.struct("similarity", (-F.col("start_word")).alias("s"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.start_word", "best.n_words", "best.hamming", "best.similarity")

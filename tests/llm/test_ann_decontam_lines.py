@@ -62,6 +62,20 @@ def test_contaminated_documents_equal_brute_force(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_passages_with_a_tenth_replaced_are_found(spark):
+    draw = random.Random(21)
+    items = {i: H.prose(draw, 50, 3000) for i in range(40)}
+    texts = {}
+    for i, item in items.items():
+        for k, (at, n) in enumerate(((0, 5), (45, 5), (24, 1))):  # head, tail, middle: similarity 0.804 each
+            own = item.split()
+            own[at : at + n] = [f"x{draw.randrange(9999)}" for _ in range(n)]
+            texts[i * 3 + k] = " ".join([H.prose(draw, 12, 3000), *own, H.prose(draw, 9, 3000)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert got == {(d, d // 3) for d in texts} == {(d, i) for d, t in texts.items() for i in H.held_items(t, {d // 3: items[d // 3]})}
+
+
 def test_multi_index_finds_all_within_the_radius():
     draw = random.Random(2)
     bits = 64 // decontam.BLOCKS
