@@ -14,6 +14,8 @@ from quoin.llm import decontam, langid, mixing, near_dedup, sharding
 from quoin.llm.common import fold, read, table, without
 
 KEY = "__key"
+#: Least Jaccard similarity, in per cent, of near-duplicates.
+NEAR = 80
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the document with the smallest doc_id stays."""
     rows = keyed(docs)
-    found = table(near_dedup.near_duplicates(rows.select(F.col(KEY).alias("doc_id"), "text")), "near")
+    found = table(near_dedup.near_duplicates(rows.select(F.col(KEY).alias("doc_id"), "text"), percent=NEAR), "near")
     counts = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
     special = table(counts.where("n > 1 or not kept").select(F.col("doc_id").alias(KEY), "n", "kept"), "special")
     single = without(rows, KEY, special)

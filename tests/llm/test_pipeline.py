@@ -45,6 +45,22 @@ def test_stages_follow_each_other_and_equal_brute_force(spark, tmp_path):
     assert Counter(r.doc_id for r in run.select("doc_id").collect()) == ids[4]
 
 
+def test_near_duplicates_go_from_four_fifths_on(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    draw, texts = random.Random(14), {}
+    for i in range(20):
+        own = H.prose(draw, 100, 5000).split()
+        texts[i] = " ".join(own)
+        for at in (30, 60) if i % 2 else (20, 50, 80):  # similarity 0.81, or 0.73
+            own[at] = f"x{at}"
+        texts[100 + i] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    near = H.near_components(texts, 80)
+    got = {r.doc_id for r in cp.near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert got == {i for i in texts if near[i] == i} and len(got) == 30
+
+
 def test_null_ids_repeats_and_clashing_columns(spark, tmp_path):
     import corpus_pipeline as cp
 
