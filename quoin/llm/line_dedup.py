@@ -87,7 +87,7 @@ def wide_bits(hashes: Column) -> Column:
 
 
 def matches(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(lines, late): every line with its class h1, h2, first; and first of the classes that match an earlier one."""
+    """(lines, links): every line with its class h1, h2, first; and all pairs (earlier, later) of classes, by first, that match."""
     lines = line_rows(docs)
     found = table(classes(lines, percent).withColumn("id", F.monotonically_increasing_id()), "classes")
     # most rare words stand in one class only and cannot join; then the word's 32 bits and its place share a number
@@ -105,10 +105,10 @@ def matches(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     fits = ((F.col("a_n") <= LONG) != (F.col("b_n") <= LONG)) | (apart <= F.col("a_n") + F.col("b_n") - 2 * need)
     smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
     good = smaller & (at["a"] < short) & (F.col("a_n") * 100 >= F.col("b_n") * percent) & (room >= need) & fits
-    pairs = table(a.join(b, F.shiftright("a_spot", 32) == F.shiftright("b_spot", 32)).where(good).select("a_id", "b_id", apart.alias("apart")).distinct(), "candidates")
+    pairs = table(a.join(b, F.shiftright("a_spot", 32) == F.shiftright("b_spot", 32)).where(good).select("a_id", "b_id").distinct(), "candidates")
     for side in "ab":
         pairs = pairs.join(found.select(F.col("id").alias(f"{side}_id"), F.col("first").alias(f"{side}_first")), f"{side}_id")
-    pairs = table(pairs.select(F.least("a_first", "b_first").alias("earlier"), F.greatest("a_first", "b_first").alias("later"), "apart"), "placed")
+    pairs = table(pairs.select(F.least("a_first", "b_first").alias("earlier"), F.greatest("a_first", "b_first").alias("later")), "placed")
     ends = pairs.select(F.col("earlier").alias("first")).union(pairs.select(F.col("later").alias("first"))).distinct()
     ends = table(ends.withColumn("doc_id", F.floor(F.col("first") / F.lit(10**10).cast("decimal(11,0)")).cast("long")), "ends")
     own = line_rows(perhaps_among(docs.where("doc_id is not null"), "doc_id", ends.select("doc_id"))).withColumn("first", when_first(F.col("doc_id"), F.col("line_no"))).select("first", "line")
@@ -126,39 +126,48 @@ def matches(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     differ = F.aggregate(F.zip_with("wide1", "wide2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     common = F.size(F.array_intersect("w1", "w2"))
 
-    def confirmed(some: DataFrame, name: str) -> DataFrame:
-        near = table(sided(some, "wide").where(differ <= total - 2 * need).select("earlier", "later"), f"near-{name}")
-        both = sided(near, "w").where(common * 100 >= (total - common) * percent)
-        return table(both.select(F.col("later").alias("first")).distinct(), name)
-
-    # one earlier match is enough: the likeliest is tried first, the others only where it fails
-    best = pairs.groupBy("later").agg(F.min(F.struct("apart", "earlier")).alias("b")).select("b.earlier", "later")
-    sure = confirmed(best, "sure")
-    rest = pairs.join(sure.withColumnRenamed("first", "later"), "later", "left_anti").select("earlier", "later")
-    late = sure.unionByName(confirmed(rest, "more"))
+    near = table(sided(pairs.select("earlier", "later"), "wide").where(differ <= total - 2 * need).select("earlier", "later"), "near")
+    links = table(sided(near, "w").where(common * 100 >= (total - common) * percent).select("earlier", "later"), "links")
     slim = lines.select("doc_id", "line_no", F.length("line").alias("chars"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(5), "line").alias("h2"))
-    return slim.join(found.select("h1", "h2", "first"), ["h1", "h2"]), late
+    return slim.join(found.select("h1", "h2", "first"), ["h1", "h2"]), links
+
+
+def judged_lines(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, line_no, chars, class_id (first of the line's class), links (classes that match it) and gone of every line."""
+    lines, links = matches(docs, percent)
+    ends = links.select(F.col("later").alias("first"), F.lit(1).alias("early")).unionAll(links.select(F.col("earlier").alias("first"), F.lit(0).alias("early")))
+    degrees = ends.groupBy("first").agg(F.count("*").alias("links"), F.sum("early").alias("early"))
+    lines = lines.join(degrees, "first", "left").distinct()
+    gone = (when_first(F.col("doc_id"), F.col("line_no")) != F.col("first")) | (F.coalesce("early", F.lit(0)) > 0)
+    return lines.select("doc_id", "line_no", "chars", F.col("first").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), gone.alias("gone"))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, line_no, chars (its length) of every line that matches an earlier one."""
-    lines, late = matches(docs, percent)
-    lines = lines.join(late.withColumn("near", F.lit(True)), "first", "left")
-    return lines.where((when_first(F.col("doc_id"), F.col("line_no")) != F.col("first")) | F.col("near")).select("doc_id", "line_no", "chars").distinct()
+    return judged_lines(docs, percent).where("gone").select("doc_id", "line_no", "chars").distinct()
 
 
 def report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (line numbers from 0, in order) and n_chars (code points kept); see dedup_lines.
+    """doc_id, n_lines, n_removed, removed (line numbers from 0, in order), n_chars (code points kept), classes and n_links; see dedup_lines.
 
-    Texts are measured where they lie; only their figures are joined.
+    classes names the class of each line that holds a word, in line order, as
+    doc_id:line_no of its first occurrence; n_links is the number of other classes
+    that match, summed over these lines. Texts are measured where they lie; only
+    their figures are joined.
     """
-    gone = removed_lines(docs, percent).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("removed"), F.sum(F.col("chars") + 1).alias("lost"))
+    lost = F.sum(F.when(F.col("gone"), F.col("chars") + 1)).alias("lost")
+    removed = F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("line_no")))).alias("removed")
+    home = F.floor(F.col("class_id") / F.lit(10**10).cast("decimal(11,0)")).cast("long")
+    name = F.concat_ws(":", home, (F.col("class_id") - home.cast(_ORDER) * F.lit(10**10).cast("decimal(11,0)")).cast("long"))
+    named = F.array_sort(F.collect_list(F.struct("line_no", name.alias("name")))).alias("named")
+    found = judged_lines(docs, percent).groupBy("doc_id").agg(removed, lost, named, F.sum("links").alias("n_links"))
     text = F.col("text").cast("string")
     lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("n_lines"), F.length(text).alias("chars")).join(gone, "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("n_lines"), F.length(text).alias("chars")).join(found, "doc_id", "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     kept = F.when(F.col("chars").isNotNull(), F.greatest(F.lit(0), F.col("chars") - F.coalesce("lost", F.lit(0))))
-    return rows.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"), kept.cast("long").alias("n_chars"))
+    names = F.coalesce(F.col("named.name"), F.array().cast("array<string>"))
+    return rows.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"), kept.cast("long").alias("n_chars"), names.alias("classes"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

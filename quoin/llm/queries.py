@@ -33,7 +33,7 @@ def op4_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_set_similarity_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.report(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), "n_chars")
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), "n_chars", F.array_join("classes", ",").alias("classes"), "n_links")
 
 
 def op6_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,22 @@ def test_removed_lines_equal_brute_force(spark):
     assert kept[503].text.split("\n")[0] == "common line" and kept[503].n_removed == 2 and kept[500].text is None and kept[501].text == "" and len(kept) == len(texts)
 
 
+def test_every_link_of_a_family_of_lines_is_reported(spark):
+    base = " ".join(f"w{i}" for i in range(30))
+    texts = {i: f"own{i} line of {i}a {i}b\n\n{base} tail{i}" for i in range(6)} | {9: f"{base} tail2"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    classes = {}
+    for d, k, line, w in lines_of(texts):
+        classes.setdefault(line, ((d, k), w))
+    sets = list(classes.values())
+    pairs = {(a, b) for a, v in sets for b, w in sets if a < b and 100 * len(v & w) >= 80 * len(v | w)}
+    _, links = line_dedup.matches(docs)
+    place = lambda x: (int(x) // 10**10, int(x) % 10**10)
+    assert len(pairs) == 15 and {(place(r.earlier), place(r.later)) for r in links.collect()} == pairs
+    got = {r.doc_id: (r.classes, r.n_links, r.removed) for r in line_dedup.report(docs).collect()}
+    assert got == {i: ([f"{i}:0", f"{i}:2"], 5, [2] if i else []) for i in range(6)} | {9: (["2:2"], 5, [0])}
+
+
 def test_line_edge_cases(spark):
     schema = "doc_id long, text string, n string"
     rows = spark.createDataFrame([(None, "a b", "x"), (1, "a b", "x"), (1, "a b", "x")], schema)
