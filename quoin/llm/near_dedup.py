@@ -6,22 +6,24 @@
 3. Every tree is one sorted order of the representatives by DEPTH of their MinHash
    values. All orders are laid out by one range partitioning on (tree, values, id),
    so a run of equal values, however long, is spread evenly. Neighbours in an order
-   have the longest common prefixes; a document is compared with the REACH before
-   it that share at least LEAST values. In a thin region that is everything that
-   shares LEAST values; in a dense one the order itself goes deeper, so the depth
-   adapts to the region. Rows by a partition's edges are compared across it.
-4. Candidates whose MinHash values agree too rarely for the similarity asked for
-   are left out (AGREE is five standard deviations below it).
-5. Links are confirmed on the full shingle sets of the whole texts. First each
-   document's best candidate is confirmed; then every other candidate that still
-   joins two different components.
-6. Where more than REACH + 1 rows share LEAST values, the orders do not compare all
-   of them. If such a run holds more than one component, its documents (the crowd)
-   are joined exactly: their shingles are ordered by rarity, and two sets of the
-   similarity asked for share one among the first n - ceil(2 t n / (1 + t)) + 1 of
-   the smaller and the first n - ceil(t n) + 1 of the larger. All documents that
-   share such a shingle and lie in different components are compared, those of a
-   common one in blocks of about BLOCK rows spread over the tasks; links are
+   have the longest common prefixes: of the REACH rows on each side that share at
+   least LEAST values, each document names the likeliest before and after it. How
+   deep a prefix must be common to lie within REACH rows depends on the region: LEAST
+   values in a thin one, more in a dense one. Rows by a partition's edges meet the
+   REACH rows before that edge, through empty and short partitions. A document names
+   2 * TREES candidates at most, however large its group is.
+4. Candidates whose MinHash values agree too rarely for the similarity asked for are
+   left out (five standard deviations below it). Links are confirmed on the full
+   shingle sets of the whole texts and joined to components.
+5. What that leaves open is joined exactly: the documents (the crowd) of runs that
+   share LEAST values and hold more than one component, all of them where the run is
+   longer than REACH + 1 rows, else those that have candidates. Their shingles are
+   ordered by rarity, and two sets of the similarity asked for share one among the
+   first n - ceil(2 t n / (1 + t)) + 1 of the smaller and the first
+   n - ceil(t n) + 1 of the larger. All documents that share such a shingle and lie
+   in different components are compared, those of a common one in blocks of about
+   BLOCK rows spread over the tasks: by size, by MinHash agreement and by the
+   parities of PARITIES places, which bound how far two sets differ. Links are
    confirmed on the full sets.
 """
 
@@ -45,6 +47,8 @@ WIDTH, PERCENT = 5, 85
 TREES, DEPTH, LEAST, REACH = 10, 8, 2, 32
 #: Hash ranges in which the crowd's shingles are counted, and rows of a block.
 RANKS, BLOCK = 1 << 18, 1000
+#: Places whose parities bound how much two sets of the crowd differ.
+PARITIES = 1024
 _PAGE = 1 << 12  # hash ranges counted in one row
 _rng = np.random.default_rng(20240611)
 _MUL = _rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,29 +103,34 @@ def sketcher(width: int):
     return sketch
 
 
-PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32()), ("edge", pa.int32()), ("tree", pa.int32()), ("key", pa.binary()), ("sig", pa.binary())])
-PAIR_SQL = "a long, b long, agree int, edge int, tree int, key binary, sig binary"
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("place", pa.int64()), ("back", pa.int64()), ("tree", pa.int32()), ("key", pa.binary()), ("sig", pa.binary())])
+PAIR_SQL = "a long, b long, part int, place long, back long, tree int, key binary, sig binary"
 
 
-def compare(tree, head, ids, sig, least: int, first: int) -> pa.RecordBatch:
-    """Pairs of the rows from first on with the REACH before them, where tree and head are equal."""
-    found = []
-    for step in range(1, min(REACH, len(ids) - 1) + 1):
+def neighbours(tree, head, ids, sig, least: int, first: int) -> pa.RecordBatch:
+    """Pairs of every row with its likeliest candidate before and after it, among REACH rows where tree and head are equal.
+
+    Only rows from first on look back, so that rows seen before are not compared with each other again.
+    """
+    n = len(ids)
+    most, other = np.zeros((2, n), np.int32), np.full((2, n), -1)
+    for step in range(1, min(REACH, n - 1) + 1):
         lo = max(first, step)
-        if lo >= len(ids):
+        if lo >= n:
             break
-        here = np.flatnonzero((tree[lo:] == tree[lo - step : len(ids) - step]) & (head[lo:] == head[lo - step : len(ids) - step])) + lo
+        here = np.flatnonzero((tree[lo:] == tree[lo - step : n - step]) & (head[lo:] == head[lo - step : n - step]) & (ids[lo:] != ids[lo - step : n - step])) + lo
         for at in range(0, len(here), 50_000):
-            part = here[at : at + 50_000]
-            agree = (sig[part] == sig[part - step]).sum(1)
+            i = here[at : at + 50_000]
+            agree = (sig[i] == sig[i - step]).sum(1)
             good = agree >= least
-            x, y = ids[part[good]], ids[part[good] - step]
-            found.append((np.minimum(x, y), np.maximum(x, y), agree[good].astype(np.int32)))
-    a, b, agree = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-    none = a != b
-    a, b, agree = a[none], b[none], agree[none]
-    n = len(a)
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(agree), *(pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], schema=PAIR)
+            i, agree = i[good], agree[good]
+            for side, own, near in ((0, i, i - step), (1, i - step, i)):
+                better = agree > most[side, own]
+                most[side, own[better]], other[side, own[better]] = agree[better], near[better]
+    own = np.concatenate([np.flatnonzero(other[side] >= 0) for side in (0, 1)])
+    near = np.concatenate([other[side][other[side] >= 0] for side in (0, 1)])
+    pairs = np.unique(np.stack([np.minimum(ids[own], ids[near]), np.maximum(ids[own], ids[near])], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *(pa.nulls(len(pairs), t) for t in PAIR.types[2:])], schema=PAIR)
 
 
 def _arrays(rows: pa.Table):
@@ -132,31 +141,50 @@ def _arrays(rows: pa.Table):
     return tree, head, rows.column("rep").to_numpy(), sig
 
 
+def edge_rows(rows: pa.Table, part: int, places: np.ndarray, n: int) -> pa.RecordBatch:
+    """The rows by a partition's edges, with their places from its start and from its end."""
+    empty = pa.nulls(len(rows), pa.int64())
+    columns = [rows.column("rep").combine_chunks(), empty, pa.array(np.full(len(rows), part, np.int32)), pa.array(places), pa.array(n - 1 - places)]
+    return pa.RecordBatch.from_arrays([*columns, *(rows.column(c).combine_chunks().cast(t) for c, t in (("tree", pa.int32()), ("key", pa.binary()), ("sig", pa.binary())))], schema=PAIR)
+
+
+def scan_part(batches: Iterator[pa.RecordBatch], part: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Candidates among a partition's sorted rows, then the rows by its edges."""
+    head, tail, n = None, None, 0
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if not len(rows):
+            continue
+        head = rows.slice(0, REACH) if head is None else pa.concat_tables([head, rows]).slice(0, REACH) if len(head) < REACH else head
+        n += len(rows)
+        held = 0 if tail is None else len(tail)
+        rows = rows if tail is None else pa.concat_tables([tail, rows])
+        yield neighbours(*_arrays(rows), least, held)
+        tail = rows.slice(max(0, len(rows) - REACH))
+    if tail is not None:
+        more = min(len(tail), n - len(head))  # the others stand in head too
+        places = np.concatenate([np.arange(len(head)), np.arange(n - more, n)]).astype(np.int64)
+        yield edge_rows(pa.concat_tables([head, tail.slice(len(tail) - more)]), part, places, n)
+
+
 def scanner(least: int):
-    def edge_rows(rows: pa.Table, edge: int) -> pa.RecordBatch:
-        n = len(rows)
-        ids = rows.column("rep").combine_chunks()
-        return pa.RecordBatch.from_arrays([ids, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(np.full(n, edge, np.int32)), *(rows.column(c).combine_chunks().cast(t) for c, t in (("tree", pa.int32()), ("key", pa.binary()), ("sig", pa.binary())))], schema=PAIR)
+    return lambda batches: scan_part(batches, TaskContext.get().partitionId(), least)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tail, seen = TaskContext.get().partitionId(), None, False
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            if not len(rows):
-                continue
-            if not seen:
-                yield edge_rows(rows.slice(0, REACH), part)
-                seen = True
-            first = 0
-            if tail is not None:
-                first = len(tail)
-                rows = pa.concat_tables([tail, rows])
-            yield compare(*_arrays(rows), least, first)
-            tail = rows.slice(max(0, len(rows) - REACH))
-        if tail is not None:
-            yield edge_rows(tail, part + 1)
 
-    return scan
+def borders(counts: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(part, edge, take) from (part, rows): the rows from part's end that stand among the REACH before part edge.
+
+    Empty parts have no rows and short ones are gone through, so REACH rows are found wherever there are as many.
+    """
+    out, counts = [], sorted(counts)
+    for i, (edge, _) in enumerate(counts):
+        need = REACH
+        for part, rows in reversed(counts[:i]):
+            out.append((part, edge, min(need, rows)))
+            need -= rows
+            if need <= 0:
+                break
+    return out
 
 
 def across(least: int):
@@ -164,7 +192,7 @@ def across(least: int):
 
     def join(rows: pa.Table) -> pa.Table:
         rows = rows.rename_columns(["rep", "tree", "key", "sig"]).sort_by([("tree", "ascending"), ("key", "ascending"), ("rep", "ascending")])
-        return pa.Table.from_batches([compare(*_arrays(rows), least, 1)]).select(["a", "b", "agree"])
+        return pa.Table.from_batches([neighbours(*_arrays(rows), least, 1)]).select(["a", "b"])
 
     return join
 
@@ -222,6 +250,14 @@ POST = pa.schema([("gram", pa.int64()), ("rep", pa.int64()), ("part", pa.int64()
 POST_SQL = "gram long, rep long, part long, n int, front boolean, sig binary"
 
 
+def parities(grams: np.ndarray) -> bytes:
+    """For each of PARITIES places of the shingles' hashes, whether an odd number falls there.
+
+    Two sets' bits differ in no more places than the sets have shingles that are not common.
+    """
+    return np.packbits(np.bincount((grams >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1).tobytes()
+
+
 def poster(width: int, percent: int, ranks):
     """The rarest shingles of the crowd's documents; front: those that suffice if the other set is not smaller."""
 
@@ -241,7 +277,7 @@ def poster(width: int, percent: int, ranks):
                     rare = grams[np.lexsort((grams, ranks.value[(grams % np.uint64(RANKS)).astype(np.int64)]))[:keep]]
                     for column, values in zip(columns, (rare.view(np.int64), np.full(keep, reps[i]), np.full(keep, groups[i]), np.full(keep, n, np.int32), np.arange(keep) < front), strict=True):
                         column.append(values)
-                    sigs += [(least >> np.uint64(32)).astype(np.uint8).tobytes()] * keep
+                    sigs += [(least >> np.uint64(32)).astype(np.uint8).tobytes() + parities(grams)] * keep
                 if sigs:
                     yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c), t) for c, t in zip(columns, POST.types, strict=False)), pa.array(sigs, pa.binary())], schema=POST)
 
@@ -253,7 +289,8 @@ def meeter(percent: int, least: int):
 
     def pairs_of(rows: pa.Table) -> pa.RecordBatch:
         gram, x, y, own, rep, part, n, front = (rows.column(c).to_numpy() for c in ("gram", "x", "y", "own", "rep", "part", "n", "front"))
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, TREES * DEPTH)
+        marks = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, TREES * DEPTH + PARITIES // 8)
+        sig, odd = marks[:, : TREES * DEPTH], np.ascontiguousarray(marks[:, TREES * DEPTH :]).view(np.uint64)
         n = n.astype(np.int64)
         found, step, alive = set(), 1, np.arange(1, len(gram))
         while len(alive):
@@ -265,6 +302,9 @@ def meeter(percent: int, least: int):
             good &= (front[alive] | (n[alive] > n[j])) & (front[j] | (n[j] > n[alive]))
             i, j = alive[good], j[good]
             good = (sig[i] == sig[j]).sum(1) >= least
+            i, j = i[good], j[good]
+            total = n[i] + n[j]
+            good = np.bitwise_count(odd[i] ^ odd[j]).sum(1) <= total - 2 * -(-total * percent // (100 + percent))
             found.update(zip(np.minimum(rep[i], rep[j])[good].tolist(), np.maximum(rep[i], rep[j])[good].tolist(), strict=True))
             step += 1
             alive = alive[alive >= step]
@@ -291,20 +331,22 @@ def meeter(percent: int, least: int):
     return meet
 
 
-def crowd_pairs(slim: DataFrame, some: DataFrame, classes: DataFrame, joined: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Pairs (a, b) of different components of joined among documents of runs too long for the orders; none if there are none.
+def crowd_pairs(slim: DataFrame, some: DataFrame, classes: DataFrame, joined: DataFrame, near: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Pairs (a, b) of different components of joined that may link beyond the candidates confirmed; none if there are none.
 
-    slim: doc_id, text; some: the sketches; classes: rep; joined: node, component.
+    slim: doc_id, text; some: the sketches; classes: rep; joined: node, component; near: rep of all that have a candidate.
     """
     spark = slim.sparkSession
     heads = some.select(F.col("doc_id").alias("rep"), F.transform("keys", lambda k: F.substring(k, 1, 4 * LEAST)).alias("heads"))
-    heads = heads.join(classes.select("rep").distinct(), "rep", "left_semi").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    heads = heads.select("rep", F.coalesce("component", "rep").alias("part"), F.posexplode("heads").alias("tree", "head"))
-    runs = heads.groupBy("tree", "head").agg(F.count("*").alias("rows"), F.min("part").alias("low"), F.max("part").alias("high"))
-    runs = table(runs.where((F.col("rows") > REACH + 1) & (F.col("low") != F.col("high"))).select("tree", "head"), "runs")
+    heads = heads.join(classes.select("rep").distinct(), "rep", "left_semi").join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(near.withColumn("near", F.lit(True)), "rep", "left")
+    heads = heads.select("rep", F.coalesce("component", "rep").alias("part"), F.coalesce("near", F.lit(False)).alias("near"), F.posexplode("heads").alias("tree", "head"))
+    own = F.when(F.col("near"), F.col("part"))
+    runs = heads.groupBy("tree", "head").agg(F.count("*").alias("rows"), F.min("part").alias("low"), F.max("part").alias("high"), F.min(own).alias("near_low"), F.max(own).alias("near_high"))
+    runs = runs.withColumn("long", (F.col("rows") > REACH + 1) & (F.col("low") != F.col("high")))
+    runs = table(runs.where("long or near_low != near_high").select("tree", "head", "long"), "runs")
     if runs.isEmpty():
         return None
-    crowd = table(heads.join(runs, ["tree", "head"], "left_semi").select("rep", "part").distinct(), "crowd")
+    crowd = table(heads.join(runs, ["tree", "head"]).where("long or near").select("rep", "part").distinct(), "crowd")
     texts = perhaps_among(slim.where("doc_id is not null"), "doc_id", crowd.select(F.col("rep").alias("doc_id")))
     texts = texts.join(crowd.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "part", "text")
     texts = table(texts, "crowd-texts")
@@ -348,10 +390,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     least = agreement(percent)
     ordered = orders.repartitionByRange(parts, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep").select("rep", "tree", "key", "sig")
     scanned = table(ordered.mapInArrow(scanner(least), PAIR_SQL), "scanned")
-    edges = scanned.where("edge is not null").select(F.col("a").alias("rep"), "tree", "key", "sig", "edge")
-    crossing = edges.groupBy("edge").applyInArrow(lambda rows: across(least)(rows.select(["rep", "tree", "key", "sig"])), "a long, b long, agree int")
-    pairs = scanned.where("edge is null").select("a", "b", "agree").union(crossing)
-    pairs = table(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
+    edges = scanned.where("part is not null").select(F.col("a").alias("rep"), "tree", "key", "sig", "part", "place", "back")
+    counts = [(r["part"], r["n"]) for r in edges.groupBy("part").agg(F.max(F.col("place") + F.col("back") + 1).alias("n")).collect()]  # a number for each partition
+    # REACH rows for each partition at most are broadcast
+    before = docs.sparkSession.createDataFrame(borders(counts), "part int, edge int, take long")
+    sides = ["rep", "tree", "key", "sig", "edge"]
+    tails = edges.join(F.broadcast(before), "part").where("back < take").select(*sides)
+    sides = tails.union(edges.where(F.col("place") < REACH).withColumn("edge", F.col("part")).select(*sides))
+    crossing = sides.groupBy("edge").applyInArrow(lambda rows: across(least)(rows.select(["rep", "tree", "key", "sig"])), "a long, b long")
+    pairs = table(scanned.where("part is null").select("a", "b").union(crossing).distinct(), "pairs")
 
     def confirmed(wanted: DataFrame, name: str) -> DataFrame:
         ends = wanted.select(F.col("a").alias("doc_id")).union(wanted.select(F.col("b").alias("doc_id"))).distinct()
@@ -360,17 +407,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         sided = sided.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         return table(sided.select("a", "b", "text_a", "text_b").mapInArrow(verifier(width, percent), "a long, b long"), name)
 
-    best = pairs.groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("a"))).alias("top")).select((-F.col("top.a")).alias("a"), "b")
-    best = table(best, "best")
-    links = confirmed(best, "links")
-    part = table(components(links), "parts")
-    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
-    rest = rest.join(part.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left")
-    rest = rest.join(part.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
-    rest = table(rest.where("coalesce(x, a) != coalesce(y, b)").select("a", "b"), "rest")
-    links = links.union(confirmed(rest, "more"))
+    links = confirmed(pairs, "links")
     joined = table(components(links), "joined")
-    crowd = crowd_pairs(slim, some, classes, joined, width, percent)
+    near = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    crowd = crowd_pairs(slim, some, classes, joined, near, width, percent)
     if crowd is not None:
         joined = table(components(links.union(confirmed(crowd, "crowd-links"))), "joined")
     found = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"), "n")

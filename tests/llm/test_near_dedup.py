@@ -59,3 +59,38 @@ def test_pairs_in_a_crowd_below_the_threshold(spark):
     rows = near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()
     expected = {i: i for i in texts} | {800 + k * 17: k * 17 for k in range(40)}
     assert {r.doc_id: r.component_id for r in rows} == expected
+
+
+def test_candidates_reach_through_empty_and_short_partitions():
+    import numpy as np
+    import pyarrow as pa
+
+    from quoin.llm import near_dedup as N
+
+    def batch(ids):
+        key, sig = b"k" * 4 * N.DEPTH, bytes(N.TREES * N.DEPTH)
+        return pa.RecordBatch.from_pydict({"rep": pa.array(ids, pa.int64()), "tree": pa.array([0] * len(ids), pa.int32()), "key": [key] * len(ids), "sig": [sig] * len(ids)})
+
+    def groups(parts):
+        edges, pairs = [], set()
+        for k, ids in enumerate(parts):
+            for found in N.scan_part(iter([batch(ids)] if ids else []), k, 1):
+                for r in found.to_pylist():
+                    if r["part"] is None:
+                        pairs.add((r["a"], r["b"]))
+                    else:
+                        edges.append(r)
+        counts = {r["part"]: r["place"] + r["back"] + 1 for r in edges}
+        for edge in counts:
+            take = {p: n for p, e, n in N.borders(list(counts.items())) if e == edge}
+            rows = [r for r in edges if r["back"] < take.get(r["part"], 0) or r["part"] == edge and r["place"] < N.REACH]
+            crossing = pa.table({"rep": pa.array([r["a"] for r in rows]), "tree": pa.array([r["tree"] for r in rows], pa.int32()), "key": [r["key"] for r in rows], "sig": [r["sig"] for r in rows]})
+            pairs |= {(r["a"], r["b"]) for r in N.across(1)(crossing).to_pylist()}
+        return H.components(range(200), pairs)
+
+    ids = list(range(200))
+    for cuts in ([], [70], [1, 1, 6, 6, 6, 50, 51, 52], list(range(0, 200, 3)), [100, 100, 101, 133, 134]):
+        edges = [0, *cuts, 200]
+        assert set(groups([ids[a:b] for a, b in zip(edges, edges[1:])]).values()) == {0}, cuts
+    rows = N.borders([(0, 5), (2, 1), (3, 500), (7, 2)])
+    assert rows == [(0, 2, 5), (2, 3, 1), (0, 3, 5), (3, 7, 32)] and np.all([n > 0 for _, _, n in rows])
