@@ -2,11 +2,15 @@
 
 Rows with equal texts are one atomic group. Groups stand in the order of the MD5 of
 their text. The smallest capacity for which a greedy pass needs no more than the
-shards there are is found by binary search, and the cuts are made there. The
-driver works on the totals of at most 2**16 ranges of that order and on the single
-groups of the few ranges in which a cut can fall. A group above an equal share (at
-most as many as there are shards) gets a shard of its own, and the rest is cut
-into the shards that are left.
+shards there are is found by binary search, and the cuts are made there. A group
+above an equal share (at most as many as there are shards) gets a shard of its own,
+and the rest is cut into the shards that are left.
+
+The driver never holds the groups. It starts from the totals of at most 2**RANGE_BITS
+ranges of the order, in which each of the at most BIG groups that weigh 1/BIG of all
+or more stands alone. Totals and largest groups bound where every cut can fall, from
+below and from above; only the segments between these bounds are split, into
+SPLIT parts each, until all that a cut can fall into are single groups.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 SHARDS, RANGE_BITS, KEY_BITS, SLOT_PARTS = 24, 16, 60, 1024
+BIG, SPLIT = 1 << 14, 256
 
 
 def size_of(text: Column) -> Column:
@@ -30,61 +35,50 @@ def key_of(text: Column) -> Column:
     return F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(-1).cast("long"))
 
 
-class Need(Exception):
-    """Ranges whose single groups have to be known."""
-
-
 class Line:
-    """The ordered groups: totals by range, single groups where they are known."""
+    """The ordered groups in segments: first and last key, total, largest group and number of groups of each."""
 
-    def __init__(self, ranges: np.ndarray, totals: np.ndarray, largest: np.ndarray, shift: int = KEY_BITS - RANGE_BITS):
-        self.ranges, self.largest, self.shift = ranges, largest, shift
-        self.ends = np.cumsum(totals)
+    def __init__(self, first, last, totals, largest, count):
+        order = np.argsort(first)
+        self.first, self.last, self.totals, self.largest, self.count = (np.asarray(x, np.int64)[order] for x in (first, last, totals, largest, count))
+        self.ends = np.cumsum(self.totals)
         self.total = int(self.ends[-1]) if len(self.ends) else 0
-        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def start(self, i: int) -> int:
         return int(self.ends[i - 1]) if i else 0
 
     def at(self, x: int) -> int:
-        """The range in which position x lies."""
+        """The segment in which position x lies."""
         return min(int(np.searchsorted(self.ends, x, "right")), len(self.ends) - 1)
 
-    def cut(self, x: int) -> tuple[int, int]:
-        """The last group border at or before x, and the key of the group before it."""
-        if x >= self.total:
-            return self.total, 1 << 62
-        i = self.at(x)
-        if i not in self.known:
-            raise Need({i})
-        keys, sizes = self.known[i]
-        ends = self.start(i) + np.cumsum(sizes)
-        j = int(np.searchsorted(ends, x, "right"))
-        if j:
-            return int(ends[j - 1]), int(keys[j - 1])
-        return self.start(i), (int(self.ranges[i]) << self.shift) - 1
-
-    def greedy(self, capacity: int, shards: int) -> list[tuple[int, int]] | None:
-        """The cuts if every shard takes what fits; None if groups are left over."""
-        here, cuts = 0, []
-        for _ in range(shards):
-            here, key = self.cut(here + capacity)
-            cuts.append((here, key))
-        return cuts if here >= self.total else None
+    def reach(self, capacity: int, shards: int, most: bool) -> list[tuple[int, int]]:
+        """(segment in which it falls, position) of each cut if every shard takes what fits.
 
-    def short(self, capacity: int, shards: int) -> list[int]:
-        """Positions that the cuts reach at least, whatever the groups within ranges are."""
+        Within a segment of several groups the position is the highest possible one, or
+        else the lowest; in a single group it is the group's start, which is exact.
+        """
         here, out = 0, []
         for _ in range(shards):
             x = here + capacity
             if x >= self.total:
-                here = self.total
+                here, i = self.total, len(self.ends)
             else:
                 i = self.at(x)
-                here = max(here, self.start(i), x - int(self.largest[i]) + 1)
-            out.append(here)
+                if self.count[i] == 1:
+                    here = self.start(i)
+                elif most:
+                    here = x
+                else:
+                    here = max(here, self.start(i), x - int(self.largest[i]) + 1)
+            out.append((i, here))
         return out
 
+    def split(self, wanted: list[int], parts: tuple) -> "Line":
+        """The line with the segments of wanted replaced by their parts."""
+        keep = np.ones(len(self.first), bool)
+        keep[wanted] = False
+        return Line(*(np.concatenate([own[keep], np.asarray(new, np.int64)]) for own, new in zip((self.first, self.last, self.totals, self.largest, self.count), parts, strict=True)))
+
 
 def search(least: int, most: int, good) -> int:
     """The smallest number from least to most that is good; most is."""
@@ -98,24 +92,24 @@ def search(least: int, most: int, good) -> int:
 
 
 def partition(line: Line, shards: int, fetch) -> tuple[int, list[int]]:
-    """The least capacity, and the last key of each shard. fetch(ranges) gives their groups' keys and sizes."""
+    """The least capacity, and the last key of each shard.
+
+    fetch(segments as (first, last)) gives first, last, totals, largest and count of their parts.
+    """
     if not line.total:
         return 0, [1 << 62] * shards
-    low = max(-(-line.total // shards), int(line.largest.max()))
-    high = search(low, line.total, lambda c: line.short(c, shards)[-1] >= line.total)
-    wanted, reach = set(), 0
-    for k, x in enumerate(line.short(low, shards)):
-        reach = min(line.total, (k + 1) * high)
-        wanted.update(range(line.at(x), line.at(reach) + 1))
     while True:
-        missing = sorted(wanted - line.known.keys())
-        if missing:
-            line.known |= fetch([(i, int(line.ranges[i])) for i in missing])
-        try:
-            capacity = search(low, high, lambda c: line.greedy(c, shards) is not None)
-            return capacity, [key for _, key in line.greedy(capacity, shards)]
-        except Need as need:
-            wanted |= need.args[0]
+        least = max(-(-line.total // shards), int(line.largest.max()))
+        low = search(least, line.total, lambda c: line.reach(c, shards, True)[-1][1] >= line.total)
+        high = search(low, line.total, lambda c: line.reach(c, shards, False)[-1][1] >= line.total)
+        wanted: set[int] = set()
+        for (i, _), (j, _) in zip(line.reach(low, shards, False), line.reach(high, shards, True), strict=True):
+            wanted.update(k for k in range(i, min(j + 1, len(line.ends))) if line.count[k] > 1)
+        if not wanted:
+            # low and high agree wherever the cuts fall, so the greedy pass is exact for both
+            cuts = line.reach(low, shards, True)
+            return low, [1 << 62 if i >= len(line.ends) else int(line.first[i]) - 1 for i, _ in cuts]
+        line = line.split(chosen := sorted(wanted), fetch([(int(line.first[k]), int(line.last[k])) for k in chosen]))
 
 
 def plan(groups: DataFrame, shards: int) -> tuple[list[int], list[tuple[int, int]]]:
@@ -123,6 +117,7 @@ def plan(groups: DataFrame, shards: int) -> tuple[list[int], list[tuple[int, int
 
     groups: key, bytes, one row a group.
     """
+    spark = groups.sparkSession
     top = [(r["key"], int(r["bytes"])) for r in groups.orderBy(F.desc("bytes"), "key").limit(shards).collect()]
     total = int(groups.agg(F.sum("bytes")).first()[0] or 0)
     alone: list[int] = []
@@ -133,14 +128,25 @@ def plan(groups: DataFrame, shards: int) -> tuple[list[int], list[tuple[int, int
         alone.append(key)
         total -= size
     rest = groups.where(~F.col("key").isin(alone)) if alone else groups
-    spread = rest.groupBy(F.shiftright("key", KEY_BITS - RANGE_BITS).alias("range")).agg(F.sum("bytes").alias("total"), F.max("bytes").alias("largest"))
-    got = spread.toPandas().sort_values("range")  # 2**RANGE_BITS + 1 rows at most
-    line = Line(*(got[c].to_numpy(np.int64) for c in ("range", "total", "largest")))
-
-    def fetch(wanted: list[tuple[int, int]]) -> dict:
-        at = {r: i for i, r in wanted}
-        found = rest.withColumn("range", F.shiftright("key", KEY_BITS - RANGE_BITS)).where(F.col("range").isin(list(at))).toPandas().sort_values("key")
-        return {at[r]: (g["key"].to_numpy(np.int64), g["bytes"].to_numpy(np.int64)) for r, g in found.groupby("range")}
+    span = F.shiftright("key", KEY_BITS - RANGE_BITS)
+    figures = (F.min("key").alias("first"), F.max("key").alias("last"), F.sum("bytes").alias("total"), F.max("bytes").alias("largest"), F.count("*").alias("n"))
+
+    def numbers(found: DataFrame) -> tuple:
+        got = found.select("first", "last", "total", "largest", "n").toPandas()
+        return tuple(got[c].to_numpy(np.int64) for c in got.columns)
+
+    # BIG rows at most: each weighs 1/BIG of all or more
+    big = rest.where(F.col("bytes") * BIG >= total).groupBy(span.alias("span")).agg(F.collect_list("key").alias("keys"))
+    spread = rest.withColumn("span", span).join(F.broadcast(big), "span", "left")
+    own = F.aggregate("keys", F.lit(0), lambda n, k: n + (k < F.col("key")).cast("int") + (k <= F.col("key")).cast("int"))
+    spread = spread.groupBy("span", F.coalesce(own, F.lit(0)).alias("side")).agg(*figures)
+    line = Line(*numbers(spread))  # 2**RANGE_BITS + 1 + 2 * BIG rows at most
+
+    def fetch(wanted: list[tuple[int, int]]) -> tuple:
+        rows = [(k, first >> (KEY_BITS - RANGE_BITS), first, last, max(0, (last - first).bit_length() - (SPLIT.bit_length() - 1))) for k, (first, last) in enumerate(wanted)]
+        at = spark.createDataFrame(rows, "k int, span long, low long, high long, shift int")
+        found = rest.withColumn("span", span).join(F.broadcast(at), "span").where("key between low and high")
+        return numbers(found.groupBy("k", F.call_function("shiftright", F.col("key") - F.col("low"), F.col("shift")).alias("part")).agg(*figures))  # SPLIT for each segment at most
 
     kept = shards - len(alone)
     _, cuts = partition(line, kept, fetch)
@@ -152,7 +158,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     docs: doc_id, text; all columns are kept unless they clash with the new ones.
     size is the text's UTF-8 bytes (null: none) plus 8; text_crc32 that of the bytes
-    (null: of none). The law is bytes: no contiguous cut of the groups has a smaller
+    (null: of none). The law is bytes: groups above an equal share of what is left stand
+    alone, and no contiguous cut of the others into the remaining shards has a smaller
     largest shard. Rows with a null text are a group, as are empty ones and any
     equal texts, repeated rows included. slot numbers a shard's rows from 0 without
     gaps. With fewer groups than shards some shards stay empty.

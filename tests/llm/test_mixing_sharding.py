@@ -72,16 +72,53 @@ def least_capacity(sizes, shards):
     return low
 
 
+def lined(keys, sizes, bits, big=()):
+    """The line of at most 2**bits ranges, with the groups of big on their own."""
+    place = (keys >> (60 - bits)) * 4 * len(keys) + sum((2 * (keys > k) + (keys == k) for k in big), np.zeros(len(keys), np.int64))
+    own = [keys[place == p] for p in np.unique(place)], [sizes[place == p] for p in np.unique(place)]
+    return sharding.Line([k[0] for k in own[0]], [k[-1] for k in own[0]], [s.sum() for s in own[1]], [s.max() for s in own[1]], [len(s) for s in own[1]]), own
+
+
+def fetcher(keys, sizes, asked=None):
+    def fetch(wanted):
+        out = []
+        for first, last in wanted:
+            here = (keys >= first) & (keys <= last)
+            part = (keys[here] - first) >> max(0, (last - first).bit_length() - 8)
+            for p in np.unique(part):
+                k, s = keys[here][part == p], sizes[here][part == p]
+                out.append((k[0], k[-1], s.sum(), s.max(), len(k)))
+        if asked is not None:
+            asked.append(sum(x[4] for x in out))
+        return tuple(np.array(x, np.int64) for x in zip(*out))
+
+    return fetch
+
+
+@pytest.mark.parametrize("share", [0.5, 0.9])
+def test_a_large_group_makes_the_driver_look_at_few_others(share):
+    draw = np.random.default_rng(3)
+    keys = np.unique(draw.integers(0, 1 << 60, 400_000))
+    sizes = draw.integers(500, 4000, len(keys))
+    at = len(keys) // 3
+    sizes[at] = int(share * sizes.sum() / 24)
+    asked = []
+    line, _ = lined(keys, sizes, 10, keys[[at]])
+    _, cuts = sharding.partition(line, 24, fetcher(keys, sizes, asked))
+    assert sum(asked) < 0.05 * len(keys)
+    place = np.searchsorted(np.array(cuts), keys)
+    capacity = least_capacity(sizes.tolist(), 24)
+    assert max(sizes[place == k].sum() for k in range(24)) == capacity
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_partition_is_the_least_one_for_any_ranges(seed):
     draw = np.random.default_rng(seed)
     n, shards = int(draw.integers(1, 300)), int(draw.integers(1, 12))
     keys = np.unique(draw.integers(0, 1 << 60, n))
     sizes = (draw.pareto(1.0, len(keys)) * 20 + 8).astype(np.int64)
-    ranges = keys >> (60 - 3)
-    distinct = np.unique(ranges)
-    line = sharding.Line(distinct, np.array([sizes[ranges == r].sum() for r in distinct]), np.array([sizes[ranges == r].max() for r in distinct]), 57)
-    capacity, cuts = sharding.partition(line, shards, lambda wanted: {i: (keys[ranges == r], sizes[ranges == r]) for i, r in wanted})
+    line, _ = lined(keys, sizes, 3)
+    capacity, cuts = sharding.partition(line, shards, fetcher(keys, sizes))
     assert capacity == least_capacity(sizes.tolist(), shards)
     at = np.searchsorted(np.array(cuts), keys)
     assert max(sizes[at == k].sum() for k in range(shards)) == capacity
