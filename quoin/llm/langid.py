@@ -21,6 +21,8 @@ DIM, ORDER, SEED, UNIT = 1024, 3, 7, 1 << 20
 #: Most languages a model may learn; the prototypes that go to the driver have DIM numbers each.
 LANGUAGES = 5000
 CHARS, ROWS = 600_000, 256
+#: n-grams counted at a time, and different ones bound at a time.
+SPAN, BLOCK = 1 << 20, 1 << 13
 
 
 class Letters:
@@ -47,23 +49,38 @@ class Letters:
             found = self.number[points]
         return found
 
-    def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For every n-gram of the texts: its text, and its number among the distinct ones; those ones' letters."""
+    def bundles(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of the vectors of each text's n-grams, and how many n-grams it has.
+
+        n-grams are counted SPAN at a time and bound BLOCK at a time, so memory does not
+        follow the number of different n-grams. All sums are of whole numbers below 2**24.
+        """
+        n = len(texts)
+        sums, total = np.zeros((n, self.dim)), np.zeros(n, np.int64)
         parts = [t.lower() for t in texts]
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 2
+        lengths = np.fromiter(map(len, parts), np.int64, n) + 2
         points = np.frombuffer((" " + "  ".join(parts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-        row = np.repeat(np.arange(len(parts)), lengths)
+        row = np.repeat(np.arange(n, dtype=np.int32), lengths)
         letter = self.of(points)
         keep = letter > 0
         keep[1:] |= letter[:-1] > 0
-        keep |= np.concatenate([row[1:] != row[:-1], [True]]) | np.concatenate([[True], row[1:] != row[:-1]])
-        letter, row = letter[keep].astype(np.int64), row[keep]
-        if len(letter) < ORDER:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, ORDER), np.int64)
-        a, b, c = letter[:-2], letter[1:-1], letter[2:]
-        whole = ((b > 0) | ((a > 0) & (c > 0))) & (row[:-2] == row[2:]) & ((a > 0) | (b > 0))
-        a, b, c, row = a[whole], b[whole], c[whole], row[:-2][whole]
-        size = len(self.vectors)
+        new = row[1:] != row[:-1]
+        keep[:-1] |= new
+        keep[1:] |= new
+        keep[[0, -1]] = True
+        letter, row = letter[keep], row[keep]
+        for first in range(0, max(len(letter) - ORDER + 1, 0), SPAN):
+            here, owner = letter[first : first + SPAN + 2].astype(np.int64), row[first : first + SPAN + 2]
+            a, b, c = here[:-2], here[1:-1], here[2:]
+            whole = ((b > 0) | ((a > 0) & (c > 0))) & (owner[:-2] == owner[2:]) & ((a > 0) | (b > 0))
+            a, b, c, owner = a[whole], b[whole], c[whole], owner[:-2][whole].astype(np.int64)
+            if len(owner):
+                total += np.bincount(owner, minlength=n)
+                self._add(sums, owner, a, b, c)
+        return sums, total
+
+    def _add(self, sums: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
+        size, n = len(self.vectors), len(sums)
         code = (a * size + b) * size + c
         if size**3 <= 1 << 24:
             seen = np.zeros(size**3, bool)
@@ -74,13 +91,25 @@ class Letters:
             code = place[code]
         else:
             distinct, code = np.unique(code, return_inverse=True)
-        return row, code, np.stack([distinct // size // size, distinct // size % size, distinct % size], 1)
+        letters = np.stack([distinct // size // size, distinct // size % size, distinct % size], 1)
+        if len(distinct) > BLOCK:
+            order = np.argsort(code, kind="stable")
+            row, code = row[order], code[order]
+        edges = np.searchsorted(code, np.arange(0, len(distinct) + BLOCK, BLOCK)) if len(distinct) > BLOCK else [0, len(code)]
+        for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            part = letters[k * BLOCK : (k + 1) * BLOCK]
+            # a block of rare n-grams touches few texts, one of frequent ones all of them
+            rows, at = np.unique(row[i:j], return_inverse=True)
+            counts = np.bincount(at * len(part) + (code[i:j] - k * BLOCK), minlength=len(rows) * len(part)).reshape(len(rows), -1)
+            sums[rows] += counts.astype(np.float32) @ self.bound(part).astype(np.float32)
 
     def bound(self, letters: np.ndarray) -> np.ndarray:
         """The n-grams' vectors."""
         out = self.vectors[letters[:, ORDER - 1]]
         for k in range(ORDER - 1):
-            out = out * np.roll(self.vectors, ORDER - 1 - k, 1)[letters[:, k]]
+            few = len(self.vectors) < len(letters)
+            turned = np.roll(self.vectors, ORDER - 1 - k, 1)[letters[:, k]] if few else np.roll(self.vectors[letters[:, k]], ORDER - 1 - k, 1)
+            out = out * turned
         return out
 
 
@@ -103,14 +132,11 @@ def learner(dim: int, seed: int):
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for first, texts in pieces(batch, "text"):
-                row, code, parts = letters.grams(texts)
-                if not len(row):
-                    continue
-                weight = np.round(np.bincount(row * len(parts) + code, minlength=len(texts) * len(parts)).reshape(len(texts), -1) * (UNIT / np.maximum(np.bincount(row, minlength=len(texts)), 1))[:, None])
-                vectors = letters.bound(parts).astype(np.float64)
+                made, total = letters.bundles(texts)
+                made = np.round(made * (UNIT / np.maximum(total, 1))[:, None])
                 own = np.array(langs[first : first + len(texts)], object)
-                for lang in set(own.tolist()):
-                    sums[lang] = sums.get(lang, 0) + weight[own == lang].sum(0) @ vectors
+                for lang in set(own[total > 0].tolist()):
+                    sums[lang] = sums.get(lang, 0) + made[own == lang].sum(0)
         for lang, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim, pa.string()), pa.array(np.arange(dim, dtype=np.int32)), pa.array(total.astype(np.int64))], ["lang", "place", "value"])
 
@@ -134,21 +160,19 @@ def train(docs: DataFrame, learn_from: Column, dim: int = DIM, seed: int = SEED)
 
 
 def predictor(langs: list[str], prototypes: np.ndarray, dim: int, seed: int, column: str, names_out: tuple[str, str]):
-    profile = prototypes.T.astype(np.float32)
+    profile = prototypes.T
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters(dim, seed)
         for batch in batches:
             names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             for first, texts in pieces(batch, column):
-                row, code, parts = letters.grams(texts)
-                if not len(row) or not langs:
+                if not langs:
                     continue
-                counts = np.bincount(row * len(parts) + code, minlength=len(texts) * len(parts)).reshape(len(texts), -1).astype(np.float32)
-                vectors = counts @ letters.bound(parts).astype(np.float32)
+                vectors, total = letters.bundles(texts)
                 cosine = (vectors @ profile) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
                 best = cosine.argmax(1)
-                for i in np.unique(row).tolist():
+                for i in np.flatnonzero(total).tolist():
                     names[first + i] = langs[best[i]]
                     scores[first + i] = min(max(float(cosine[i, best[i]]), 0.0), 1.0)
             passed = [i for i, c in enumerate(batch.schema.names) if c != "__text"]
@@ -163,7 +187,9 @@ def identify(docs: DataFrame, learn_from: Column, keep: list[str], dim: int = DI
     docs has text and lang; keep names columns to pass on, names the new ones, which
     keep must not hold. A null text, or one without letters, gets und and 0, as does
     everything if nothing can be learnt. Texts count whole; ties go to the language
-    that sorts first. Repeated rows get equal results. Nulls are passed on.
+    that sorts first. Repeated rows get equal results. Nulls are passed on. lang may
+    have up to LANGUAGES values to learn; more raise a ValueError, since every
+    prototype goes to the driver. An empty table gives none.
     """
     langs, prototypes = train(docs, learn_from, dim, seed)
     rows = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").cast("string").alias("__text"))

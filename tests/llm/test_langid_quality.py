@@ -1,4 +1,6 @@
 import random
+import tracemalloc
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -32,14 +34,63 @@ def test_language_without_training_rows(spark):
     assert langid.identify(docs.limit(0), F.lit(True), ["doc_id"]).count() == 0
 
 
-def test_prototypes_bundle_whole_numbers():
-    a, b = langid.Letters(64, 1), langid.Letters(64, 1)
-    row, code, parts = a.grams(["abc", "cab"])
-    for text, which in (("abc", 0), ("cab", 1)):
-        _, _, own = b.grams([text])
-        alone = b.bound(own).sum(0)
-        both = a.bound(parts)[code[row == which]].sum(0)
-        assert (alone == both).all()
+def plain_bundle(text, letters):
+    """The sum of a text's bound trigrams, one at a time."""
+    line = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    line = " " + " ".join(line.split()) + " "
+    vector = lambda c: letters._draw(ord(c)) if c != " " else letters._draw(0)
+    total, n = np.zeros(letters.dim), 0
+    for a, b, c in zip(line, line[1:], line[2:]):
+        if a + b != "  " and not (b == " " and " " in (a, c)):
+            total += np.roll(vector(a), 2).astype(float) * np.roll(vector(b), 1) * vector(c)
+            n += 1
+    return total, n
+
+
+def test_bundles_and_predictions_equal_a_plain_version(spark, monkeypatch):
+    texts = ["abc", "cab", "", "12", "a", "Ab cd  ef-gh", "été à la mer"]
+    for span, block in ((1 << 20, 1 << 13), (5, 2)):
+        monkeypatch.setattr(langid, "SPAN", span)
+        monkeypatch.setattr(langid, "BLOCK", block)
+        letters = langid.Letters(64, 1)
+        sums, total = letters.bundles(texts)
+        for i, t in enumerate(texts):
+            own, n = plain_bundle(t, letters)
+            assert n == total[i] and (own == sums[i]).all(), t
+    monkeypatch.undo()
+    rows = documents()
+    letters, prototypes = langid.Letters(langid.DIM, langid.SEED), {}
+    learnt = [(t, lang) for i, t, lang in rows if t and lang and (i is not None and zlib.crc32(str(i).encode()) % 5 != 0)]
+    for t, lang in learnt:
+        own, n = plain_bundle(t, letters)
+        if n:
+            prototypes[lang] = prototypes.get(lang, 0) + np.round(own * (langid.UNIT / n))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs, fold(F.col("doc_id"), 5) != 0, ["doc_id"]).collect()}
+    for i, t, _ in rows:
+        own, n = plain_bundle(t, letters)
+        cosine = {lang: own @ p / np.linalg.norm(own) / np.linalg.norm(p) for lang, p in prototypes.items()} if n else {}
+        best = max(sorted(cosine), key=cosine.get) if n else "und"
+        assert got[i].lang_pred == best and abs(got[i].score - max(0, cosine.get(best, 0))) < 1e-9
+
+
+def test_language_of_a_long_text_of_many_letters_takes_little_memory():
+    draw = random.Random(2)
+    text = "".join(chr(draw.randrange(0x4E00, 0x9FA0)) for _ in range(600_000))
+    tracemalloc.start()
+    sums, total = langid.Letters(langid.DIM, langid.SEED).bundles([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total[0] == 600_000 and np.abs(sums).max() < 1 << 24 and peak < 500e6
+
+
+def test_language_with_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "the of and to", "en", "x", 1.0), (1, "the of and to", "en", "x", 1.0), (2, "le de la", "fr", None, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    got = langid.identify(docs.select("doc_id", "text", "lang"), F.lit(True), ["doc_id"]).collect()
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in got) == [(0, "und"), (1, "en"), (1, "en"), (2, "fr")]
+    kept = langid.identify(docs, F.lit(True), docs.columns, names=("__a", "__b"))
+    assert kept.columns == [*docs.columns, "__a", "__b"] and kept.count() == 4
 
 
 def test_marginals_against_enumeration():
