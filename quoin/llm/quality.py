@@ -6,6 +6,10 @@ Training maximises the conditional likelihood of the label sequences (each line
 a labelled document carries its document's label) with an L2 penalty. A document's
 quality is the mean of its lines' forward-backward marginals, weighted by length,
 mapped to a probability by a logistic curve fitted to the same sample.
+
+The fitting sample is bounded by two parameters: SAMPLE labelled documents, those
+whose ids hash lowest, and of these, in that order, as many as have SAMPLE_LINES
+lines together; one that would go beyond is passed over. Every whole text is scored.
 """
 
 from __future__ import annotations
@@ -19,8 +23,8 @@ from pyspark.sql import functions as F
 
 from . import text as X
 
-#: Bounds of the sample that the model is fitted on: labelled documents, and lines of one of them.
-SAMPLE, SAMPLE_LINES = 4000, 2000
+#: Bounds of the sample that the model is fitted on: labelled documents, and lines of all of them together.
+SAMPLE, SAMPLE_LINES = 4000, 400_000
 STEPS, RATE, RIDGE = 160, 0.1, 1e-3
 
 CLASSES = {
@@ -183,23 +187,40 @@ def featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made, size, bounds = lines(data, offsets)
             for i in range(last - first):
                 a, b = bounds[i], bounds[i + 1]
-                if b - a <= SAMPLE_LINES:
-                    rows.append((int(b - a), labels[first + i], made[a:b].astype(np.float32).tobytes(), size[a:b].tobytes()))
-        yield pa.RecordBatch.from_pydict({"n": pa.array([r[0] for r in rows], pa.int64()), "label": pa.array([r[1] for r in rows], pa.int32()), "x": pa.array([r[2] for r in rows], pa.binary()), "size": pa.array([r[3] for r in rows], pa.binary())})
+                rows.append((int(b - a), labels[first + i], made[a:b].astype(np.float32).tobytes(), size[a:b].tobytes()))
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "mark": batch.column("mark"), "n": pa.array([r[0] for r in rows], pa.int64()), "label": pa.array([r[1] for r in rows], pa.int32()), "x": pa.array([r[2] for r in rows], pa.binary()), "size": pa.array([r[3] for r in rows], pa.binary())})
+
+
+def within(sizes: list[int], most: int) -> list[int]:
+    """Places taken in order while the sum of their sizes stays at most; those that would go beyond are passed over."""
+    taken, total = [], 0
+    for k, size in enumerate(sizes):
+        if total + size <= most:
+            taken.append(k)
+            total += size
+    return taken
 
 
-def train(docs: DataFrame, labels: DataFrame, learn_from: Column) -> dict:
-    """Fit on at most SAMPLE labelled documents, those whose ids hash lowest.
+def train(docs: DataFrame, labels: DataFrame, learn_from: Column, sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> dict:
+    """Fit on at most sample labelled documents, those whose ids hash lowest, with at most sample_lines lines together.
 
     labels: doc_id and quality (0 or 1; other values and nulls are left out).
-    learn_from: which rows of labels may be used.
+    learn_from: which rows of labels may be used. The sample does not depend on how
+    rows are dealt; rows that repeat a doc_id and text count once.
     """
     some = labels.where(learn_from & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE)
-    # at most SAMPLE rows of two numbers are broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "quality", "doc_id")
-    rows = rows.orderBy("doc_id", "quality", F.xxhash64("text")).limit(2 * SAMPLE).select("text", "quality")
-    got = rows.mapInArrow(featurer, "n long, label int, x binary, size binary").toPandas()
+    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    # at most sample rows of two numbers are broadcast
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(some), "doc_id").withColumn("mark", F.xxhash64("text"))
+    breaks = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
+    sizes = rows.select("doc_id", "quality", "mark", breaks.alias("n")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "mark").limit(2 * sample).collect()
+    sizes = [sizes[k] for k in within([r["n"] for r in sizes], sample_lines)]
+    # 2 * sample rows of three numbers are broadcast at most
+    chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"], r["mark"]) for r in sizes], some.schema.add("mark", "long"))
+    picked = rows.join(F.broadcast(chosen), ["doc_id", "quality", "mark"], "left_semi").dropDuplicates(["doc_id", "quality", "mark"])
+    got = picked.select("doc_id", "mark", "text", "quality").mapInArrow(featurer, "doc_id long, mark long, n long, label int, x binary, size binary").toPandas()
+    got = got.sort_values(["doc_id", "label", "mark"], ignore_index=True)
     if not len(got):
         return {"w": np.zeros(WIDTH), "shift": 0.0, "turn": np.zeros((2, 2)), "a": 1.0, "b": 0.0, "empty": 0.5}
     bounds = np.concatenate([[0], np.cumsum(got["n"].to_numpy())])

@@ -133,3 +133,40 @@ def test_quality_of_held_out_documents_and_edge_cases(spark):
     assert len({r.score for r in got if r.doc_id == 5}) == 1
     assert quality.classify(docs, labels_.limit(0), F.lit(True)).count() == len(rows)
     assert quality.classify(docs.limit(0), labels_, F.lit(True)).count() == 0
+
+
+def test_the_fitting_sample_is_bounded_and_does_not_depend_on_the_deal(spark):
+    assert quality.within([3, 9, 2, 5, 0], 10) == [0, 2, 3, 4]
+    draw = random.Random(9)
+    rows = [(i, "\n".join(f"{draw.choice(EN)} {draw.choice(FR)} w{draw.randrange(50)}." for _ in range(draw.randrange(1, 9)))) for i in range(60)] + [(60, "a b\n" * 5000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(61)], "doc_id int, quality int")
+    first = quality.train(docs, labels, F.lit(True), sample_lines=1000)
+    again = quality.train(docs.repartition(7).unionAll(docs.limit(3)), labels.repartition(3), F.lit(True), sample_lines=1000)
+    assert np.allclose(first["w"], again["w"]) and first["a"] == again["a"]
+
+
+def test_scores_equal_a_plain_version(spark):
+    """Marginals by enumeration of all label sequences, on the features of each text alone."""
+    draw = random.Random(4)
+    rows = [(i, "\n".join(" ".join(draw.choice([*EN, "BUY!!", "7|7"]) for _ in range(draw.randrange(1, 7))) for _ in range(draw.randrange(1, 7)))) for i in range(40)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality.train(docs, labels, F.lit(True))
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels, F.lit(True)).collect()}
+    for i, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        made, size, _ = quality.lines(data, np.array([0, len(data)]))
+        odds, n = made @ model["w"] + model["shift"], len(made)
+        weight, good = 0.0, np.zeros(n)
+        for k in range(2**n):
+            y = np.array([(k >> j) & 1 for j in range(n)])
+            p = np.exp((odds * y).sum() + sum(model["turn"][y[j], y[j + 1]] for j in range(n - 1)))
+            weight, good = weight + p, good + p * y
+        raw = np.clip((size * good / weight).sum() / size.sum(), 1e-4, 1 - 1e-4)
+        assert abs(got[i] - 1 / (1 + np.exp(-(model["a"] * np.log(raw / (1 - raw)) + model["b"])))) < 1e-9
+
+
+def test_quality_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", 9, "x", 1.5), (1, "a b", 9, "x", 1.5), (2, None, None, None, None)], "doc_id long, text string, quality int, mark string, score double")
+    labels = spark.createDataFrame([(1, 1, "t", 0), (2, 0, "u", 1)], "doc_id long, quality int, text string, mark int")
+    got = quality.classify(docs, labels, F.lit(True)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 1, 2] and all(0 <= r.score <= 1 for r in got)
