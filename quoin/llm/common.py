@@ -73,7 +73,7 @@ def uniform(id_column: Column, seed: str) -> Column:
 FILTER_BITS = 1 << 26
 
 
-def _flagged(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+def flagged(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     """rows with __hit: false only if column is not in wanted's, by a Bloom filter of fixed size."""
     place = F.pmod(F.xxhash64(F.col(column), F.lit(17)), F.lit(FILTER_BITS)) + 1
     bits = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__block"))
@@ -91,10 +91,10 @@ def perhaps_among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     Loses no row that is in wanted. It saves shuffling rows only to drop them; if
     wanted has more values than the filter has bits, it lets everything through.
     """
-    return _flagged(rows, column, wanted).where("__hit").drop("__hit")
+    return flagged(rows, column, wanted).where("__hit").drop("__hit")
 
 
 def without(rows: DataFrame, column: str, unwanted: DataFrame) -> DataFrame:
     """rows whose column is not in unwanted's; only those the filter cannot clear are shuffled. Nulls stay."""
-    flagged = _flagged(rows, column, unwanted)
+    flagged = flagged(rows, column, unwanted)
     return flagged.where("not __hit").drop("__hit").unionByName(flagged.where("__hit").drop("__hit").join(unwanted.select(column), column, "left_anti").select(*rows.columns))

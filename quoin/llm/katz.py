@@ -9,8 +9,8 @@ to one. An unseen context has alpha 1.
 Counting and scoring share one exchange. Each chunk of texts makes its distinct
 (context, word, text) entries, sorts them by bucket and packs every bucket's part
 into a row of compressed columns. A bucket holds whole contexts, except hot ones
-(over 1/HOT of all words, so at most HOT of them), which are spread by word and
-whose few statistics meet on the driver. Words that make up less than 1/DICTIONARY
+(over 1/HOT of all words, or more words than a bucket holds, DICTIONARY at most),
+which are spread by word and whose few statistics are added up by task and context. Words that make up less than 1/DICTIONARY
 of all pass through a bucket of their own first, where their counts are known; the
 others' counts travel with the job. The pair table has one row a bucket, the
 unigram table is partitioned by word; only sums of counts and the two bounded lists
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .common import table
+from .common import flagged, table
 
 K, DICTIONARY, HOT, BUCKET = 5, 1_000_000, 1000, 1_500_000
 CHUNK = 4_000_000
@@ -316,17 +316,21 @@ def backoff(sums: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return total, alpha, factor
 
 
-SCORE = "part int, docs binary, score binary, base binary, tokens binary, known binary"
-_SCORE = ["part", "docs", "score", "base", "tokens", "known"]
+SCORE = "part int, docs binary, score binary, base binary, tokens binary, known binary, ends binary"
+_SCORE = ["part", "docs", "score", "base", "tokens", "known", "ends"]
 
 
 def scorer(frequent, d: np.ndarray, unigram: dict, hot: tuple[np.ndarray, np.ndarray], groups: int):
+    """Sums of each key's entries in a bucket, dealt to groups by key; ends: how many rows share the key."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {k: batch.column(k)[i].as_py() for k in ("docs", "h", "w", "c1", "c2", "each", "doc", "n")}
                 h = np.cumsum(unpack(r["h"], np.uint64), dtype=np.uint64)
-                c1 = full_counts(unpack(r["w"], np.uint64), unpack(r["c1"], np.uint32), frequent.value[1])
+                w = unpack(r["w"], np.uint64)
+                c1 = full_counts(w, unpack(r["c1"], np.uint32), frequent.value[1])
+                is_end = w == recode(np.array([END]), frequent.value[0])[0][0]
                 c2 = unpack(r["c2"], np.uint32).astype(np.int64)
                 contexts, sums = context_sums(h, c2, c1, unigram)
                 at = np.searchsorted(contexts, hot[0])
@@ -344,43 +348,69 @@ def scorer(frequent, d: np.ndarray, unigram: dict, hot: tuple[np.ndarray, np.nda
                 doc, n, docs = unpack(r["doc"], np.uint32), unpack(r["n"], np.uint32), unpack(r["docs"], np.int64)
                 ids, place = np.unique(docs, return_inverse=True)
                 doc = place[doc]
-                columns = [np.bincount(doc, x, minlength=len(ids)) for x in (logs[pair] * n, base[pair] * n, n, n * (c1 > 0)[pair])]
+                columns = [np.bincount(doc, x, minlength=len(ids)) for x in (logs[pair] * n, base[pair] * n, n, n * (c1 > 0)[pair], n * is_end[pair])]
                 group = (X.mix(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
                 rows = []
                 for g in np.unique(group).tolist():
                     mine = group == g
-                    s, b, t, k = (x[mine] for x in columns)
-                    rows.append((g, pack(np.diff(ids[mine], prepend=0)), *(pack(x.astype(np.int64)) for x in (np.rint(s * POINT), np.rint(b * POINT), t, k))))
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], pa.int32() if j == 0 else pa.binary()) for j in range(6)], _SCORE)
+                    s, b, t, k, e = (x[mine] for x in columns)
+                    rows.append((g, pack(np.diff(ids[mine], prepend=0)), *(pack(x.astype(np.int64)) for x in (np.rint(s * POINT), np.rint(b * POINT), t, k, e))))
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], pa.int32() if j == 0 else pa.binary()) for j in range(7)], _SCORE)
 
     return score
 
 
 def summed(rows: pa.Table) -> pa.Table:
-    """Per document the sums over its buckets: of whole numbers, so in any order."""
+    """Per key the sums over its buckets, shared among the rows of that key: of whole numbers, so in any order."""
     docs = np.concatenate([np.cumsum(unpack(x, np.int64)) for x in rows.column("docs").to_pylist()])
     order = np.argsort(docs, kind="stable")
     docs = docs[order]
     head = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1))
-    out = {"doc_id": docs[head]}
+    total = lambda column: np.add.reduceat(np.concatenate([unpack(x, np.int64) for x in rows.column(column).to_pylist()])[order], head)
+    out, ends = {"key": docs[head]}, total("ends")
     for name, column in (("score", "score"), ("base_score", "base"), ("n_tokens", "tokens"), ("n_known", "known")):
-        whole = np.add.reduceat(np.concatenate([unpack(x, np.int64) for x in rows.column(column).to_pylist()])[order], head)
-        out[name] = whole / POINT if column in ("score", "base") else whole
+        out[name] = total(column) / ends / POINT if column in ("score", "base") else total(column) // ends
     return pa.Table.from_pandas(pd.DataFrame(out), preserve_index=False)
 
 
+def hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hot contexts' statistics, added up over a task's buckets."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for raw in batch.column("hot").to_pylist():
+            size = len(raw) // (8 * (K + 3))
+            keys, values = np.frombuffer(raw[: 8 * size], np.uint64), np.frombuffer(raw[8 * size :], np.float64).reshape(size, K + 2)
+            for key, value in zip(keys.tolist(), values, strict=True):
+                sums[key] = sums.get(key, 0) + value
+    made = np.array(list(sums.values())).reshape(len(sums), K + 2)
+    yield pa.RecordBatch.from_arrays([pa.array(np.array(list(sums), np.uint64).view(np.int64)), *(pa.array(made[:, k]) for k in range(K + 2))], ["h", *(f"s{k}" for k in range(K + 2))])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with key: the doc_id, or a hash of the text where the doc_id is null or may stand on several rows.
+
+    Rows that get one key have one text, and so one score.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    repeated = table(ids.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    rows = flagged(docs, "doc_id", repeated)
+    return rows.withColumn("key", F.when(F.col("doc_id").isNull() | F.col("__hit"), F.xxhash64("text")).otherwise(F.col("doc_id"))).drop("__hit")
+
+
 def score_all(docs: DataFrame, learn_from: Column) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every document's whole text.
-
-    docs: doc_id, text; learn_from: which rows to learn from. Words are runs of
-    characters other than space and 0x09-0x0D, A-Z lower-cased; one end follows each
-    text and counts as a token. A null text is empty: its only token is the end.
-    Rows that repeat a doc_id are scored as one document, the sum of their texts;
-    a null doc_id takes no part. An empty table gives none. Without training tokens
-    every token is unknown and has probability 1.
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row's whole text.
+
+    docs: doc_id, text; learn_from: which rows to learn from (null: not). Words are runs
+    of characters other than space and 0x09-0x0D, A-Z lower-cased; one end follows each
+    text and counts as a token. A null text is empty: its only token is the end. Every
+    row is learnt from and scored on its own, also if its doc_id is null or repeated.
+    An empty table gives none. Without training tokens every token is unknown and has
+    probability 1.
     """
     spark = docs.sparkSession
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), learn_from.alias("learn"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    every = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(learn_from, F.lit(False)).alias("learn")))
+    rows = every.select(F.col("key").alias("doc_id"), "text", "learn")
     words = rows.mapInArrow(count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
     words = table(words, "unigrams")
     first = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), *(F.count_if(F.col("c") == r).alias(f"c{r}") for r in range(1, K + 2))).first()
@@ -392,23 +422,22 @@ def score_all(docs: DataFrame, learn_from: Column) -> DataFrame:
     order = np.argsort(known)
     counts = top["c"].to_numpy(np.int64)[order]
     frequent = spark.sparkContext.broadcast((known[order], counts))
-    hot = np.append(np.flatnonzero(counts * HOT >= max(n, 1)).astype(np.uint64) + FIRST, START)
+    # a context is hot if it has a large share of all words, or would fill a bucket; DICTIONARY at most
+    hot = np.append(np.flatnonzero((counts * HOT >= max(n, 1)) | (counts >= BUCKET)).astype(np.uint64) + FIRST, START)
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffle, -(-n // BUCKET))
     plain = rows.mapInArrow(emitter(frequent, hot, buckets, False), PART)
     rare = rows.mapInArrow(emitter(frequent, hot, buckets, True), PART).groupBy("bucket").applyInArrow(counted(hot, buckets), PART)
     pairs = table(plain.unionByName(rare).groupBy("bucket").applyInArrow(merged(frequent, hot, unigram), TABLE), "pairs")
-    parts_ = pairs.select("seen", "hot").collect()  # a few numbers for each bucket and hot context
-    d = discounts([sum(p["seen"][r] for p in parts_) for r in range(K + 1)] if parts_ else [0] * (K + 1))
-    sums: dict[int, np.ndarray] = {}
-    for p in parts_:
-        raw = bytes(p["hot"])
-        size = len(raw) // (8 * (K + 3))
-        keys, values = np.frombuffer(raw[: 8 * size], np.uint64), np.frombuffer(raw[8 * size :], np.float64).reshape(size, K + 2)
-        for key, value in zip(keys.tolist(), values, strict=True):
-            sums[key] = sums.get(key, 0) + value
-    keys = sorted(sums)
-    merged_hot = (np.array(keys, np.uint64), np.array([sums[k] for k in keys]).reshape(len(keys), K + 2))
-    scored = pairs.select("docs", "h", "w", "c1", "c2", "each", "doc", "n").mapInArrow(scorer(frequent, d, unigram, merged_hot, shuffle), SCORE)
-    out = scored.groupBy("part").applyInArrow(summed, "doc_id long, score double, base_score double, n_tokens long, n_known long")
+    pair_counts = pairs.agg(*(F.sum(F.col("seen")[r]).alias(f"c{r}") for r in range(K + 1))).first()
+    d = discounts([int(x or 0) for x in pair_counts])
+    sums = pairs.select("hot").mapInArrow(hot_sums, "h long, " + ", ".join(f"s{k} double" for k in range(K + 2)))
+    sums = sums.groupBy("h").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(K + 2))).toPandas()  # a row for each hot context
+    keys = sums["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    merged_hot = (keys[order], sums[[f"s{k}" for k in range(K + 2)]].to_numpy(np.float64)[order])
+    # as many groups as buckets, so that a group's entries do not grow with the corpus
+    scored = pairs.select("docs", "h", "w", "c1", "c2", "each", "doc", "n").mapInArrow(scorer(frequent, d, unigram, merged_hot, buckets), SCORE)
+    out = scored.groupBy("part").applyInArrow(summed, "key long, score double, base_score double, n_tokens long, n_known long")
+    out = every.select("doc_id", "key").join(out, "key")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

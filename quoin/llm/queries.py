@@ -19,7 +19,7 @@ def op1_crf_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.col("doc_id")
     scored = katz.score_all(read(spark, sf_dir, "documents").select("doc_id", "text"), fold(ids, 7) != 2)
-    return scored.withColumn("held_out", fold(ids, 7) == 2)
+    return scored.withColumn("held_out", F.coalesce(fold(ids, 7) == 2, F.lit(False)))
 
 
 def op3_nearest_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:

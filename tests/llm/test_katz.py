@@ -71,12 +71,30 @@ def test_edge_cases(spark):
     schema = "doc_id long, text string, score string, learn int"
     rows = spark.createDataFrame([(1, "a b", "x", 1), (1, "a b", "x", 1), (None, "c", None, None)], schema)
     got = katz.score_all(rows, F.lit(True)).collect()
-    assert [(r.doc_id, r.n_tokens, r.train_tokens) for r in got] == [(1, 6, 6)]
+    assert sorted((r.doc_id or 0, r.n_tokens, r.train_tokens) for r in got) == [(0, 2, 8), (1, 3, 8), (1, 3, 8)]
+    assert len({r.score for r in got if r.doc_id == 1}) == 1
     none = katz.score_all(rows, F.lit(False)).collect()
+    assert len(none) == 3
     assert none[0].score == 0 and none[0].n_known == 0 and none[0].train_tokens == 0
     assert katz.score_all(rows.limit(0), F.lit(True)).count() == 0
 
 
+def test_rows_with_null_or_repeated_ids_are_scored_on_their_own(spark):
+    texts = ["a b c a b", "a b c a b", "b c", None, "a b c", "b c a", "b c a", "c c"]
+    ids = [None, None, 5, 5, 5, 6, 7, None]
+    one = katz.score_all(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(True)).collect()
+    two = katz.score_all(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3), F.lit(True)).collect()
+    figures = lambda rows, i: sorted((r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in rows if i(r))
+    assert figures(one, lambda r: True) == figures(two, lambda r: True)
+    assert figures(one, lambda r: r.doc_id in (2, 3, 4)) == figures(two, lambda r: r.doc_id == 5)
+
+
+def test_a_very_long_text_with_one_hot_pair(spark):
+    rows = [(1, "a b " * 200_000), (2, "a b"), (3, "b a")]
+    got = {r.doc_id: r for r in katz.score_all(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).collect()}
+    assert got[1].n_tokens == 400_001 == got[1].n_known and got[2].score > got[3].score
+
+
 def test_packing_round_trip():
     draw = np.random.default_rng(1)
     for kind in (np.uint32, np.uint64, np.int64, np.float64):
