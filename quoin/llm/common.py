@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words: space and the bytes 0x09 to 0x0D.
@@ -48,6 +48,18 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with its place in the order, from 0; ordered by ranges, so no task holds all rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = table(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ordered")
+    counts = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    # a row for each partition
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return rows.withColumn("__place", place).join(F.broadcast(starts), "__part").withColumn(name, F.col("__first") + F.col("__place")).drop("__part", "__n", "__first", "__place")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A to Z only."""
     return F.translate(text, UPPER, UPPER.lower())

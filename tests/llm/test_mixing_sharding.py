@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quoin.llm import mixing, sharding
 
@@ -51,12 +52,63 @@ def test_targets_sizes_and_copies(spark):
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
 
 
+def scale_of(words, rest):
+    """chance of each class: min(1, scale * class) with rest words expected, by bisection."""
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(min(1, middle * k) * w for k, w in words.items()) < rest else (low, middle)
+    return {k: min(1, high * k) for k in words}
+
+
+def test_inclusion_odds_differ_by_size_and_decide(spark):
+    draw = random.Random(8)
+    rows = [(i, " ".join(["w"] * (1 << draw.randrange(0, 9))), "ab"[i % 8 == 0]) for i in range(16_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    goal = mixing.targets(sized)
+    chance = {(r.source, r["class"]): (r.chance, r.rest, r.whole) for r in mixing.chances(sized, goal).collect()}
+    words = Counter()
+    for _, t, source in rows:
+        words[source, (n := len(t.split())).bit_length()] += n
+    for source in "ab":
+        rest = chance[source, 1][1]
+        own = scale_of({k: w for (s, k), w in words.items() if s == source}, rest)
+        assert all(chance[source, k][0] == pytest.approx(own[k]) for k in own) and len(set(own.values())) > 3
+    got = mixing.mix(docs).collect()
+    seen, taken = Counter(), Counter()
+    for r in got:
+        k = r.source, r.size.bit_length()
+        seen[k], taken[k] = seen[k] + 1, taken[k] + r.copies - chance[k][2]
+    for k, n in seen.items():
+        p = chance[k][0]
+        assert abs(taken[k] / n - p) <= 5 * (p * (1 - p) / n) ** 0.5 + 0.01, k
+    assert len({round(taken[k] / n, 1) for k, n in seen.items() if k[0] == "a"}) > 2
+
+
+def test_other_odds_give_another_ranking(spark):
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("mark"), (F.lit(0.1) + F.col("id") % 7 / 10).alias("chance"))
+    ranks = lambda chance: [r.doc_id for r in rows.orderBy(mixing.standing(chance, "s"), "doc_id").collect()]
+    assert ranks(F.col("chance")) != ranks(F.lit(0.5)) and ranks(F.lit(0.4)) == ranks(F.lit(0.5))
+    certain = rows.select(mixing.standing(F.lit(1.0), "s").alias("q")).distinct().collect()
+    assert [r.q for r in certain] == [0.0]
+
+
+def test_many_sources_are_numbered_in_order(spark):
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.format_string("h%05d", F.col("id")).alias("source"))
+    got = {r.source: r for r in mixing.targets(rows.select("doc_id", "source", F.lit(2).cast("long").alias("size"))).collect()}
+    expected = fill({f"h{i:05d}": 2 for i in range(1000)})
+    assert all(got[s].target == pytest.approx(t) for s, t in expected.items())
+
+
 def test_mixing_edge_cases(spark):
     schema = "doc_id long, text string, source string, size string, target int"
     rows = spark.createDataFrame([(1, "a b", "s", "x", 1), (1, "a b", "s", "x", 1), (None, "c d", None, None, None), (None, None, None, None, None)], schema)
     got = mixing.mix(rows).collect()
     assert len(got) == 4 and len({r.taken for r in got if r.doc_id == 1}) == 1 and {r.size for r in got} == {2, 0}
     assert mixing.mix(rows.limit(0)).count() == 0
+    nulls = mixing.mix(spark.createDataFrame([(None, f"w{i} x", "s") for i in range(300)] + [(1, "a", "t")], "doc_id long, text string, source string"))
+    assert 1 < nulls.where("source = 's'").select("copies").distinct().count() or nulls.where("source = 's' and copies = 1").count() == 300
     assert [r.taken for r in mixing.mix(spark.createDataFrame([(1, "", "s")], "doc_id long, text string, source string")).collect()] == [0]
 
 
