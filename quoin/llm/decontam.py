@@ -20,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, perhaps_among, table
 
 WIDTH, PERCENT, BLOCKS, FLIPS = 5, 80, 8, 3
 RADIUS = BLOCKS * (FLIPS + 1) - 1
@@ -38,7 +38,9 @@ def marks_of(items: DataFrame, width: int) -> DataFrame:
     """The items' distinct shingles by anchor, their longest word (the first such): anchor, offset, gram, places.
 
     A text holds a shingle only where it holds the anchor, and longest words are
-    rare ones, so that few words of a text have to be looked at more closely.
+    rare ones, so that few words of a text have to be looked at more closely. places
+    are distinct (place in the item, item's length), so however many items share a
+    shingle, there are no more than lengths and places in the longest item.
     """
     many = F.transform(F.sequence(F.lit(1), F.size("iw") - width + 1), lambda i: F.slice("iw", i, width))
     runs = F.when(F.size("iw") >= width, many).otherwise(F.array("iw"))
@@ -78,6 +80,46 @@ def bound(a: Column, b: Column) -> Column:
     return both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
 
 
+def placed(hits: DataFrame) -> DataFrame:
+    """hits with length and start_word of the windows that their places ask for; size: the text's words."""
+    hits = hits.withColumn("place", F.explode("places"))
+    length = F.least(F.col("place.length"), F.col("size"))
+    start = F.greatest(F.lit(0), F.least(F.col("begin") - F.col("place.at"), F.col("size") - length))
+    return hits.withColumn("length", F.col("place.length")).withColumn("start_word", start).withColumn("take", length)
+
+
+def windows_here(docs: DataFrame, marks: DataFrame, width: int) -> DataFrame:
+    """doc_id, length, start_word, ww of the windows, by broadcasting the marks: nothing of the texts is shuffled but windows."""
+    spots = docs.select("doc_id", words(F.col("text")).alias("w"))
+    spots = spots.select("doc_id", "w", F.posexplode("w").alias("pos", "anchor"))
+    hits = spots.join(F.broadcast(marks), "anchor").withColumn("begin", F.col("pos") - F.col("offset")).withColumn("size", F.size("w"))
+    here = (F.col("begin") >= 0) & (F.slice("w", F.greatest("begin", F.lit(0)) + 1, F.size("gram")) == F.col("gram"))
+    hits = placed(hits.where(here & ((F.size("gram") >= width) | (F.col("size") == F.size("gram")))))
+    return hits.select("doc_id", "length", "start_word", F.slice("w", F.col("start_word") + 1, F.col("take")).alias("ww"))
+
+
+def windows_far(docs: DataFrame, marks: DataFrame, width: int) -> DataFrame:
+    """As windows_here, for more marks than may be broadcast.
+
+    Words that a Bloom filter of fixed size finds among the anchors are shuffled, each
+    with the width - 1 words on both sides; texts are fetched for hits only. A hot
+    anchor's rows are split by Spark's skew join.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w"))
+    spots = rows.select("doc_id", "mark", "w", F.posexplode("w").alias("pos", "anchor"))
+    spots = perhaps_among(spots, "anchor", marks.select("anchor"))
+    first = F.greatest(F.col("pos") - (width - 1), F.lit(0))
+    spots = spots.select("doc_id", "mark", F.size("w").alias("size"), "pos", "anchor", first.alias("first"), F.slice("w", first + 1, 2 * width - 1).alias("near"))
+    hits = spots.join(marks, "anchor").withColumn("begin", F.col("pos") - F.col("offset"))
+    here = (F.col("begin") >= 0) & (F.slice("near", F.greatest(F.col("begin") - F.col("first"), F.lit(0)) + 1, F.size("gram")) == F.col("gram"))
+    hits = placed(hits.where(here & ((F.size("gram") >= width) | (F.col("size") == F.size("gram")))))
+    asked = table(hits.select("doc_id", "mark", "length", "start_word", "take").distinct(), "asked")
+    texts = docs.withColumn("mark", F.xxhash64("text"))
+    texts = perhaps_among(texts, "mark", asked.select("mark")).select(F.col("doc_id").alias("text_id"), F.col("mark").alias("text_mark"), "text")
+    met = asked.join(texts, F.col("doc_id").eqNullSafe(F.col("text_id")) & (F.col("mark") == F.col("text_mark")))
+    return met.select("doc_id", "length", "start_word", F.slice(words(F.col("text")), F.col("start_word") + 1, F.col("take")).alias("ww"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """One row for each document and item it holds: doc_id, item_id, start_word, n_words, hamming, similarity.
 
@@ -94,16 +136,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, perc
     items = items.select("item_id", "iw", F.size("iw").alias("length"), grams(F.col("iw"), width).alias("ig"), simhash(F.col("iw")).alias("ifp"))
     marks = marks_of(items, width)
     small = marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    spots = docs.select("doc_id", words(F.col("text")).alias("w"))
-    spots = spots.select("doc_id", "w", F.posexplode("w").alias("pos", "anchor"))
-    hits = spots.join(F.broadcast(marks) if small else marks, "anchor")
-    begin = F.col("pos") - F.col("offset")
-    here = (begin >= 0) & (F.slice("w", F.greatest(begin, F.lit(0)) + 1, F.size("gram")) == F.col("gram"))
-    hits = hits.where(here & ((F.size("gram") >= width) | (F.size("w") == F.size("gram"))))
-    hits = hits.select("doc_id", "w", begin.alias("begin"), F.explode("places").alias("place"))
-    length = F.least(F.col("place.length"), F.size("w"))
-    start = F.greatest(F.lit(0), F.least(F.col("begin") - F.col("place.at"), F.size("w") - length))
-    windows = hits.select("doc_id", F.col("place.length").alias("length"), start.alias("start_word"), F.slice("w", start + 1, length).alias("ww")).distinct()
+    find = windows_here if small else windows_far
+    windows = find(docs.select("doc_id", F.col("text").cast("string").alias("text")), marks, width).distinct()
     windows = windows.withColumn("fp", simhash(F.col("ww")))
     changes = [0, *(sum(1 << b for b in bits) for n in range(1, FLIPS + 1) for bits in combinations(range(_BITS), n))]
     flips = F.array(*map(F.lit, changes))

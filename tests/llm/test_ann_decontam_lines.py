@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quoin.llm import ann, decontam, line_dedup
@@ -41,7 +42,9 @@ def test_few_candidates_and_empty_table(spark):
     assert ann.nearest(table.limit(0), F.lit(True)).count() == 0
 
 
-def test_contaminated_documents_equal_brute_force(spark):
+@pytest.mark.parametrize("most", [decontam.BROADCAST_ROWS, 0])
+def test_contaminated_documents_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", most)
     draw = random.Random(9)
     items = {i: H.prose(draw, draw.randrange(15, 40), 3000) for i in range(12)} | {50: None, 51: "", 52: "tiny item"}
     texts = {}
@@ -53,11 +56,11 @@ def test_contaminated_documents_equal_brute_force(spark):
                 passage[-1] = "changed"
             own[len(own) // 2 : len(own) // 2] = passage
         texts[i] = "\n ".join(own)
-    texts |= {200: None, 201: "", 202: " Tiny\tITEM ", 203: items[3]}
-    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, item_id string")
+    texts |= {200: None, 201: "", 202: " Tiny\tITEM ", 203: items[3], 204: " ".join([H.prose(draw, 30_000, 3000), items[5], H.prose(draw, 30_000, 3000)])}
+    docs = spark.createDataFrame([*((i, t, "x") for i, t in texts.items()), (203, items[3], "y"), (None, items[4], None)], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([*items.items(), (3, items[3])], "item_id long, text string")
     got = decontam.contaminated(docs, bench).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d, t in texts.items() for i in H.held_items(t, items)} | {(202, 52)}
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d, t in texts.items() for i in H.held_items(t, items)} | {(202, 52), (None, 4)} and len(got) == len({(r.doc_id, r.item_id) for r in got})
     assert all(r.similarity >= 0.8 and r.hamming <= decontam.RADIUS for r in got)
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
