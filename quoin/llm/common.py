@@ -108,5 +108,5 @@ def perhaps_among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
 
 def without(rows: DataFrame, column: str, unwanted: DataFrame) -> DataFrame:
     """rows whose column is not in unwanted's; only those the filter cannot clear are shuffled. Nulls stay."""
-    flagged = flagged(rows, column, unwanted)
-    return flagged.where("not __hit").drop("__hit").unionByName(flagged.where("__hit").drop("__hit").join(unwanted.select(column), column, "left_anti").select(*rows.columns))
+    marked = flagged(rows, column, unwanted)
+    return marked.where("not __hit").drop("__hit").unionByName(marked.where("__hit").drop("__hit").join(unwanted.select(column), column, "left_anti").select(*rows.columns))
