@@ -1,98 +1,163 @@
 """Approximate nearest neighbours with randomly rotated one-bit codes.
 
-Vectors are made unit length, rotated by a random orthogonal matrix, and kept as
-the signs of their coordinates (packed bits) with a correction scalar: the inner
-product of the rotated vector with its own code. For a rotated unit query q and a
-code c with correction r, <c, q> / r estimates the cosine without bias, and its
-error stays under z * sqrt((1 / r**2 - 1) / (dim - 1)) with a probability set by z. Per query and block of candidates, every candidate whose upper bound
-reaches the k-th best lower bound is scored exactly on the original vectors. The
-k best of the blocks then meet per query.
-
-Queries and candidates meet block by block, every query block with every candidate
-block; the blocks have fixed sizes, so a task's memory does not grow.
+Equal vectors form a class, searched once. A class vector is made unit length, turned
+by a random orthogonal map into EXPAND times its dimensions, and stored as the signs
+of its coordinates (packed bits) with a correction scalar r: the inner product of the
+turned vector with its own code. Queries are turned alike and rounded to LEVELS bits a
+coordinate, so that their inner product with a code c is a sum of popcounts of c with
+the bit planes. That over r estimates the cosine without bias; its error stays under
+z * sqrt((1 / r**2 - 1) / (width - 1)) with a probability set by z, and the rounding
+adds at most the query's summed rounding errors over sqrt(width) * r.
+
+1. Every query block meets every block of codes, and names its best lower bounds.
+   The (k + 1)-th best of all is the query's limit.
+2. They meet again; candidates whose upper bound reaches the limit go on.
+3. The original vectors of these few are fetched by id and scored exactly.
+
+Only codes and planes travel between blocks; the blocks have fixed sizes, so a task's
+memory does not grow. Of a class only the k + 1 smallest ids can be among the nearest,
+since its members score equally, so a common vector is no large group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
-K, BOUND, ROWS, QUERIES, SEED = 5, 4.0, 4096, 2048, 11
+K, BOUND, ROWS, QUERIES, SEED = 5, 3.0, 4096, 512, 11
+#: Code bits for each dimension, and bits of a query's coordinate.
+EXPAND, LEVELS = 4, 6
 
 
+@lru_cache(8)
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    """A random orthogonal matrix, from the QR decomposition of normal numbers."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """Orthonormal rows that turn vectors into EXPAND * dim dimensions or a few more, from the QR decomposition of normal numbers."""
+    width = -(-dim * EXPAND // 64) * 64
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, dim)))
+    return np.ascontiguousarray((q * np.sign(np.diag(r))).T)
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows at length 1; scaled by their largest number first, so that none overflows."""
+    rows = rows / np.abs(rows).max(1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def encode(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed sign bits of the turned unit vectors, and their corrections."""
+    bits = np.packbits(turned > 0, axis=1)
+    return bits.view(np.uint64), (np.abs(turned).sum(1) / np.sqrt(turned.shape[1])).astype(np.float32)
 
 
-def encode(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed sign bits of the rotated unit vectors, and their corrections."""
-    turned = unit @ turn
-    return np.packbits(turned > 0, axis=1), np.abs(turned).sum(1) / np.sqrt(turned.shape[1])
+def quantise(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bit planes of turned queries, and for each its least number, step, sum and summed rounding errors."""
+    least = turned.min(1, keepdims=True)
+    step = np.maximum((turned.max(1, keepdims=True) - least) / (2**LEVELS - 1), 1e-30)
+    level = np.rint((turned - least) / step)
+    planes = np.stack([np.packbits(level.astype(np.int64) >> j & 1, axis=1).view(np.uint64) for j in range(LEVELS)], 1)
+    rounded = least + step * level
+    return planes, np.concatenate([least, step, rounded.sum(1, keepdims=True), np.abs(turned - rounded).sum(1, keepdims=True)], 1)
 
 
-def bounds(bits: np.ndarray, correction: np.ndarray, turned: np.ndarray, z: float) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the cosines, a row for each rotated unit query."""
-    dim = turned.shape[1]
-    signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1
-    estimate = (turned.astype(np.float32) @ signs.T) / np.float32(np.sqrt(dim)) / correction.astype(np.float32)
-    error = z * np.sqrt(np.maximum(1 / correction**2 - 1, 0) / max(dim - 1, 1)).astype(np.float32)
+def bounds(codes: np.ndarray, correction: np.ndarray, planes: np.ndarray, figures: np.ndarray, z: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of one query's cosines, from popcounts."""
+    width = 64 * codes.shape[1]
+    least, step, total, rounding = figures
+    ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
+    weighed = sum((np.bitwise_count(codes & plane).sum(1, dtype=np.int64) << j for j, plane in enumerate(planes)), np.zeros(len(codes), np.int64))
+    estimate = (2 * (least * ones + step * weighed) - total) / np.sqrt(width) / correction
+    error = z * np.sqrt(np.maximum(1 / correction**2 - 1, 0) / (width - 1)) + rounding / np.sqrt(width) / correction
     return estimate - error, estimate + error
 
 
-def unit(rows: np.ndarray) -> np.ndarray:
-    """Rows at length 1; scaled by their largest number first, so that none overflows."""
-    rows = rows / np.abs(rows).max(1, keepdims=True)
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows with rows in double precision, each on its own so that equal rows score equally."""
+    a, b = (x / np.abs(x).max(1, keepdims=True) for x in (a, b))
+    return np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", b, b)) / np.sqrt(np.einsum("ij,ij->i", a, a))
 
 
-def cosine(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Cosines in double precision, each row on its own so that equal rows score equally."""
-    query = query / np.abs(query).max()
-    rows = rows / np.abs(rows).max(1, keepdims=True)
-    return np.einsum("ij,j->i", rows, query) / np.sqrt(np.einsum("ij,ij->i", rows, rows)) / np.sqrt(np.einsum("i,i->", query, query))
-
-
-def once(rows: pd.DataFrame) -> pd.DataFrame:
-    """Each id once; of rows that share an id, the one with the smallest vector."""
-    if rows["id"].is_unique:
-        return rows
-    return rows.assign(order=rows["v"].map(tuple)).sort_values(["id", "order"]).drop_duplicates("id")
-
-
-def searcher(k: int, z: float, seed: int):
-    def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(queries) or not len(rows):
-            return none
-        queries, rows, out = once(queries), once(rows), [none]
-        for dim, part in rows.groupby("dim"):
-            asked = queries[queries["dim"] == dim]
-            if not len(asked):
-                continue
-            turn = rotation(int(dim), seed)
-            ids, vectors = part["id"].to_numpy(np.int64), np.array(part["v"].tolist(), np.float64)
-            bits, correction = encode(unit(vectors), turn)
-            own, asked_vectors = asked["id"].to_numpy(np.int64), np.array(asked["v"].tolist(), np.float64)
-            turned = unit(asked_vectors) @ turn
-            for first in range(0, len(own), 256):
-                low, high = bounds(bits, correction, turned[first : first + 256], z)
-                for i in range(len(low)):
-                    me = own[first + i]
-                    low[i, ids == me] = -np.inf
-                    kept = np.partition(low[i], len(ids) - k)[len(ids) - k] if len(ids) > k else -np.inf
-                    near = np.flatnonzero((high[i] >= kept) & (ids != me))
-                    score = cosine(asked_vectors[first + i], vectors[near])
-                    best = np.lexsort((ids[near], -score))[:k]
-                    out.append(pd.DataFrame({"query_id": me, "vec_id": ids[near][best], "score": score[best]}))
-        return pd.concat(out, ignore_index=True)
-
-    return search
+def vectors_of(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+CODES = "dim int, rb int, c binary, code binary, correction binary"
+ASKED = "dim int, qb int, q binary, planes binary, figures binary, limits binary"
+
+
+def coder(seed: int):
+    def code(rows: pa.Table) -> pa.Table:
+        dim = rows.column("dim")[0].as_py()
+        bits, correction = encode(unit(vectors_of(rows.column("v"), dim)) @ rotation(dim, seed))
+        ids = np.ascontiguousarray(rows.column("cls").to_numpy())
+        out = {"dim": dim, "rb": rows.column("rb")[0].as_py(), "c": ids.tobytes(), "code": bits.tobytes(), "correction": correction.tobytes()}
+        return pa.table({k: pa.array([v], pa.int32() if isinstance(v, int) else pa.binary()) for k, v in out.items()})
+
+    return code
+
+
+def asker(seed: int):
+    def ask(rows: pa.Table) -> pa.Table:
+        dim = rows.column("dim")[0].as_py()
+        planes, figures = quantise(unit(vectors_of(rows.column("v"), dim)) @ rotation(dim, seed))
+        ids, limits = (np.ascontiguousarray(rows.column(c).to_numpy()) for c in ("cls", "limit"))
+        out = {"dim": dim, "qb": rows.column("qb")[0].as_py(), "q": ids.tobytes(), "planes": planes.tobytes(), "figures": figures.tobytes(), "limits": limits.tobytes()}
+        return pa.table({k: pa.array([v], pa.int32() if isinstance(v, int) else pa.binary()) for k, v in out.items()})
+
+    return ask
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The numbers of every meeting of a query block and a block of codes."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            row = {k: batch.column(k)[r].as_py() for k in ("q", "planes", "figures", "limits", "c", "code", "correction")}
+            q, c = np.frombuffer(row["q"], np.int64), np.frombuffer(row["c"], np.int64)
+            planes, codes = np.frombuffer(row["planes"], np.uint64).reshape(len(q), LEVELS, -1), np.frombuffer(row["code"], np.uint64).reshape(len(c), -1)
+            yield q, planes, np.frombuffer(row["figures"]).reshape(len(q), 4), np.frombuffer(row["limits"]), c, codes, np.frombuffer(row["correction"], np.float32)
+
+
+def lowest(k: int, z: float):
+    """The k best lower bounds that a task finds for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, np.ndarray] = {}
+        for q, planes, figures, _, _, codes, correction in opened(batches):
+            for i in range(len(q)):
+                low, _ = bounds(codes, correction, planes[i], figures[i], z)
+                low = np.concatenate([low, best.get(int(q[i]), low[:0])])
+                best[int(q[i])] = np.partition(low, len(low) - k)[len(low) - k :] if len(low) > k else low
+        n = [len(x) for x in best.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(best), np.int64), n)), pa.array(np.concatenate([*best.values(), np.zeros(0)]))], ["q", "low"])
+
+    return run
+
+
+def reaching(z: float):
+    """Candidates whose upper bound reaches their query's limit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for q, planes, figures, limits, c, codes, correction in opened(batches):
+            near = [np.flatnonzero(bounds(codes, correction, planes[i], figures[i], z)[1] >= limits[i]) for i in range(len(q))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, [len(x) for x in near])), pa.array(c[np.concatenate(near)])], ["q", "c"])
+
+    return run
+
+
+def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        score, dims = np.zeros(batch.num_rows), batch.column("dim").to_numpy()
+        for dim in np.unique(dims).tolist():
+            rows = np.flatnonzero(dims == dim)
+            score[rows] = cosine(*(vectors_of(batch.column(x).take(pa.array(rows)), dim) for x in ("v_q", "v_c")))
+        yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("c"), pa.array(score)], ["q", "c", "score"])
 
 
 def usable(vector: Column) -> Column:
@@ -101,23 +166,48 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(F.forall(vector, finite), F.lit(False)) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def first_rows(rows: DataFrame, by: list[str], order: list[Column], n: int, name: str) -> DataFrame:
+    """The first n rows of each group, with their rank; Spark cuts each task's rows to n before it shuffles them."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("int")).where(F.col(name) <= n)
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, z: float = BOUND, seed: int = SEED) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest other rows of every query by cosine.
+    """query_id, rank (from 1), vec_id, score: the k nearest other rows of every query row by cosine.
 
     vectors: vec_id long, embedding array; other columns are ignored. is_query: which
     rows to search for. Vectors that are null, empty, zero or hold a null or non-finite
     number take no part, nor rows whose vec_id is null; vectors meet only vectors of
-    their own length. Ties go to the smaller vec_id; a repeated row counts once. A
-    query's own vec_id is never found. With fewer candidates all are returned.
+    their own length. Ties go to the smaller vec_id. Every row but the query's own is a
+    candidate, so rows that repeat a vec_id are found one by one, and each of them that
+    is a query has its own result. With fewer candidates all are returned.
     """
     v = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), v.alias("v"), is_query.alias("asked")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    rows = table(rows.withColumn("dim", F.size("v")), "vectors")
-    n, asked = rows.agg(F.count("*"), F.count_if("asked")).first()
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    rows = table(rows.select("*", F.size("v").alias("dim"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(5), "v").alias("h2"), F.monotonically_increasing_id().alias("uid")), "vectors")
+    members = first_rows(rows.select("id", "uid", "h1", "h2"), ["h1", "h2"], [F.col("id"), F.col("uid")], k + 1, "n").groupBy("h1", "h2").agg(F.collect_list(F.struct("id", "uid")).alias("members"))
+    classes = rows.groupBy("h1", "h2").agg(F.min("uid").alias("cls"), F.max("asked").alias("asked"))
+    classes = table(classes.join(members, ["h1", "h2"]).join(rows.select(F.col("uid").alias("cls"), "v", "dim"), "cls"), "vector-classes")
+    n, asked = classes.agg(F.count("*"), F.count_if("asked")).first()
     row_blocks, query_blocks = -(-n // ROWS) or 1, -(-asked // QUERIES) or 1
-    block = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
-    left = rows.where("asked").select("id", "v", "dim", block(query_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
-    right = rows.select("id", "v", "dim", block(row_blocks).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    pairs = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(searcher(k, z, seed), "query_id long, vec_id long, score double").distinct()
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    block = lambda count: F.pmod(F.xxhash64("cls"), F.lit(count)).cast("int")
+    codes = classes.select("cls", "v", "dim", block(row_blocks).alias("rb")).groupBy("dim", "rb").applyInArrow(coder(seed), CODES)
+    codes = table(codes, "codes").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    queries = classes.where("asked").select("cls", "v", "dim", block(query_blocks).alias("qb"))
+
+    def meet(limits: DataFrame | None) -> DataFrame:
+        limit = F.lit(float("-inf")).alias("limit")
+        limited = queries.withColumn("limit", limit) if limits is None else queries.join(limits.withColumnRenamed("q", "cls"), "cls", "left").withColumn("limit", F.coalesce("limit", limit))
+        blocks = table(limited.groupBy("dim", "qb").applyInArrow(asker(seed), ASKED), "queries")
+        blocks = blocks.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+        return blocks.join(codes, ["dim", "qb", "rb"]).select("q", "planes", "figures", "limits", "c", "code", "correction")
+
+    lows = meet(None).mapInArrow(lowest(k + 1, z), "q long, low double")
+    limits = first_rows(lows, ["q"], [F.desc("low")], k + 1, "n").where(F.col("n") == k + 1).select("q", F.col("low").alias("limit"))
+    near = meet(table(limits, "limits")).mapInArrow(reaching(z), "q long, c long")
+    sided = near.join(classes.select(F.col("cls").alias("q"), "dim", F.col("v").alias("v_q")), "q").join(classes.select(F.col("cls").alias("c"), F.col("v").alias("v_c")), "c")
+    found = table(sided.select("q", "c", "dim", "v_q", "v_c").mapInArrow(scored, "q long, c long, score double"), "scored")
+    found = found.join(classes.select(F.col("cls").alias("c"), "members"), "c").select("q", "score", F.inline("members"))
+    found = first_rows(found, ["q"], [F.desc("score"), F.col("id"), F.col("uid")], k + 1, "n").select("q", "score", F.col("id").alias("vec_id"), F.col("uid").alias("found"))
+    own = rows.where("asked").select(F.col("id").alias("query_id"), "uid", "h1", "h2").join(classes.select("h1", "h2", F.col("cls").alias("q")), ["h1", "h2"])
+    pairs = own.join(found, "q").where("uid != found")
+    return first_rows(pairs, ["uid"], [F.desc("score"), F.col("vec_id"), F.col("found")], k, "rank").select("query_id", "rank", "vec_id", "score")

@@ -14,25 +14,65 @@ def test_nearest_equal_brute_force_and_bounds_hold(spark, monkeypatch):
     monkeypatch.setattr(ann, "ROWS", 150)
     monkeypatch.setattr(ann, "QUERIES", 7)
     draw = np.random.default_rng(3)
-    v = draw.normal(size=(600, 16)) + 2 * draw.normal(size=(8, 16))[draw.integers(0, 8, 600)]
-    v[10:40] = v[10]  # one common vector
+    v = draw.normal(size=(600, 64)) + 2 * draw.normal(size=(8, 64))[draw.integers(0, 8, 600)]
+    v[10:400:2] = v[10]  # one common vector, a third of all rows
+    v[11] = 3 * v[10]
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
-    bad = [(900, None), (950, [0.0] * 16), (1000, [float("nan")] * 16), (1050, [None, *[1.0] * 15]), (1100, [math.inf, *[1.0] * 15]), (1150, [])]
-    table = spark.createDataFrame([*rows, *bad, rows[0], (None, rows[1][1])], "vec_id long, embedding array<double>")
+    bad = [(900, None), (950, [0.0] * 64), (1000, [float("nan")] * 64), (1050, [None, *[1.0] * 63]), (1100, [math.inf, *[1.0] * 63]), (1150, [])]
+    ids = [*range(600), 0, 450, 450]
+    v = np.concatenate([v, v[[7, 451, 452]]])
+    rows = [(i, [float(x) for x in r]) for i, r in zip(ids, v)]
+    table = spark.createDataFrame([*rows, *bad, (None, rows[1][1])], "vec_id long, embedding array<double>").repartition(3)
     got = ann.nearest(table, F.col("vec_id") % 50 == 0).collect()
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    hits = 0
-    for q in range(0, 600, 50):
-        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
-        scores = ann.cosine(v[q], v)
-        order = [i for i in np.lexsort((np.arange(600), -scores)) if i != q][:5]
-        assert [r for r, *_ in own] == [1, 2, 3, 4, 5] and all(abs(scores[i] - s) < 1e-12 for _, i, s in own)
-        hits += len(set(order) & {i for _, i, _ in own})
-    assert hits >= 0.97 * 60 and {r.query_id for r in got} == set(range(0, 600, 50))
-    turn = ann.rotation(16)
-    low, high = ann.bounds(*ann.encode(unit, turn), unit[:20] @ turn, 4.0)
-    exact = unit[:20] @ unit.T
-    assert ((low - 1e-4 <= exact) & (exact <= high + 1e-4)).mean() > 0.999
+    hits, found = 0, {}
+    for r in got:
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    asked = [i for i, x in enumerate(ids) if x % 50 == 0]
+    for q in {ids[i] for i in asked}:
+        own = [i for i in asked if ids[i] == q]
+        assert sorted(r for r, _, _ in found[q]) == sorted([1, 2, 3, 4, 5] * len(own))
+        expected = []
+        for i in own:
+            scores = ann.cosine(np.repeat(v[[i]], len(v), 0), v)
+            order = [j for j in np.lexsort((ids, -scores)) if j != i][:5]
+            expected += [(k + 1, ids[j], round(scores[j], 12)) for k, j in enumerate(order)]
+        hits += len(set(expected) & {(a, b, round(c, 12)) for a, b, c in found[q]}) / len(expected)
+    assert hits >= 0.97 * len(found) and set(found) == {x for x in ids if x % 50 == 0}
+
+
+def test_bounds_come_from_codes_and_hold():
+    draw = np.random.default_rng(5)
+    x = ann.unit(draw.normal(size=(500, 48)) + draw.normal(size=48))
+    turn = ann.rotation(48)
+    assert np.allclose(turn @ turn.T, np.eye(48)) and turn.shape[1] % 64 == 0
+    codes, correction = ann.encode(x @ turn)
+    planes, figures = ann.quantise(x[:40] @ turn)
+    inside = []
+    for i in range(40):
+        low, high = ann.bounds(codes, correction, planes[i], figures[i], 3.0)
+        exact = x @ x[i]
+        inside.append(((low <= exact) & (exact <= high)).mean())
+        signs = np.unpackbits(codes.view(np.uint8), axis=1).astype(float) * 2 - 1
+        estimate = signs @ (x[i] @ turn) / np.sqrt(turn.shape[1]) / correction
+        assert np.abs((low + high) / 2 - estimate).max() <= figures[i][3] / np.sqrt(turn.shape[1]) / correction.min() + 1e-9
+        assert (high - low).mean() < 0.6
+    assert np.mean(inside) > 0.99
+
+
+def test_only_few_vectors_are_scored(spark, monkeypatch):
+    """The limits of all blocks together choose; without the bounds every vector would be."""
+    draw = np.random.default_rng(6)
+    v = draw.normal(size=(3000, 64)) + 2 * draw.normal(size=(40, 64))[draw.integers(0, 40, 3000)]
+    table = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    kept, write = {}, ann.table
+
+    def keep(df, name):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(ann, "table", keep)
+    ann.nearest(table, F.col("vec_id") % 50 == 0).count()
+    assert 60 * 6 <= kept["scored"].count() < 0.25 * 60 * 3000
 
 
 def test_few_candidates_and_empty_table(spark):
