@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from collections import deque
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from html import escape
 from math import gcd, hypot
 from statistics import median
@@ -264,6 +264,7 @@ class Page:
     groups: list[Group]
     memo: dict = field(default_factory=dict)
     held: dict = field(default_factory=dict)
+    leaves: dict = field(default_factory=dict)
 
     def within(self, region: Box) -> list[dict]:
         """The elements that overlap a region, looked up once for each region."""
@@ -286,7 +287,7 @@ def measure(page: Page, region: Box) -> dict:
     l, t, r, b = region
     own = page.within(region)
     front = [e for e in own if e["role"] == "foreground"]
-    texts = [e for e in front if e["text"]]
+    texts, back = [e for e in front if e["text"]], [e for e in own if e["role"] != "foreground"]
     size = max(1, (r - l) * (b - t))
     share = lambda items: unit(sum(common_area(e["box"], region) for e in items) / size)
     kinds = [g.kind for g in page.groups if common_area(g.box, region)]
@@ -294,7 +295,7 @@ def measure(page: Page, region: Box) -> dict:
     cx, cy = (boxes[:, 0] + boxes[:, 2]) / 2, (boxes[:, 1] + boxes[:, 3]) / 2
     m = {
         "front": len(front), "texts": len(texts), "others": len(front) - len(texts), "text_ratio": len(texts) / len(front) if front else 0.0,
-        "density": share(front), "container": share([e for e in own if e["role"] == "container"]), "largest": unit(max((common_area(e["box"], region) for e in own), default=0) / size),
+        "density": share(front), "container": share(back), "largest": unit(max((common_area(e["box"], region) for e in own if not (e["role"] == "foreground" and e["text"])), default=0) / size),
         "height": unit((b - t) / page.height), "area": unit((r - l) * (b - t) / (page.width * page.height)), "groups": len(kinds), "background": 1.0,
         **{k: kinds.count(k) for k in ("row", "column", "grid")},
         "same_size": 0.0, "same_step": 0.0, "hgap": 0.0, "vgap": 0.0, "hspread": 0.0, "vspread": 0.0,
@@ -303,10 +304,12 @@ def measure(page: Page, region: Box) -> dict:
     m["position"] = "header" if middle <= 0.2 else "footer" if middle >= 0.82 else "content"
     if len(front) >= 2:
         m["same_size"] = unit((regularity(boxes[:, 2] - boxes[:, 0]) + regularity(boxes[:, 3] - boxes[:, 1])) / 2)
-        m["hspread"], m["vspread"] = unit(float(np.ptp(cx)) / max(1, r - l)), unit(float(np.ptp(cy)) / max(1, b - t))
         down, over = boxes[np.lexsort((boxes[:, 0], boxes[:, 1]))], boxes[np.lexsort((boxes[:, 1], boxes[:, 0]))]
         m["hgap"] = unit(max(0.0, float((down[1:, 1] - down[:-1, 3]).max())) / max(1, b - t))
         m["vgap"] = unit(max(0.0, float((over[1:, 0] - over[:-1, 2]).max())) / max(1, r - l))
+    if len(texts) >= 2:
+        middles = np.array([((e["box"][0] + e["box"][2]) / 2, (e["box"][1] + e["box"][3]) / 2) for e in texts])
+        m["hspread"], m["vspread"] = (unit(float(x) / max(1, n)) for x, n in zip(np.ptp(middles, 0), (r - l, b - t), strict=True))
     if len(front) >= 3:
         steps = [d[d > 1] for d in (np.diff(np.sort(cx)), np.diff(np.sort(cy)))]
         m["same_step"] = unit(max((regularity(d) for d in steps if len(d) >= 2), default=0.0))
@@ -332,9 +335,11 @@ def region_type(m: dict) -> tuple[str, float]:
         "footer": 0.30 * (m["position"] == "footer") + 0.20 * text + 0.15 * one(m["front"] / 6) + 0.20 * one((m["column"] + m["grid"]) / 2) + 0.15 * bg,
         "mixed": 0.25 * one(m["front"] / 8) + 0.20 * one(m["groups"] / 3) + 0.15 * (1 - text) + 0.15 * (1 - rep) + 0.25 * max(h, v),
     }
-    ranked = sorted(((-max(0.0, min(1.0, scores[k])), i, k) for i, k in enumerate(TYPES)))
-    win, second = -ranked[0][0], -ranked[1][0]
-    return (ranked[0][2] if win >= 0.42 else "mixed"), unit(0.7 * win + 0.3 * max(0.0, win - second))
+    scores = {k: max(0.0, min(1.0, x)) for k, x in scores.items()}
+    kind = min(TYPES, key=lambda k: (-scores[k], TYPES.index(k)))
+    kind = kind if scores[kind] >= 0.42 else "mixed"
+    lead = scores[kind] - max(x for k, x in scores.items() if k != kind)
+    return kind, unit(0.7 * scores[kind] + 0.3 * max(0.0, lead))
 
 
 @dataclass
@@ -519,77 +524,106 @@ def study(page: Page, region: Box) -> tuple[dict, str, list[Cut], list[Choice]]:
 # Tree search
 
 
+#: Sums that a tree's score is made of. The first six follow the decisions, the others the leaves.
+SUMS = ("cuts", "separator", "direction", "boundary", "cohesion", "units", "repeat", "leaves", "empty", "thin_text", "small_single", "under", "filled")
+_AT = {name: i for i, name in enumerate(SUMS)}
+
+
 @dataclass(frozen=True)
 class State:
-    """steps: (region, depth, choice) in the order decided; pending: (region, depth)."""
+    """steps: (region, depth, choice) in the order decided; pending: (region, depth); sums as in SUMS; groups and large: what the cuts cross."""
 
     steps: tuple = ()
     pending: tuple = ()
     score: float = 0.0
     local: float = 0.0
+    sums: tuple = (0.0,) * len(SUMS)
+    groups: frozenset = frozenset()
+    large: frozenset = frozenset()
 
     @property
     def average(self) -> float:
         return self.local / max(1, len(self.steps))
 
-    def key(self) -> str:
-        return repr(sorted((r, c.cut.direction, c.cut.at) for r, _, c in self.steps if c.cut)) + repr(sorted(p for p, _ in self.pending))
+    def key(self) -> tuple:
+        """Equal for equal trees: regions are decided in a fixed order."""
+        return tuple((r, c.cut and (c.cut.direction, c.cut.at)) for r, _, c in self.steps)
 
-    def leaves(self) -> list[Box]:
-        return [r for r, _, c in self.steps if c.cut is None] + [r for r, _ in self.pending]
 
+class Spelling:
+    """A state's tree written out, for the order of states of equal rank; made only when asked for."""
 
-def tree_terms(page: Page, state: State) -> tuple[dict, dict]:
-    """The rewards and penalties of a tree, each in 0..1."""
-    mean = lambda xs: sum(xs) / len(xs) if xs else 0.0
-    studied = [(study(page, r), c) for r, _, c in state.steps]
-    cuts = [c for _, c in studied if c.cut]
-    leaves, boxes = state.leaves(), page.elements
-    inside = [page.within(r) for r in leaves]
-
-    def cohesion(m: dict, kind: str, choice: Choice) -> float:
-        base = 0.35 * m["background"] + 0.2 * m["density"]
-        if kind in ("hero", "navigation", "text_section", "footer"):
-            base += 0.2 * m["text_ratio"] + 0.25 * m["largest"]
-        else:
-            base += 0.225 * (m["same_size"] + m["same_step"]) if kind in ("card_grid", "list") else 0.2
-        return unit(base - (0.4 if choice.cut and "text_fragment" in choice.reasons else 0.0))
+    def __init__(self, page: Page, state: State):
+        self.page, self.state, self.text = page, state, None
 
-    def thin(r: Box, own: list[dict]) -> bool:
-        return bool(own) and all(e["text"] for e in own) and r[3] - r[1] <= max(96, 0.035 * page.height)
+    def spelled(self) -> str:
+        if self.text is None:
+            decided = {(r, d): c for r, d, c in self.state.steps}
 
-    def small(own: list[dict]) -> bool:
-        if len(own) != 1:
-            return False
-        l, t, r, b = own[0]["box"]
-        return (r - l) * (b - t) < 0.04 * page.width * page.height and (own[0]["text"] or r - l < 48 and b - t < 48)
+            def node(region: Box, depth: int) -> dict:
+                out, choice = {"bbox": list(region)}, decided.get((region, depth))
+                if choice is None:
+                    return out
+                out["region_type"] = study(self.page, region)[1]
+                if choice.cut:
+                    _, at, a, z = choice.cut.line
+                    upright = choice.cut.direction == "vertical"
+                    ends = {"x1": at, "y1": a, "x2": at, "y2": z} if upright else {"x1": a, "y1": at, "x2": z, "y2": at}
+                    named = [x for x in PRIORITY if x in choice.cut.sources]
+                    out |= {"split_line": ends | {"direction": choice.cut.direction, "source": named[0]}, "split_score": choice.score, "split_sources": named}
+                    out["children"] = [node(c, depth + 1) for c in choice.cut.children]
+                return out
+
+            self.text = repr(node(self.page.box, 0))
+        return self.text
+
+    def __lt__(self, other: Spelling) -> bool:
+        return self.spelled() < other.spelled()
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Spelling) and self.spelled() == other.spelled()
+
+
+def leaf_sums(page: Page, region: Box, decided: bool) -> dict:
+    """What a region adds to the sums as a leaf; decided: it was left whole, not just not looked at."""
+    key = region, decided
+    if key not in page.leaves:
+        own = page.within(region)
+        l, t, r, b = region
+        area = max(1, page.width * page.height)
 
-    decided = {r: study(page, r)[0] for r, _, c in state.steps}
+        def small(e: dict) -> bool:
+            w, h = e["box"][2] - e["box"][0], e["box"][3] - e["box"][1]
+            return w * h / area < 0.04 and (e["text"] or w < 48 and h < 48)
 
-    def under(r: Box, own: list[dict]) -> float:
-        if len(own) < 4:
-            return 0.0
-        return max(decided[r]["v"], decided[r]["h"]) * min(1.0, len(own) / 8) if r in decided else min(1.0, len(own) / 12)
+        under = 0.0
+        if len(own) >= 4:
+            m = study(page, region)[0] if decided else None
+            under = unit(max(m["v"], m["h"]) * min(1.0, len(own) / 8)) if m else min(1.0, len(own) / 12)
+        thin = bool(own) and all(e["text"] for e in own) and b - t <= max(96, page.height * 0.035)
+        page.leaves[key] = {"leaves": 1, "empty": not own, "thin_text": thin, "small_single": len(own) == 1 and small(own[0]), "under": under, "filled": bool(own)}
+    return page.leaves[key]
 
-    semantic = [g for g in page.groups if g.semantic]
-    n = max(1, len(leaves))
+
+def cohesion(m: dict, kind: str, choice: Choice) -> float:
+    base = 0.35 * m["background"] + 0.2 * m["density"]
+    if kind in ("hero", "navigation", "text_section", "footer"):
+        base += 0.2 * m["text_ratio"] + 0.25 * m["largest"]
+    else:
+        base += 0.225 * (m["same_size"] + m["same_step"]) if kind in ("card_grid", "list") else 0.2
+    return unit(base - (0.4 if choice.cut and "text_fragment" in choice.reasons else 0.0))
+
+
+def tree_terms(page: Page, state: State) -> tuple[dict, dict]:
+    """The rewards and penalties of a tree, each in 0..1, from its sums."""
+    s = dict(zip(SUMS, state.sums, strict=True))
+    semantic, boxes = max(1, sum(g.semantic for g in page.groups)), max(1, len(page.elements))
+    cuts, leaves, steps = max(1, s["cuts"]), max(1, s["leaves"]), max(1, len(state.steps))
     rewards = {
-        "separator": mean([min(1.0, c.cut.score) for c in cuts]),
-        "cohesion": mean([cohesion(s[0], s[1], c) for s, c in studied]),
-        "groups": 1 - len({i for c in cuts for i in c.cut.cut_groups}) / max(1, len(semantic)),
-        "repeats": mean([s[0]["repeat"] for s, _ in studied if s[1] in ("card_grid", "list")]),
-        "direction": mean([1.0 if "preferred_direction" in c.reasons else 0.5 for c in cuts]),
-        "background": mean([max(c.cut.colour, 1.0 if {"lsd", "layout_group", "component_boundary"} & c.cut.sources else 0.0) for c in cuts]),
-        "visual": 1.0,
-    }
-    penalties = {
-        "empty": sum(not own for own in inside) / n,
-        "thin_text": sum(thin(r, own) for r, own in zip(leaves, inside, strict=True)) / n,
-        "small_single": sum(map(small, inside)) / n,
-        "broken_large": len({i for c in cuts for i in c.cut.cut_large}) / max(1, len(boxes)),
-        "under": mean([under(r, own) for r, own in zip(leaves, inside, strict=True)]),
-        "cost": min(1.0, sum(bool(own) for own in inside) / max(1, len(boxes))),
-    }
+        "separator": s["separator"] / cuts, "cohesion": s["cohesion"] / steps, "groups": 1 - len(state.groups) / semantic, "repeats": s["repeat"] / max(1, s["units"]),
+        "direction": s["direction"] / cuts, "background": s["boundary"] / cuts, "visual": 1.0,
+    }
+    penalties = {k: s[k] / leaves for k in ("empty", "thin_text", "small_single")} | {"broken_large": len(state.large) / boxes, "under": s["under"] / leaves, "cost": min(1.0, s["filled"] / boxes)}
     return {k: unit(v) for k, v in rewards.items()}, {k: unit(v) for k, v in penalties.items()}
 
 
@@ -600,9 +634,28 @@ def tree_score(page: Page, state: State) -> float:
 
 def advance(page: Page, state: State, choice: Choice) -> State:
     (region, depth), rest = state.pending[0], state.pending[1:]
-    pending = tuple((c, depth + 1) for c in choice.cut.children) + rest if choice.cut else rest
-    moved = State((*state.steps, (region, depth, choice)), pending, 0.0, round(state.local + choice.score, 6))
-    return State(moved.steps, moved.pending, tree_score(page, moved), moved.local)
+    sums, groups, large = list(state.sums), state.groups, state.large
+
+    def add(more: dict, sign: int = 1) -> None:
+        for k, v in more.items():
+            sums[_AT[k]] += sign * v
+
+    m, kind, _, _ = study(page, region)
+    add({"cohesion": cohesion(m, kind, choice)} | ({"units": 1, "repeat": m["repeat"]} if kind in ("card_grid", "list") else {}))
+    if depth:
+        add(leaf_sums(page, region, False), -1)
+    cut, pending = choice.cut, rest
+    if cut is None:
+        add(leaf_sums(page, region, True))
+    else:
+        pending = (*((c, depth + 1) for c in cut.children), *rest)
+        for c in cut.children:
+            add(leaf_sums(page, c, False))
+        known = 1.0 if {"lsd", "layout_group", "component_boundary"} & cut.sources else 0.0
+        add({"cuts": 1, "separator": min(1.0, cut.score), "direction": 1.0 if "preferred_direction" in choice.reasons else 0.5, "boundary": max(cut.colour, known)})
+        groups, large = groups.union(cut.cut_groups), large.union(cut.cut_large)
+    moved = State((*state.steps, (region, depth, choice)), pending, 0.0, round(state.local + choice.score, 6), tuple(sums), groups, large)
+    return replace(moved, score=tree_score(page, moved))
 
 
 def settle(page: Page, state: State) -> State:
@@ -614,12 +667,16 @@ def settle(page: Page, state: State) -> State:
 
 
 def search(page: Page) -> list[State]:
-    """Finished trees, the best first: a beam over decisions, the first pending region at each step."""
+    """Finished trees, the best first: a beam over decisions, the first pending region at each step.
+
+    Trees of equal score rank by their average local score, then by fewer decisions,
+    then by how they are spelled.
+    """
     p = PARAMETERS
-    final = lambda s: (s.score, s.average, -len(s.steps), s.key())
+    final = lambda s: (s.score, s.average, -len(s.steps), Spelling(page, s))
     beam, done = [State((), ((page.box, 0),))], {}
     while beam:
-        grown: dict[str, State] = {}
+        grown: dict[tuple, State] = {}
         for state in beam:
             if not state.pending or len(state.steps) >= p["expansions"]:
                 state = settle(page, state)
@@ -633,8 +690,8 @@ def search(page: Page) -> list[State]:
                 options += [c for c in choices if c.cut and not blocked.intersection(c.reasons)][: p["splits"]]
             for choice in options:
                 after = advance(page, state, choice)
-                grown[after.key() + repr(len(after.steps))] = after
-        rank = lambda s: (s.score + p["local_weight"] * s.average, s.score, -len(s.steps), s.key())
+                grown[after.key()] = after
+        rank = lambda s: (s.score + p["local_weight"] * s.average, s.score, -len(s.steps), Spelling(page, s))
         beam = sorted(grown.values(), key=rank, reverse=True)[: p["beam"]]
     return sorted(done.values(), key=final, reverse=True)[: p["beam"]]
 
@@ -642,14 +699,14 @@ def search(page: Page) -> list[State]:
 # Layout trees
 
 
-def layout_tree(state: State) -> list[dict]:
-    """Nodes in preorder: id, parent, ordinal, depth, box, kind, portion, score, sources, region type, owned ids."""
+def layout_tree(state: State, page: Page) -> list[dict]:
+    """Nodes in preorder: id, parent, ordinal, depth, box, kind, portion, score, sources, region type, label, owned ids."""
     cuts = {r: c for r, _, c in state.steps if c.cut}
     out: list[dict] = []
 
     def walk(region: Box, parent: int | None, ordinal: int, depth: int, portion: int) -> None:
         choice = cuts.get(region)
-        node = {"id": len(out), "parent": parent, "ordinal": ordinal, "depth": depth, "box": region, "kind": "atomic", "portion": portion, "score": None, "sources": set(), "owned": []}
+        node = {"id": len(out), "parent": parent, "ordinal": ordinal, "depth": depth, "box": region, "kind": "atomic", "portion": portion, "score": None, "sources": set(), "region_type": study(page, region)[1], "label": None, "owned": []}
         out.append(node)
         if choice is None:
             return
@@ -664,8 +721,8 @@ def layout_tree(state: State) -> list[dict]:
     return out
 
 
-def own_elements(tree: list[dict], elements: list[dict]) -> None:
-    """Give each element to the smallest leaf around its centre, else the one it covers most; then icons join readable leaves."""
+def own_elements(tree: list[dict], elements: list[dict], height: int) -> None:
+    """Name each leaf's part of the page, and give each element to the smallest leaf around its centre, else the one it covers most; then icons join readable leaves."""
     leaves = [n for n in tree if n["kind"] == "atomic"]
     area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
     for e in elements:
@@ -688,8 +745,7 @@ def own_elements(tree: list[dict], elements: list[dict]) -> None:
             n["owned"] = []
     for n in leaves:
         n["owned"].sort()
-        if not n["owned"]:
-            n["kind"] = "spacer"
+        n |= {"label": label(n["box"], height)} if n["owned"] else {"kind": "spacer", "region_type": None}
 
 
 def label(box: Box, height: int) -> str:
@@ -697,9 +753,12 @@ def label(box: Box, height: int) -> str:
     return "header" if y < 0.2 * height else "footer" if y > 0.8 * height else "content"
 
 
-def merge_weak(tree: list[dict], page: Page) -> list[dict]:
-    """Bottom-up: weak same-axis children dissolve into their parent, and runs of compatible leaves become one."""
-    by_id = {e["id"]: e for e in page.elements}
+def merge_weak(tree: list[dict], elements: list[dict], backgrounds: dict[Box, float]) -> list[dict]:
+    """Bottom-up: weak same-axis children dissolve into their parent, and runs of compatible leaves become one.
+
+    A run has the label and type of its first leaf. backgrounds: how even the decided regions are.
+    """
+    by_id, tree = {e["id"]: e for e in elements}, [dict(n) for n in tree]
     children: dict[int, list[dict]] = {n["id"]: [] for n in tree}
     for n in tree:
         if n["parent"] is not None:
@@ -711,12 +770,12 @@ def merge_weak(tree: list[dict], page: Page) -> list[dict]:
         w, h = e["box"][2] - e["box"][0], e["box"][3] - e["box"][1]
         return e["text"] or w <= 64 and h <= 64 or e["role"] != "foreground" and w * h <= 4096
 
-    def joins(first: dict, nxt: dict) -> bool:
-        if not first["owned"] or not nxt["owned"] or first["kind"] != "atomic" or nxt["kind"] != "atomic":
+    def joins(run: dict, nxt: dict) -> bool:
+        """run: a leaf made of one or more, with the label and type of its first, and their boxes."""
+        if not run["owned"] or not nxt["owned"] or run["kind"] != "atomic" or nxt["kind"] != "atomic":
             return False
-        kinds = [study(page, n["box"])[1] for n in (first, nxt)]
-        same = label(first["box"], page.height) == label(nxt["box"], page.height) and kinds[0] == kinds[1] != "card_grid"
-        return same and all(soft(i) for i in first["owned"] + nxt["owned"])
+        same = run["label"] == nxt["label"] and run["region_type"] == nxt["region_type"] != "card_grid"
+        return same and all(map(soft, run["owned"] + nxt["owned"])) and all(backgrounds.get(x, 1.0) >= 0.65 for x in (*run.get("boxes", [run["box"]]), nxt["box"]))
 
     for n in sorted(tree, key=lambda n: -n["depth"]):
         kids: list[dict] = []
@@ -727,12 +786,13 @@ def merge_weak(tree: list[dict], page: Page) -> list[dict]:
             for c in kids:
                 if runs and joins(runs[-1], c):
                     last = runs[-1]
-                    last |= {"box": hull([last["box"], c["box"]]), "owned": sorted(last["owned"] + c["owned"]), "portion": last["portion"] + c["portion"]}
+                    boxes = [*last.get("boxes", [last["box"]]), c["box"]]
+                    last |= {"box": hull(boxes), "boxes": boxes, "owned": sorted(last["owned"] + c["owned"]), "portion": last["portion"] + c["portion"]}
                 else:
                     runs.append(c)
             kids = runs
             if len(kids) == 1 and kids[0]["kind"] == "atomic":
-                n |= {"kind": "atomic", "owned": kids[0]["owned"]}
+                n |= {"kind": "atomic", "score": None, "sources": set()} | {k: kids[0][k] for k in ("owned", "label", "region_type")}
                 kids = []
         children[n["id"]] = kids
     out: list[dict] = []
@@ -747,62 +807,149 @@ def merge_weak(tree: list[dict], page: Page) -> list[dict]:
     return out
 
 
-def faults(tree: list[dict], page: Page) -> list[str]:
-    """What is wrong with a tree's structure."""
+#: Least share that is too much, by ratio. Fixed values.
+GATE = {"empty_atomic_ratio": 0.0, "thin_text_atomic_ratio": 0.40, "small_single_element_ratio": 0.45, "broken_layout_group_ratio": 0.10, "large_component_cut_ratio": 0.10, "region_type_mismatch_ratio": 0.10}
+MIXED_SHARE = 0.75
+
+
+def faults(tree: list[dict], elements: list[dict]) -> list[str]:
+    """What is wrong with a tree's shape and ownership, with the node's id."""
     found = []
     kids: dict[int | None, list[dict]] = {}
     for n in tree:
         kids.setdefault(n["parent"], []).append(n)
     for n in tree:
-        own = kids.get(n["id"], [])
+        own, name = kids.get(n["id"], []), n["id"]
         if n["kind"] not in ("row", "column", "atomic", "spacer"):
-            found.append("bad_type")
-        if n["kind"] in ("atomic", "spacer") and own:
-            found.append(f"{n['kind']}_with_children")
-        if n["kind"] == "spacer" and n["owned"]:
-            found.append("spacer_with_content")
-        if any(hull([n["box"], c["box"]]) != n["box"] for c in own):
-            found.append("child_escapes_parent")
-        if any(common_area(a["box"], b["box"]) for i, a in enumerate(own) for b in own[i + 1 :]):
-            found.append("sibling_overlap")
-        k = 0 if n["kind"] == "row" else 1
-        if [c["box"][k] for c in own] != sorted(c["box"][k] for c in own):
-            found.append("child_order")
-    owned = [i for n in tree for i in n["owned"]]
+            found.append(f"bad_type:{name}")
+        if n["kind"] == "atomic" and own:
+            found.append(f"atomic_with_children:{name}")
+        if n["kind"] == "spacer" and (own or n["owned"]):
+            found.append(f"spacer_with_content:{name}")
+        found += [f"child_escapes_parent:{c['id']}" for c in own if hull([n["box"], c["box"]]) != n["box"]]
+        found += [f"sibling_overlap:{a['id']},{b['id']}" for i, a in enumerate(own) for b in own[i + 1 :] if common_area(a["box"], b["box"])]
+        k = {"row": 0, "column": 1}.get(n["kind"])
+        if k is not None and any(a["box"][k] > b["box"][k] for a, b in zip(own, own[1:], strict=False)):
+            found.append(f"child_order:{name}")
+    owned = [i for n in tree if n["kind"] == "atomic" for i in n["owned"]]
     if len(set(owned)) != len(owned):
         found.append("duplicate_ownership")
-    if set(owned) != {e["id"] for e in page.elements}:
+    if set(owned) != {e["id"] for e in elements}:
         found.append("incomplete_ownership")
-    half = page.width * page.height / 2
-    if sum(n["kind"] == "atomic" and (n["box"][2] - n["box"][0]) * (n["box"][3] - n["box"][1]) >= half for n in tree) > 1:
+    root = tree[0]["box"]
+    half = (root[2] - root[0]) * (root[3] - root[1]) / 2
+    wide = [n for n in tree if n["kind"] == "atomic" and (n["box"][2] - n["box"][0]) * (n["box"][3] - n["box"][1]) >= half]
+    if len(wide) > 1:
         found.append("page_scale_atomics")
-    leaves = [n for n in tree if n["kind"] in ("atomic", "spacer")]
-    if sum(n["kind"] == "spacer" for n in leaves) * 2 > len(leaves):
-        found.append("mostly_empty")
-    return list(dict.fromkeys(found))
+    if len({n["label"] for n in wide if n["label"]}) < sum(bool(n["label"]) for n in wide):
+        found.append("page_scale_label_repeated")
+    return found
+
+
+def validate(tree: list[dict], elements: list[dict], groups: list[Group], cuts: list[Cut], selected: list[Cut], profiles: dict[Box, tuple[dict, str]], gate: dict | None = None, mixed_share: float = MIXED_SHARE) -> tuple[list[str], dict]:
+    """What is wrong with a tree, in order and once each, and its eleven measures.
+
+    cuts: all rated candidates; selected: those the tree was cut at; profiles: features
+    and type of the regions decided, by box.
+    """
+    found, by_id = faults(tree, elements), {e["id"]: e for e in elements}
+    atomics = [n for n in tree if n["kind"] == "atomic"]
+    filled = [n for n in atomics if n["owned"]]
+    root = tree[0]["box"]
+    page_area, total = max(1, (root[2] - root[0]) * (root[3] - root[1])), max(1, len(elements))
+    thin = max(96, round((root[3] - root[1]) * 0.035))
+    sides = lambda e: (e["box"][2] - e["box"][0], e["box"][3] - e["box"][1])
+    area = lambda e: sides(e)[0] * sides(e)[1]
+
+    def weak_single(e: dict) -> bool:
+        if e["text"]:
+            return sides(e)[1] <= thin and area(e) / page_area < 0.03
+        return area(e) / page_area < 0.04 and max(sides(e)) <= 48
+
+    counts = {"thin": 0, "single": 0, "small": 0}
+    for n in filled:
+        own = [by_id[i] for i in n["owned"]]
+        texts = [e["text"] for e in own]
+        if not any(texts) and all(max(sides(e)) <= 48 for e in own):
+            found.append(f"icon_only_atomic:{n['id']}")
+        counts["thin"] += all(texts) and max(e["box"][3] for e in own) - min(e["box"][1] for e in own) <= thin
+        counts["single"] += len(own) == 1
+        counts["small"] += len(own) == 1 and weak_single(own[0])
+    bounded = {c.region for c in cuts if not c.why and c.direction == "vertical" and "component_boundary" in c.sources}
+    for n in filled:
+        if n["box"] not in profiles:
+            continue
+        m, kind = profiles[n["box"]]
+        if kind == "two_column" and m["front"] >= 4 and m["v"] >= 0.15:
+            found.append(f"two_column_unsplit:{n['id']}")
+        elif kind in ("text_section", "mixed") and m["texts"] >= 2 and any(by_id[i]["role"] != "foreground" for i in n["owned"]) and n["box"] in bounded:
+            found.append(f"heterogeneous_unsplit:{n['id']}")
+        elif kind == "mixed" and len(n["owned"]) / total > mixed_share and (max(m["v"], m["h"]) >= 0.45 or m["row"] + m["column"] + m["grid"] >= 2):
+            found.append(f"mixed_unsplit:{n['id']}")
+    special, wrong, strong = 0, 0, PARAMETERS["strong_score"]
+    for c in selected:
+        kind = profiles.get(c.region, (None, None))[1]
+        special += kind in ("hero", "two_column")
+        if kind == "hero" and c.score < strong:
+            wrong += 1
+            found.append(f"hero_fragmented:{c.region}")
+        if kind == "two_column" and c.direction != "vertical":
+            wrong += 1
+            found.append(f"two_column_cut_across:{c.region}")
+    big = sum(area(e) / page_area >= 0.04 for e in elements)
+    n = max(1, len(filled))
+    ratios = {
+        "empty_atomic_ratio": (len(atomics) - len(filled)) / max(1, len(atomics)), "thin_text_atomic_ratio": counts["thin"] / n, "small_single_element_ratio": counts["small"] / n,
+        "broken_layout_group_ratio": len({g for c in selected for g in c.cut_groups}) / max(1, sum(g.semantic for g in groups)),
+        "large_component_cut_ratio": len({i for c in selected for i in c.cut_large}) / max(1, big), "region_type_mismatch_ratio": wrong / max(1, special),
+    }
+    found += [f"{k}:{v:.6f}" for k, v in ratios.items() if v > (GATE | (gate or {}))[k]]
+    measures = {
+        "atomic_count": len(filled), "owned_element_count": len({i for x in atomics for i in x["owned"]}), "largest_atomic_element_ratio": max((len(x["owned"]) / total for x in filled), default=0.0),
+        "single_element_atomic_ratio": counts["single"] / n, "weak_separator_ratio": sum(c.score < strong for c in selected) / max(1, len(selected)),
+    } | ratios
+    return list(dict.fromkeys(found)), {k: round(v, 6) for k, v in measures.items()}
+
+
+@dataclass
+class Analysis:
+    tree: list[dict]
+    score: float
+    faults: list[str]
+    rank: int
+    measures: dict
+    state: State
+    again: bool
+    rejected: list[tuple[int, float, str]]
 
 
-def analyse(page: Page) -> tuple[list[dict], float, list[str], int]:
-    """Tree, score, faults and rank of the first sound tree, else of the best one.
+def analyse(page: Page) -> Analysis:
+    """The first ranked tree that passes validation, else the first; the others with why they were not taken.
 
-    A page whose best trees are single leaves although it has many foreground elements
-    is searched again without its containers.
+    A page whose ranked trees are all single leaves although it has many foreground
+    elements is searched again with these and their groups only.
     """
-    states = search(page)
-    front = sum(e["role"] == "foreground" for e in page.elements)
-    if all(len(s.steps) == 1 for s in states) and front >= PARAMETERS["second_pass"]:
-        bare = Page(page.width, page.height, [e for e in page.elements if e["role"] != "container"], page.lines, [g for g in page.groups])
-        again = search(bare)
-        states = [s for s in again if len(s.steps) > 1] or states
-    first = None
+    source, states = page, search(page)
+    front = {e["id"] for e in page.elements if e["role"] == "foreground"}
+    again = all(len(s.steps) == 1 for s in states) and len(front) >= PARAMETERS["second_pass"]
+    if again:
+        source = Page(page.width, page.height, [e for e in page.elements if e["id"] in front], page.lines, [g for g in page.groups if front.intersection(g.members)])
+        states = search(source)
+    cuts = [c for _, _, own, _ in source.memo.values() for c in own]
+    first, rejected = None, []
     for rank, state in enumerate(states):
-        tree = layout_tree(state)
-        own_elements(tree, page.elements)
-        tree = merge_weak(tree, page)
-        wrong = faults(tree, page)
-        first = first or (tree, state.score, wrong, rank)
+        tree = layout_tree(state, source)
+        own_elements(tree, page.elements, page.height)
+        profiles = {r: study(source, r)[:2] for r, _, _ in state.steps}
+        tree = merge_weak(tree, page.elements, {r: m["background"] for r, (m, _) in profiles.items()})
+        wrong, measures = validate(tree, page.elements, page.groups, cuts, [c.cut for _, _, c in state.steps if c.cut], profiles)
+        made = Analysis(tree, state.score, wrong, rank, measures, state, again, [])
         if not wrong:
-            return tree, state.score, wrong, rank
+            made.rejected = rejected + [(k, s.score, "not_selected_lower_rank") for k, s in enumerate(states[rank + 1 :], rank + 1)]
+            return made
+        rejected.append((rank, state.score, ",".join(wrong)))
+        first = first or made
+    first.rejected = rejected
     return first
 
 
@@ -922,9 +1069,9 @@ def tree_rows(elements: DataFrame, lines: DataFrame, width: int, height: int) ->
     """The layout tree of every page, its score, rank and faults."""
 
     def emit(page_id, own, found):
-        tree, score, wrong, rank = analyse(page_of(own, found, width, height))
-        for n in tree:
-            yield page_id, n["id"], n["parent"], n["ordinal"], n["depth"], *n["box"], n["kind"], n["portion"], ",".join(map(str, n["owned"])), score, rank, ",".join(wrong)
+        a = analyse(page_of(own, found, width, height))
+        for n in a.tree:
+            yield page_id, n["id"], n["parent"], n["ordinal"], n["depth"], *n["box"], n["kind"], n["portion"], ",".join(map(str, n["owned"])), a.score, a.rank, ",".join(a.faults)
 
     schema = "page_id long, node_id int, parent_id int, ordinal int, depth int, l int, t int, r int, b int, layout_type string, portion int, owned string, score double, rank int, faults string"
     return per_page(page_rows(elements, lines), schema, emit)
@@ -947,7 +1094,7 @@ def html_rows(elements: DataFrame, lines: DataFrame, width: int, height: int, fo
     """page_id, html: flex or grid markup of the tree, leaves naming their elements, or empty skeletons."""
 
     def emit(page_id, own, found):
-        tree, *_ = analyse(page_of(own, found, width, height))
+        tree = analyse(page_of(own, found, width, height)).tree
         named = lambda n: escape(f"elements {n['owned']}")
         if form == "grid":
             yield page_id, grid_html(tree, {n["id"]: named(n) for n in tree})
@@ -968,6 +1115,6 @@ def tree_json(rows: list[dict]) -> str:
 
 def json_rows(elements: DataFrame, lines: DataFrame, width: int, height: int) -> DataFrame:
     def emit(page_id, own, found):
-        yield page_id, tree_json(analyse(page_of(own, found, width, height))[0])
+        yield page_id, tree_json(analyse(page_of(own, found, width, height)).tree)
 
     return per_page(page_rows(elements, lines), "page_id long, tree string", emit)

@@ -77,7 +77,8 @@ def test_trees_own_every_element_once_and_do_not_depend_on_input_order():
             x, y = draw.randrange(160), draw.randrange(160)
             elements.append(element(i, (x, y, x + draw.randrange(5, 40), y + draw.randrange(5, 40)), draw.random() < 0.5))
         lines = [("vertical", 100, 0, 200)] if draw.random() < 0.5 else []
-        tree, score, _, _ = layout.analyse(page(elements, lines))
+        found = layout.analyse(page(elements, lines))
+        tree, score = found.tree, found.score
         owned = sorted(i for n in tree for i in n["owned"])
         assert owned == list(range(len(elements)))
         by = {n["id"]: n for n in tree}
@@ -85,32 +86,154 @@ def test_trees_own_every_element_once_and_do_not_depend_on_input_order():
             if n["parent"] is not None:
                 p = by[n["parent"]]["box"]
                 assert p[0] <= n["box"][0] and p[1] <= n["box"][1] and p[2] >= n["box"][2] and p[3] >= n["box"][3]
-        assert layout.analyse(page(elements, lines))[1] == score
+        assert layout.analyse(page(elements, lines)).score == score and len(found.measures) == 11
         rewards, penalties = layout.tree_terms(page(elements, lines), layout.search(page(elements, lines))[0])
         assert all(0 <= v <= 1 for v in (rewards | penalties).values())
 
 
 def test_a_page_of_two_columns_and_a_line_is_cut():
     elements = [element(i, (10 + 110 * (i % 2), 10 + 45 * (i // 2), 80 + 110 * (i % 2), 45 + 45 * (i // 2)), True) for i in range(8)]
-    tree, _, wrong, _ = layout.analyse(page(elements, [("vertical", 100, 0, 200)]))
-    assert tree[0]["kind"] in ("row", "column") and not wrong and sum(n["kind"] == "atomic" for n in tree) >= 2
+    found = layout.analyse(page(elements, [("vertical", 100, 0, 200)]))
+    tree = found.tree
+    assert tree[0]["kind"] in ("row", "column") and sum(n["kind"] == "atomic" for n in tree) >= 2
 
 
 def test_icons_join_a_readable_leaf():
     tree = [{"id": 0, "parent": None, "ordinal": 0, "depth": 0, "box": (0, 0, 100, 50), "kind": "row", "portion": 1, "score": 1.0, "sources": {"lsd"}, "owned": []}]
     for i, box in ((1, (0, 0, 50, 50)), (2, (50, 0, 100, 50))):
         tree.append({"id": i, "parent": 0, "ordinal": i - 1, "depth": 1, "box": box, "kind": "atomic", "portion": 1, "score": None, "sources": set(), "owned": []})
-    layout.own_elements(tree, [element(0, (5, 5, 20, 20)), element(1, (60, 5, 90, 40), True)])
+    layout.own_elements(tree, [element(0, (5, 5, 20, 20)), element(1, (60, 5, 90, 40), True)], 50)
     assert tree[1]["kind"] == "spacer" and tree[2]["owned"] == [0, 1]
     html = layout.flex_html([tree[0] | {"kind": "row"}, tree[1] | {"portion": 3}, tree[2] | {"portion": 7}], lambda n: "x")
     assert "flex:3 1 0" in html and "flex:7 1 0" in html
 
 
+def node(i, box, kind="atomic", owned=(), label="content", region=None, score=None, sources=(), parent=0):
+    return {"id": i, "parent": parent if i else None, "ordinal": max(0, i - 1), "depth": int(i > 0), "box": box, "kind": kind, "portion": 1, "score": score, "sources": set(sources), "region_type": region, "label": label, "owned": list(owned)}
+
+
+def profile(**changes):
+    base = {"front": 4, "texts": 2, "v": 0.05, "h": 0.05, "row": 0, "column": 0, "grid": 0}
+    return base | changes
+
+
+ALL, LEFT, RIGHT = (0, 0, 100, 100), (0, 0, 50, 100), (50, 0, 100, 100)
+
+
 def test_faults_are_found():
-    root = {"id": 0, "parent": None, "ordinal": 0, "depth": 0, "box": (0, 0, 100, 100), "kind": "row", "portion": 1, "score": 1.0, "sources": set(), "owned": []}
-    kids = [root | {"id": i, "parent": 0, "depth": 1, "kind": "atomic", "box": box, "owned": [i - 1]} for i, box in ((1, (0, 0, 60, 100)), (2, (50, 0, 100, 100)))]
-    wrong = layout.faults([root, *kids], page([element(0, (1, 1, 5, 5)), element(1, (70, 1, 75, 5))], width=100, height=100))
-    assert "sibling_overlap" in wrong and "page_scale_atomics" in wrong
+    tree = [node(0, ALL, "row"), node(1, (0, 0, 60, 100), owned=[0]), node(2, RIGHT, owned=[1])]
+    own = [element(0, (5, 5, 20, 20), True), element(1, (70, 5, 90, 20), True)]
+    wrong, _ = layout.validate(tree, own, [], [], [], {})
+    assert "sibling_overlap:1,2" in wrong and "page_scale_atomics" in wrong and "page_scale_label_repeated" in wrong
+    tree[1] |= {"box": (-5, 0, 50, 100), "owned": [0, 1]}
+    wrong = layout.faults(tree, own)
+    assert "child_escapes_parent:1" in wrong and "duplicate_ownership" in wrong
+    assert "incomplete_ownership" in layout.faults([node(0, ALL, owned=[0])], own)
+    assert "child_order:0" in layout.faults([node(0, ALL, "row"), node(1, RIGHT, owned=[0]), node(2, LEFT, owned=[1])], own)
+    assert layout.faults([node(0, ALL, "row"), node(1, LEFT, "spacer", [0]), node(2, RIGHT, "table", [1])], own)[:2] == ["spacer_with_content:1", "bad_type:2"]
+
+
+def test_validation_measures_and_gate():
+    tree = [node(0, ALL, "row"), node(1, LEFT, owned=[0]), node(2, RIGHT, owned=[1])]
+    own = [element(0, (5, 5, 20, 20), True), element(1, (70, 5, 90, 20))]
+    cut = layout.Cut("vertical", 50, {"whitespace"}, 30, score=0.7, region=ALL)
+    _, m = layout.validate(tree, own, [], [cut], [cut], {})
+    assert (m["largest_atomic_element_ratio"], m["thin_text_atomic_ratio"], m["single_element_atomic_ratio"], m["weak_separator_ratio"]) == (0.5, 0.5, 1.0, 1.0)
+    wrong, m = layout.validate([tree[0], tree[1], node(2, RIGHT)], own[:1], [], [], [], {})
+    assert (m["empty_atomic_ratio"], m["small_single_element_ratio"]) == (0.5, 1.0) and any(x.startswith("empty_atomic_ratio") for x in wrong)
+    wrong, m = layout.validate([tree[0], node(1, LEFT, "spacer", label=None), node(2, RIGHT, owned=[0])], [element(0, (55, 10, 95, 90))], [], [], [], {})
+    assert not wrong and m["empty_atomic_ratio"] == 0
+    assert "icon_only_atomic:0" in layout.validate([node(0, ALL, owned=[0])], [element(0, (5, 5, 20, 20))], [], [], [], {})[0]
+
+
+def test_leaves_that_should_have_been_cut_are_found():
+    one = [node(0, ALL, owned=range(8), region="mixed")]
+    lines = [element(i, (5, 5 + 10 * i, 95, 12 + 10 * i), True) for i in range(8)]
+    assert "mixed_unsplit:0" in layout.validate(one, lines, [], [], [], {ALL: (profile(front=8, h=0.9, row=2), "mixed")})[0]
+    two = [node(0, ALL, owned=range(4))]
+    columns = [element(i, (5 + 20 * i, 10, 20 + 20 * i, 90)) for i in range(4)]
+    assert "two_column_unsplit:0" in layout.validate(two, columns, [], [], [], {ALL: (profile(v=0.4), "two_column")})[0]
+    both = [element(0, (5, 10, 40, 30), True), element(1, (5, 40, 40, 60), True), element(2, (50, 5, 95, 95), role="container")]
+    cut = layout.Cut("vertical", 48, {"component_boundary"}, score=0.8, region=ALL)
+    leaf, known = [node(0, ALL, owned=[0, 1, 2])], {ALL: (profile(front=2), "text_section")}
+    assert "heterogeneous_unsplit:0" in layout.validate(leaf, both, [], [cut], [], known)[0] and not layout.validate(leaf, both, [], [], [], known)[0]
+
+
+def test_cuts_against_a_regions_type_are_found():
+    tree = [node(0, ALL, "row"), node(1, LEFT, owned=[0]), node(2, RIGHT, owned=[1])]
+    own = [element(0, (5, 5, 45, 95)), element(1, (55, 5, 95, 95))]
+    for kind, direction, score, name in (("hero", "vertical", 0.7, "hero_fragmented"), ("two_column", "horizontal", 1.0, "two_column_cut_across"), ("two_column", "vertical", 0.2, None), ("hero", "vertical", 0.95, None)):
+        cut = layout.Cut(direction, 50, {"lsd"}, score=score, region=ALL)
+        wrong, m = layout.validate(tree, own, [], [cut], [cut], {ALL: (profile(), kind)})
+        assert any(x.startswith(str(name)) for x in wrong) == bool(name) and m["region_type_mismatch_ratio"] == bool(name)
+
+
+def test_features_of_texts_and_components():
+    own = [element(0, (10, 10, 80, 25), True), element(1, (10, 40, 80, 55), True), element(2, (120, 10, 190, 80)), element(3, (0, 0, 200, 100), role="background")]
+    m = layout.measure(page(own, [("vertical", 100, 0, 100)], 200, 100), (0, 0, 200, 100))
+    assert (m["front"], m["texts"], m["column"], m["vline"]) == (3, 2, 1, 1.0)
+    assert (m["hspread"], m["vspread"], m["largest"], m["container"]) == (0.0, 0.3, 1.0, 1.0)
+    m = layout.measure(page(own[:3], (), 200, 100), (0, 0, 200, 100))
+    assert (m["largest"], m["container"]) == (0.245, 0.0) and layout.measure(page([], (), 100, 100), (0, 85, 100, 100))["position"] == "footer"
+
+
+def region(**changes):
+    base = {
+        "area": 0.25, "position": "content", "front": 4, "texts": 2, "others": 2, "text_ratio": 0.5, "density": 0.3, "hspread": 0.4, "vspread": 0.4, "largest": 0.1, "container": 0.1,
+        "row": 0, "column": 0, "grid": 0, "same_size": 0.1, "same_step": 0.1, "hgap": 0.05, "vgap": 0.05, "hline": 0.0, "vline": 0.0, "background": 0.8, "height": 0.5,
+    } | changes
+    rep, v, h = (base["same_size"] + base["same_step"]) / 2, max(base["vgap"], base["vline"]), max(base["hgap"], base["hline"])
+    return base | {"repeat": rep, "v": v, "h": h, "groups": base["row"] + base["column"] + base["grid"]}
+
+
+def test_region_types():
+    cases = {
+        "hero": {"area": 0.8, "largest": 0.55}, "navigation": {"position": "header", "height": 0.08, "hspread": 0.9, "text_ratio": 0.9}, "text_section": {"text_ratio": 1.0, "others": 0, "vspread": 0.8},
+        "card_grid": {"front": 10, "row": 2, "grid": 1, "same_size": 0.95, "same_step": 0.9}, "two_column": {"vgap": 0.8, "hgap": 0.0, "column": 2},
+        "list": {"text_ratio": 0.8, "vspread": 0.9, "row": 2, "same_size": 0.8, "same_step": 0.9}, "footer": {"position": "footer", "front": 9, "text_ratio": 0.8, "column": 2},
+    }
+    for kind, changes in cases.items():
+        assert layout.region_type(region(**changes))[0] == kind
+    weak = region(front=1, texts=0, others=1, text_ratio=0.0, density=0.05, vspread=0.0, hspread=0.3, position="header", background=0.2)
+    kind, confidence = layout.region_type(weak)
+    assert kind == "mixed" and confidence < 0.42
+    # navigation scores 0.35, below the floor; mixed takes its place with its own 0.25/8 + 0.15 + 0.15 * 0.9 + 0.25 * 0.05
+    assert confidence == pytest.approx(0.7 * 0.32875, abs=1e-6)
+
+
+def test_weak_runs_of_leaves_merge():
+    lines = [element(0, (10, 10, 90, 30), True), element(1, (10, 60, 90, 80), True)]
+    halves = [node(1, (0, 0, 100, 50), owned=[0]), node(2, (0, 50, 100, 100), owned=[1])]
+    merged = layout.merge_weak([node(0, ALL, "column", score=0.7, sources=["whitespace"]), *halves], lines, {})
+    assert [(n["kind"], n["owned"], n["box"]) for n in merged] == [("atomic", [0, 1], ALL)]
+    strong = layout.merge_weak([node(0, ALL, "column", score=1.1, sources=["lsd"]), *halves], lines, {})
+    assert [n["kind"] for n in strong] == ["column", "atomic", "atomic"]
+    thirds = [node(i + 1, (0, 40 * i, 100, 40 * i + 40), owned=[i], label="footer", region="footer") for i in range(3)]
+    mixed = [element(0, (10, 10, 90, 30), True), element(1, (10, 50, 26, 66)), element(2, (10, 90, 90, 110), True)]
+    root = node(0, (0, 0, 100, 120), "column", score=0.6, sources=["whitespace"], region="footer")
+    assert layout.merge_weak([root, *(dict(n) for n in thirds)], mixed, {})[0]["owned"] == [0, 1, 2]
+    # the run keeps its first leaf's label, whatever its hull's would be
+    parted = [thirds[0] | {"label": "header"}, *thirds[1:]]
+    assert [n["owned"] for n in layout.merge_weak([root, *(dict(n) for n in parted)], mixed, {})] == [[], [0], [1, 2]]
+    uneven = layout.merge_weak([root, *(dict(n) for n in thirds)], mixed, {(0, 40, 100, 80): 0.3})
+    assert [n["owned"] for n in uneven] == [[], [0], [1], [2]]
+    cards = [node(1, LEFT, owned=[0], region="card_grid"), node(2, RIGHT, owned=[1], region="card_grid")]
+    kept = layout.merge_weak([node(0, ALL, "row", score=0.6, sources=["whitespace"], region="card_grid"), *cards], [element(0, (5, 5, 45, 95), True), element(1, (55, 5, 95, 95), True)], {})
+    assert [n["kind"] for n in kept] == ["row", "atomic", "atomic"]
+
+
+def test_running_sums_equal_sums_over_the_whole_tree():
+    draw = random.Random(5)
+    for _ in range(12):
+        elements = [element(i, (x, y, x + draw.randrange(5, 60), y + draw.randrange(5, 40)), draw.random() < 0.6, draw.choice(["foreground", "foreground", "container"])) for i in range(14) for x, y in [(draw.randrange(140), draw.randrange(160))]]
+        p = page(elements, [("vertical", 100, 0, 200)])
+        for state in layout.search(p):
+            leaves = [r for r, _, c in state.steps if c.cut is None]
+            sums = dict(zip(layout.SUMS, state.sums))
+            inside = [[e for e in elements if layout.common_area(e["box"], r)] for r in leaves]
+            assert sums["leaves"] == len(leaves) and sums["empty"] == sum(not x for x in inside) and sums["filled"] == sum(map(bool, inside))
+            assert sums["cuts"] == len(state.steps) - len(leaves) == len(leaves) - 1
+            assert sums["cohesion"] == pytest.approx(sum(layout.cohesion(*layout.study(p, r)[:2], c) for r, _, c in state.steps))
 
 
 def test_raster_cuts_at_uniform_rows():
