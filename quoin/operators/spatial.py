@@ -173,15 +173,18 @@ def roles(boxes: DataFrame, width: int, height: int) -> DataFrame:
     return boxes.withColumn("role", G.role(F.col("uied_class"), F.lit(None).cast("string"), F.lit(width), F.lit(height)))
 
 
-def base_features(rows: DataFrame, page_width: int, page_height: int) -> DataFrame:
-    """Counts, shares and spreads of the boxes of every region, in one aggregate over the containment join."""
-    own = F.greatest(F.lit(1), G.area("g_", True)).cast("double")
+def gathered(rows: DataFrame, page_width: int, page_height: int) -> DataFrame:
+    """Counts and shares of the boxes of every region, and its foreground boxes and texts as arrays: one shuffle.
+
+    A region's boxes are bounded by its page's.
+    """
+    own = F.max(F.greatest(F.lit(1), G.area("g_", True)).cast("double"))
     common = G.intersection("", "g_").cast("double")
     front, text = F.col("role") == "foreground", F.col("uied_class") == "Text"
-    of_front = lambda x: F.when(front, x)
-    spread = lambda x, axis: F.when(F.count_if(front) >= 2, G.clamp01((F.max(of_front(x)) - F.min(of_front(x))) / F.max(F.greatest(F.lit(1), axis)))).otherwise(0.0)
-    alike = lambda x: 1 - F.stddev_pop(of_front(x)) / F.greatest(F.lit(1.0), F.avg(of_front(x)))
-    w, h = F.max(G.width("g_")), F.max(G.height("g_"))
+    w, h = F.max(F.greatest(F.lit(1), G.width("g_"))), F.max(F.greatest(F.lit(1), G.height("g_")))
+    share = lambda x: G.clamp01(F.coalesce(x, F.lit(0.0)) / own)
+    fronts = F.array_sort(F.collect_list(F.when(front, F.struct("t", "l", "element_id", "r", "b"))))
+    texts = F.collect_list(F.when(front & text, F.struct(G.center_x().alias("x"), G.center_y().alias("y"), G.height().cast("double").alias("h"))))
     return rows.groupBy(*KEY).agg(
         G.clamp01(w / page_width).alias("width_ratio"),
         G.clamp01(h / page_height).alias("height_ratio"),
@@ -190,41 +193,72 @@ def base_features(rows: DataFrame, page_width: int, page_height: int) -> DataFra
         F.count_if(front).alias("foreground_count"),
         F.count_if(front & text).alias("text_count"),
         F.count_if(front & ~text).alias("nontext_count"),
-        F.count_if(F.col("role") == "container").alias("container_count"),
+        F.count_if(~front).alias("container_count"),
         R6(F.coalesce(F.try_divide(F.count_if(front & text).cast("double"), F.count_if(front)), F.lit(0.0))).alias("text_ratio"),
-        G.clamp01(F.coalesce(F.sum(of_front(common)), F.lit(0.0)) / F.max(own)).alias("density"),
-        G.clamp01(F.max(common) / F.max(own)).alias("largest"),
-        G.clamp01(F.coalesce(F.sum(F.when(F.col("role") == "container", common)), F.lit(0.0)) / F.max(own)).alias("container_ratio"),
-        F.when(F.count_if(front) >= 2, G.clamp01((alike(G.width()) + alike(G.height())) / 2)).otherwise(0.0).alias("repeated_size"),
-        spread(G.center_x(), G.width("g_")).alias("horizontal_spread"),
-        spread(G.center_y(), G.height("g_")).alias("vertical_spread"),
+        share(F.sum(F.when(front, common))).alias("density"),
+        share(F.max(F.when(~(front & text), common))).alias("largest"),
+        share(F.sum(F.when(~front, common))).alias("container_ratio"),
+        fronts.alias("fronts"),
+        texts.alias("texts"),
+        w.alias("region_width"),
+        h.alias("region_height"),
     )
 
 
-def axis_gaps(rows: DataFrame) -> DataFrame:
-    """Of the foreground boxes that follow each other on an axis, the largest gap as a share of the region."""
-    front = rows.where("role = 'foreground'")
+def _mean(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.lit(1), F.size(a))
 
-    def step(low: str, other: str, high: str) -> Column:
-        return F.greatest(F.lit(0), F.lead(low).over(Window.partitionBy(*KEY).orderBy(low, other, "element_id")) - F.col(high))
 
-    found = front.withColumn("down", step("t", "l", "b")).withColumn("over", step("l", "t", "r"))
-    share = lambda gap, axis: G.clamp01(F.coalesce(F.max(gap), F.lit(0)) / F.max(F.greatest(F.lit(1), axis)))
-    return found.groupBy(*KEY).agg(share("down", G.height("g_")).alias("horizontal_gap"), share("over", G.width("g_")).alias("vertical_gap"))
+def _even(a: Column) -> Column:
+    """One minus deviation over mean, the mean 1 at least."""
+    mean = _mean(a)
+    return 1 - F.sqrt(_mean(F.transform(a, lambda x: (x - mean) * (x - mean)))) / F.greatest(F.lit(1.0), mean)
 
 
-def repeated_gaps(rows: DataFrame) -> DataFrame:
-    """Regularity of the steps above 1 between sorted centres, on the better axis: one minus deviation over mean."""
-    front = rows.where("role = 'foreground'").withColumn("cx", G.center_x()).withColumn("cy", G.center_y())
-    for c in ("cx", "cy"):
-        front = front.withColumn(f"d{c}", F.col(c) - F.lag(c).over(Window.partitionBy(*KEY).orderBy(c)))
+def _steps(a: Column, step) -> Column:
+    """step(before, item) of the items of an array that follow each other."""
+    return F.filter(F.transform(a, lambda x, i: F.when(i > 0, step(F.get(a, i - 1), x))), lambda x: x.isNotNull())
+
+
+def _median(a: Column) -> Column:
+    half = F.floor(F.size(a) / 2).cast("int")
+    return F.when(F.size(a) % 2 == 1, F.get(a, half)).otherwise((F.get(a, half - 1) + F.get(a, half)) / 2)
+
+
+def axis_gaps(rows: DataFrame) -> DataFrame:
+    """rows with the largest gap, as a share of the region, between foreground boxes that follow each other on an axis."""
+    across = F.array_sort(F.transform("fronts", lambda x: F.struct(x["l"].alias("l"), x["t"].alias("t"), x["element_id"].alias("element_id"), x["r"].alias("r"))))
+    rows = rows.withColumn("__across", across)
+    gap = lambda a, low, high: F.coalesce(F.array_max(_steps(a, lambda p, x: F.greatest(F.lit(0), x[low] - p[high]))), F.lit(0))
+    rows = rows.withColumn("horizontal_gap", G.clamp01(gap(F.col("fronts"), "t", "b") / F.col("region_height")))
+    return rows.withColumn("vertical_gap", G.clamp01(gap(F.col("__across"), "l", "r") / F.col("region_width"))).drop("__across")
+
 
-    def value(c: str) -> Column:
-        step = F.when(F.col(c) > 1, F.col(c))
-        return F.when(F.count(step) >= 2, 1 - F.stddev_pop(step) / F.greatest(F.lit(1.0), F.avg(step)))
+def repeated_sizes(rows: DataFrame) -> DataFrame:
+    widths, heights = F.transform("fronts", lambda x: (x["r"] - x["l"]).cast("double")), F.transform("fronts", lambda x: (x["b"] - x["t"]).cast("double"))
+    return rows.withColumn("repeated_size", F.when(F.size("fronts") >= 2, G.clamp01((_even(widths) + _even(heights)) / 2)).otherwise(0.0))
 
-    best = F.coalesce(F.greatest(value("dcx"), value("dcy")), F.lit(0.0))
-    return front.groupBy(*KEY).agg(F.when(F.count("*") >= 3, G.clamp01(best)).otherwise(0.0).alias("repeated_gap"))
+
+def repeated_gaps(rows: DataFrame) -> DataFrame:
+    """rows with the regularity of the steps above 1 between sorted centres, on the better axis."""
+    middles = {"__dx": F.transform("fronts", lambda x: (x["l"] + x["r"]) / 2), "__dy": F.transform("fronts", lambda x: (x["t"] + x["b"]) / 2)}
+    for name, centres in middles.items():
+        rows = rows.withColumn(name, F.array_sort(centres)).withColumn(name, F.filter(_steps(F.col(name), lambda p, x: x - p), lambda d: d > 1))
+    value = lambda c: F.when(F.size(c) >= 2, _even(F.col(c)))
+    best = F.coalesce(F.greatest(value("__dx"), value("__dy")), F.lit(0.0))
+    return rows.withColumn("repeated_gap", F.when(F.size("fronts") >= 3, G.clamp01(best)).otherwise(0.0)).drop("__dx", "__dy")
+
+
+def text_measures(rows: DataFrame) -> DataFrame:
+    """rows with the texts' spreads, median height as a share of the region, and number of lines."""
+    heights = F.array_sort(F.transform("texts", lambda x: x["h"]))
+    rows = rows.withColumn("__h", heights).withColumn("__step", F.greatest(F.lit(2.0), _median(F.col("__h")) * 0.6)).withColumn("__y", F.array_sort(F.transform("texts", lambda x: x["y"])))
+    few = F.size("texts") < 2
+    spread = lambda at, axis: F.when(few, 0.0).otherwise(G.clamp01((F.array_max(F.col("texts")[at]) - F.array_min(F.col("texts")[at])) / F.col(axis)))
+    rows = rows.withColumn("horizontal_spread", spread("x", "region_width")).withColumn("vertical_spread", spread("y", "region_height"))
+    rows = rows.withColumn("median_text_height", F.when(F.size("texts") > 0, G.clamp01(_median(F.col("__h")) / F.col("region_height"))).otherwise(0.0))
+    breaks = F.size(F.filter(_steps(F.col("__y"), lambda p, y: y - p), lambda d: d > F.col("__step")))
+    return rows.withColumn("text_line_count", F.when(F.size("texts") > 0, breaks + 1).otherwise(0).cast("long")).drop("__h", "__step", "__y")
 
 
 def separators(regions: DataFrame, lines: DataFrame) -> DataFrame:
@@ -245,12 +279,12 @@ def region_features(boxes: DataFrame, regions: DataFrame, lines: DataFrame, widt
     """The feature row of every region that holds a box.
 
     groups (page_id, region_id, layout_type) adds group counts; pixels (page_id, region_id,
-    color_variance, edge_density) the colour measures. Without them those are 0.
+    color_variance, edge_density, horizontal_transition, vertical_transition) the colour
+    measures. Without them those are 0.
     """
-    rows = in_regions(roles(boxes, width, height), regions)
-    out = base_features(rows, width, height)
-    for more in (axis_gaps(rows), repeated_gaps(rows), separators(regions, lines)):
-        out = out.join(more, list(KEY), "left")
+    out = gathered(in_regions(roles(boxes, width, height), regions), width, height)
+    out = text_measures(repeated_gaps(repeated_sizes(axis_gaps(out)))).drop("fronts", "texts", "region_width", "region_height")
+    out = out.join(separators(regions, lines), list(KEY), "left")
     if groups is not None:
         counts = groups.groupBy(*KEY).agg(F.count("*").alias("group_count"), *(F.count_if(F.col("layout_type") == t).alias(f"{t}_groups") for t in ("row", "column", "grid")))
         out = out.join(counts, list(KEY), "left")
@@ -259,7 +293,7 @@ def region_features(boxes: DataFrame, regions: DataFrame, lines: DataFrame, widt
     if pixels is not None:
         out = out.join(pixels, list(KEY), "left")
     else:
-        out = out.withColumn("color_variance", F.lit(0.0)).withColumn("edge_density", F.lit(0.0))
+        out = out.select("*", *(F.lit(0.0).alias(c) for c in ("color_variance", "edge_density", "horizontal_transition", "vertical_transition")))
     out = out.fillna(0)
     return out.withColumn("background_continuity", G.clamp01(1 - 0.55 * F.col("color_variance") - 0.45 * F.col("edge_density")))
 
@@ -293,13 +327,14 @@ def region_scores() -> dict[str, Column]:
 
 
 def classify(features: DataFrame, floor: float = 0.42) -> DataFrame:
-    """features with region_type and confidence: the best score, ties by TYPES, mixed below the floor."""
+    """features with region_type and confidence: the best score, ties by TYPES; below the floor mixed, with its own score."""
     scores = {name: F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)) for name, s in region_scores().items()}
     ranked = F.array_sort(F.array(*(F.struct((-scores[n]).alias("s"), F.lit(i).alias("k"), F.lit(n).alias("n")) for i, n in enumerate(TYPES))))
     rows = features.withColumn("__ranked", ranked)
-    win, second = -F.col("__ranked")[0]["s"], -F.col("__ranked")[1]["s"]
-    kind = F.when(win < floor, "mixed").otherwise(F.col("__ranked")[0]["n"])
-    return rows.withColumn("region_type", kind).withColumn("confidence", G.clamp01(0.7 * win + 0.3 * F.greatest(F.lit(0.0), win - second))).drop("__ranked")
+    rows = rows.withColumn("region_type", F.when(-F.col("__ranked")[0]["s"] < floor, "mixed").otherwise(F.col("__ranked")[0]["n"]))
+    score = lambda keep: -F.filter("__ranked", keep)[0]["s"]
+    win, other = score(lambda x: x["n"] == F.col("region_type")), score(lambda x: x["n"] != F.col("region_type"))
+    return rows.withColumn("confidence", G.clamp01(0.7 * win + 0.3 * F.greatest(F.lit(0.0), win - other))).drop("__ranked")
 
 
 def reasons(profiles: DataFrame) -> DataFrame:
@@ -318,45 +353,141 @@ def reasons(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("reasons", F.concat(F.array(F.concat(F.lit("page_position:"), c("position"))), found))
 
 
-def candidate_scores(boxes: DataFrame, lines: DataFrame, width: int, height: int, least: int = 10, floor: float = 0.45) -> DataFrame:
-    """Score and refusal reasons of every line as a cut of its whole page.
+#: Evidence this near joins; candidates nearer than APART compete; a component this large counts as content. Fixed values.
+REACH, APART, LARGE = 4, 8, 0.07
+
+
+def joined_evidence(items: Column, reach: int = REACH) -> Column:
+    """An array of evidence (direction, position, sources, gap) in which each joins the first of its direction within reach.
+
+    The first keeps its place, takes over the sources and the larger gap.
+    """
+
+    def add(found: Column, x: Column) -> Column:
+        near = F.transform(found, lambda y: (y["direction"] == x["direction"]) & (F.abs(y["position"] - x["position"]) <= reach))
+        at = F.array_position(near, True)
+        both = lambda y: F.struct(y["direction"].alias("direction"), y["position"].alias("position"), F.array_union(y["sources"], x["sources"]).alias("sources"), F.greatest(y["gap"], x["gap"]).alias("gap"))
+        return F.when(at == 0, F.concat(found, F.array(x))).otherwise(F.transform(found, lambda y, i: F.when(i + 1 == at, both(y)).otherwise(y)))
+
+    return F.aggregate(items, F.slice(items, 1, 0), add)
+
+
+def evidence(boxes: DataFrame, lines: DataFrame, width: int, height: int, least: int = 8) -> DataFrame:
+    """page_id, direction, position, sources, gap of the places at which each whole page might be cut.
 
-    Balance, gap and crossing terms come from one conditional aggregate over the
-    join of lines and boxes; boxes fall to the side their centre is on.
+    Detected lines inside the page that span half of it come first, then gaps between
+    foreground boxes, horizontal cuts before vertical ones. boxes have roles.
     """
-    rows = boxes.withColumn("role", G.role(F.col("uied_class"), F.lit(None).cast("string"), F.lit(width), F.lit(height))).join(lines, "page_id")
+    v = F.col("direction") == "vertical"
+    extent, span = F.when(v, width).otherwise(height), F.when(v, height).otherwise(width)
+    inside = lines.where((F.col("position") > 0) & (F.col("position") < extent) & ((F.least("end", span) - F.greatest("start", F.lit(0))) * 2 >= span))
+    item = lambda k, direction, position, source, gap: F.struct(k.alias("k"), direction.alias("direction"), position.cast("int").alias("position"), F.array(F.lit(source)).alias("sources"), gap.cast("int").alias("gap"))
+    found = inside.select("page_id", item(F.lit(0), F.col("direction"), F.col("position"), "lsd", F.lit(0)).alias("x"))
+    wide = gaps(projection(boxes.where("role = 'foreground'")), ["page_id", "axis"], least)
+    found = found.unionByName(wide.select("page_id", item(F.when(F.col("axis") == "y", 1).otherwise(2), F.when(F.col("axis") == "y", "horizontal").otherwise("vertical"), F.col("cut"), "whitespace", F.col("size")).alias("x")))
+    items = F.transform(F.array_sort(F.collect_list("x")), lambda x: x.dropFields("k"))
+    return found.groupBy("page_id").agg(items.alias("items")).select("page_id", F.inline(joined_evidence(F.col("items"))))
+
+
+def text_axes(boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """page_id, axis: along which a page's texts run; none with a larger other foreground box or tall text."""
+    text, front = F.col("uied_class") == "Text", F.col("role") == "foreground"
+    of = lambda x: F.when(text, x)
+    big = front & ~text & (F.greatest(G.width(), G.height()) > 48)
+    rows = boxes.groupBy("page_id").agg(
+        F.count_if(text).alias("n"), F.count_if(big).alias("big"), F.percentile(of(G.height()), 0.5).alias("tall"), F.percentile(of(G.width()), 0.5).alias("wide"),
+        (F.max(of(G.center_x())) - F.min(of(G.center_x()))).alias("across"), (F.max(of(G.center_y())) - F.min(of(G.center_y()))).alias("down"),
+    )
+    rows = rows.where((F.col("n") >= 2) & (F.col("big") == 0) & (F.col("tall") <= max(96, round(height * 0.035))))
+    vertical = (F.col("across") <= width * 0.35) & (F.col("down") >= F.col("tall") * 2)
+    flat = (F.col("down") <= height * 0.35) & (F.col("across") >= F.col("wide") * 2)
+    axis = F.when(vertical & (~flat | (F.col("down") / height >= F.col("across") / width)), "vertical").when(flat, "horizontal")
+    return rows.select("page_id", axis.alias("axis")).where("axis is not null")
+
+
+def candidate_scores(boxes: DataFrame, lines: DataFrame, width: int, height: int, least: int = 10, floor: float = 0.45, groups: DataFrame | None = None) -> DataFrame:
+    """Score and refusal reasons of every evidence as a cut of its whole page.
+
+    Crossing and content counts come from one conditional aggregate over the join of
+    evidence and boxes; boxes fall to the side their centre is on. Content is the
+    foreground and large other boxes. groups (page_id, l, t, r, b: text groups of two
+    or more) refuses weak cuts through them.
+    """
+    known = roles(boxes, width, height)
+    found = evidence(known, lines, width, height)
+    rows = known.join(found, "page_id")
     vertical = F.col("direction") == "vertical"
-    at = F.when(vertical, G.center_x()).otherwise(G.center_y())
-    before = at < F.col("position")
+    extent, span = F.when(vertical, F.lit(width)).otherwise(F.lit(height)), F.when(vertical, F.lit(height)).otherwise(F.lit(width))
+    before = F.when(vertical, G.center_x()).otherwise(G.center_y()) < F.col("position")
     fg = F.col("role") == "foreground"
-    cut = G.crosses(F.col("direction"), F.col("position"), F.col("start"), F.col("end"))
-    low, high = F.when(vertical, F.col("l")).otherwise(F.col("t")), F.when(vertical, F.col("r")).otherwise(F.col("b"))
-    out = rows.groupBy("page_id", "direction", "position", "source").agg(
+    big = G.area().cast("double") / (width * height) >= LARGE
+    cut = G.crosses(F.col("direction"), F.col("position"), F.lit(0), span)
+    out = rows.groupBy("page_id", "direction", "position", "sources", "gap").agg(
         F.count_if(fg & before).alias("before"),
         F.count_if(fg & ~before).alias("after"),
+        F.count_if((fg | big) & before).alias("content_before"),
+        F.count_if((fg | big) & ~before).alias("content_after"),
         F.count_if(fg & cut).alias("cut_foreground"),
         F.count_if(~fg & cut).alias("cut_other"),
-        F.max(F.when(high <= F.col("position"), high)).alias("edge_before"),
-        F.min(F.when(low >= F.col("position"), low)).alias("edge_after"),
+        F.count_if(big & cut).alias("cut_large"),
     )
-    extent = F.when(F.col("direction") == "vertical", F.lit(width)).otherwise(F.lit(height))
-    gap = F.coalesce(F.col("edge_after"), extent) - F.coalesce(F.col("edge_before"), F.lit(0))
-    n = F.greatest(F.lit(1), F.col("before") + F.col("after"))
-    child = F.least(F.col("position"), extent - F.col("position")) / F.greatest(F.col("position"), extent - F.col("position"))
-    count = F.coalesce(F.try_divide(F.least("before", "after"), F.greatest("before", "after")), F.lit(0.0))
-    score = G.source_weight(F.array("source")) + F.least(F.lit(0.28), gap / extent * 2) + 0.34 * count + 0.16 * child
-    score = score - (1.35 * F.col("cut_foreground") / n + 0.08 * F.col("cut_foreground")) - F.least(F.lit(0.12), 0.015 * F.col("cut_other"))
+    strong = F.array_contains("sources", "lsd")
+    out = out.withColumn("cut_large", F.when(strong, F.lit(0).cast("long")).otherwise(F.col("cut_large")))
+    out = out.join(text_axes(known, width, height), "page_id", "left")
+    first, second = F.col("position"), extent - F.col("position")
+    one = F.lit(1)
+    score = G.source_weight(F.col("sources")) + F.least(F.lit(0.28), F.col("gap") / extent * 2)
+    score = score + F.least("content_before", "content_after") / F.greatest(one, "content_before", "content_after") * 0.34 + F.least(first, second) / F.greatest(one, first, second) * 0.16
+    n = F.greatest(one, F.col("before") + F.col("after"))
+    score = score - (F.col("cut_foreground") / n * 1.35 + F.col("cut_foreground") * 0.08 + F.least(F.lit(0.12), F.col("cut_other") * 0.015))
     out = out.withColumn("score", F.round(score, 6))
+    if groups is None:
+        out = out.withColumn("cut_text_groups", F.lit(0).cast("long"))
+    else:
+        crossing = out.select("page_id", "direction", "position").join(groups, "page_id").where(G.crosses(F.col("direction"), F.col("position"), F.lit(0), span))
+        out = out.join(crossing.groupBy("page_id", "direction", "position").agg(F.count("*").alias("cut_text_groups")), ["page_id", "direction", "position"], "left").fillna(0, ["cut_text_groups"])
     why = [
-        (F.least(F.col("position"), extent - F.col("position")) < least, "child_too_small"),
+        (F.least(first, second) < least, "child_too_small"),
         (F.col("before") + F.col("after") < 2, "insufficient_foreground"),
-        ((F.col("before") == 0) | (F.col("after") == 0), "empty_foreground_child"),
+        ((F.col("content_before") == 0) | (F.col("content_after") == 0), "empty_foreground_child"),
+        (F.coalesce(F.col("axis") != F.col("direction"), F.lit(False)) & ~strong, "semantic_text_run"),
+        ((F.col("cut_text_groups") > 0) & ~strong, "semantic_layout_group"),
         (F.col("score") < floor, "score_below_threshold"),
     ]
-    out = out.withColumn("reasons", G.ordered_reasons(why))
+    out = out.withColumn("reasons", G.ordered_reasons(why)).drop("axis")
     return out.withColumn("accepted", F.size("reasons") == 0)
 
 
+def candidate_order() -> list[Column]:
+    """Better candidates first: score, number of sources, gap, then the smaller place."""
+    return [F.desc("score"), F.desc(F.size("sources")), F.desc("gap"), F.col("position")]
+
+
+def apart(candidates: DataFrame, reach: int = APART) -> DataFrame:
+    """Of each page's candidates, better ones first, those not within reach of one kept before in their direction."""
+    item = F.struct((-F.col("score")).alias("s"), (-F.size("sources")).alias("n"), (-F.col("gap")).alias("g"), "position", "direction")
+
+    def add(kept: Column, x: Column) -> Column:
+        near = F.exists(kept, lambda y: (y["direction"] == x["direction"]) & (F.abs(y["position"] - x["position"]) < reach))
+        return F.when(near, kept).otherwise(F.concat(kept, F.array(x)))
+
+    rows = candidates.groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    kept = rows.select("page_id", F.inline(F.aggregate("items", F.slice("items", 1, 0), add))).select("page_id", "direction", "position")
+    return candidates.join(kept, ["page_id", "direction", "position"])
+
+
+def decisions(candidates: DataFrame, policy: dict) -> DataFrame:
+    """candidates with final, their score under a region type's policy, and blocked, why a search passes them over.
+
+    policy as in layout.POLICIES. Evidence of groups and component edges is not among these candidates' sources.
+    """
+    final = F.col("score") + F.when(F.col("direction").isin(*policy.get("prefer", ())), policy.get("direction", 0.0)).otherwise(0.0)
+    cut = F.col("cut_large") > 0
+    final = F.round(final - F.when(cut, policy.get("cut", 0.0)).otherwise(0.0), 6)
+    blocked = [(cut, "large_component_cut"), (final < policy.get("minimum", 0.0), "below_region_minimum"), (~F.col("accepted"), "raw_candidate_rejected")]
+    return candidates.withColumn("final", final).withColumn("blocked", G.ordered_reasons(blocked))
+
+
 def tree_errors(tree: DataFrame) -> DataFrame:
     """Structural errors of a node table: error, count."""
     a, b = prefixed(tree, "a_"), prefixed(tree, "b_")

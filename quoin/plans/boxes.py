@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quoin.functions import geometry as G
+from quoin.operators import layout as L
 from quoin.operators import spatial as P
 from quoin.sources import relations as S
 
@@ -453,7 +454,7 @@ def flt14(spark, d):
 
 
 FEATURE_VIEWS = f"{V.ROLES}, {V.LINES}, {V.REGIONS}, {V.FEATURES}"
-FEATURE_COLUMNS = "page_id, region_id, position, foreground_count, text_count, nontext_count, container_count, text_ratio, density, largest, container_ratio, repeated_size, horizontal_spread, vertical_spread, horizontal_gap, vertical_gap, repeated_gap, horizontal_separator, vertical_separator"
+FEATURE_COLUMNS = "page_id, region_id, position, foreground_count, text_count, nontext_count, container_count, text_ratio, density, largest, container_ratio, repeated_size, horizontal_spread, vertical_spread, horizontal_gap, vertical_gap, repeated_gap, horizontal_separator, vertical_separator, median_text_height, text_line_count"
 
 
 def features(spark, d):
@@ -469,7 +470,8 @@ def agg01(spark, d):
 @query("agg03_axis_gaps", f"with {FEATURE_VIEWS} select page_id, region_id, horizontal_gap, vertical_gap from features where horizontal_gap > 0 or vertical_gap > 0")
 def agg03(spark, d):
     e = S.elements(spark, d)
-    return P.axis_gaps(P.in_regions(P.roles(e, W, H), P.quadrants(e, W, H))).where("horizontal_gap > 0 or vertical_gap > 0")
+    rows = P.gathered(P.in_regions(P.roles(e, W, H), P.quadrants(e, W, H)), W, H)
+    return P.axis_gaps(rows).select("page_id", "region_id", "horizontal_gap", "vertical_gap").where("horizontal_gap > 0 or vertical_gap > 0")
 
 
 @query("agg04_strongest_separators", f"with {FEATURE_VIEWS} select page_id, region_id, horizontal_separator, vertical_separator from sep")
@@ -485,7 +487,8 @@ def agg05(spark, d):
 @query("agg06_repeated_gap", f"with {FEATURE_VIEWS} select page_id, region_id, repeated_gap from gap")
 def agg06(spark, d):
     e = S.elements(spark, d)
-    return P.repeated_gaps(P.in_regions(P.roles(e, W, H), P.quadrants(e, W, H)))
+    rows = P.gathered(P.in_regions(P.roles(e, W, H), P.quadrants(e, W, H)), W, H).where("foreground_count > 0")
+    return P.repeated_gaps(rows).select("page_id", "region_id", "repeated_gap")
 
 
 @query("prj22_classify", f"with {FEATURE_VIEWS}, {V.PROFILES} select page_id, region_id, region_type, cast(floor(confidence * 1000 + 0.001) as int) as confidence_permille from kinds")
@@ -503,26 +506,49 @@ def prj23(spark, d):
     return P.reasons(P.classify(features(spark, d))).select("page_id", "region_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-CANDIDATES = f"""{V.ROLES}, {V.LINES}, c as (select e.page_id, direction, position, source,
-  count(*) filter (role = 'foreground' and case when direction = 'vertical' then (l + r) / 2.0 else (t + b) / 2.0 end < position) as before,
-  count(*) filter (role = 'foreground' and case when direction = 'vertical' then (l + r) / 2.0 else (t + b) / 2.0 end >= position) as after,
-  count(*) filter (role = 'foreground' and {V.CROSS}) as cut_foreground, count(*) filter (role <> 'foreground' and {V.CROSS}) as cut_other,
-  max(case when direction = 'vertical' then r else b end) filter (case when direction = 'vertical' then r else b end <= position) as eb,
-  min(case when direction = 'vertical' then l else t end) filter (case when direction = 'vertical' then l else t end >= position) as ea,
-  max(case when direction = 'vertical' then 1200 else 900 end) as extent from roles e join lines on e.page_id = lines.page_id group by all),
- s as (select *, round(case when source = 'lsd' then 0.72 else 0.42 end + least(0.28, (coalesce(ea, extent) - coalesce(eb, 0)) / extent::double * 2) + 0.34 * coalesce(least(before, after) / nullif(greatest(before, after), 0)::double, 0)
-  + 0.16 * (least(position, extent - position) / greatest(position, extent - position)::double) - (1.35 * cut_foreground / greatest(1, before + after)::double + 0.08 * cut_foreground) - least(0.12, 0.015 * cut_other), 6) as score from c),
- f as (select *, list_filter([case when least(position, extent - position) < 10 then 'child_too_small' end, case when before + after < 2 then 'insufficient_foreground' end, case when before = 0 or after = 0 then 'empty_foreground_child' end, case when score < 0.45 then 'score_below_threshold' end], lambda x: x is not null) as why from s)"""
-
-
-@query("agg11_candidate_score", f"with {CANDIDATES} select page_id, direction, position, before, after, cut_foreground, cut_other, score from f")
+CROSS_PAGE = "case when ev.direction = 'vertical' then e.l < ev.position and ev.position < e.r and 0 < e.b and 900 > e.t else e.t < ev.position and ev.position < e.b and 0 < e.r and 1200 > e.l end"
+SIDE = "case when ev.direction = 'vertical' then (l + r) / 2.0 else (t + b) / 2.0 end < ev.position"
+BIG = "((r - l) * (b - t))::double / 1080000 >= 0.07"
+#: A page has one line at most, and gaps' middles lie further apart than evidence joins, so joining is one outer join here.
+CANDIDATES = f"""{V.ROLES}, {V.LINES}, fronts as (select * from roles where role = 'foreground'), {V.GAPS.replace("from elements", "from fronts")},
+ spaces as (select page_id, case axis when 'y' then 'horizontal' else 'vertical' end as direction, cut as position, size as gap from gaps),
+ whole as (select page_id, direction, position from lines where position > 0 and position < case direction when 'vertical' then 1200 else 900 end and page_id in (select page_id from elements)),
+ ev as (select w.page_id, w.direction, w.position, case when s.page_id is null then ['lsd'] else ['lsd', 'whitespace'] end as sources, coalesce(s.gap, 0) as gap
+   from whole w left join spaces s on s.page_id = w.page_id and s.direction = w.direction and abs(s.position - w.position) <= 4
+   union all select page_id, direction, position, ['whitespace'], gap from spaces s where not exists (select 1 from whole w where s.page_id = w.page_id and s.direction = w.direction and abs(s.position - w.position) <= 4)),
+ runs_of as (select page_id, median(b - t) filter (uied_class = 'Text') as tall, median(r - l) filter (uied_class = 'Text') as wide, max((l + r) / 2.0::double) filter (uied_class = 'Text') - min((l + r) / 2.0::double) filter (uied_class = 'Text') as across,
+   max((t + b) / 2.0::double) filter (uied_class = 'Text') - min((t + b) / 2.0::double) filter (uied_class = 'Text') as down, count(*) filter (uied_class = 'Text') as texts,
+   count(*) filter (role = 'foreground' and uied_class <> 'Text' and greatest(r - l, b - t) > 48) as big from roles group by page_id),
+ ways as (select page_id, across <= 420 and down >= 2 * tall as v, down <= 315 and across >= 2 * wide as h, down / 900 >= across / 1200 as longer from runs_of where texts >= 2 and big = 0 and tall <= 96),
+ axes as (select page_id, case when v and (not h or longer) then 'vertical' when h then 'horizontal' end as axis from ways where v or h),
+ c as (select ev.page_id, ev.direction, ev.position, ev.sources, ev.gap, count(*) filter (role = 'foreground' and {SIDE}) as before, count(*) filter (role = 'foreground' and not {SIDE}) as after,
+   count(*) filter ((role = 'foreground' or {BIG}) and {SIDE}) as content_before, count(*) filter ((role = 'foreground' or {BIG}) and not {SIDE}) as content_after,
+   count(*) filter (role = 'foreground' and {CROSS_PAGE}) as cut_foreground, count(*) filter (role <> 'foreground' and {CROSS_PAGE}) as cut_other,
+   case when list_contains(ev.sources, 'lsd') then 0 else count(*) filter ({BIG} and {CROSS_PAGE}) end as cut_large, max(case ev.direction when 'vertical' then 1200 else 900 end) as extent
+   from ev join roles e on e.page_id = ev.page_id group by ev.page_id, ev.direction, ev.position, ev.sources, ev.gap),
+ s as (select *, round((case when list_contains(sources, 'lsd') then 0.72::double else 0.0::double end + case when list_contains(sources, 'whitespace') then 0.42::double else 0.0::double end) + least(0.28::double, gap / extent::double * 2)
+   + least(content_before, content_after) / greatest(1, content_before, content_after)::double * 0.34::double + least(position, extent - position) / greatest(1, position, extent - position)::double * 0.16::double
+   - (cut_foreground / greatest(1, before + after)::double * 1.35::double + cut_foreground * 0.08::double + least(0.12::double, cut_other * 0.015::double)), 6) as score from c),
+ f as (select s.*, list_filter([case when least(position, extent - position) < 10 then 'child_too_small' end, case when before + after < 2 then 'insufficient_foreground' end, case when content_before = 0 or content_after = 0 then 'empty_foreground_child' end,
+   case when axis <> direction and not list_contains(sources, 'lsd') then 'semantic_text_run' end, case when score < 0.45 then 'score_below_threshold' end], lambda x: x is not null) as why from s left join axes using (page_id))"""
+OUTRANKS = "(o.score, len(o.sources), o.gap, -o.position) > (x.score, len(x.sources), x.gap, -x.position)"
+#: Only a line and the gaps beside it can be within eight pixels of each other.
+APART = f"""{CANDIDATES}, kept_lines as (select x.* from f x where list_contains(x.sources, 'lsd') and not exists (select 1 from f o where o.page_id = x.page_id and o.direction = x.direction and o.position <> x.position and abs(o.position - x.position) < 8 and {OUTRANKS})),
+ kept as (select * from kept_lines union all select x.* from f x where not list_contains(x.sources, 'lsd') and not exists (select 1 from kept_lines o where o.page_id = x.page_id and o.direction = x.direction and abs(o.position - x.position) < 8 and {OUTRANKS}))"""
+
+
+def candidates(spark, d):
+    return P.candidate_scores(S.elements(spark, d), S.lines(spark, d), W, H)
+
+
+@query("agg11_candidate_score", f"with {CANDIDATES} select page_id, direction, position, array_to_string(sources, ',') as sources, cast(gap as int) as gap, before, after, content_before, content_after, cut_foreground, cut_other, cut_large, score from f")
 def agg11(spark, d):
-    return P.candidate_scores(S.elements(spark, d), S.lines(spark, d), W, H).select("page_id", "direction", "position", "before", "after", "cut_foreground", "cut_other", "score")
+    return candidates(spark, d).select("page_id", "direction", "position", F.array_join("sources", ",").alias("sources"), "gap", "before", "after", "content_before", "content_after", "cut_foreground", "cut_other", "cut_large", "score")
 
 
 @query("flt05_rejections", f"with {CANDIDATES} select page_id, direction, position, array_to_string(why, ',') as reasons, len(why) = 0 as accepted from f")
 def flt05(spark, d):
-    return P.candidate_scores(S.elements(spark, d), S.lines(spark, d), W, H).select("page_id", "direction", "position", F.array_join("reasons", ",").alias("reasons"), "accepted")
+    return candidates(spark, d).select("page_id", "direction", "position", F.array_join("reasons", ",").alias("reasons"), "accepted")
 
 
 @query("prj30_candidate_key", f"with {V.LINES} select page_id, md5(direction || ':' || position) as key from lines")
@@ -532,30 +558,38 @@ def prj30(spark, d):
 
 @query("jon17_new_candidates", f"with {CANDIDATES} select page_id, direction, position from lines l where not exists (select 1 from f where f.page_id = l.page_id and f.direction = l.direction and f.position = l.position and len(why) = 0)")
 def jon17(spark, d):
-    lines = S.lines(spark, d)
-    known = P.candidate_scores(S.elements(spark, d), lines, W, H).where("accepted")
-    return lines.join(known, ["page_id", "direction", "position"], "left_anti").select("page_id", "direction", "position")
+    known = candidates(spark, d).where("accepted")
+    return S.lines(spark, d).join(known, ["page_id", "direction", "position"], "left_anti").select("page_id", "direction", "position")
 
 
 @query("hlp06_mark_selected", f"with {CANDIDATES} select l.page_id, l.direction, l.position, f.page_id is not null as selected from lines l left join f on f.page_id = l.page_id and f.direction = l.direction and f.position = l.position and len(why) = 0")
 def hlp06(spark, d):
-    lines = S.lines(spark, d)
-    known = P.candidate_scores(S.elements(spark, d), lines, W, H).where("accepted").select("page_id", "direction", "position", F.lit(True).alias("s"))
-    return lines.join(known, ["page_id", "direction", "position"], "left").select("page_id", "direction", "position", F.coalesce("s", F.lit(False)).alias("selected"))
+    known = candidates(spark, d).where("accepted").select("page_id", "direction", "position", F.lit(True).alias("s"))
+    return S.lines(spark, d).join(known, ["page_id", "direction", "position"], "left").select("page_id", "direction", "position", F.coalesce("s", F.lit(False)).alias("selected"))
+
+
+def _by_final():
+    return Window.partitionBy("page_id").orderBy(F.desc("final"), "direction", *P.candidate_order()[1:])
+
+
+BY_FINAL = "order by final desc, direction, len(sources) desc, gap desc, position"
+#: A search under the policy of regions of two columns.
+DECISIONS = f"{APART}, decided as (select *, round(score + case direction when 'vertical' then 0.5::double else 0.0::double end - case when cut_large > 0 then 0.8::double else 0.0::double end, 6) as final from kept)"
 
 
-@query("srt02_decisions", f"with {CANDIDATES} select page_id, direction, score, cast(row_number() over (order by score desc, direction, page_id) as int) as place from f where len(why) = 0 order by place limit 50")
+@query("srt02_decisions", f"with {DECISIONS} select page_id, direction, position, final, cast(row_number() over (partition by page_id {BY_FINAL}) as int) as place from decided")
 def srt02(spark, d):
-    """The 50 best accepted decisions: a report, so its order and limit are the feature."""
-    rows = P.candidate_scores(S.elements(spark, d), S.lines(spark, d), W, H).where("accepted").orderBy(F.desc("score"), "direction", "page_id").limit(50)
-    return rows.select("page_id", "direction", "score", F.row_number().over(Window.orderBy(F.desc("score"), "direction", "page_id")).cast("int").alias("place"))
+    """Each page's decisions, the best first."""
+    rows = P.decisions(P.apart(candidates(spark, d)), L.POLICIES["two_column"])
+    return rows.select("page_id", "direction", "position", "final", F.row_number().over(_by_final()).cast("int").alias("place"))
 
 
-@query("srt03_best_per_axis", f"with {CANDIDATES} select direction, region, position, score from (select direction, page_id % 100 as region, position, score, row_number() over (partition by direction, page_id % 100 order by score desc, position) as k from f) where k = 1")
+@query("srt03_best_per_axis", f"with {DECISIONS} select page_id, direction, position, final from (select *, row_number() over (partition by page_id, direction order by final desc, score desc, len(sources) desc, gap desc, position) as k from decided) where k = 1")
 def srt03(spark, d):
-    rows = P.candidate_scores(S.elements(spark, d), S.lines(spark, d), W, H).withColumn("region", F.col("page_id") % 100)
-    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("position"))).alias("best")
-    return rows.groupBy("direction", "region").agg(best).select("direction", "region", "best.position", (-F.col("best.s")).alias("score"))
+    """The best decision of each page and axis; of equal ones the one that ranked first as a candidate."""
+    rows = P.decisions(P.apart(candidates(spark, d)), L.POLICIES["two_column"])
+    first = F.row_number().over(Window.partitionBy("page_id", "direction").orderBy(F.desc("final"), *P.candidate_order()))
+    return rows.withColumn("k", first).where("k = 1").select("page_id", "direction", "position", "final")
 
 
 @query("jon22_sibling_overlap", f"with {V.ELEMENTS}, {V.NODES} select a.page_id, a.node_id as a, b.node_id as b from nodes a join nodes b on a.page_id = b.page_id and a.parent_id = b.parent_id and a.ordinal < b.ordinal where {OVER}")
@@ -594,9 +628,13 @@ def agg25(spark, d):
     return n.groupBy("page_id").agg(F.count_if(F.col("layout_type") == "atomic").alias("leaf_count"), (F.max(F.when(F.col("parent_id").isNull(), 0).otherwise(1)) + 1).alias("tree_depth"))
 
 
-@query("agg14_under_segmentation", f"with {V.ELEMENTS} select page_id, round(least(1, count(*) / 12.0::double), 6) as under from elements group by 1 having count(*) >= 4")
+@query("agg14_under_segmentation", f"with {FEATURE_VIEWS}, n as (select page_id, region_id, count(*) as n from inside group by 1, 2) select page_id, region_id, round(least(1, greatest(horizontal_gap, vertical_gap, horizontal_separator, vertical_separator) * least(1, n / 8.0::double)), 9) as under from n join features using (page_id, region_id) where n >= 4")
 def agg14(spark, d):
-    return S.elements(spark, d).groupBy("page_id").agg(F.count("*").alias("n")).where("n >= 4").select("page_id", G.clamp01(F.col("n") / 12.0).alias("under"))
+    """How much a decided leaf of four elements or more should have been cut: its strongest partition by its elements."""
+    c = F.col
+    rows = features(spark, d).withColumn("n", c("foreground_count") + c("container_count")).where("n >= 4")
+    strongest = F.greatest("horizontal_gap", "vertical_gap", "horizontal_separator", "vertical_separator", "horizontal_transition", "vertical_transition")
+    return rows.select("page_id", "region_id", F.round(F.least(F.lit(1.0), strongest * F.least(F.lit(1.0), c("n") / 8)), 9).alias("under"))
 
 
 @query(

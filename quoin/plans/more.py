@@ -74,18 +74,18 @@ def prj21(spark, d):
     return P.classify(B.features(spark, d)).select("page_id", "region_id", F.round(F.least(F.lit(1.0), 0.35 * c("background_continuity") + 0.2 * c("density") + more), 10).alias("cohesion"))
 
 
-@query("flt06_open_decisions", f"with {B.CANDIDATES} select page_id, direction, position from f where not list_has_any(why, ['child_too_small', 'score_below_threshold'])")
+@query("flt06_open_decisions", f"with {B.DECISIONS} select page_id, direction, position, final from decided where len(why) = 0 and final >= 0.6 and cut_large = 0")
 def flt06(spark, d):
-    rows = P.candidate_scores(S.elements(spark, d), S.lines(spark, d), W, H)
-    return rows.where(~F.arrays_overlap("reasons", F.array(F.lit("child_too_small"), F.lit("score_below_threshold")))).select("page_id", "direction", "position")
+    """Decisions that a search may follow: not refused, not below the region's minimum, through no large component."""
+    rows = P.decisions(P.apart(B.candidates(spark, d)), L.POLICIES["two_column"])
+    return rows.where(F.size("blocked") == 0).select("page_id", "direction", "position", "final")
 
 
 @query("flt09_valid_cuts", f"with {B.CANDIDATES} select page_id, direction, position from f where least(position, extent - position) >= 24 and before > 0 and after > 0 and cut_foreground + cut_other = 0")
 def flt09(spark, d):
     """Cuts with both sides filled and wide enough that pass through no box."""
-    rows = P.candidate_scores(S.elements(spark, d), S.lines(spark, d), W, H)
     extent = F.when(F.col("direction") == "vertical", W).otherwise(H)
-    return rows.where((F.least(F.col("position"), extent - F.col("position")) >= 24) & (F.col("before") > 0) & (F.col("after") > 0) & (F.col("cut_foreground") + F.col("cut_other") == 0)).select("page_id", "direction", "position")
+    return B.candidates(spark, d).where((F.least(F.col("position"), extent - F.col("position")) >= 24) & (F.col("before") > 0) & (F.col("after") > 0) & (F.col("cut_foreground") + F.col("cut_other") == 0)).select("page_id", "direction", "position")
 
 
 @query("win15_preorder", f"with {V.ELEMENTS}, {V.NODES} select page_id, node_id, cast(row_number() over (partition by page_id order by case when parent_id is null then 0 else 1 end, ordinal) - 1 as int) as preorder from nodes")
@@ -94,23 +94,24 @@ def win15(spark, d):
     return S.nodes(S.elements(spark, d)).select("page_id", "node_id", (F.row_number().over(order) - 1).cast("int").alias("preorder"))
 
 
-@query("win05_state_ranks", f"with {B.CANDIDATES} select page_id, direction, position, cast(row_number() over (partition by page_id order by score desc, direction, position) as int) as rank from f")
+@query("win05_state_ranks", f"with {B.DECISIONS} select page_id, direction, position, cast(row_number() over (partition by page_id {B.BY_FINAL}) as int) as rank, cast(count(*) over (partition by page_id) - row_number() over (partition by page_id {B.BY_FINAL}) as int) as lower from decided where len(why) = 0")
 def win05(spark, d):
-    rows = P.candidate_scores(S.elements(spark, d), S.lines(spark, d), W, H)
-    order = Window.partitionBy("page_id").orderBy(F.desc("score"), "direction", "position")
-    return rows.select("page_id", "direction", "position", F.row_number().over(order).cast("int").alias("rank"))
+    """The accepted one-cut states of a page by rank, and how many rank lower."""
+    rows = P.decisions(P.apart(B.candidates(spark, d)), L.POLICIES["two_column"]).where("accepted")
+    rank = F.row_number().over(B._by_final())
+    return rows.select("page_id", "direction", "position", rank.cast("int").alias("rank"), (F.count("*").over(Window.partitionBy("page_id")) - rank).cast("int").alias("lower"))
 
 
 @query("hlp07_selected_cuts", f"with {B.CANDIDATES} select page_id, direction, position from f where len(why) = 0")
 def hlp07(spark, d):
-    return P.candidate_scores(S.elements(spark, d), S.lines(spark, d), W, H).where("accepted").select("page_id", "direction", "position")
+    return B.candidates(spark, d).where("accepted").select("page_id", "direction", "position")
 
 
-@query("hlp09_best_by_rank", f"with {B.CANDIDATES} select page_id % 50 as block, max(score) as score from f group by 1")
+@query("hlp09_best_by_rank", f"with {B.APART} select page_id, direction, position, score, cast(row_number() over (partition by page_id order by score desc, len(sources) desc, gap desc, position, direction) as int) as rank from kept")
 def hlp09(spark, d):
-    rows = P.candidate_scores(S.elements(spark, d), S.lines(spark, d), W, H)
-    best = F.max(F.struct("score", (-F.col("position")).alias("p"))).alias("b")
-    return rows.groupBy((F.col("page_id") % 50).alias("block")).agg(best).select("block", "b.score")
+    """Candidates that no better one of their direction lies within eight pixels of, by score, sources, gap and place."""
+    order = Window.partitionBy("page_id").orderBy(*P.candidate_order(), "direction")
+    return P.apart(B.candidates(spark, d)).select("page_id", "direction", "position", "score", F.row_number().over(order).cast("int").alias("rank"))
 
 
 @query("hlp11_merged_neighbours", f"with {V.ELEMENTS} select a.page_id, a.element_id, least(a.l, b.l) as l, least(a.t, b.t) as t, greatest(a.r, b.r) as r, greatest(a.b, b.b) as b, (a.l + b.l) // 2 as shade from elements a join elements b on a.page_id = b.page_id and b.element_id = a.element_id + 1")

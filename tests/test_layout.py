@@ -297,3 +297,37 @@ def test_detector_payloads(spark, tmp_path):
 
 def test_names_of_queries_are_unique_and_have_columns():
     assert len(catalogue.QUERIES) > 150 and set(catalogue.ORACLES) <= set(catalogue.QUERIES)
+
+
+def test_candidate_rows_equal_the_rated_cuts_of_pages_without_groups(spark):
+    draw = random.Random(11)
+    boxes, lines, expected = [], [], {}
+    for p in range(40):
+        own = []
+        for i in range(draw.randrange(2, 9)):
+            x, y = draw.randrange(0, 1000), draw.randrange(0, 780)
+            own.append((i, (x, y, x + draw.randrange(20, 180), y + draw.randrange(12, 110)), draw.choice(["Text", "Compo", "Block"])))
+        found = [("vertical", draw.randrange(1, 1200), 0, 900), ("vertical", draw.randrange(1, 1200), 0, 900), ("horizontal", draw.randrange(1, 900), 0, 300)]
+        boxes += [(p, i, *b, c) for i, b, c in own]
+        lines += [(p, *x, "lsd") for x in found]
+        front = lambda b, c: c == "Text" or c == "Compo" and (b[2] - b[0]) * (b[3] - b[1]) / 1080000 < 0.15 and (b[2] - b[0]) / 1200 < 0.65
+        elements = [element(i, b, c == "Text", "foreground" if front(b, c) else "container") for i, b, c in own]
+        page_ = layout.Page(1200, 900, elements, sorted(found), [])
+        back = [e for e in elements if e["role"] != "foreground"]
+        ahead = [e for e in elements if e["role"] == "foreground"]
+        axis = layout.text_axis(ahead, page_.box, page_)
+        for cut in layout.evidence(page_, page_.box, ahead, [], []):
+            r = layout.rate(page_, page_.box, cut, ahead, back, [], axis)
+            expected[p, r.direction, r.at] = (r.score, r.gap, len(r.cut_large), list(r.why))
+    e = spark.createDataFrame(boxes, "page_id long, element_id int, l int, t int, r int, b int, uied_class string")
+    li = spark.createDataFrame(lines, "page_id long, direction string, position int, start int, end int, source string")
+    got = {(r.page_id, r.direction, r.position): (r.score, r.gap, r.cut_large, r.reasons) for r in spatial.candidate_scores(e, li, 1200, 900).collect()}
+    assert got.keys() == expected.keys()
+    for k, (score, *rest) in got.items():
+        assert score == pytest.approx(expected[k][0], abs=1e-6) and rest == list(expected[k][1:]), k
+
+
+def test_better_candidates_keep_others_away(spark):
+    rows = [(1, "vertical", 48, ["lsd"], 0, 0.8), (1, "vertical", 52, ["lsd"], 0, 0.9), (1, "horizontal", 50, ["lsd"], 0, 0.7), (1, "vertical", 60, ["whitespace"], 9, 0.5)]
+    kept = spatial.apart(spark.createDataFrame(rows, "page_id long, direction string, position int, sources array<string>, gap int, score double")).collect()
+    assert sorted((r.direction, r.position) for r in kept) == [("horizontal", 50), ("vertical", 52), ("vertical", 60)]
