@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, table
 
 K, BOUND, ROWS, QUERIES, SEED = 5, 3.0, 4096, 512, 11
 #: Code bits for each dimension, and bits of a query's coordinate.
@@ -201,11 +201,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, z: float = BOUND,
         blocks = blocks.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
         return blocks.join(codes, ["dim", "qb", "rb"]).select("q", "planes", "figures", "limits", "c", "code", "correction")
 
-    lows = meet(None).mapInArrow(lowest(k + 1, z), "q long, low double")
+    lows = meet(None).transform(mapped, lowest(k + 1, z), "q long, low double")
     limits = first_rows(lows, ["q"], [F.desc("low")], k + 1, "n").where(F.col("n") == k + 1).select("q", F.col("low").alias("limit"))
-    near = meet(table(limits, "limits")).mapInArrow(reaching(z), "q long, c long")
+    near = meet(table(limits, "limits")).transform(mapped, reaching(z), "q long, c long")
     sided = near.join(classes.select(F.col("cls").alias("q"), "dim", F.col("v").alias("v_q")), "q").join(classes.select(F.col("cls").alias("c"), F.col("v").alias("v_c")), "c")
-    found = table(sided.select("q", "c", "dim", "v_q", "v_c").mapInArrow(scored, "q long, c long, score double"), "scored")
+    found = table(sided.select("q", "c", "dim", "v_q", "v_c").transform(mapped, scored, "q long, c long, score double"), "scored")
     found = found.join(classes.select(F.col("cls").alias("c"), "members"), "c").select("q", "score", F.inline("members"))
     found = first_rows(found, ["q"], [F.desc("score"), F.col("id"), F.col("uid")], k + 1, "n").select("q", "score", F.col("id").alias("vec_id"), F.col("uid").alias("found"))
     own = rows.where("asked").select(F.col("id").alias("query_id"), "uid", "h1", "h2").join(classes.select("h1", "h2", F.col("cls").alias("q")), ["h1", "h2"])

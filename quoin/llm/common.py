@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -60,6 +62,42 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return rows.withColumn("__place", place).join(F.broadcast(starts), "__part").withColumn(name, F.col("__first") + F.col("__place")).drop("__part", "__n", "__first", "__place")
 
 
+#: Bytes of the Arrow batches that texts go to Python in, at most.
+BATCH = "8m"
+
+
+def tidy() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """run, a function of Arrow batches, without what it would leave behind: idle Python workers are kept for later stages."""
+
+    def task(batches):
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # large arrays come from the system and go back to it
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return task
+
+
+def mapped(rows: DataFrame, run, schema) -> DataFrame:
+    """rows.mapInArrow(run, schema) in batches of BATCH bytes, with workers that keep no memory.
+
+    The size of batches is a setting of the session, and stays set.
+    """
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return rows.mapInArrow(lean(run), schema)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A to Z only."""
     return F.translate(text, UPPER, UPPER.lower())

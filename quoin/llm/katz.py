@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .common import flagged, table
+from .common import flagged, mapped, table
 
 K, DICTIONARY, HOT, BUCKET = 5, 1_000_000, 1000, 1_500_000
 CHUNK = 4_000_000
@@ -411,7 +411,7 @@ def score_all(docs: DataFrame, learn_from: Column) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     every = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(learn_from, F.lit(False)).alias("learn")))
     rows = every.select(F.col("key").alias("doc_id"), "text", "learn")
-    words = rows.mapInArrow(count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    words = rows.transform(mapped, count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
     words = table(words, "unigrams")
     first = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), *(F.count_if(F.col("c") == r).alias(f"c{r}") for r in range(1, K + 2))).first()
     n, v = int(first["n"] or 0), int(first["v"])
@@ -426,18 +426,18 @@ def score_all(docs: DataFrame, learn_from: Column) -> DataFrame:
     hot = np.append(np.flatnonzero((counts * HOT >= max(n, 1)) | (counts >= BUCKET)).astype(np.uint64) + FIRST, START)
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffle, -(-n // BUCKET))
-    plain = rows.mapInArrow(emitter(frequent, hot, buckets, False), PART)
-    rare = rows.mapInArrow(emitter(frequent, hot, buckets, True), PART).groupBy("bucket").applyInArrow(counted(hot, buckets), PART)
+    plain = rows.transform(mapped, emitter(frequent, hot, buckets, False), PART)
+    rare = rows.transform(mapped, emitter(frequent, hot, buckets, True), PART).groupBy("bucket").applyInArrow(counted(hot, buckets), PART)
     pairs = table(plain.unionByName(rare).groupBy("bucket").applyInArrow(merged(frequent, hot, unigram), TABLE), "pairs")
     pair_counts = pairs.agg(*(F.sum(F.col("seen")[r]).alias(f"c{r}") for r in range(K + 1))).first()
     d = discounts([int(x or 0) for x in pair_counts])
-    sums = pairs.select("hot").mapInArrow(hot_sums, "h long, " + ", ".join(f"s{k} double" for k in range(K + 2)))
+    sums = pairs.select("hot").transform(mapped, hot_sums, "h long, " + ", ".join(f"s{k} double" for k in range(K + 2)))
     sums = sums.groupBy("h").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(K + 2))).toPandas()  # a row for each hot context
     keys = sums["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     merged_hot = (keys[order], sums[[f"s{k}" for k in range(K + 2)]].to_numpy(np.float64)[order])
     # as many groups as buckets, so that a group's entries do not grow with the corpus
-    scored = pairs.select("docs", "h", "w", "c1", "c2", "each", "doc", "n").mapInArrow(scorer(frequent, d, unigram, merged_hot, buckets), SCORE)
+    scored = pairs.select("docs", "h", "w", "c1", "c2", "each", "doc", "n").transform(mapped, scorer(frequent, d, unigram, merged_hot, buckets), SCORE)
     out = scored.groupBy("part").applyInArrow(summed, "key long, score double, base_score double, n_tokens long, n_known long")
     out = every.select("doc_id", "key").join(out, "key")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped
+
 DIM, ORDER, SEED, UNIT = 1024, 3, 7, 1 << 20
 #: Most languages a model may learn; the prototypes that go to the driver have DIM numbers each.
 LANGUAGES = 5000
@@ -82,7 +84,7 @@ class Letters:
     def _add(self, sums: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
         size, n = len(self.vectors), len(sums)
         code = (a * size + b) * size + c
-        if size**3 <= 1 << 24:
+        if size**3 <= 1 << 22:
             seen = np.zeros(size**3, bool)
             seen[code] = True
             distinct = np.flatnonzero(seen)
@@ -149,7 +151,7 @@ def train(docs: DataFrame, learn_from: Column, dim: int = DIM, seed: int = SEED)
     Sums are of whole numbers, so the model does not depend on how rows are dealt.
     """
     rows = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    sums = rows.mapInArrow(learner(dim, seed), "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
+    sums = rows.transform(mapped, learner(dim, seed), "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
     found = sums.limit(LANGUAGES * dim + 1).toPandas()
     if len(found) > LANGUAGES * dim:
         raise ValueError(f"lang has more than {LANGUAGES} values")
@@ -195,4 +197,4 @@ def identify(docs: DataFrame, learn_from: Column, keep: list[str], dim: int = DI
     rows = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").cast("string").alias("__text"))
     column = "text" if "text" in keep else "__text"
     fields = T.StructType([f for f in rows.schema.fields if f.name != "__text"]).add(names[0], "string").add(names[1], "double")
-    return rows.mapInArrow(predictor(langs, prototypes, dim, seed, column, names), fields)
+    return rows.transform(mapped, predictor(langs, prototypes, dim, seed, column, names), fields)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from .common import perhaps_among, table
+from .common import mapped, perhaps_among, table
 from .graph import components
 
 WIDTH, PERCENT = 5, 85
@@ -351,11 +351,11 @@ def crowd_pairs(slim: DataFrame, some: DataFrame, classes: DataFrame, joined: Da
     texts = texts.join(crowd.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "part", "text")
     texts = table(texts, "crowd-texts")
     counts = np.zeros((RANKS // _PAGE, _PAGE), np.int64)
-    tallied = texts.select("text").mapInArrow(tally(width), "page int, counts binary").groupBy("page").applyInArrow(added, "page int, counts binary")
+    tallied = texts.select("text").transform(mapped, tally(width), "page int, counts binary").groupBy("page").applyInArrow(added, "page int, counts binary")
     for page, x in tallied.collect():  # RANKS counts at most
         counts[page] = np.frombuffer(x, np.int64)
     ranks = spark.sparkContext.broadcast(counts.ravel())
-    posts = table(texts.mapInArrow(poster(width, percent, ranks), POST_SQL), "posts")
+    posts = table(texts.transform(mapped, poster(width, percent, ranks), POST_SQL), "posts")
     often = posts.groupBy("gram").agg(F.count("*").alias("c"), F.min("part").alias("low"), F.max("part").alias("high"), F.max("front").alias("any"))
     often = table(often.where("low != high and any").select("gram", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "often")
     shared = perhaps_among(posts, "gram", often).join(often, "gram")
@@ -363,7 +363,7 @@ def crowd_pairs(slim: DataFrame, some: DataFrame, classes: DataFrame, joined: Da
     shared = shared.select("gram", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "part", "n", "front", "sig")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = shared.repartition(parts, "gram", "x", "y").sortWithinPartitions("gram", "x", "y")
-    met = shared.mapInArrow(meeter(percent, agreement(percent)), "a long, b long")
+    met = shared.transform(mapped, meeter(percent, agreement(percent)), "a long, b long")
     return table(met.distinct(), "crowd-pairs")
 
 
@@ -380,7 +380,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     its component.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = table(slim.mapInArrow(sketcher(width), SKETCH), "sketches")
+    sketches = table(slim.transform(mapped, sketcher(width), SKETCH), "sketches")
     some = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = table(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     heads = some.select(F.col("doc_id").alias("rep"), "sig", "keys", "h1", "h2").join(classes.select("rep", "h1", "h2"), ["rep", "h1", "h2"], "left_semi")
@@ -389,7 +389,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     parts = int(max(1, min(rows // (16 * REACH), max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
     least = agreement(percent)
     ordered = orders.repartitionByRange(parts, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep").select("rep", "tree", "key", "sig")
-    scanned = table(ordered.mapInArrow(scanner(least), PAIR_SQL), "scanned")
+    scanned = table(ordered.transform(mapped, scanner(least), PAIR_SQL), "scanned")
     edges = scanned.where("part is not null").select(F.col("a").alias("rep"), "tree", "key", "sig", "part", "place", "back")
     counts = [(r["part"], r["n"]) for r in edges.groupBy("part").agg(F.max(F.col("place") + F.col("back") + 1).alias("n")).collect()]  # a number for each partition
     # REACH rows for each partition at most are broadcast
@@ -405,7 +405,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         texts = perhaps_among(slim.where("doc_id is not null"), "doc_id", ends)
         sided = wanted.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         sided = sided.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return table(sided.select("a", "b", "text_a", "text_b").mapInArrow(verifier(width, percent), "a long, b long"), name)
+        return table(sided.select("a", "b", "text_a", "text_b").transform(mapped, verifier(width, percent), "a long, b long"), name)
 
     links = confirmed(pairs, "links")
     joined = table(components(links), "joined")

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
+from .common import mapped
 
 #: Bounds of the sample that the model is fitted on: labelled documents, and lines of all of them together.
 SAMPLE, SAMPLE_LINES = 4000, 400_000
@@ -219,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, sample: int =
     # 2 * sample rows of three numbers are broadcast at most
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"], r["mark"]) for r in sizes], some.schema.add("mark", "long"))
     picked = rows.join(F.broadcast(chosen), ["doc_id", "quality", "mark"], "left_semi").dropDuplicates(["doc_id", "quality", "mark"])
-    got = picked.select("doc_id", "mark", "text", "quality").mapInArrow(featurer, "doc_id long, mark long, n long, label int, x binary, size binary").toPandas()
+    got = picked.select("doc_id", "mark", "text", "quality").transform(mapped, featurer, "doc_id long, mark long, n long, label int, x binary, size binary").toPandas()
     got = got.sort_values(["doc_id", "label", "mark"], ignore_index=True)
     if not len(got):
         return {"w": np.zeros(WIDTH), "shift": 0.0, "turn": np.zeros((2, 2)), "a": 1.0, "b": 0.0, "empty": 0.5}
@@ -261,5 +262,5 @@ def classify(docs: DataFrame, labels: DataFrame, learn_from: Column, threshold:
     """
     model = train(docs, labels, learn_from)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(scorer(model), "doc_id long, score double, n_lines long")
+    scored = rows.transform(mapped, scorer(model), "doc_id long, score double, n_lines long")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
