@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: The placeholder image and the phrases that mark a page as no real page.
 PLACEHOLDER = "rick.jpg"
+CSS_PLACEHOLDER = "placeholder.png"
 STOP_PHRASES = ("404", "wordpress", "you have been blocked", "buy this domain", "403 ", "page not found", "squarespace ")
 
 
@@ -114,10 +115,12 @@ def absolute_url(base: Column, link: Column) -> Column:
 
 
 def neutral_links(html: Column) -> Column:
-    """External links point at #, image urls in CSS at the placeholder, other CSS urls at nothing."""
-    html = sub(html, r"href=\"https?://[^\"]*\"", 'href="#"')
-    html = sub(html, r"(?i)url\([^)]*\.(?:png|jpe?g|gif|webp|svg)[^)]*\)", f"url({PLACEHOLDER})")
-    return sub(html, r"url\((?:https?:)?//[^)]*\)", "url()")
+    """Anchors to other sites point at #; CSS urls become the placeholder if they name an image, else nothing; data urls stay."""
+    html = sub(html, r"(?i)(<a\s[^>]*href=)\"http[^\"]*\"", '$1"#"')
+    html = sub(html, r"url\s*\(\s*['\"]?(data:[^)'\"]*)['\"]?\s*\)", "\ue000($1)")
+    html = sub(html, r"(?i)url\s*\([^)?#]*\.(?:png|gif|ico|jpg|jpeg|webp|svg)['\"]?\s*(?:[?#][^)]*)?\)", "\ue001")
+    html = sub(html, r"url\s*\([^)]+\)", "url()")
+    return F.replace(F.replace(html, F.lit("\ue000("), F.lit("url(")), F.lit("\ue001"), F.lit(f"url({CSS_PLACEHOLDER})"))
 
 
 def valid(html: Column) -> Column:

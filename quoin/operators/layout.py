@@ -1077,6 +1077,39 @@ def tree_rows(elements: DataFrame, lines: DataFrame, width: int, height: int) ->
     return per_page(page_rows(elements, lines), schema, emit)
 
 
+def state_rows(elements: DataFrame, lines: DataFrame, width: int, height: int) -> DataFrame:
+    """The states that the beam ends with: rank, score, average local score, decisions, leaves."""
+
+    def emit(page_id, own, found):
+        for rank, s in enumerate(search(page_of(own, found, width, height))):
+            yield page_id, rank, s.score, round(s.average, 6), len(s.steps), int(s.sums[_AT["leaves"]])
+
+    return per_page(page_rows(elements, lines), "page_id long, rank int, score double, average double, decisions int, leaves int", emit)
+
+
+def set_rows(elements: DataFrame, lines: DataFrame, width: int, height: int) -> DataFrame:
+    """What the whole page's candidate set holds: its type, candidates, accepted ones, decisions."""
+
+    def emit(page_id, own, found):
+        page = page_of(own, found, width, height)
+        _, kind, cuts, choices = study(page, page.box)
+        yield page_id, kind, len(cuts), sum(not c.why for c in cuts), len(choices)
+
+    return per_page(page_rows(elements, lines), "page_id long, region_type string, candidates int, accepted int, decisions int", emit)
+
+
+def analysis_rows(elements: DataFrame, lines: DataFrame, width: int, height: int) -> DataFrame:
+    """One row a page: whether it was searched twice, trees refused, leaves before and after runs merged, and the eleven measures."""
+    names = ["atomic_count", "owned_element_count", "largest_atomic_element_ratio", "single_element_atomic_ratio", "weak_separator_ratio", *GATE]
+
+    def emit(page_id, own, found):
+        a = analyse(page_of(own, found, width, height))
+        leaves = sum(c.cut is None for _, _, c in a.state.steps)
+        yield page_id, a.again, sum(why != "not_selected_lower_rank" for *_, why in a.rejected), leaves, sum(n["kind"] in ("atomic", "spacer") for n in a.tree), *(float(a.measures[k]) for k in names)
+
+    return per_page(page_rows(elements, lines), "page_id long, again boolean, refused int, leaves_before int, leaves_after int, " + ", ".join(f"{n} double" for n in names), emit)
+
+
 def term_rows(elements: DataFrame, lines: DataFrame, width: int, height: int) -> DataFrame:
     """Score terms of every page's best tree."""
 

@@ -83,6 +83,34 @@ def matches(pairs: DataFrame, merge: bool = False) -> DataFrame:
     return pairs.mapInArrow(run, "page_id long, i int, j int, similarity double")
 
 
+def similarity_matrix(pairs: DataFrame) -> DataFrame:
+    """page_id, i, j, similarity of the texts of every block of a page with every block of the other rendering.
+
+    All pairs of one page's few blocks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(r["page_id"], i, j, round(float(s), 6)) for r in batch.to_pylist() for i, row in enumerate(similarities(r["one"], r["two"])) for j, s in enumerate(row)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["page_id", "i", "j", "similarity"])
+
+    return pairs.mapInArrow(run, "page_id long, i int, j int, similarity double")
+
+
+def assignment_costs(pairs: DataFrame) -> DataFrame:
+    """page_id, i, j, cost of every pair of the best one-to-one assignment; a cost is minus the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                cost = -similarities(r["one"], r["two"])
+                out += [(r["page_id"], int(i), int(j), round(float(cost[i, j]), 6)) for i, j in zip(*assign(cost), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["page_id", "i", "j", "cost"])
+
+    return pairs.mapInArrow(run, "page_id long, i int, j int, cost double")
+
+
 def visual_scores(pairs: DataFrame, clip: float = 0.0) -> DataFrame:
     """page_id, size, text, position, colour and the final fifth of their sum and the given image similarity.
 

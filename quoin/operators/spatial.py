@@ -488,20 +488,49 @@ def decisions(candidates: DataFrame, policy: dict) -> DataFrame:
     return candidates.withColumn("final", final).withColumn("blocked", G.ordered_reasons(blocked))
 
 
-def tree_errors(tree: DataFrame) -> DataFrame:
-    """Structural errors of a node table: error, count."""
-    a, b = prefixed(tree, "a_"), prefixed(tree, "b_")
-    siblings = a.join(b, (a["page_id"] == b["page_id"]) & (a["a_parent_id"] == b["b_parent_id"])).where((F.col("a_ordinal") < F.col("b_ordinal")) & G.overlaps("a_", "b_"))
-    kin = a.join(b, (a["page_id"] == b["page_id"]) & (a["a_parent_id"] == b["b_node_id"]))
-    escapes = kin.where("a_l < b_l or a_t < b_t or a_r > b_r or a_b > b_b")
-    bad = tree.where("layout_type not in ('row', 'column', 'atomic', 'spacer')")
-    flat = tree.where("r <= l or b <= t")
-    parts = {"sibling_overlap": siblings, "child_escapes_parent": escapes, "bad_type": bad, "empty_box": flat}
-    found = None
-    for name, rows in parts.items():
-        one = rows.agg(F.lit(name).alias("error"), F.count("*").alias("n"))
-        found = one if found is None else found.unionByName(one)
-    return found
+#: Most that a page's ratios may be. Fixed values.
+GATE = {"empty_ratio": 0.0, "thin_text_ratio": 0.40, "small_single_ratio": 0.45}
+
+
+def structure_measures(tree: DataFrame, owned: DataFrame) -> DataFrame:
+    """One row a page: the measures of its node table and how often each rule is broken.
+
+    tree: a node table; owned: page_id, node_id and element_id, box, uied_class of the
+    elements that leaves own. Rules: no siblings overlap, no child escapes its parent,
+    children stand in order, at most one leaf takes half the page, no leaf holds small
+    icons only, every element has one owner, and the ratios of GATE.
+    """
+    key = ["page_id", "node_id"]
+    kids = prefixed(tree.where("parent_id is not null"), "c_").withColumnRenamed("c_parent_id", "parent_id")
+    parents = prefixed(tree, "p_").withColumnRenamed("p_node_id", "parent_id")
+    kin = kids.join(parents, ["page_id", "parent_id"])
+    escapes = (F.col("c_l") < F.col("p_l")) | (F.col("c_t") < F.col("p_t")) | (F.col("c_r") > F.col("p_r")) | (F.col("c_b") > F.col("p_b"))
+    start = F.when(F.col("p_layout_type") == "row", F.col("c_l")).when(F.col("p_layout_type") == "column", F.col("c_t"))
+    kin = kin.withColumn("late", F.coalesce(F.lag(start).over(Window.partitionBy("page_id", "parent_id").orderBy("c_ordinal")) > start, F.lit(False)))
+    shape = kin.groupBy("page_id").agg(F.count_if(escapes).alias("escapes"), F.count_if("late").alias("disordered"))
+    a, b = (tree.where("parent_id is not null").select("page_id", "parent_id", *(F.col(c).alias(f"{side}_{c}") for c in (*BOX, "ordinal"))) for side in "ab")
+    pairs = a.join(b, ["page_id", "parent_id"]).where((F.col("a_ordinal") < F.col("b_ordinal")) & G.overlaps("a_", "b_"))
+    roots = tree.where("parent_id is null").select("page_id", G.area().cast("double").alias("page_area"), F.greatest(F.lit(96), F.rint(G.height() * 0.035)).alias("thin"))
+    e = owned.join(roots, "page_id")
+    text, area = F.col("uied_class") == "Text", G.area().cast("double") / F.col("page_area")
+    side = F.greatest(G.width(), G.height())
+    weak = F.when(text, (G.height() <= F.col("thin")) & (area < 0.03)).otherwise((area < 0.04) & (side <= 48))
+    leaves = e.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(text).alias("texts"), F.max(side).alias("side"), (F.max("b") - F.min("t")).alias("span"), F.max("thin").alias("thin"), F.bool_and(weak).alias("weak"))
+    atoms = tree.where("layout_type = 'atomic'").join(roots.select("page_id", "page_area"), "page_id").select(*key, (G.area() * 2 >= F.col("page_area")).alias("wide")).join(leaves, key, "left")
+    filled = F.col("n").isNotNull()
+    thin, small = filled & (F.col("texts") == F.col("n")) & (F.col("span") <= F.col("thin")), (F.col("n") == 1) & F.col("weak")
+    share = lambda x: R6(F.count_if(x) / F.greatest(F.lit(1), F.count_if(filled)))
+    found = atoms.groupBy("page_id").agg(
+        F.count_if(filled).alias("atomic_count"), R6(F.max(F.coalesce("n", F.lit(0))) / F.greatest(F.lit(1), F.sum("n"))).alias("largest_ratio"), share(thin).alias("thin_text_ratio"), share(F.col("n") == 1).alias("single_ratio"),
+        R6(F.count_if(~filled) / F.count("*")).alias("empty_ratio"), share(small).alias("small_single_ratio"), F.greatest(F.lit(0), F.count_if("wide") - 1).alias("page_scale"),
+        F.count_if(filled & (F.col("texts") == 0) & (F.col("side") <= 48)).alias("icon_only"),
+    )
+    once = owned.groupBy("page_id").agg(F.count_distinct("element_id").alias("owned_element_count"), (F.count("*") - F.count_distinct("element_id")).alias("owned_twice"))
+    out = found.join(once, "page_id", "left").join(shape, "page_id", "left").join(pairs.groupBy("page_id").agg(F.count("*").alias("crossings")), "page_id", "left").fillna(0)
+    broken = sum((F.col(c) for c in ("crossings", "escapes", "disordered", "page_scale", "icon_only", "owned_twice")), F.lit(0)) > 0
+    for name, most in GATE.items():
+        broken |= F.col(name) > most
+    return out.withColumn("passed", ~broken)
 
 
 def smoothed(rows: DataFrame, by: list[str], at: str, value: str, taps: int = 5) -> DataFrame:
@@ -522,3 +551,27 @@ def top(rows: DataFrame, by: list[str], value: str, at: str, most: int) -> DataF
     """The largest values for each key, ties to the smaller place."""
     order = Window.partitionBy(*by).orderBy(F.desc(value), at)
     return rows.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= most)
+
+
+def context_bonus(cells: DataFrame, reach: int, weight: float = 1.0, least: float = -0.5) -> DataFrame:
+    """cells (page_id, i, j, cost) with adjusted: a good cost is raised by the best of its neighbours.
+
+    For costs below least, the sum of the 2 * reach lowest other costs within reach rows
+    and columns is added, times weight. Neighbours come from one equi-join on the page.
+    """
+    a, b = prefixed(cells, "a_"), prefixed(cells, "b_")
+    near = (F.abs(F.col("a_i") - F.col("b_i")) <= reach) & (F.abs(F.col("a_j") - F.col("b_j")) <= reach) & ((F.col("a_i") != F.col("b_i")) | (F.col("a_j") != F.col("b_j")))
+    rows = a.where(F.col("a_cost") < least).join(b, "page_id").where(near).groupBy("page_id", F.col("a_i").alias("i"), F.col("a_j").alias("j"))
+    lowest = F.slice(F.array_sort(F.collect_list("b_cost")), 1, 2 * reach)
+    sums = rows.agg((F.aggregate(lowest, F.lit(0.0), lambda s, x: s + x) * weight).alias("bonus"))
+    out = cells.join(sums, ["page_id", "i", "j"], "left")
+    return out.select("page_id", "i", "j", "cost", R6(F.col("cost") + F.coalesce("bonus", F.lit(0.0))).alias("adjusted"))
+
+
+def substituted(pages: DataFrame, code: DataFrame) -> DataFrame:
+    """pages (page_id, html) with code (page_id, id, code) put into the empty div of each id, without Markdown fences."""
+    plain = F.replace(F.replace("code", F.lit("```html"), F.lit("")), F.lit("```"), F.lit(""))
+    found = code.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("id", plain.alias("code")))).alias("parts"))
+    tag = lambda x: F.concat(F.lit('<div id="'), x["id"], F.lit('">'))
+    put = F.aggregate("parts", F.col("html"), lambda h, x: F.replace(h, F.concat(tag(x), F.lit("</div>")), F.concat(tag(x), x["code"], F.lit("</div>"))))
+    return pages.join(found, "page_id", "left").select("page_id", F.when(F.col("parts").isNull(), F.col("html")).otherwise(put).alias("html"))

@@ -639,12 +639,23 @@ def agg14(spark, d):
 
 @query(
     "agg15_validation",
-    f"""with {V.ELEMENTS}, {V.NODES} select 'sibling_overlap' as error, count(*) as n from nodes a join nodes b on a.page_id = b.page_id and a.parent_id = b.parent_id and a.ordinal < b.ordinal where {OVER}
-    union all select 'child_escapes_parent', count(*) from nodes p join nodes c on c.page_id = p.page_id and c.parent_id = p.node_id where p.l > c.l or p.t > c.t or p.r < c.r or p.b < c.b
-    union all select 'bad_type', count(*) from nodes where layout_type not in ('row', 'column', 'atomic', 'spacer') union all select 'empty_box', count(*) from nodes where r <= l or b <= t""",
+    f"""with {V.ROLES}, {V.NODES}, roots as (select page_id, ((r - l) * (b - t))::double as page_area, greatest(96, round_even((b - t) * 0.035, 0)) as thin from nodes where parent_id is null),
+    kin as (select c.page_id, p.l > c.l or p.t > c.t or p.r < c.r or p.b < c.b as escapes, coalesce(lag(case p.layout_type when 'row' then c.l when 'column' then c.t end) over (partition by c.page_id, c.parent_id order by c.ordinal) > case p.layout_type when 'row' then c.l when 'column' then c.t end, false) as late
+      from nodes c join nodes p on c.page_id = p.page_id and c.parent_id = p.node_id),
+    shape as (select page_id, count(*) filter (escapes) as escapes, count(*) filter (late) as disordered from kin group by 1),
+    crossing as (select a.page_id, count(*) as crossings from nodes a join nodes b on a.page_id = b.page_id and a.parent_id = b.parent_id and a.ordinal < b.ordinal where {OVER} group by 1),
+    leaves as (select e.page_id, page_area, thin, uied_class = 'Text' as is_text, e.r - e.l as w, e.b - e.t as h, ((e.r - e.l) * (e.b - e.t)) / page_area as share from roles e join roots using (page_id)),
+    m as (select page_id, count(*) as atomic_count, round(1 / count(*)::double, 6) as largest_ratio, round(count(*) filter (is_text and h <= thin) / count(*)::double, 6) as thin_text_ratio, round(1.0::double, 6) as single_ratio, 0.0::double as empty_ratio,
+      round(count(*) filter (case when is_text then h <= thin and share < 0.03 else share < 0.04 and greatest(w, h) <= 48 end) / count(*)::double, 6) as small_single_ratio, greatest(0, count(*) filter (w * h * 2 >= page_area) - 1) as page_scale,
+      count(*) filter (not is_text and greatest(w, h) <= 48) as icon_only, count(*) as owned_element_count, cast(0 as bigint) as owned_twice from leaves group by 1)
+    select m.*, coalesce(escapes, 0) as escapes, coalesce(disordered, 0) as disordered, coalesce(crossings, 0) as crossings,
+      not (coalesce(escapes, 0) + coalesce(disordered, 0) + coalesce(crossings, 0) + page_scale + icon_only > 0 or thin_text_ratio > 0.4 or small_single_ratio > 0.45) as passed
+    from m left join shape using (page_id) left join crossing using (page_id)""",
 )
 def agg15(spark, d):
-    return P.tree_errors(S.nodes(S.elements(spark, d)))
+    """Measures and broken rules of node tables whose leaves own one element each."""
+    e = S.elements(spark, d)
+    return P.structure_measures(S.nodes(e), e.withColumn("node_id", F.col("element_id") + 1))
 
 
 @query("hlp05_cluster_test", f"with {V.ELEMENTS} select a.page_id, count(*) filter ((e.l + e.r) / 2.0 >= a.l and (e.l + e.r) / 2.0 <= a.r) as same_column from elements e join elements a on a.page_id = e.page_id and a.element_id = 0 group by 1")

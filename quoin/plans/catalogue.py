@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import boxes, experiments, more, pages, streams, trees  # noqa: E402, F401  these register their queries
+from . import artifacts, boxes, experiments, more, pages, streams, trees  # noqa: E402, F401  these register their queries

@@ -16,6 +16,11 @@ def pages(spark, d):
     return S.read(spark, d, "pages")
 
 
+def digested(rows):
+    """page_id, digest and length of html."""
+    return rows.select("page_id", F.md5(F.col("html").cast("binary")).alias("digest"), F.length("html").cast("long").alias("n"))
+
+
 def cleaned(name: str, column, sql: str):
     """Register a query that digests one cleaning step's result for each page."""
 
@@ -51,7 +56,12 @@ cleaned("str18_strip_fences", lambda h: H.strip_fences(F.concat(F.lit("```html\n
 cleaned("str19_remove_overflow", lambda h: H.remove_overflow(F.concat(h, F.lit("<p style='overflow: auto;'>"))), "replace(html || '<p style=''overflow: auto;''>', 'overflow: auto;', '')")
 cleaned("str21_wrap_document", lambda h: H.wrap_document(F.replace(h, F.lit("<html lang=\"en\">"), F.lit(""))), """case when regexp_matches(replace(html, '<html lang="en">', ''), '(?i)<html[^>]*>') then replace(html, '<html lang="en">', '') else '<html><body><p>' || replace(html, '<html lang="en">', '') || '</p></body></html>' end""")
 cleaned("hlp23_document_wrapper", H.escape, "replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')")
-cleaned("str26_neutral_links", H.neutral_links, r"""regexp_replace(regexp_replace(regexp_replace(html, 'href="https?://[^"]*"', 'href="#"', 'g'), '(?i)url\([^)]*\.(?:png|jpe?g|gif|webp|svg)[^)]*\)', 'url(rick.jpg)', 'g'), 'url\((?:https?:)?//[^)]*\)', 'url()', 'g')""")
+CSS_PAGE = "html || '<style>a{b:url( \"x/y.PNG?v=1\" )} c{d:url(font.woff)} e{f:url(data:image/png;base64,AA)}</style><a class=\"k\" href=\"https://o.example/z\">z</a><a href=\"/in\">i</a>'"
+NEUTRAL_SQL = rf"""regexp_replace({{0}}, '(?i)(<a\s[^>]*href=)"http[^"]*"', '\1"#"', 'g')"""
+NEUTRAL_SQL = rf"""regexp_replace({NEUTRAL_SQL}, 'url\s*\(\s*[''"]?(data:[^)''"]*)[''"]?\s*\)', chr(57344) || '(\1)', 'g')"""
+NEUTRAL_SQL = rf"""regexp_replace(regexp_replace({NEUTRAL_SQL}, '(?i)url\s*\([^)?#]*\.(?:png|gif|ico|jpg|jpeg|webp|svg)[''"]?\s*(?:[?#][^)]*)?\)', chr(57345), 'g'), 'url\s*\([^)]+\)', 'url()', 'g')"""
+NEUTRAL_SQL = f"replace(replace({NEUTRAL_SQL}, chr(57344) || '(', 'url('), chr(57345), 'url(placeholder.png)')"
+cleaned("str26_neutral_links", lambda h: H.neutral_links(F.expr(CSS_PAGE)), NEUTRAL_SQL.format(f"({CSS_PAGE})"))
 
 
 def chain_sql() -> str:
@@ -193,27 +203,27 @@ def dom_nodes(spark, d):
 @query("srt10_truncated_lists")
 def srt10(spark, d):
     """Pages whose lists and tables keep four children each."""
-    return dom.transformed(pages(spark, d), "truncate").select("page_id", F.length("html").alias("n"))
+    return digested(dom.transformed(pages(spark, d), "truncate"))
 
 
 @query("str11_short_sentences")
 def str11(spark, d):
-    return dom.transformed(pages(spark, d), "sentences").select("page_id", F.length("html").alias("n"))
+    return digested(dom.transformed(pages(spark, d), "sentences"))
 
 
 @query("str09_replace_objects")
 def str09(spark, d):
-    return dom.transformed(pages(spark, d), "objects").select("page_id", F.length("html").alias("n"))
+    return digested(dom.transformed(pages(spark, d), "objects"))
 
 
 @query("str12_used_css")
 def str12(spark, d):
-    return dom.transformed(pages(spark, d), "css").select("page_id", F.length("html").alias("n"))
+    return digested(dom.transformed(pages(spark, d), "css"))
 
 
 @query("str20_truncate_repeats")
 def str20(spark, d):
-    return dom.transformed(pages(spark, d), "repeats").select("page_id", F.length("html").alias("n"))
+    return digested(dom.transformed(pages(spark, d), "repeats"))
 
 
 @query("str13_packed_variants")
@@ -224,17 +234,17 @@ def str13(spark, d):
 
 @query("str14_reduced_bodies")
 def str14(spark, d):
-    return dom.transformed(pages(spark, d), "reduce").select("page_id", F.length("html").alias("n"))
+    return digested(dom.transformed(pages(spark, d), "reduce"))
 
 
 @query("str27_flattened_pages")
 def str27(spark, d):
-    return dom.transformed(pages(spark, d), "flatten").select("page_id", F.length("html").alias("n"))
+    return digested(dom.transformed(pages(spark, d), "flatten"))
 
 
 @query("str28_sanitised")
 def str28(spark, d):
-    return pages(spark, d).select("page_id", F.length(H.unwrap_document(F.col("html"))).alias("n"))
+    return digested(pages(spark, d).select("page_id", H.unwrap_document(F.col("html")).alias("html")))
 
 
 @query("prj29_text_colours")
@@ -251,7 +261,17 @@ def jon18(spark, d):
 
 @query("str22_repetition_cut")
 def str22(spark, d):
-    return M.cut_repetition(S.read(spark, d, "documents"), "doc_id", "text").select("doc_id", F.length("text").alias("n"))
+    """Pages cut where chunks of their text start to repeat; their own text follows them six times."""
+    text = F.regexp_replace("html", "<[^>]*>", "")
+    rows = pages(spark, d).select("page_id", F.concat("html", F.when(F.col("page_id") % 2 == 0, F.repeat(F.substring(text, 1, 300), 6)).otherwise("")).alias("html"))
+    return digested(M.cut_repetition(rows, "page_id", "html"))
+
+
+@query("hlp14_metric_preparation")
+def hlp14(spark, d):
+    """What pages go through before they are measured: repetition cut, document wrapper, repeated elements."""
+    cut = M.cut_repetition(pages(spark, d), "page_id", "html")
+    return digested(dom.transformed(cut.select("page_id", H.wrap_document(F.col("html")).alias("html")), "repeats"))
 
 
 @query("str23_code_similarity")

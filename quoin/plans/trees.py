@@ -97,18 +97,18 @@ def gen01(spark, d):
 
 @query("gen02_skeleton")
 def gen02(spark, d):
-    return L.html_rows(*page(spark, d), W, H, "skeleton").select("page_id", F.length("html").alias("n"))
+    return L.html_rows(*page(spark, d), W, H, "skeleton").select("page_id", F.md5("html").alias("digest"), F.length("html").alias("n"))
 
 
 @query("gen03_grid_html")
 def gen03(spark, d):
     """Absolute placement with each leaf's code put in by its id (GEN04)."""
-    return L.html_rows(*page(spark, d), W, H, "grid").select("page_id", F.length("html").alias("n"))
+    return L.html_rows(*page(spark, d), W, H, "grid").select("page_id", F.md5("html").alias("digest"), F.length("html").alias("n"))
 
 
 @query("snk09_tree_json")
 def snk09(spark, d):
-    return L.json_rows(*page(spark, d), W, H).select("page_id", F.length("tree").alias("n"))
+    return L.json_rows(*page(spark, d), W, H).select("page_id", F.md5("tree").alias("digest"), F.length("tree").alias("n"))
 
 
 @query("agg07_pixel_features")

@@ -331,3 +331,60 @@ def test_better_candidates_keep_others_away(spark):
     rows = [(1, "vertical", 48, ["lsd"], 0, 0.8), (1, "vertical", 52, ["lsd"], 0, 0.9), (1, "horizontal", 50, ["lsd"], 0, 0.7), (1, "vertical", 60, ["whitespace"], 9, 0.5)]
     kept = spatial.apart(spark.createDataFrame(rows, "page_id long, direction string, position int, sources array<string>, gap int, score double")).collect()
     assert sorted((r.direction, r.position) for r in kept) == [("horizontal", 50), ("vertical", 52), ("vertical", 60)]
+
+
+def test_images_survive_their_files(spark, tmp_path):
+    import struct
+    import zlib
+
+    draw = random.Random(4)
+    w, h = 7, 5
+    pixels = bytes(draw.randrange(256) for _ in range(w * h * 3))
+    assert raster.decoded(raster.png(w, h, pixels)) == (w, h, pixels) and raster.decoded(b"GIF89a") is None
+    rows = np.frombuffer(pixels, np.uint8).reshape(h, w * 3).astype(int)
+    raw = b""
+    for y in range(h):  # every kind of filter
+        kind, above = y % 5, rows[y - 1] if y else np.zeros(w * 3, int)
+        left, corner = np.concatenate([[0] * 3, rows[y][:-3]]), np.concatenate([[0] * 3, above[:-3]])
+        guess = left + above - corner
+        near = np.array([min((a, b, c), key=lambda v: abs(g - v)) for a, b, c, g in zip(left, above, corner, guess)])
+        base = [0 * left, left, above, (left + above) // 2, near][kind]
+        raw += bytes([kind]) + bytes(((rows[y] - base) % 256).astype(np.uint8))
+    part = lambda name, data: struct.pack(">I", len(data)) + name + data + b"crc."
+    filtered = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+    assert raster.decoded(filtered) == (w, h, pixels)
+    (tmp_path / "1.png").write_bytes(raster.png(w, h, pixels))
+    (tmp_path / "2.png").write_bytes(b"no image")
+    got = raster.scanned(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    assert [(r.width, r.height, bytes(r.pixels)) for r in got] == [(w, h, pixels)]
+
+
+def test_hard_cuts_follow_the_last_uniform_row():
+    image = np.full((12, 10, 3), 255, np.int16)
+    image[6:] = 100  # uniform again, but another colour
+    image[3, ::2] = 0  # a busy row between
+    assert raster.hard_cuts(image) == [6]
+
+
+def test_context_bonus_equals_a_plain_version(spark):
+    draw = random.Random(6)
+    cost = [[-draw.randrange(100) / 100 for _ in range(7)] for _ in range(6)]
+    expected = {}
+    for i in range(6):
+        for j in range(7):
+            near = sorted(cost[a][b] for a in range(6) for b in range(7) if (a, b) != (i, j) and abs(a - i) <= 2 and abs(b - j) <= 2)
+            expected[i, j] = cost[i][j] + (sum(near[:4]) if cost[i][j] < -0.5 else 0)
+    cells = spark.createDataFrame([(1, i, j, cost[i][j]) for i in range(6) for j in range(7)], "page_id long, i int, j int, cost double")
+    got = {(r.i, r.j): r.adjusted for r in spatial.context_bonus(cells, 2).collect()}
+    assert all(got[k] == pytest.approx(v, abs=1e-6) for k, v in expected.items())
+
+
+def test_measures_of_node_tables(spark):
+    nodes = [(1, 0, None, 0, 0, 0, 100, 100, "row"), (1, 1, 0, 0, 0, 0, 50, 100, "atomic"), (1, 2, 0, 1, 50, 0, 100, 100, "atomic")]
+    nodes += [(2, 0, None, 0, 0, 0, 100, 100, "row"), (2, 1, 0, 0, 60, 0, 110, 100, "atomic"), (2, 2, 0, 1, 0, 0, 70, 100, "atomic")]
+    owned = [(1, 1, 0, 5, 5, 20, 20, "Text"), (1, 2, 1, 70, 5, 90, 20, "Compo"), (2, 2, 0, 5, 5, 60, 95, "Compo")]
+    tree = spark.createDataFrame(nodes, "page_id long, node_id int, parent_id int, ordinal int, l int, t int, r int, b int, layout_type string")
+    own = spark.createDataFrame(owned, "page_id long, node_id int, element_id int, l int, t int, r int, b int, uied_class string")
+    one, two = sorted(spatial.structure_measures(tree, own).collect(), key=lambda r: r.page_id)
+    assert (one.atomic_count, one.largest_ratio, one.thin_text_ratio, one.single_ratio, one.page_scale, one.icon_only, one.passed) == (2, 0.5, 0.5, 1.0, 1, 1, False)
+    assert (two.empty_ratio, two.escapes, two.crossings, two.disordered, two.passed) == (0.5, 1, 1, 1, False)
