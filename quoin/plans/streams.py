@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quoin.sources import relations as S
+from quoin.sources import scratch
 from quoin.streaming import streams as T
 
 from .catalogue import query
@@ -15,7 +16,10 @@ from .catalogue import query
     "select cast(epoch(time_bucket(interval 1 hour, ts)) as bigint) as start_s, event_type, count(*) as n, round(sum(value), 4) as total from events group by all",
 )
 def stm01(spark, d):
-    return T.windowed(S.read(spark, d, "events")).select(F.unix_timestamp("start").alias("start_s"), "event_type", "n", "total")
+    """Window totals kept up to date by a stream; the whole result replaces the table after each micro-batch."""
+    live = T.event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a time zone
+    made = T.drained(T.windowed(live), scratch.fresh(spark, "windows"), "complete")
+    return made.select(F.unix_timestamp("start").alias("start_s"), "event_type", "n", "total")
 
 
 @query("stm_sessions", """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as b from events),
@@ -27,9 +31,12 @@ def sessions(spark, d):
 
 @query("stm02_resumed_results", "select e.event_id from events e where not exists (select 1 from events f where f.event_id = e.event_id and f.event_type = 'view')")
 def stm02(spark, d):
-    """Work left after what an identity-keyed table says is done."""
-    rows = S.read(spark, d, "events").select("event_id", "event_type")
-    return rows.select("event_id").join(rows.where("event_type = 'view'").select("event_id"), "event_id", "left_anti")
+    """A stream of work resumed against an identity-keyed table of what is done: the views are done before it starts."""
+    path = scratch.fresh(spark, "resumed")
+    S.read(spark, d, "events").where("event_type = 'view'").select("event_id").write.parquet(f"{path}/done")
+    write = lambda rows: rows.select("event_id").write.mode("append").parquet(f"{path}/made")
+    T.resumable(T.event_stream(spark, d), lambda: spark.read.parquet(f"{path}/done"), ["event_id"], write, f"{path}/state").awaitTermination()
+    return spark.read.schema("event_id long").parquet(f"{path}/made")
 
 
 @query("stm03_capacity_gate", """with c as (select user_id, event_id, cast(epoch(date_trunc('second', ts)) as bigint) as at, event_type = 'error' as busy from events)

@@ -64,6 +64,21 @@ def attempts(calls: DataFrame, patience: int = 3) -> DataFrame:
     return best.select("task", (F.col("b.k") == 0).alias("ok"), F.col("b.answer").alias("answer"))
 
 
+def drained(stream: DataFrame, path: str, mode: str = "append", step: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
+    """Run a stream over all there is now, and read what it wrote to path.
+
+    mode append adds each micro-batch's rows, after step; complete replaces the table by
+    the whole result. The checkpoint beside the table makes a rerun go on, not repeat.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        step(batch).write.mode("append" if mode == "append" else "overwrite").parquet(f"{path}/rows")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.parquet(f"{path}/rows")
+
+
 def event_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
     """The events table as a stream of files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
