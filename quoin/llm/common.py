@@ -33,12 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables written so far. Results that still read them must have been used or saved."""
-    jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written() -> int:
+    """How many scratch tables there are; release() takes this mark."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the scratch tables written since a mark, but the last keep. Results that read them must have been saved."""
+    jvm, end = spark.sparkContext._jvm, len(_written) - keep
+    for name in _written[since:end]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _written[since:end]
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
