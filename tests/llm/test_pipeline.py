@@ -78,3 +78,25 @@ def test_null_ids_repeats_and_clashing_columns(spark, tmp_path):
     for name, stage in cp.STAGES:
         empty = table(stage(spark, empty, str(tmp_path)), name)
     assert empty.count() == 0
+
+
+def test_rows_that_share_an_id_but_not_the_text_and_rows_without_ids(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    draw = random.Random(17)
+    a, b = H.prose(draw, 60, 5000), H.prose(draw, 60, 5000)
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "w"), (1, b, "y"), (None, H.prose(draw, 60, 5000), None), (7, H.prose(draw, 60, 5000), "z")]
+    rows += [(None, rows[5][1], "copy")]  # its group is led by the document that has an id
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r.doc_id, r.text, r.source) for r in cp.near_duplicates(spark, docs, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(1, a, "w"), (1, b, "y"), rows[4], rows[5]], key=str)
+
+
+def test_run_leaves_its_result_only(spark, tmp_path):
+    import corpus_pipeline as cp
+    from quoin.llm import common
+
+    folder(spark, tmp_path)
+    before = common.written()
+    made = cp.run(spark, str(tmp_path))
+    assert common.written() == before + 1 and made.count() > 0
