@@ -86,7 +86,7 @@ def lean(run):
 
     def task(batches):
         with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # large arrays come from the system and go back to it
+            ctypes.CDLL(None).mallopt(-3, 8 << 20)  # the largest arrays come from the system and go back to it at once
         try:
             yield from run(batches)
         finally:
