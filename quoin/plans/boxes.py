@@ -201,7 +201,31 @@ def _neighbours(spark, d):
     return a.join(b, ["page_id", "next"])
 
 
-@query("prj26_colour_similarity")
+def _linear(channel: str) -> str:
+    return f"case when {channel} / 255.0::double <= 0.04045::double then {channel} / 255.0::double / 12.92::double else pow(({channel} / 255.0::double + 0.055::double) / 1.055::double, 2.4::double) end"
+
+
+def _root(x: str) -> str:
+    return f"case when {x} > 0.008856 then cbrt({x}) else 7.787::double * {x} + 16 / 116.0::double end"
+
+
+#: CIEDE2000 as published (Sharma, Wu, Dalal 2005), of sRGB colours under D65.
+COLOUR_SQL = f"""with p as (select o_orderkey, unnest([1, 2]) as side, unnest([o_custkey % 256, (o_custkey * 5) % 256]) as r, unnest([(o_custkey * 3) % 256, (o_custkey * 11) % 256]) as g, unnest([(o_custkey * 7) % 256, (o_custkey * 13) % 256]) as b from orders),
+ li as (select o_orderkey, side, {_linear('r')} as r, {_linear('g')} as g, {_linear('b')} as b from p),
+ xyz as (select o_orderkey, side, (0.4124564 * r + 0.3575761 * g + 0.1804375 * b) / 0.95047 as x, 0.2126729 * r + 0.7151522 * g + 0.0721750 * b as y, (0.0193339 * r + 0.1191920 * g + 0.9503041 * b) / 1.08883 as z from li),
+ f as (select o_orderkey, side, {_root('x')} as fx, {_root('y')} as fy, {_root('z')} as fz from xyz),
+ lab as (select o_orderkey, side, 116 * fy - 16 as l, 500 * (fx - fy) as a, 200 * (fy - fz) as b from f),
+ two as (select p.o_orderkey, p.l as l1, p.a as a1, p.b as b1, q.l as l2, q.a as a2, q.b as b2, pow((sqrt(p.a * p.a + p.b * p.b) + sqrt(q.a * q.a + q.b * q.b)) / 2, 7) as c7 from lab p join lab q on p.o_orderkey = q.o_orderkey and p.side = 1 and q.side = 2),
+ s as (select *, 1.5 - 0.5 * sqrt(c7 / (c7 + 6103515625.0::double)) as k from two),
+ ch as (select o_orderkey, l1, l2, sqrt(a1 * k * a1 * k + b1 * b1) as c1, sqrt(a2 * k * a2 * k + b2 * b2) as c2, (degrees(atan2(b1, a1 * k)) + 360) % 360 as h1, (degrees(atan2(b2, a2 * k)) + 360) % 360 as h2 from s),
+ m as (select *, l2 - l1 as dl, c2 - c1 as dc, (l1 + l2) / 2 as l, (c1 + c2) / 2 as c, case when c1 * c2 = 0 then 0 when abs(h2 - h1) <= 180 then h2 - h1 when h2 - h1 > 180 then h2 - h1 - 360 else h2 - h1 + 360 end as turn,
+   case when c1 * c2 = 0 then h1 + h2 when abs(h2 - h1) <= 180 then (h1 + h2) / 2 when h1 + h2 < 360 then (h1 + h2 + 360) / 2 else (h1 + h2 - 360) / 2 end as h from ch),
+ w as (select *, 2 * sqrt(c1 * c2) * sin(radians(turn) / 2) as dh, 1 - 0.17 * cos(radians(h - 30)) + 0.24 * cos(radians(2 * h)) + 0.32 * cos(radians(3 * h + 6)) - 0.20 * cos(radians(4 * h - 63)) as t, pow(l - 50, 2) as off, pow(c, 7) as m7 from m),
+ e as (select o_orderkey, dl / (1 + 0.015 * off / sqrt(20 + off)) as x, dc / (1 + 0.045 * c) as y, dh / (1 + 0.015 * c * t) as z, -sin(radians(60 * exp(-pow((h - 275) / 25, 2)))) * 2 * sqrt(m7 / (m7 + 6103515625.0::double)) as rt from w)
+ select o_orderkey, round(greatest(0, 1 - sqrt(greatest(0, x * x + y * y + z * z + rt * y * z)) / 100), 6) as similarity from e"""
+
+
+@query("prj26_colour_similarity", COLOUR_SQL)
 def prj26(spark, d):
     """CIEDE2000 similarity of two colours taken from each customer's order numbers."""
     k = F.col("o_custkey")

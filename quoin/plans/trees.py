@@ -9,6 +9,7 @@ from quoin.operators import raster, scoring
 from quoin.operators import spatial as P
 from quoin.sources import relations as S
 
+from . import sql as V
 from .boxes import NODES_SQL
 from .catalogue import query
 
@@ -123,15 +124,25 @@ def itr16(spark, d):
     return raster.trees(raster.images(S.elements(spark, d)))
 
 
-@query("gen10_page_mask")
+@query(
+    "gen10_page_mask",
+    f"""with {V.LINES} select page_id, case direction when 'vertical' then position - 2 else "start" end as l, case direction when 'vertical' then "start" else position - 2 end as t,
+    case direction when 'vertical' then position + 3 else "end" end as r, case direction when 'vertical' then "end" else position + 3 end as b, 'black' as colour from lines""",
+)
 def gen10(spark, d):
     return raster.mask_rectangles(S.lines(spark, d))
 
 
-@query("gen11_text_blocks")
+@query(
+    "gen11_text_blocks",
+    f"""with {V.ELEMENTS}, one as (select page_id, unnest(range(t, b, 20)) as y, l, r, uied_class as colour from elements), two as (select page_id, unnest(range(t, b, 20)) as y, l + 4 as l2, r + 4 as r2, uied_class as colour from elements)
+    select page_id, colour, cast(min(greatest(l, l2)) as int) as l, cast(min(y) as int) as t, cast(max(least(r, r2)) as int) as r, cast(max(y) + 1 as int) as b from one join two using (page_id, y, colour) where l < r2 and l2 < r group by page_id, colour""",
+)
 def gen11(spark, d):
-    """Boxes of pixels that two renderings colour alike."""
-    return raster.matching_blocks(S.elements(spark, d))
+    """Boxes of pixels that a rendering and one four pixels further right colour alike."""
+    e = S.elements(spark, d)
+    moved = e.withColumn("l", F.col("l") + 4).withColumn("r", F.col("r") + 4)
+    return raster.matching_blocks(raster.pixel_runs(e), raster.pixel_runs(moved))
 
 
 @query("jon16_assignment")
@@ -150,12 +161,24 @@ def agg33(spark, d):
     return scoring.visual_scores(scoring.block_pairs(S.elements(spark, d)))
 
 
-@query("agg36_equal_blocks")
+@query(
+    "agg36_equal_blocks",
+    f"""with {V.ELEMENTS}, k as (select page_id, element_id, uied_class || ' ' || l || ' ' || (t % 100) as text, l / 1200.0::double as x, t / 900.0::double as y, (r - l) / 1200.0::double as w, (b - t) / 900.0::double as h,
+      [(element_id * 37 + 17) % 256, (element_id * 71 + 17) % 256, (element_id * 113 + 17) % 256] as c from elements),
+    g as (select page_id, x, y, w, h, string_agg(text, ' ' order by element_id) as text, list(c order by element_id) as cs from k group by page_id, x, y, w, h),
+    f as (select *, list_reduce(cs, lambda a, v: [(a[1] + v[1]) // 2, (a[2] + v[2]) // 2, (a[3] + v[3]) // 2]) as c from g)
+    select page_id, x, y, w, h, text, cast(c[1] as int) as "R", cast(c[2] as int) as "G", cast(c[3] as int) as "B" from f""",
+)
 def agg36(spark, d):
     return scoring.merged_equal(scoring.blocks(S.elements(spark, d)))
 
 
-@query("win12_greedy_positions")
+@query(
+    "win12_greedy_positions",
+    f"""with {V.LINES}, p as (select direction, page_id % 50 as page_block, list(distinct position) as ps from lines group by 1, 2),
+    k as (select direction, page_block, list_reduce(list_transform(list_sort(ps), lambda x: [x]), lambda a, x: case when x[1] - a[len(a)] > 5 then list_concat(a, x) else a end) as kept from p)
+    select direction, page_block, unnest(kept) as position from k""",
+)
 def win12(spark, d):
     """Line positions kept so that none lies within 5 px of an earlier one."""
     return raster.spaced_positions(S.lines(spark, d))
