@@ -21,6 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quoin.functions.geometry import SOURCE_PRIORITY as PRIORITY
+from quoin.functions.geometry import SOURCE_WEIGHTS as EVIDENCE
+
+from .spatial import TYPES
+
 Box = tuple[int, int, int, int]
 
 #: Search, scoring and policy parameters. Fixed values.
@@ -40,9 +45,6 @@ POLICIES = {
 }
 REWARDS = {"separator": 0.20, "cohesion": 0.25, "groups": 0.20, "repeats": 0.12, "direction": 0.08, "background": 0.10, "visual": 0.10}
 PENALTIES = {"empty": 0.45, "thin_text": 0.25, "small_single": 0.15, "broken_large": 0.40, "under": 0.40, "cost": 0.08}
-EVIDENCE = {"lsd": 0.72, "whitespace": 0.42, "layout_group": 0.22, "component_boundary": 0.55}
-PRIORITY = ("lsd", "color_change", "component_boundary", "whitespace", "layout_group")
-TYPES = ("hero", "navigation", "footer", "card_grid", "two_column", "list", "text_section", "mixed")
 
 
 def unit(x: float) -> float:
