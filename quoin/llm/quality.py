@@ -45,8 +45,8 @@ NAMES = [*(f"share_{c}" for c in CLASSES), "share_other", "log_length", "log_wor
 WIDTH = 3 * len(NAMES) + 3
 
 
-def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines that have a word, their lengths in bytes, and the bounds of each text's lines."""
+def own_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of each line that has a word, without its neighbours'; whether a line stands before and after it; lengths in bytes; the bounds of each text's lines."""
     breaks = np.flatnonzero(data == 10)
     begin = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     begin = begin[begin < len(data)]
@@ -87,11 +87,27 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     filled = bounds[1:] > bounds[:-1]
     head[bounds[:-1][filled]] = 0
     tail[bounds[1:][filled] - 1] = 0
+    return base, head, tail, size, bounds
+
+
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines that have a word, neighbouring lines' among them, their lengths in bytes, and the bounds of each text's lines."""
+    base, head, tail, size, bounds = own_features(data, offsets)
     before, after = np.zeros_like(base), np.zeros_like(base)
     before[1:], after[:-1] = base[:-1], base[1:]
     return np.concatenate([base, before * head[:, None], after * tail[:, None], head[:, None], tail[:, None], np.ones((len(base), 1))], 1), size, bounds
 
 
+def odds_of(data: np.ndarray, offsets: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lines(...) weighed by the model, without making the matrix, which is large for texts of many short lines; lengths and bounds."""
+    base, head, tail, size, bounds = own_features(data, offsets)
+    n, w = len(NAMES), model["w"]
+    out, before, after = base @ w[:n], base @ w[n : 2 * n], base @ w[2 * n : 3 * n]
+    out[1:] += before[:-1] * head[1:]
+    out[:-1] += after[1:] * tail[:-1]
+    return out + head * w[3 * n] + tail * w[3 * n + 1] + w[3 * n + 2] + model["shift"], size, bounds
+
+
 def marginals(odds: np.ndarray, bounds: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """P(good) of every line, expected counts of label pairs, and the sum of log partition functions.
 
@@ -242,8 +258,8 @@ def scorer(model: dict):
         for batch in batches:
             out, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for first, last, data, offsets in X.chunks(batch.column("text")):
-                made, size, bounds = lines(data, offsets)
-                good, _, _ = marginals(made @ model["w"] + model["shift"], bounds, model["turn"])
+                odds, size, bounds = odds_of(data, offsets, model)
+                good, _, _ = marginals(odds, bounds, model["turn"])
                 raw = quality(good, size, bounds)
                 value = 1 / (1 + np.exp(-np.clip(model["a"] * logit(np.nan_to_num(raw, nan=0.5)) + model["b"], -30, 30)))
                 out[first:last] = np.where(np.isnan(raw), model["empty"], value)

@@ -170,3 +170,19 @@ def test_quality_with_clashing_columns(spark):
     labels = spark.createDataFrame([(1, 1, "t", 0), (2, 0, "u", 1)], "doc_id long, quality int, text string, mark int")
     got = quality.classify(docs, labels, F.lit(True)).collect()
     assert sorted(r.doc_id for r in got) == [1, 1, 2] and all(0 <= r.score <= 1 for r in got)
+
+
+def test_odds_without_the_matrix_equal_those_with_it():
+    draw = np.random.default_rng(4)
+    texts = ["one line\nTwo  lines!\n\n \nx y z", "", "alone", "\n", "a\nb\nc\nd"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    model = {"w": draw.normal(size=quality.WIDTH), "shift": 0.3}
+    made, size, bounds = quality.lines(data, offsets)
+    odds, size2, bounds2 = quality.odds_of(data, offsets, model)
+    assert np.allclose(odds, made @ model["w"] + model["shift"]) and (size == size2).all() and (bounds == bounds2).all()
+    tracemalloc.start()
+    quality.odds_of(np.frombuffer(b"a\n" * 500_000, np.uint8), np.array([0, 1_000_000]), model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6
