@@ -6,8 +6,9 @@ of its coordinates (packed bits) with a correction scalar r: the inner product o
 turned vector with its own code. Queries are turned alike and rounded to LEVELS bits a
 coordinate, so that their inner product with a code c is a sum of popcounts of c with
 the bit planes. That over r estimates the cosine without bias; its error stays under
-z * sqrt((1 / r**2 - 1) / (width - 1)) with a probability set by z, and the rounding
-adds at most the query's summed rounding errors over sqrt(width) * r.
+z * sqrt((1 / r**2 - 1) / (width - 1)) with a probability set by z, and the rounding,
+whose errors the code's signs add up at random, adds z times their root mean square
+over r in the same sense.
 
 1. Every query block meets every block of codes, and names its best lower bounds.
    The (k + 1)-th best of all is the query's limit.
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import mapped, table
 
-K, BOUND, ROWS, QUERIES, SEED = 5, 3.0, 4096, 512, 11
+K, BOUND, ROWS, QUERIES, SEED = 5, 2.0, 4096, 512, 11
 #: Code bits for each dimension, and bits of a query's coordinate.
-EXPAND, LEVELS = 4, 6
+EXPAND, LEVELS = 8, 4
 
 
 @lru_cache(8)
@@ -57,24 +58,37 @@ def encode(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def quantise(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bit planes of turned queries, and for each its least number, step, sum and summed rounding errors."""
+    """Bit planes of turned queries, and for each its least number, step, sum and root mean square of rounding errors."""
     least = turned.min(1, keepdims=True)
     step = np.maximum((turned.max(1, keepdims=True) - least) / (2**LEVELS - 1), 1e-30)
     level = np.rint((turned - least) / step)
     planes = np.stack([np.packbits(level.astype(np.int64) >> j & 1, axis=1).view(np.uint64) for j in range(LEVELS)], 1)
     rounded = least + step * level
-    return planes, np.concatenate([least, step, rounded.sum(1, keepdims=True), np.abs(turned - rounded).sum(1, keepdims=True)], 1)
+    return planes, np.concatenate([least, step, rounded.sum(1, keepdims=True), np.sqrt(((turned - rounded) ** 2).mean(1, keepdims=True))], 1)
 
 
-def bounds(codes: np.ndarray, correction: np.ndarray, planes: np.ndarray, figures: np.ndarray, z: float) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of one query's cosines, from popcounts."""
-    width = 64 * codes.shape[1]
-    least, step, total, rounding = figures
-    ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
-    weighed = sum((np.bitwise_count(codes & plane).sum(1, dtype=np.int64) << j for j, plane in enumerate(planes)), np.zeros(len(codes), np.int64))
-    estimate = (2 * (least * ones + step * weighed) - total) / np.sqrt(width) / correction
-    error = z * np.sqrt(np.maximum(1 / correction**2 - 1, 0) / (width - 1)) + rounding / np.sqrt(width) / correction
-    return estimate - error, estimate + error
+class Codes:
+    """A block of codes, laid out word by word, with what its bounds need for every query."""
+
+    def __init__(self, codes: np.ndarray, correction: np.ndarray, z: float):
+        width, r = 64 * codes.shape[1], correction.astype(np.float64)
+        self.words = np.ascontiguousarray(codes.T)
+        self.ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
+        self.scale = 1 / np.sqrt(width) / r
+        self.rounding = z / r
+        self.spread = z * np.sqrt(np.maximum(1 / r**2 - 1, 0) / (width - 1))
+
+    def bounds(self, planes: np.ndarray, figures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of one query's cosines, from popcounts."""
+        least, step, total, rounding = figures
+        weighed = np.zeros(self.words.shape[1], np.int32)
+        for plane in planes[::-1]:
+            weighed <<= 1
+            for word, bits in zip(self.words, plane, strict=True):
+                weighed += np.bitwise_count(word & bits)
+        estimate = (2 * (least * self.ones + step * weighed) - total) * self.scale
+        error = self.spread + rounding * self.rounding
+        return estimate - error, estimate + error
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -114,14 +128,14 @@ def asker(seed: int):
     return ask
 
 
-def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The numbers of every meeting of a query block and a block of codes."""
+def opened(batches: Iterator[pa.RecordBatch], z: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Codes]]:
+    """Every meeting of a query block (ids, planes, figures, limits) and a block of codes (ids, codes)."""
     for batch in batches:
         for r in range(batch.num_rows):
             row = {k: batch.column(k)[r].as_py() for k in ("q", "planes", "figures", "limits", "c", "code", "correction")}
             q, c = np.frombuffer(row["q"], np.int64), np.frombuffer(row["c"], np.int64)
             planes, codes = np.frombuffer(row["planes"], np.uint64).reshape(len(q), LEVELS, -1), np.frombuffer(row["code"], np.uint64).reshape(len(c), -1)
-            yield q, planes, np.frombuffer(row["figures"]).reshape(len(q), 4), np.frombuffer(row["limits"]), c, codes, np.frombuffer(row["correction"], np.float32)
+            yield q, planes, np.frombuffer(row["figures"]).reshape(len(q), 4), np.frombuffer(row["limits"]), c, Codes(codes, np.frombuffer(row["correction"], np.float32), z)
 
 
 def lowest(k: int, z: float):
@@ -129,9 +143,9 @@ def lowest(k: int, z: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, np.ndarray] = {}
-        for q, planes, figures, _, _, codes, correction in opened(batches):
+        for q, planes, figures, _, _, codes in opened(batches, z):
             for i in range(len(q)):
-                low, _ = bounds(codes, correction, planes[i], figures[i], z)
+                low, _ = codes.bounds(planes[i], figures[i])
                 low = np.concatenate([low, best.get(int(q[i]), low[:0])])
                 best[int(q[i])] = np.partition(low, len(low) - k)[len(low) - k :] if len(low) > k else low
         n = [len(x) for x in best.values()]
@@ -144,8 +158,8 @@ def reaching(z: float):
     """Candidates whose upper bound reaches their query's limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for q, planes, figures, limits, c, codes, correction in opened(batches):
-            near = [np.flatnonzero(bounds(codes, correction, planes[i], figures[i], z)[1] >= limits[i]) for i in range(len(q))]
+        for q, planes, figures, limits, c, codes in opened(batches, z):
+            near = [np.flatnonzero(codes.bounds(planes[i], figures[i])[1] >= limits[i]) for i in range(len(q))]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, [len(x) for x in near])), pa.array(c[np.concatenate(near)])], ["q", "c"])
 
     return run

@@ -47,14 +47,14 @@ def test_bounds_come_from_codes_and_hold():
     assert np.allclose(turn @ turn.T, np.eye(48)) and turn.shape[1] % 64 == 0
     codes, correction = ann.encode(x @ turn)
     planes, figures = ann.quantise(x[:40] @ turn)
-    inside = []
+    inside, block = [], ann.Codes(codes, correction, 3.0)
     for i in range(40):
-        low, high = ann.bounds(codes, correction, planes[i], figures[i], 3.0)
+        low, high = block.bounds(planes[i], figures[i])
         exact = x @ x[i]
         inside.append(((low <= exact) & (exact <= high)).mean())
         signs = np.unpackbits(codes.view(np.uint8), axis=1).astype(float) * 2 - 1
         estimate = signs @ (x[i] @ turn) / np.sqrt(turn.shape[1]) / correction
-        assert np.abs((low + high) / 2 - estimate).max() <= figures[i][3] / np.sqrt(turn.shape[1]) / correction.min() + 1e-9
+        assert np.abs((low + high) / 2 - estimate).max() <= 6 * figures[i][3] / correction.min()
         assert (high - low).mean() < 0.6
     assert np.mean(inside) > 0.99
 
@@ -72,7 +72,7 @@ def test_only_few_vectors_are_scored(spark, monkeypatch):
 
     monkeypatch.setattr(ann, "table", keep)
     ann.nearest(table, F.col("vec_id") % 50 == 0).count()
-    assert 60 * 6 <= kept["scored"].count() < 0.25 * 60 * 3000
+    assert 60 * 6 <= kept["scored"].count() < 0.1 * 60 * 3000
 
 
 def test_few_candidates_and_empty_table(spark):
