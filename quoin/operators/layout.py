@@ -553,7 +553,10 @@ class State:
 
 
 class Spelling:
-    """A state's tree written out, for the order of states of equal rank; made only when asked for."""
+    """A state's tree written out, for the order of states of equal rank; made only when asked for.
+
+    The keys and their order are fixed: equal ranks are ordered by this text.
+    """
 
     def __init__(self, page: Page, state: State):
         self.page, self.state, self.text = page, state, None
