@@ -242,7 +242,11 @@ def str27(spark, d):
     return digested(dom.transformed(pages(spark, d), "flatten"))
 
 
-@query("str28_sanitised")
+@query(
+    "str28_sanitised",
+    r"""select page_id, md5(h) as digest, length(h) as n from (select page_id, trim(case when regexp_matches(html, '(?i)<body') then regexp_extract(html, '(?is)<body[^>]*>(.*?)(?:</body>|$)', 1)
+    else regexp_replace(regexp_replace(html, '(?is)<head.*?</head>', '', 'g'), '(?i)<!doctype[^>]*>|</?html[^>]*>|</?body[^>]*>', '', 'g') end) as h from pages)""",
+)
 def str28(spark, d):
     return digested(pages(spark, d).select("page_id", H.unwrap_document(F.col("html")).alias("html")))
 
