@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions import geometry as G
+from quoin.sources import scratch
 
 R6 = lambda c: F.round(c, 6)
 BOX = ("l", "t", "r", "b")
@@ -575,3 +576,25 @@ def substituted(pages: DataFrame, code: DataFrame) -> DataFrame:
     tag = lambda x: F.concat(F.lit('<div id="'), x["id"], F.lit('">'))
     put = F.aggregate("parts", F.col("html"), lambda h, x: F.replace(h, F.concat(tag(x), F.lit("</div>")), F.concat(tag(x), x["code"], F.lit("</div>"))))
     return pages.join(found, "page_id", "left").select("page_id", F.when(F.col("parts").isNull(), F.col("html")).otherwise(put).alias("html"))
+
+
+def tree_depths(nodes: DataFrame) -> DataFrame:
+    """page_id, depth, nodes of node tables: how deep and how many are the nodes that a root leads to.
+
+    Each level is a table of its own, made from the one before. A recursive query would
+    do in small: Spark ends it at a million rows (spark.sql.cteRecursionRowLimit) or 100 levels.
+    """
+    spark, paths = nodes.sparkSession, []
+
+    def level(rows: DataFrame) -> DataFrame:
+        paths.append(scratch.fresh(spark, "level"))
+        rows.write.parquet(paths[-1])
+        return spark.read.schema(rows.schema).parquet(paths[-1])
+
+    edges = nodes.where("parent_id is not null").select("page_id", "node_id", "parent_id")
+    now = level(nodes.where("parent_id is null").select("page_id", "node_id", F.lit(0).alias("depth")))
+    schema = now.schema
+    while not now.isEmpty():
+        above = now.select("page_id", F.col("node_id").alias("parent_id"), (F.col("depth") + 1).alias("depth"))
+        now = level(edges.join(above, ["page_id", "parent_id"]).select("page_id", "node_id", "depth"))
+    return spark.read.schema(schema).parquet(*paths).groupBy("page_id").agg(F.max("depth").cast("int").alias("depth"), F.count("*").alias("nodes"))

@@ -388,3 +388,15 @@ def test_measures_of_node_tables(spark):
     one, two = sorted(spatial.structure_measures(tree, own).collect(), key=lambda r: r.page_id)
     assert (one.atomic_count, one.largest_ratio, one.thin_text_ratio, one.single_ratio, one.page_scale, one.icon_only, one.passed) == (2, 0.5, 0.5, 1.0, 1, 1, False)
     assert (two.empty_ratio, two.escapes, two.crossings, two.disordered, two.passed) == (0.5, 1, 1, 1, False)
+
+
+def test_tree_depths_beyond_the_limit_of_recursive_queries(spark):
+    """A chain, a page of one root, and nodes that no root leads to; then more rows than a recursive query may make."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, 0, None), *((1, i, i - 1) for i in range(1, 4)), (2, 7, None), (3, 1, 2), (3, 2, 1)]
+    nodes = spark.createDataFrame(rows, "page_id long, node_id int, parent_id int")
+    assert sorted(map(tuple, spatial.tree_depths(nodes).collect())) == [(1, 3, 4), (2, 0, 1)]
+    assert spatial.tree_depths(nodes.limit(0)).count() == 0
+    wide = spark.range(1_000_001).select(F.col("id").alias("page_id"), F.lit(0).alias("node_id"), F.lit(None).cast("int").alias("parent_id"))
+    assert spatial.tree_depths(wide).agg(F.sum("nodes")).first()[0] == 1_000_001
