@@ -10,14 +10,15 @@ z * sqrt((1 / r**2 - 1) / (width - 1)) with a probability set by z, and the roun
 whose errors the code's signs add up at random, adds z times their root mean square
 over r in the same sense.
 
-1. Every query block meets every block of codes, and names its best lower bounds.
-   The (k + 1)-th best of all is the query's limit.
-2. They meet again; candidates whose upper bound reaches the limit go on.
-3. The original vectors of these few are fetched by id and scored exactly.
-
-Only codes and planes travel between blocks; the blocks have fixed sizes, so a task's
-memory does not grow. Of a class only the k + 1 smallest ids can be among the nearest,
-since its members score equally, so a common vector is no large group.
+Every query block meets every block of codes. There the query's limit is the k-th best
+of the block's lower bounds, or of the exact scores that its task has found so far if
+that is higher. Only candidates whose upper bound reaches it are scored, from the
+original vectors, which stand beside the codes; a task hands on the k best of each query.
+
+Blocks of codes stay where they are and query blocks come to them, a bounded number at
+once, so neither is copied for each meeting and no pair of vectors is shuffled, however
+many near copies a vector has. Of a class only the k + 1 smallest ids can be among the
+nearest, since its members score equally, so a common vector is no large group.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import mapped, table
 
-K, BOUND, ROWS, QUERIES, SEED = 5, 2.0, 4096, 512, 11
+K, BOUND, ROWS, QUERIES, SEED = 5, 2.0, 8192, 4096, 11
+#: Queries whose planes and vectors are broadcast at once: 37 MB at 64 dimensions in single precision.
+ROUND = 65536
 #: Code bits for each dimension, and bits of a query's coordinate.
 EXPAND, LEVELS = 8, 4
 
@@ -81,12 +84,14 @@ class Codes:
     def bounds(self, planes: np.ndarray, figures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of one query's cosines, from popcounts."""
         least, step, total, rounding = figures
-        weighed = np.zeros(self.words.shape[1], np.int32)
+        count = np.uint16 if 64 * len(self.words) << LEVELS < 1 << 16 else np.uint32
+        weighed, half = np.zeros(self.words.shape[1], count), len(self.words) // 2
         for plane in planes[::-1]:
-            weighed <<= 1
-            for word, bits in zip(self.words, plane, strict=True):
-                weighed += np.bitwise_count(word & bits)
-        estimate = (2 * (least * self.ones + step * weighed) - total) * self.scale
+            ones = np.bitwise_count(self.words & plane[:, None])
+            if 2 * half == len(ones):
+                ones = ones[:half] + ones[half:]  # 128 at most, so bytes hold it
+            weighed = (weighed << count(1)) + ones.sum(0, dtype=count)
+        estimate = (2 * (least * self.ones + step * weighed.astype(np.float64)) - total) * self.scale
         error = self.spread + rounding * self.rounding
         return estimate - error, estimate + error
 
@@ -102,16 +107,28 @@ def vectors_of(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-CODES = "dim int, rb int, c binary, code binary, correction binary"
-ASKED = "dim int, qb int, q binary, planes binary, figures binary, limits binary"
+CODES = "dim int, rb int, c binary, least binary, code binary, correction binary, v binary"
+ASKED = "dim int, qb int, q binary, planes binary, figures binary, w binary"
+
+
+def packed(v: np.ndarray) -> bytes:
+    """Vectors in single precision if that holds them exactly, else in double."""
+    with np.errstate(over="ignore"):
+        single = v.astype(np.float32)
+    return single.tobytes() if (single == v).all() else v.tobytes()
+
+
+def unpacked(v: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(v, np.float32 if len(v) == 4 * n * dim else np.float64).reshape(n, dim).astype(np.float64)
 
 
 def coder(seed: int):
     def code(rows: pa.Table) -> pa.Table:
         dim = rows.column("dim")[0].as_py()
-        bits, correction = encode(unit(vectors_of(rows.column("v"), dim)) @ rotation(dim, seed))
-        ids = np.ascontiguousarray(rows.column("cls").to_numpy())
-        out = {"dim": dim, "rb": rows.column("rb")[0].as_py(), "c": ids.tobytes(), "code": bits.tobytes(), "correction": correction.tobytes()}
+        v = vectors_of(rows.column("v"), dim)
+        bits, correction = encode(unit(v) @ rotation(dim, seed))
+        ids, least = (np.ascontiguousarray(rows.column(c).to_numpy()) for c in ("cls", "least"))
+        out = {"dim": dim, "rb": rows.column("rb")[0].as_py(), "c": ids.tobytes(), "least": least.tobytes(), "code": bits.tobytes(), "correction": correction.tobytes(), "v": packed(v)}
         return pa.table({k: pa.array([v], pa.int32() if isinstance(v, int) else pa.binary()) for k, v in out.items()})
 
     return code
@@ -120,60 +137,47 @@ def coder(seed: int):
 def asker(seed: int):
     def ask(rows: pa.Table) -> pa.Table:
         dim = rows.column("dim")[0].as_py()
-        planes, figures = quantise(unit(vectors_of(rows.column("v"), dim)) @ rotation(dim, seed))
-        ids, limits = (np.ascontiguousarray(rows.column(c).to_numpy()) for c in ("cls", "limit"))
-        out = {"dim": dim, "qb": rows.column("qb")[0].as_py(), "q": ids.tobytes(), "planes": planes.tobytes(), "figures": figures.tobytes(), "limits": limits.tobytes()}
+        v = vectors_of(rows.column("v"), dim)
+        planes, figures = quantise(unit(v) @ rotation(dim, seed))
+        ids = np.ascontiguousarray(rows.column("cls").to_numpy())
+        out = {"dim": dim, "qb": rows.column("qb")[0].as_py(), "q": ids.tobytes(), "planes": planes.tobytes(), "figures": figures.tobytes(), "w": packed(v)}
         return pa.table({k: pa.array([v], pa.int32() if isinstance(v, int) else pa.binary()) for k, v in out.items()})
 
     return ask
 
 
-def opened(batches: Iterator[pa.RecordBatch], z: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Codes]]:
-    """Every meeting of a query block (ids, planes, figures, limits) and a block of codes (ids, codes)."""
-    for batch in batches:
-        for r in range(batch.num_rows):
-            row = {k: batch.column(k)[r].as_py() for k in ("q", "planes", "figures", "limits", "c", "code", "correction")}
-            q, c = np.frombuffer(row["q"], np.int64), np.frombuffer(row["c"], np.int64)
-            planes, codes = np.frombuffer(row["planes"], np.uint64).reshape(len(q), LEVELS, -1), np.frombuffer(row["code"], np.uint64).reshape(len(c), -1)
-            yield q, planes, np.frombuffer(row["figures"]).reshape(len(q), 4), np.frombuffer(row["limits"]), c, Codes(codes, np.frombuffer(row["correction"], np.float32), z)
-
-
-def lowest(k: int, z: float):
-    """The k best lower bounds that a task finds for each query."""
+def scoring(k: int, z: float):
+    """The k nearest classes that a task finds for each query, with exact scores; ties go to the class of the smaller id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, np.ndarray] = {}
-        for q, planes, figures, _, _, codes in opened(batches, z):
-            for i in range(len(q)):
-                low, _ = codes.bounds(planes[i], figures[i])
-                low = np.concatenate([low, best.get(int(q[i]), low[:0])])
-                best[int(q[i])] = np.partition(low, len(low) - k)[len(low) - k :] if len(low) > k else low
-        n = [len(x) for x in best.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(best), np.int64), n)), pa.array(np.concatenate([*best.values(), np.zeros(0)]))], ["q", "low"])
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {x: batch.column(x)[r].as_py() for x in batch.schema.names}
+                dim, q, c, least = row["dim"], *(np.frombuffer(row[x], np.int64) for x in ("q", "c", "least"))
+                planes, figures = np.frombuffer(row["planes"], np.uint64).reshape(len(q), LEVELS, -1), np.frombuffer(row["figures"]).reshape(len(q), 4)
+                codes = Codes(np.frombuffer(row["code"], np.uint64).reshape(len(c), -1), np.frombuffer(row["correction"], np.float32), z)
+                v, w = unpacked(row["v"], len(c), dim), unpacked(row["w"], len(q), dim)
+                for i, own in enumerate(q.tolist()):
+                    low, high = codes.bounds(planes[i], figures[i])
+                    limit = np.partition(low, len(low) - k)[len(low) - k] if len(low) >= k else -np.inf
+                    if own in best and len(best[own][0]) == k:
+                        limit = max(limit, best[own][0][-1])
+                    near = np.flatnonzero(high >= limit)
+                    if not len(near):
+                        continue
+                    found = cosine(np.repeat(w[i : i + 1], len(near), 0), v[near]), c[near], least[near]
+                    if own in best:
+                        found = tuple(np.concatenate(x) for x in zip(best[own], found, strict=True))
+                    first = np.lexsort((found[2], -found[0]))[:k]
+                    best[own] = tuple(x[first] for x in found)
+        n = [len(x[0]) for x in best.values()]
+        scores, classes = (np.concatenate([*(x[j] for x in best.values()), np.zeros(0, kind)]) for j, kind in ((0, np.float64), (1, np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(best), np.int64), n)), pa.array(classes), pa.array(scores)], ["q", "c", "score"])
 
     return run
 
 
-def reaching(z: float):
-    """Candidates whose upper bound reaches their query's limit."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for q, planes, figures, limits, c, codes in opened(batches, z):
-            near = [np.flatnonzero(codes.bounds(planes[i], figures[i])[1] >= limits[i]) for i in range(len(q))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, [len(x) for x in near])), pa.array(c[np.concatenate(near)])], ["q", "c"])
-
-    return run
-
-
-def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        score, dims = np.zeros(batch.num_rows), batch.column("dim").to_numpy()
-        for dim in np.unique(dims).tolist():
-            rows = np.flatnonzero(dims == dim)
-            score[rows] = cosine(*(vectors_of(batch.column(x).take(pa.array(rows)), dim) for x in ("v_q", "v_c")))
-        yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("c"), pa.array(score)], ["q", "c", "score"])
-
-
 def usable(vector: Column) -> Column:
     """Not null, without null or non-finite numbers, not all zero."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
@@ -199,27 +203,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, z: float = BOUND,
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked")).where(F.col("id").isNotNull() & usable(F.col("v")))
     rows = table(rows.select("*", F.size("v").alias("dim"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(5), "v").alias("h2"), F.monotonically_increasing_id().alias("uid")), "vectors")
     members = first_rows(rows.select("id", "uid", "h1", "h2"), ["h1", "h2"], [F.col("id"), F.col("uid")], k + 1, "n").groupBy("h1", "h2").agg(F.collect_list(F.struct("id", "uid")).alias("members"))
-    classes = rows.groupBy("h1", "h2").agg(F.min("uid").alias("cls"), F.max("asked").alias("asked"))
+    classes = rows.groupBy("h1", "h2").agg(F.min("uid").alias("cls"), F.min("id").alias("least"), F.max("asked").alias("asked"))
     classes = table(classes.join(members, ["h1", "h2"]).join(rows.select(F.col("uid").alias("cls"), "v", "dim"), "cls"), "vector-classes")
     n, asked = classes.agg(F.count("*"), F.count_if("asked")).first()
     row_blocks, query_blocks = -(-n // ROWS) or 1, -(-asked // QUERIES) or 1
     block = lambda count: F.pmod(F.xxhash64("cls"), F.lit(count)).cast("int")
-    codes = classes.select("cls", "v", "dim", block(row_blocks).alias("rb")).groupBy("dim", "rb").applyInArrow(coder(seed), CODES)
-    codes = table(codes, "codes").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    queries = classes.where("asked").select("cls", "v", "dim", block(query_blocks).alias("qb"))
-
-    def meet(limits: DataFrame | None) -> DataFrame:
-        limit = F.lit(float("-inf")).alias("limit")
-        limited = queries.withColumn("limit", limit) if limits is None else queries.join(limits.withColumnRenamed("q", "cls"), "cls", "left").withColumn("limit", F.coalesce("limit", limit))
-        blocks = table(limited.groupBy("dim", "qb").applyInArrow(asker(seed), ASKED), "queries")
-        blocks = blocks.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-        return blocks.join(codes, ["dim", "qb", "rb"]).select("q", "planes", "figures", "limits", "c", "code", "correction")
-
-    lows = meet(None).transform(mapped, lowest(k + 1, z), "q long, low double")
-    limits = first_rows(lows, ["q"], [F.desc("low")], k + 1, "n").where(F.col("n") == k + 1).select("q", F.col("low").alias("limit"))
-    near = meet(table(limits, "limits")).transform(mapped, reaching(z), "q long, c long")
-    sided = near.join(classes.select(F.col("cls").alias("q"), "dim", F.col("v").alias("v_q")), "q").join(classes.select(F.col("cls").alias("c"), F.col("v").alias("v_c")), "c")
-    found = table(sided.select("q", "c", "dim", "v_q", "v_c").transform(mapped, scored, "q long, c long, score double"), "scored")
+    codes = classes.select("cls", "least", "v", "dim", block(row_blocks).alias("rb")).groupBy("dim", "rb").applyInArrow(coder(seed), CODES)
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    codes = table(codes, "codes").repartition(min(row_blocks, 4 * parts)).drop("rb")
+    queries = classes.where("asked").select("cls", "v", "dim", block(query_blocks).alias("qb")).groupBy("dim", "qb").applyInArrow(asker(seed), ASKED)
+    queries, at_once, found = table(queries, "queries"), max(1, ROUND // QUERIES), None
+    for first in range(0, query_blocks, at_once):
+        # at_once blocks of QUERIES queries are broadcast
+        asked_now = queries.where(F.col("qb").between(first, first + at_once - 1)).drop("qb")
+        near = table(codes.join(F.broadcast(asked_now), "dim").transform(mapped, scoring(k + 1, z), "q long, c long, score double"), "scored")
+        found = near if found is None else found.unionAll(near)
     found = found.join(classes.select(F.col("cls").alias("c"), "members"), "c").select("q", "score", F.inline("members"))
     found = first_rows(found, ["q"], [F.desc("score"), F.col("id"), F.col("uid")], k + 1, "n").select("q", "score", F.col("id").alias("vec_id"), F.col("uid").alias("found"))
     own = rows.where("asked").select(F.col("id").alias("query_id"), "uid", "h1", "h2").join(classes.select("h1", "h2", F.col("cls").alias("q")), ["h1", "h2"])

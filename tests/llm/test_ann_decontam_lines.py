@@ -75,6 +75,26 @@ def test_only_few_vectors_are_scored(spark, monkeypatch):
     assert 60 * 6 <= kept["scored"].count() < 0.1 * 60 * 3000
 
 
+def test_near_copies_are_not_all_handed_on(spark, monkeypatch):
+    """A cluster within the bounds' error is scored where it lies; each task hands on the best of each query."""
+    draw = np.random.default_rng(8)
+    v = draw.normal(size=64) + 0.02 * draw.normal(size=(2000, 64))
+    table = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    kept, write = {}, ann.table
+
+    def keep(df, name):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(ann, "table", keep)
+    monkeypatch.setattr(ann, "ROWS", 500)
+    got = {(r.query_id, r.rank): r.vec_id for r in ann.nearest(table, F.col("vec_id") % 50 == 0).collect()}
+    exact = ann.unit(v) @ ann.unit(v).T
+    np.fill_diagonal(exact, -1)
+    hits = sum(got[i, k + 1] in np.argsort(-exact[i])[:5] for i in range(0, 2000, 50) for k in range(5))
+    assert hits >= 0.97 * 200 and kept["scored"].count() <= 40 * 6 * 4
+
+
 def test_few_candidates_and_empty_table(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0], "a"), (1, [1.0, 1.0], "b"), (2, [5.0, 5.0], None)], "vec_id long, embedding array<double>, rank string")
     got = [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(table, F.col("vec_id") == 0).collect()]
