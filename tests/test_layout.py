@@ -400,3 +400,28 @@ def test_tree_depths_beyond_the_limit_of_recursive_queries(spark):
     assert spatial.tree_depths(nodes.limit(0)).count() == 0
     wide = spark.range(1_000_001).select(F.col("id").alias("page_id"), F.lit(0).alias("node_id"), F.lit(None).cast("int").alias("parent_id"))
     assert spatial.tree_depths(wide).agg(F.sum("nodes")).first()[0] == 1_000_001
+
+
+def test_equal_pages_are_worked_out_once(spark):
+    """Equal pages share what was made for one of them; other boxes, other lines or no lines are other pages."""
+    import uuid
+
+    boxes = [(i, 0, 0, 0, 9 + i % 7, 9, "Text", "foreground") for i in range(140)]
+    lines = [(i, "vertical", 4 + i % 2, 0, 9) for i in range(140) if i % 7]
+    elements = spark.createDataFrame(boxes, "page_id long, element_id int, l int, t int, r int, b int, uied_class string, role string")
+    found = spark.createDataFrame(lines, "page_id long, direction string, position int, start int, end int")
+
+    def emit(page_id, own, found):
+        yield page_id, uuid.uuid4().hex, own[0]["r"], found[0]["position"] if found else None
+
+    made = layout.per_page(layout.page_rows(elements, found), "page_id long, made string, r int, position int", emit, once=True).collect()
+    assert sorted((x.page_id, x.r, x.position) for x in made) == [(i, 9 + i % 7, 4 + i % 2 if i % 7 else None) for i in range(140)]
+    assert len({x.made for x in made}) == len({(x.r, x.position) for x in made}) == 13
+
+
+def test_regularity_equals_numpy():
+    draw = random.Random(2)
+    for n in range(2, 14):
+        for _ in range(200):
+            x = [draw.randrange(2, 900) / 2 for _ in range(n)]
+            assert layout.regularity(x) == 1 - float(np.std(x)) / max(1.0, float(np.mean(x)))
