@@ -37,8 +37,13 @@ def block_pairs(elements: DataFrame) -> DataFrame:
     return own.join(own.select((F.col("page_id") - 1).alias("page_id"), F.col("one").alias("two")), "page_id")
 
 
-def similarities(one: list[dict], two: list[dict]) -> np.ndarray:
-    return np.array([[ratcliff(a["text"], b["text"]) for b in two] for a in one])
+def similarities(one: list[dict], two: list[dict], known: dict[str, list[float]] | None = None) -> np.ndarray:
+    """Similarities of the texts of one with those of two. known: rows by text, for more calls with the same two."""
+    known = {} if known is None else known
+    for a in one:
+        if a["text"] not in known:
+            known[a["text"]] = [ratcliff(a["text"], b["text"]) for b in two]
+    return np.array([known[a["text"]] for a in one])
 
 
 def joined(a: dict, b: dict) -> dict:
@@ -52,11 +57,12 @@ def total(sim: np.ndarray) -> float:
     return float(sim[rows, cols].sum())
 
 
-def merge_search(one: list[dict], two: list[dict]) -> list[dict]:
+def merge_search(one: list[dict], two: list[dict], known: dict[str, list[float]] | None = None) -> list[dict]:
     """Blocks that follow each other in one are joined while that raises the best assignment's similarity by LEAST_GAIN."""
-    best = total(similarities(one, two))
+    known = {} if known is None else known
+    best = total(similarities(one, two, known))
     while len(one) > 1:
-        trials = [(total(similarities([*one[:i], joined(one[i], one[i + 1]), *one[i + 2 :]], two)), -i) for i in range(len(one) - 1)]
+        trials = [(total(similarities([*one[:i], joined(one[i], one[i + 1]), *one[i + 2 :]], two, known)), -i) for i in range(len(one) - 1)]
         gain, i = max(trials)
         if gain <= best + LEAST_GAIN:
             break
@@ -66,8 +72,9 @@ def merge_search(one: list[dict], two: list[dict]) -> list[dict]:
 
 
 def matched(one: list[dict], two: list[dict], merge: bool) -> tuple[list[dict], list[tuple[int, int, float]]]:
-    one = merge_search(one, two) if merge else one
-    sim = similarities(one, two)
+    known: dict[str, list[float]] = {}
+    one = merge_search(one, two, known) if merge else one
+    sim = similarities(one, two, known)
     rows, cols = assign(1 - sim)
     return one, [(int(i), int(j), float(sim[i, j])) for i, j in zip(rows, cols, strict=True) if sim[i, j] >= LEAST_TEXT]
 

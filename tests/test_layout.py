@@ -425,3 +425,13 @@ def test_regularity_equals_numpy():
         for _ in range(200):
             x = [draw.randrange(2, 900) / 2 for _ in range(n)]
             assert layout.regularity(x) == 1 - float(np.std(x)) / max(1.0, float(np.mean(x)))
+
+
+def test_merging_compares_every_pair_of_texts_once(monkeypatch):
+    block = lambda i, text: {"x": i / 10, "y": 0.0, "w": 0.05, "h": 0.1, "text": text, "R": 0, "G": 0, "B": 0}
+    one, two = [block(i, t) for i, t in enumerate(("ab", "cd", "efg", "hi", "jkl"))], [block(i, t) for i, t in enumerate(("ab cd", "efg hi jkl", "mn"))]
+    seen, plain = [], scoring.ratcliff
+    monkeypatch.setattr(scoring, "ratcliff", lambda a, b: seen.append((a, b)) or plain(a, b))
+    merged, found = scoring.matched(one, two, True)
+    assert [x["text"] for x in merged] == ["ab cd", "efg hi jkl"] and [(i, j, s) for i, j, s in found] == [(0, 0, 1.0), (1, 1, 1.0)]
+    assert len(seen) == len(set(seen))
