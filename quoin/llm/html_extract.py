@@ -4,20 +4,23 @@ A page is cut into blocks, one text line each. Lines in containers that HTML or
 their class, id or role names as page furniture (navigation, header, footer,
 sidebar, notice, advert, form, comments, ...) are out, as are, outside a marked main
 text, lines that are links only, unless a page has no others; a form around a whole
-page or around its marked text is none of these. Where the page marks its
-main text (article, main, a role or class that says so), the lines in there are
-the text. Elsewhere nothing in the page tells template from text, and differencing
-decides: pages stand in the order of host and URL path, each is paired with the
-pages before and after it on its host, the lines of a pair are aligned by longest
-common subsequence, and the lines they share are deleted. A neighbour that shares
-nearly all lines is a copy of the page, not another page in its template, and is
-passed over. Inside a marked main text shared lines stay: there they are copied or
-common passages of the article itself.
+page or around its marked text is none of these. Then every page is differenced:
+pages stand in the order of host and URL path, each is paired with the pages before
+and after it on its host, the lines of a pair are aligned by longest common
+subsequence, and the lines they share are deleted. A neighbour that shares nearly
+all lines is a copy of the page, not another page in its template, and is passed
+over. Where the page marks its main text (article, main, a role or class that says
+so), the marks check this afterwards: what lies outside them goes, and a line comes
+back that one neighbour alone shares, or that an article holds beside lines of its
+own, for those are copied or common passages of the text itself. Marked regions of
+which both neighbours share every line are template, as are such lines outside
+articles.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from html import unescape
 from typing import NamedTuple
@@ -183,26 +186,42 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def chosen(found: list[Block]) -> tuple[list[int], bool]:
-    """Places of the lines that may be the page's text, and whether a mark says that they are.
+def clear(found: list[Block]) -> list[int]:
+    """Places of the lines that may be the page's text. Lines in forms count if there are no others."""
+    at = [i for i, b in enumerate(found) if not (b.out or b.form) and (b.rank or not b.linked)]
+    return at or [i for i, b in enumerate(found) if not b.out and (b.rank or not b.linked)] or [i for i, b in enumerate(found) if not b.out]
+
+
+def picked(lines: list[str], ranks: list[int], regions: list[int], shared: list[list[int]]) -> list[int]:
+    """Which of a page's clear lines are its text; shared: those that each neighbour shares.
 
-    Lines in forms count if there are no others. A page's marked regions are its outermost
-    main and article elements, or those whose class says so, whichever kind has the longest
-    region: a class that names the story beats articles that only tease others (less than
-    half as long). All of a main element counts, a title or lead before its article too.
+    A page's marked regions are its outermost main and article elements, or those whose
+    class says so, whichever kind has the longest region: a class that names the story
+    beats articles that only tease others (less than half as long). All of a main element
+    counts, a title or lead before its article too. Template is what both neighbours share.
     """
-    clear = [i for i, b in enumerate(found) if not (b.out or b.form) and (b.rank or not b.linked)]
-    clear = clear or [i for i, b in enumerate(found) if not b.out and (b.rank or not b.linked)] or [i for i, b in enumerate(found) if not b.out]
+    if not any(ranks):
+        gone = set().union(*shared)
+        return [k for k in range(len(lines)) if k not in gone]
+    template = set(shared[0]).intersection(*shared[1:]) if len(shared) > 1 else set()
     length: dict[tuple[bool, int], int] = {}
-    for i in clear:
-        b = found[i]
-        if b.rank:
-            length[b.rank > 1, b.region] = length.get((b.rank > 1, b.region), 0) + len(b.line)
-    if not length:
-        return clear, False
+    for own in ([k for k in range(len(lines)) if k not in template], range(len(lines))):
+        for k in own:
+            if ranks[k]:
+                length[ranks[k] > 1, regions[k]] = length.get((ranks[k] > 1, regions[k]), 0) + len(lines[k])
+        if length:
+            break
+        template = set()  # nothing is left without it
     most = [max((n for (strong, _), n in length.items() if strong == kind), default=0) for kind in (False, True)]
     strong = 2 * most[True] >= most[False]
-    return [i for i in clear if found[i].rank and (found[i].rank > 1) == strong], True
+    return [k for k, (rank, region) in enumerate(zip(ranks, regions, strict=True)) if rank and (rank > 1) == strong and (strong, region) in length and (k not in template or rank == 3)]
+
+
+def chosen(found: list[Block]) -> tuple[list[int], bool]:
+    """Places of the lines that are the text of a page without neighbours, and whether a mark says that they are."""
+    at = clear(found)
+    ranks = [found[i].rank for i in at]
+    return [at[k] for k in picked([found[i].line for i in at], ranks, [found[i].region for i in at], [])], any(ranks)
 
 
 def common(a: list[int], b: list[int]) -> list[int]:
@@ -256,27 +275,35 @@ def line_hash(line: str) -> int:
     return int.from_bytes(blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-PARSED = "page_id long, url string, host string, path string, text string, lines array<string>, open array<int>, hashes array<long>"
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("text", pa.string()), ("lines", pa.list_(pa.string())), ("open", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
+PARSED = "page_id long, url string, host string, path string, packed binary, ranks array<int>, regions array<int>, open binary, hashes array<long>"
+_INTS = pa.list_(pa.int32())
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("packed", pa.binary()), ("ranks", _INTS), ("regions", _INTS), ("open", pa.binary()), ("hashes", pa.list_(pa.int64()))])
 
 
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """packed: the clear lines, compressed, as they are shuffled once; open: a byte for each line, 1 for a clear one; hashes: of all lines."""
     for whole in batches:
         for first in range(0, whole.num_rows, 512):
             batch = whole.slice(first, 512)
             rows = []
             for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 found = blocks(html or "")
-                kept, marked = chosen(found)
-                host, path = address(url)
-                hashes = [line_hash(b.line) for b in found]
-                if marked or not kept:
-                    rows.append((page_id, url, host, path, "\n".join(found[i].line for i in kept), None, None, hashes))
-                else:
-                    rows.append((page_id, url, host, path, None, [found[i].line for i in kept], kept, hashes))
+                at = clear(found)
+                own, places = [found[i] for i in at], set(at)
+                rows.append((page_id, url, *address(url), zlib.compress("\n".join(b.line for b in own).encode(), 6), [b.rank for b in own], [b.region for b in own], bytes(i in places for i in range(len(found))), [line_hash(b.line) for b in found]))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _PARSED.types, strict=True)], schema=_PARSED)
 
 
+def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text that differencing and the marks leave of each page."""
+    for batch in batches:
+        texts = []
+        for packed, ranks, regions, shared in zip(*(batch.column(c).to_pylist() for c in ("packed", "ranks", "regions", "shared")), strict=True):
+            lines = zlib.decompress(packed).decode().split("\n") if ranks else []
+            texts.append("\n".join(lines[k] for k in picked(lines, ranks, regions, shared or [])))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+
 def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, n = TaskContext.get().partitionId(), 0
     for batch in batches:
@@ -288,7 +315,8 @@ def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What each page shares with one neighbour; copy: it shares too much to tell furniture from text."""
     for batch in batches:
         drops, copies = [], []
-        for own, is_open, other in zip(*(batch.column(c).to_pylist() for c in ("hashes", "open", "other")), strict=True):
+        for own, flags, other in zip(*(batch.column(c).to_pylist() for c in ("hashes", "open", "other")), strict=True):
+            is_open = [i for i, flag in enumerate(flags) if flag]
             shared = set(common(own, other)).intersection(is_open)
             copies.append(len(shared) > COPY * len(is_open))
             drops.append([k for k, i in enumerate(is_open) if i in shared and not copies[-1]])
@@ -306,7 +334,7 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def differenced(open_rows: DataFrame, lined: DataFrame) -> DataFrame:
-    """uid, gone: lines that open pages share with the nearest page on each side of their host that is not a copy.
+    """uid, shared: for each side, the open lines that a page shares with the nearest page on its host that is not a copy.
 
     A page whose neighbour is a copy goes on to the page beyond that one's run of
     copies, until no page has a copy left to pass.
@@ -316,7 +344,7 @@ def differenced(open_rows: DataFrame, lined: DataFrame) -> DataFrame:
         wanted = open_rows.withColumn("to", F.col("rank") + step)
         while True:
             near = lined.select(F.col("rank").alias("to"), F.col("host").alias("near_host"), F.col("hashes").alias("other"))
-            met = wanted.join(near, "to").where(F.col("host") == F.col("near_host"))
+            met = wanted.join(near.hint("merge"), "to").where(F.col("host") == F.col("near_host"))
             met = table(met.select("uid", F.col("to").alias("rank"), "hashes", "open", "other").transform(mapped, differ, "uid long, rank long, gone array<int>, copy boolean"), "met")
             kept = met.where("not copy").select("uid", "gone")
             found = kept if found is None else found.unionAll(kept)
@@ -328,7 +356,7 @@ def differenced(open_rows: DataFrame, lined: DataFrame) -> DataFrame:
             beyond = F.col("low") - 1 if step < 0 else F.col("high") + 1
             passed = passed.join(bounds, F.col("at") == F.col("place")).select("uid", beyond.alias("to"))
             wanted = table(open_rows.join(passed, "uid"), "wanted")
-    return found.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    return found.groupBy("uid").agg(F.collect_list("gone").alias("shared"))
 
 
 def run_bounds(lined: DataFrame) -> DataFrame:
@@ -366,13 +394,9 @@ def extract(pages: DataFrame) -> DataFrame:
     # a row for each partition is broadcast
     starts = pages.sparkSession.createDataFrame(firsts, "part int, first long")
     ordered = ordered.join(F.broadcast(starts), "part").select("uid", "host", (F.col("first") + F.col("place")).alias("rank"))
-    if parsed.where("text is null").isEmpty():
-        gone = parsed.select("uid", F.lit(None).cast("array<int>").alias("gone")).limit(0)
-    else:
-        lined = table(parsed.select("uid", "hashes", F.when(F.col("text").isNull(), F.col("open")).alias("open")).join(ordered, "uid"), "lined")
-        gone = differenced(lined.where("open is not null").select("uid", "hashes", "open", "rank", "host"), lined.select("rank", "host", "hashes"))
-    settled = parsed.where("text is not null").select("page_id", "url", "text")
-    left = parsed.where("text is null").select("uid", "page_id", "url", "lines").join(gone, "uid", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    kept = F.filter("lines", lambda line, i: ~F.array_contains("gone", i))
-    out = settled.unionByName(left.select("page_id", "url", F.array_join(kept, "\n").alias("text")))
+    # these joins' sides grow with the pages, so none is broadcast while it is small
+    lined = table(parsed.select("uid", "hashes", "open").join(ordered.hint("merge"), "uid"), "lined")
+    shared = differenced(lined.where("length(open) > 0").select("uid", "hashes", "open", "rank", "host"), lined.select("rank", "host", "hashes"))
+    rows = parsed.select("uid", "page_id", "url", "packed", "ranks", "regions").join(shared.hint("merge"), "uid", "left").drop("uid")
+    out = rows.transform(mapped, finish, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -73,6 +73,23 @@ def test_unmarked_pages_lose_what_they_share_with_their_neighbours(spark):
     assert "Own text number 5" in got[104].text and len(got) == len(rows)
 
 
+def test_marked_pages_are_differenced_too(spark):
+    """Stories shorter than the teasers beside them, and lines of the template inside main, by one mark after another."""
+    teaser = "<div class=content>" + "".join(f"<p>The same long teaser {i} stands on every page of this host</p>" for i in range(3)) + "</div>"
+    card = "<article><p>The same card</p></article>"
+    copied = "<p>A passage that two pages have in common</p>"
+    bodies = {
+        "classes": lambda k: f"{teaser}<article><h1>Title {k}</h1><p>Story {k}</p><p>As always</p></article>",
+        "cards": lambda k: f"{card}<article><h1>Title {k}</h1><p>Story {k}</p><p>As always</p></article>",
+        "mains": lambda k: f"<main><div>You are here</div><h1>Title {k}</h1>{copied if k in (3, 4) else ''}<p>Story {k}</p></main>",
+    }
+    rows = [(100 * n + k, f"http://{name}.example/{k}", f"<body>{body(k)}") for n, (name, body) in enumerate(bodies.items()) for k in range(9)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(1, 8):
+        assert got[k] == got[100 + k] == f"Title {k}\nStory {k}\nAs always", k
+        assert got[200 + k] == "\n".join([f"Title {k}", *(["A passage that two pages have in common"] if k in (3, 4) else []), f"Story {k}"]), k
+
+
 def test_groups_of_copies_are_held_against_the_pages_beyond_them(spark):
     page = lambda k: "<body><div>Site name</div>" + "".join(f"<p>Sentence {i} of {k}</p>" for i in range(4)) + "<div>All rights</div>"
     rows = [(10 * k + c, f"http://h.example/{k}?page={c}", page(k)) for k in range(4) for c in range(5)]
