@@ -183,7 +183,7 @@ def hlp21(spark, d):
 @query("hlp22_page_records")
 def hlp22(spark, d):
     """One record a page: passed, or the faults that sent it to the rejects."""
-    rows = L.tree_rows(*page(spark, d), W, H).where("node_id = 0")
+    rows = L.record_rows(*page(spark, d), W, H)
     return rows.select("page_id", F.when(F.col("faults") == "", "ok").otherwise("failed").alias("status"), "faults", "score")
 
 

@@ -1,6 +1,7 @@
 """Layout steps on small pages."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -435,3 +436,33 @@ def test_merging_compares_every_pair_of_texts_once(monkeypatch):
     merged, found = scoring.matched(one, two, True)
     assert [x["text"] for x in merged] == ["ab cd", "efg hi jkl"] and [(i, j, s) for i, j, s in found] == [(0, 0, 1.0), (1, 1, 1.0)]
     assert len(seen) == len(set(seen))
+
+
+def test_a_search_rates_only_cuts_that_it_may_follow():
+    """Below two foreground elements every cut is refused; the trees are those of rating all of them."""
+    alone = page([element(0, (10, 10, 60, 40)), element(1, (0, 0, 150, 90), False, "container")], [("vertical", 100, 0, 200)])
+    assert len(layout.search(alone)) == 1 and not alone.memo
+    assert all("insufficient_foreground" in c.why for c in layout.study(alone, alone.box)[2]) and layout.study(alone, alone.box)[2]
+    draw = random.Random(8)
+    for _ in range(20):
+        elements = [element(i, (x, y, x + draw.randrange(5, 60), y + draw.randrange(5, 40)), draw.random() < 0.6, draw.choice(["foreground", "container"])) for i in range(7) for x, y in [(draw.randrange(140), draw.randrange(160))]]
+        p = page(elements, [("vertical", 100, 0, 200)])
+        layout.search(p)
+        for region, seen in list(p.looks.items()):
+            m, kind, _, choices = layout.study(p, region)
+            open_ = [c for c in choices if c.cut and not layout.BLOCKED.intersection(c.reasons)]
+            assert (seen.m, seen.kind, [seen.stay], seen.cuts) == (m, kind, [c for c in choices if c.cut is None], open_[:3])
+
+
+def test_records_spacers_and_shared_leaves_are_those_of_the_trees(spark):
+    draw = random.Random(9)
+    boxes = [(p, i, x, y, x + draw.randrange(20, 180), y + draw.randrange(12, 110), draw.choice(["Text", "Compo"]), "foreground") for p in range(60) for i in range(p % 8 + 1) for x, y in [(draw.randrange(1000), draw.randrange(780))]]
+    elements = spark.createDataFrame(boxes, "page_id long, element_id int, l int, t int, r int, b int, uied_class string, role string")
+    lines = spark.createDataFrame([(p, "vertical", 50 + 17 * p % 1000, 0, 900) for p in range(0, 60, 2)], "page_id long, direction string, position int, start int, end int")
+    trees = layout.tree_rows(elements, lines, 1200, 900).collect()
+    rows = lambda made: sorted(tuple(r) for r in made.collect())
+    assert rows(layout.record_rows(elements, lines, 1200, 900)) == sorted((r.page_id, r.faults, r.score) for r in trees if r.node_id == 0)
+    shared = sorted((r.page_id, r.node_id, r.owned) for r in trees if r.layout_type == "atomic" and "," in r.owned)
+    assert shared and rows(layout.shared_rows(elements, lines, 1200, 900)) == shared
+    spacers = Counter(r.page_id for r in trees if r.layout_type == "spacer")
+    assert spacers and rows(layout.spacer_rows(elements, lines, 1200, 900)) == sorted(spacers.items())
