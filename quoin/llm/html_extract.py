@@ -25,9 +25,7 @@ from collections.abc import Iterator
 from html import unescape
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -304,23 +302,40 @@ def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, n = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(np.arange(n, n + batch.num_rows))], [*batch.schema.names, "part", "place"])
-        n += batch.num_rows
+def against(own: list[int], flags: bytes, other: list[int]) -> tuple[list[int], bool]:
+    """The open lines that a page shares with another, and whether they are too many to tell furniture from text; then none are named."""
+    is_open = [i for i, flag in enumerate(flags) if flag]
+    shared = set(common(own, other)).intersection(is_open)
+    copy = len(shared) > COPY * len(is_open)
+    return [k for k, i in enumerate(is_open) if i in shared and not copy], copy
+
+
+_MET = pa.schema([("uid", pa.int64()), ("step", pa.int32()), ("rank", pa.int64()), ("gone", _INTS), ("copy", pa.bool_())])
+MET = "uid long, step int, rank long, gone array<int>, copy boolean"
 
 
 def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each page shares with one neighbour; copy: it shares too much to tell furniture from text."""
+    """What each page shares with the one at rank; copy: it shares too much."""
     for batch in batches:
-        drops, copies = [], []
-        for own, flags, other in zip(*(batch.column(c).to_pylist() for c in ("hashes", "open", "other")), strict=True):
-            is_open = [i for i, flag in enumerate(flags) if flag]
-            shared = set(common(own, other)).intersection(is_open)
-            copies.append(len(shared) > COPY * len(is_open))
-            drops.append([k for k, i in enumerate(is_open) if i in shared and not copies[-1]])
-        yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("rank"), pa.array(drops, pa.list_(pa.int32())), pa.array(copies, pa.bool_())], ["uid", "rank", "gone", "copy"])
+        columns = (batch.column(c).to_pylist() for c in ("uid", "step", "rank", "hashes", "open", "other"))
+        rows = [(uid, step, rank, *against(own, flags, other)) for uid, step, rank, own, flags, other in zip(*columns, strict=True)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _MET.types, strict=True)], schema=_MET)
+
+
+def differ_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What pages that stand side by side share, for both; rows come by group and rank."""
+    last = None
+    for batch in batches:
+        rows = []
+        for page in zip(*(batch.column(c).to_pylist() for c in ("group", "rank", "host", "uid", "open", "hashes")), strict=True):
+            if last and last[0] == page[0] and last[1] + 1 == page[1] and last[2] == page[2]:
+                for step, own, other in ((1, last, page), (-1, page, last)):
+                    if own[4]:
+                        rows.append((own[3], step, other[1], *against(own[5], own[4], other[5])))
+            last = page
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _MET.types, strict=True)], schema=_MET)
 
 
 def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,29 +348,35 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rank"), pa.array(same, pa.bool_())], ["rank", "same"])
 
 
-def differenced(open_rows: DataFrame, lined: DataFrame) -> DataFrame:
+#: Pages that go to a task together; the first goes to the group before it too.
+GROUP = 64
+
+
+def differenced(lined: DataFrame) -> DataFrame:
     """uid, shared: for each side, the open lines that a page shares with the nearest page on its host that is not a copy.
 
-    A page whose neighbour is a copy goes on to the page beyond that one's run of
-    copies, until no page has a copy left to pass.
+    Pages side by side meet in groups of consecutive ranks, so that their lines are
+    shuffled once for both sides. A page whose neighbour is a copy goes on to the page
+    beyond that one's run of copies, until no page has a copy left to pass.
     """
-    found, bounds = None, None
-    for step in (-1, 1):
-        wanted = open_rows.withColumn("to", F.col("rank") + step)
-        while True:
-            near = lined.select(F.col("rank").alias("to"), F.col("host").alias("near_host"), F.col("hashes").alias("other"))
-            met = wanted.join(near.hint("merge"), "to").where(F.col("host") == F.col("near_host"))
-            met = table(met.select("uid", F.col("to").alias("rank"), "hashes", "open", "other").transform(mapped, differ, "uid long, rank long, gone array<int>, copy boolean"), "met")
-            kept = met.where("not copy").select("uid", "gone")
-            found = kept if found is None else found.unionAll(kept)
-            passed = met.where("copy").select("uid", F.col("rank").alias("at"))
-            if passed.isEmpty():
-                break
-            if bounds is None:
-                bounds = run_bounds(lined)
-            beyond = F.col("low") - 1 if step < 0 else F.col("high") + 1
-            passed = passed.join(bounds, F.col("at") == F.col("place")).select("uid", beyond.alias("to"))
-            wanted = table(open_rows.join(passed, "uid"), "wanted")
+    group = F.floor(F.col("rank") / GROUP)
+    dealt = lined.withColumn("group", F.explode(F.when(F.col("rank") % GROUP == 0, F.array(group, group - 1)).otherwise(F.array(group))))
+    dealt = dealt.repartition("group").sortWithinPartitions("group", "rank").select("group", "rank", "host", "uid", "open", "hashes")
+    met = table(dealt.transform(mapped, differ_next, MET), "met")
+    found, bounds = met.where("not copy").select("uid", "gone"), None
+    while True:
+        passed = met.where("copy").select("uid", "step", F.col("rank").alias("at"))
+        if passed.isEmpty():
+            break
+        if bounds is None:
+            bounds = run_bounds(lined)
+        beyond = F.when(F.col("step") < 0, F.col("low") - 1).otherwise(F.col("high") + 1)
+        passed = passed.join(bounds, F.col("at") == F.col("place")).select("uid", "step", beyond.alias("to"))
+        wanted = table(lined.select("uid", "host", "hashes", "open").join(passed, "uid"), "wanted")
+        near = lined.select(F.col("rank").alias("to"), F.col("host").alias("near_host"), F.col("hashes").alias("other"))
+        met = wanted.join(near.hint("merge"), "to").where(F.col("host") == F.col("near_host"))
+        met = table(met.select("uid", "step", F.col("to").alias("rank"), "hashes", "open", "other").transform(mapped, differ, MET), "met")
+        found = found.unionAll(met.where("not copy").select("uid", "gone"))
     return found.groupBy("uid").agg(F.collect_list("gone").alias("shared"))
 
 
@@ -383,20 +404,22 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parsed = table(rows.transform(mapped, parse, PARSED).withColumn("uid", F.monotonically_increasing_id()), "parsed")
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = parsed.select("uid", "page_id", "host", "path")
-    ordered = slim.repartitionByRange(parts, "host", "path", "page_id", "uid").sortWithinPartitions("host", "path", "page_id", "uid").select("uid", "host")
-    ordered = table(ordered.transform(mapped, numbered, "uid long, host string, part int, place long"), "ordered")
-    counts = dict(ordered.groupBy("part").count().collect())  # a number for each partition
+    slim = parsed.select("uid", "page_id", "host", "path", "open", "hashes")
+    # lines go with the order; a row's number has its partition above 33 bits of its place
+    ordered = slim.repartitionByRange(parts, "host", "path", "page_id", "uid").sortWithinPartitions("host", "path", "page_id", "uid")
+    ordered = table(ordered.select("uid", "host", "open", "hashes", F.monotonically_increasing_id().alias("spot")), "ordered")
+    part = F.shiftright("spot", 33).cast("int")
+    counts = dict(ordered.groupBy(part.alias("part")).count().collect())  # a number for each partition
     firsts, total = [], 0
-    for part in sorted(counts):
-        firsts.append((part, total))
-        total += counts[part]
+    for at in sorted(counts):
+        firsts.append((at, total))
+        total += counts[at]
     # a row for each partition is broadcast
     starts = pages.sparkSession.createDataFrame(firsts, "part int, first long")
-    ordered = ordered.join(F.broadcast(starts), "part").select("uid", "host", (F.col("first") + F.col("place")).alias("rank"))
-    # these joins' sides grow with the pages, so none is broadcast while it is small
-    lined = table(parsed.select("uid", "hashes", "open").join(ordered.hint("merge"), "uid"), "lined")
-    shared = differenced(lined.where("length(open) > 0").select("uid", "hashes", "open", "rank", "host"), lined.select("rank", "host", "hashes"))
+    place = F.col("spot").bitwiseAND(F.lit((1 << 33) - 1))
+    lined = ordered.withColumn("part", part).join(F.broadcast(starts), "part").select("uid", "host", "open", "hashes", (F.col("first") + place).alias("rank"))
+    # this join's sides grow with the pages, so none is broadcast while it is small
+    shared = differenced(lined)
     rows = parsed.select("uid", "page_id", "url", "packed", "ranks", "regions").join(shared.hint("merge"), "uid", "left").drop("uid")
     out = rows.transform(mapped, finish, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

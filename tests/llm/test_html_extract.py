@@ -135,3 +135,22 @@ def test_a_very_long_page():
     page = "<body><article>" + "".join(f"<p>Line {i} &amp; more</p>" for i in range(200_000)) + "</article>"
     found = text_of(page)
     assert len(found) == 200_000 and found[-1] == "Line 199999 & more"
+
+
+def test_lines_are_shuffled_once_for_both_neighbours(spark):
+    draw = random.Random(5)
+    own = lambda: "".join(f"<p>{draw.randrange(10**9)}</p>" for _ in range(200))
+    rows = spark.createDataFrame([(i, f"http://h{i % 2}.example/{i:04d}", f"<body><p>Site name</p>{own()}") for i in range(300)], "page_id long, url string, html string")
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    none = jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(*none)
+        return {(found.apply(i).stageId(), found.apply(i).attemptId()): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = stages()
+    assert all(r.text.count("\n") == 199 for r in extract(rows).collect())
+    moved = sum(n for i, n in stages().items() if i not in before)
+    # with the order, with the neighbours, and the packed text
+    assert moved < 3.5 * 300 * 201 * 8
