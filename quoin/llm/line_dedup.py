@@ -106,28 +106,29 @@ def matches(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
     smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
     good = smaller & (at["a"] < short) & (F.col("a_n") * 100 >= F.col("b_n") * percent) & (room >= need) & fits
     pairs = table(a.join(b, F.shiftright("a_spot", 32) == F.shiftright("b_spot", 32)).where(good).select("a_id", "b_id").distinct(), "candidates")
-    for side in "ab":
-        pairs = pairs.join(found.select(F.col("id").alias(f"{side}_id"), F.col("first").alias(f"{side}_first")), f"{side}_id")
-    pairs = table(pairs.select(F.least("a_first", "b_first").alias("earlier"), F.greatest("a_first", "b_first").alias("later")), "placed")
-    ends = pairs.select(F.col("earlier").alias("first")).union(pairs.select(F.col("later").alias("first"))).distinct()
+    # some more classes than those of the pairs do no harm
+    ends = perhaps_among(found.select("id", "h1", "h2", "first"), "id", pairs.select(F.col("a_id").alias("id")).unionAll(pairs.select("b_id")))
     ends = table(ends.withColumn("doc_id", F.floor(F.col("first") / F.lit(10**10).cast("decimal(11,0)")).cast("long")), "ends")
     own = line_rows(perhaps_among(docs.where("doc_id is not null"), "doc_id", ends.select("doc_id"))).withColumn("first", when_first(F.col("doc_id"), F.col("line_no"))).select("first", "line")
-    own = perhaps_among(own, "first", ends.select("first"))
-    own = own.join(ends.select("first"), "first", "left_semi").select("first", words(F.col("line")).alias("w"))
-    own = table(own.select("first", "w", F.size("w").alias("n"), let(F.transform("w", lambda x: F.xxhash64(x)), wide_bits).alias("wide")), "words")
-
-    def sided(rows: DataFrame, column: str) -> DataFrame:
-        for side, name in (("earlier", "1"), ("later", "2")):
-            rows = rows.join(own.select(F.col("first").alias(side), *(F.col(c).alias(f"{c}{name}") for c in ("n", column))), side)
+    own = perhaps_among(own, "first", ends.select("first")).select("first", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(5), "line").alias("h2"), "line")
+    # rows that repeat a doc_id hold a class's first line more than once
+    own = own.join(ends.select("id", "first", "h1", "h2"), ["first", "h1", "h2"]).dropDuplicates(["first", "h1", "h2"]).select("id", "first", words(F.col("line")).alias("w"))
+    # a text takes less room than an array of words
+    own = table(own.select("id", "first", F.array_join("w", " ").alias("w"), F.size("w").alias("n"), let(F.transform("w", lambda x: F.xxhash64(x)), wide_bits).alias("wide")), "words")
+
+    def sided(rows: DataFrame, sides: str, *columns: str) -> DataFrame:
+        for side in sides:
+            rows = rows.join(own.select(F.col("id").alias(f"{side}_id"), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *columns))), f"{side}_id")
         return rows
 
-    total = F.col("n1") + F.col("n2")
+    total = F.col("a_n") + F.col("b_n")
     need = F.ceil(total * percent / (100 + percent)).cast("int")
-    differ = F.aggregate(F.zip_with("wide1", "wide2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    common = F.size(F.array_intersect("w1", "w2"))
+    differ = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    common = F.size(F.array_intersect(F.split("a_w", " ", -1), F.split("b_w", " ", -1)))
 
-    near = table(sided(pairs.select("earlier", "later"), "wide").where(differ <= total - 2 * need).select("earlier", "later"), "near")
-    links = table(sided(near, "w").where(common * 100 >= (total - common) * percent).select("earlier", "later"), "links")
+    near = table(sided(pairs, "ab", "wide").where(differ <= total - 2 * need).select("a_id", "b_id"), "near")
+    links = sided(near, "ab", "first", "w").where(let(common, lambda c: c * 100 >= (total - c) * percent))
+    links = table(links.select(F.least("a_first", "b_first").alias("earlier"), F.greatest("a_first", "b_first").alias("later")), "links")
     slim = lines.select("doc_id", "line_no", F.length("line").alias("chars"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(5), "line").alias("h2"))
     return slim.join(found.select("h1", "h2", "first"), ["h1", "h2"]), links
 

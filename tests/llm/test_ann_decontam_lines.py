@@ -208,3 +208,10 @@ def test_line_edge_cases(spark):
     rows = spark.createDataFrame([(None, "a b", "x"), (1, "a b", "x"), (1, "a b", "x")], schema)
     assert sorted((str(r.doc_id), r.n_removed) for r in line_dedup.dedup_lines(rows).collect()) == [("1", 0), ("1", 0), ("None", 0)]
     assert line_dedup.dedup_lines(rows.limit(0)).count() == 0
+
+
+def test_repeated_rows_do_not_repeat_links(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (1, "a b c d e f g h i j"), (2, "a b c d e f g h i x"), (2, "a b c d e f g h i x")], "doc_id long, text string")
+    _, links = line_dedup.matches(docs)
+    assert links.count() == 1
+    assert {(r.doc_id, r.n_links) for r in line_dedup.report(docs).collect()} == {(1, 1), (2, 1)}
