@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quoin.operators import dom, layout, raster, reports, scoring, spatial
+from quoin.operators import dom, layout, raster, reports, scoring, similarity, spatial
 from quoin.plans import catalogue
 from quoin.sources import relations
 
@@ -516,3 +516,18 @@ def test_page_trees_equal_the_trees_of_painted_pages(spark):
     expected = [(r.page_id, *row) for r in images.collect() for row in _plain_raster_tree(raster.array_of(r.asDict()))]
     expected = sorted(tuple(map(str, (p, n, None if parent < 0 else parent, *rest, ("atomic", "row", "column")[kind]))) for p, n, parent, *rest, kind in expected)
     assert len(expected) > 300 and rows(raster.page_trees(elements)) == rows(raster.trees(images)) == expected
+
+
+def test_similarities_and_assignments_equal_the_plain_ones(monkeypatch):
+    """ratcliff against difflib, also where it leaves frequent characters out; assign() on lists against NumPy, with ties and more rows than columns."""
+    from difflib import SequenceMatcher
+
+    draw, rng = random.Random(11), np.random.default_rng(11)
+    for n in (0, 1, 2, 9, 40, 199, 200, 230):
+        for _ in range(60):
+            a, b = ("".join(draw.choice("abc 12") for _ in range(k)) for k in (draw.randrange(60), n))
+            assert similarity.ratcliff(a, b) == SequenceMatcher(None, a, b).ratio()
+    costs = [rng.integers(0, 6, rng.integers(1, 9, 2)) / 5 for _ in range(300)]
+    few = [similarity.assign(c) for c in costs]
+    monkeypatch.setattr(similarity, "FEW", 0)
+    assert [[x.tolist() for x in pair] for pair in few] == [[x.tolist() for x in similarity.assign(c)] for c in costs]
