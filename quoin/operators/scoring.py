@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .layout import unpacked
 from .similarity import assign, ratcliff
 
 LEAST_TEXT, LEAST_GAIN = 0.5, 0.05
@@ -37,13 +38,17 @@ def block_pairs(elements: DataFrame) -> DataFrame:
     return own.join(own.select((F.col("page_id") - 1).alias("page_id"), F.col("one").alias("two")), "page_id")
 
 
+def row_of(text: str, two: list[dict], known: dict[str, list[float]]) -> list[float]:
+    """Similarities of a text with those of two, kept in known."""
+    if text not in known:
+        known[text] = [ratcliff(text, b["text"]) for b in two]
+    return known[text]
+
+
 def similarities(one: list[dict], two: list[dict], known: dict[str, list[float]] | None = None) -> np.ndarray:
     """Similarities of the texts of one with those of two. known: rows by text, for more calls with the same two."""
     known = {} if known is None else known
-    for a in one:
-        if a["text"] not in known:
-            known[a["text"]] = [ratcliff(a["text"], b["text"]) for b in two]
-    return np.array([known[a["text"]] for a in one])
+    return np.array([row_of(a["text"], two, known) for a in one])
 
 
 def joined(a: dict, b: dict) -> dict:
@@ -58,12 +63,22 @@ def total(sim: np.ndarray) -> float:
 
 
 def merge_search(one: list[dict], two: list[dict], known: dict[str, list[float]] | None = None) -> list[dict]:
-    """Blocks that follow each other in one are joined while that raises the best assignment's similarity by LEAST_GAIN."""
+    """Blocks that follow each other in one are joined while that raises the best assignment's similarity by LEAST_GAIN.
+
+    Joins that cannot raise it so far are not tried: no similarity exceeds what the lengths of its texts allow.
+    """
     known = {} if known is None else known
     best = total(similarities(one, two, known))
-    while len(one) > 1:
-        trials = [(total(similarities([*one[:i], joined(one[i], one[i + 1]), *one[i + 2 :]], two, known)), -i) for i in range(len(one) - 1)]
-        gain, i = max(trials)
+    while len(one) > 1 and two:
+        rows = [known[x["text"]] for x in one]
+        trials = []
+        for i in range(len(one) - 1):
+            text = f"{one[i]['text']} {one[i + 1]['text']}"
+            others, least = rows[:i] + rows[i + 2 :], best + LEAST_GAIN
+            lengths = [2.0 * min(len(text), len(b["text"])) / max(1, len(text) + len(b["text"])) for b in two]
+            if reachable(others, lengths) > least and reachable(others, row_of(text, two, known)) > least:
+                trials.append((total(np.array([*rows[:i], known[text], *rows[i + 2 :]])), -i))
+        gain, i = max(trials, default=(best, 0))
         if gain <= best + LEAST_GAIN:
             break
         i = -i
@@ -71,6 +86,12 @@ def merge_search(one: list[dict], two: list[dict], known: dict[str, list[float]]
     return one
 
 
+def reachable(others: list[list[float]], row: list[float]) -> float:
+    """At least the similarity of the best assignment of these rows: every row, or every column, at its best; a little more, for rounding."""
+    by_row = max(row) + sum(map(max, others))
+    return min(by_row, sum(map(max, zip(row, *others, strict=True)))) + 1e-9
+
+
 def matched(one: list[dict], two: list[dict], merge: bool) -> tuple[list[dict], list[tuple[int, int, float]]]:
     known: dict[str, list[float]] = {}
     one = merge_search(one, two, known) if merge else one
@@ -79,12 +100,19 @@ def matched(one: list[dict], two: list[dict], merge: bool) -> tuple[list[dict],
     return one, [(int(i), int(j), float(sim[i, j])) for i, j in zip(rows, cols, strict=True) if sim[i, j] >= LEAST_TEXT]
 
 
+def pages(batch: pa.RecordBatch) -> Iterator[tuple[int, list[dict], list[dict]]]:
+    """page_id, one, two of every row of block_pairs."""
+    (names, one), (_, two) = unpacked(batch.column("one")), unpacked(batch.column("two"))
+    for page_id, a, b in zip(batch.column("page_id").to_pylist(), one, two, strict=True):
+        yield page_id, [dict(zip(names, c, strict=True)) for c in a], [dict(zip(names, c, strict=True)) for c in b]
+
+
 def matches(pairs: DataFrame, merge: bool = False) -> DataFrame:
     """page_id, i, j, similarity of blocks matched one to one whose texts agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(r["page_id"], i, j, round(s, 6)) for r in batch.to_pylist() for i, j, s in matched(r["one"], r["two"], merge)[1]]
+            out = [(page_id, i, j, round(s, 6)) for page_id, one, two in pages(batch) for i, j, s in matched(one, two, merge)[1]]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["page_id", "i", "j", "similarity"])
 
     return pairs.mapInArrow(run, "page_id long, i int, j int, similarity double")
@@ -133,16 +161,16 @@ def visual_scores(pairs: DataFrame, clip: float = 0.0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                one, found = matched(r["one"], r["two"], True)
+            for page_id, one, two in pages(batch):
+                one, found = matched(one, two, True)
                 area = lambda x: x["w"] * x["h"]
-                inside = sum(area(one[i]) + area(r["two"][j]) for i, j, _ in found)
-                whole = sum(map(area, one)) + sum(map(area, r["two"]))
+                inside = sum(area(one[i]) + area(two[j]) for i, j, _ in found)
+                whole = sum(map(area, one)) + sum(map(area, two))
                 for i, j, s in found or [(-1, -1, 0.0)]:
-                    a, b = (one[i], r["two"][j]) if i >= 0 else ({c: 0 for c in "RGB"}, {c: 0 for c in "RGB"})
+                    a, b = (one[i], two[j]) if i >= 0 else ({c: 0 for c in "RGB"}, {c: 0 for c in "RGB"})
                     centre = lambda q, k, m: q[k] + q[m] / 2
                     apart = max(abs(centre(a, "x", "w") - centre(b, "x", "w")), abs(centre(a, "y", "h") - centre(b, "y", "h"))) if i >= 0 else 1.0
-                    out.append((r["page_id"], i, inside / whole if whole and i >= 0 else 0.0, s, 1 - apart, *(a[c] for c in "RGB"), *(b[c] for c in "RGB")))
+                    out.append((page_id, i, inside / whole if whole and i >= 0 else 0.0, s, 1 - apart, *(a[c] for c in "RGB"), *(b[c] for c in "RGB")))
             types = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), *[pa.int32()] * 6]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names)
 

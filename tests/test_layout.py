@@ -531,3 +531,33 @@ def test_similarities_and_assignments_equal_the_plain_ones(monkeypatch):
     few = [similarity.assign(c) for c in costs]
     monkeypatch.setattr(similarity, "FEW", 0)
     assert [[x.tolist() for x in pair] for pair in few] == [[x.tolist() for x in similarity.assign(c)] for c in costs]
+
+
+def test_joins_that_cannot_pay_are_not_compared(monkeypatch):
+    """The merged blocks are those of trying every join, with far fewer texts compared."""
+    draw = random.Random(12)
+    block = lambda: {"x": draw.random(), "y": 0.0, "w": 0.05, "h": 0.1, "text": f"{draw.choice(['Text', 'Compo', 'Block'])} {draw.randrange(1000)} {draw.randrange(100)}", "R": 0, "G": 0, "B": 0}
+    seen, plain = [], scoring.ratcliff
+    monkeypatch.setattr(scoring, "ratcliff", lambda a, b: seen.append(a) or plain(a, b))
+
+    def every(one, two):
+        best = scoring.total(np.array([[plain(a["text"], b["text"]) for b in two] for a in one]))
+        while len(one) > 1:
+            ways = [[*one[:i], scoring.joined(one[i], one[i + 1]), *one[i + 2 :]] for i in range(len(one) - 1)]
+            gain, i = max((scoring.total(np.array([[plain(a["text"], b["text"]) for b in two] for a in way])), -i) for i, way in enumerate(ways))
+            if gain <= best + scoring.LEAST_GAIN:
+                break
+            one, best = ways[-i], gain
+        return one
+
+    joins = merged = 0
+    for _ in range(150):
+        one, two = [block() for _ in range(draw.randrange(1, 7))], [block() for _ in range(draw.randrange(1, 7))]
+        if draw.random() < 0.4 and len(one) > 1:
+            two[0] = scoring.joined(one[0], one[1])
+        seen.clear()
+        got = scoring.merge_search(one, two)
+        assert got == every(one, two)
+        merged += len(got) < len(one)
+        joins += len(seen) > len(one) * len(two)
+    assert merged > 20 and joins < 120
