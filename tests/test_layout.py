@@ -561,3 +561,23 @@ def test_joins_that_cannot_pay_are_not_compared(monkeypatch):
         merged += len(got) < len(one)
         joins += len(seen) > len(one) * len(two)
     assert merged > 20 and joins < 120
+
+
+def test_a_search_measures_boxes_without_calls_for_each_of_them(monkeypatch):
+    """Features equal plain ones, also of boxes without area, and only groups, and other boxes than texts, go through common_area()."""
+    draw, seen, plain = random.Random(13), [], layout.common_area
+    monkeypatch.setattr(layout, "common_area", lambda a, b: seen.append(a) or plain(a, b))
+    for _ in range(60):
+        boxes = [(x, y, x + draw.randrange(-2, 70), y + draw.randrange(-2, 50)) for x, y in [(draw.randrange(140), draw.randrange(160)) for _ in range(7)]]
+        p = page([element(i, box, True) for i, box in enumerate(boxes)], [("vertical", 100, 0, 200)])
+        p.groups.clear()
+        seen.clear()
+        layout.search(p)
+        assert not seen
+        for region, found in p.looks.items():
+            size = max(1, (region[2] - region[0]) * (region[3] - region[1]))
+            assert found.m["density"] == layout.unit(sum(plain(x, region) for x in boxes) / size)
+            for axis in (0, 1):
+                inside = [x for x in boxes if plain(x, region)]
+                covered = {i for x in inside for i in range(max(x[axis], region[axis]), min(x[axis + 2], region[axis + 2]))}
+                assert {i for a, b in layout.spans(boxes, axis, region) for i in range(a, b)} == covered
